@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import in_small_batches
+
 K1, B = 1.2, 0.75
 BLOCK = 32
 SHINGLE_WORDS = 5
@@ -145,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
                 rows = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"]) if t for m in index.matches(t, least, similarity)]
                 yield pd.DataFrame(rows, columns=names)
 
-        one = docs.select("doc_id", "text").mapInPandas(each, FOUND)
+        one = in_small_batches(docs).select("doc_id", "text").mapInPandas(each, FOUND)
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import keep, numbered
+from .base import in_small_batches, keep, numbered
 
 CAPACITY = 2048
 END_ID = 0
 #: Words that a worker remembers with their ids; beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 _BEYOND_LATIN = re.compile("[^\u0000-\u024f]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -76,7 +76,7 @@ class WordTokenizer:
         self.chunks.update((c, words[w] + words[t] if t else words[w]) for c, w, t in plain)
         self.chunks.update((c, self._one(c)) for c in rest)
 
-    def encode(self, texts: list[str], together: int = 4_000_000) -> Iterator[bytes]:
+    def encode(self, texts: list[str], together: int = 2_000_000) -> Iterator[bytes]:
         """The texts' ids in turn; words are learned for some millions of characters at a time."""
         group, chars = [], 0
         for text in texts:
@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, PIECES + ", ids array<int>" * with_ids)
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(pieces, PIECES + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

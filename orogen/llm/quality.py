@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import in_small_batches
+
 THRESHOLD = 0.3
 FEATURES = 20
 
@@ -130,7 +132,7 @@ def _featured(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [features(t) for t in batch["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, x array<double>")
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(each, "doc_id long, x array<double>")
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -143,5 +145,5 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(predict(model, np.array([features(t) for t in texts]).reshape(-1, FEATURES)))
 
-    scored_docs = docs.withColumn("score", score("text"))
+    scored_docs = in_small_batches(docs).withColumn("score", score("text"))
     return scored_docs.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import keep
+from .base import in_small_batches, keep
 from .components import components
 
 SHINGLE_WORDS = 4
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             got = np.fromiter((simhash(t, words) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": got.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, fp long")
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(each, "doc_id long, fp long")
 
 
 def masks(bits: int, radius: int) -> np.ndarray:
