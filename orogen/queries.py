@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .registry import ORACLE, QUERIES
+
+for _name in ("log_queries", "plate_queries", "motion_queries", "space_queries", "grid_queries", "stellar_queries", "ingest_queries"):
+    import_module(f".plans.{_name}", __package__)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return QUERIES["flagship"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
