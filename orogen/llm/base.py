@@ -34,7 +34,7 @@ def keep(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
 
 
-def in_small_batches(docs: DataFrame, rows: int = 500, size: str = "8m") -> DataFrame:
+def in_small_batches(docs: DataFrame, rows: int = 250, size: str = "4m") -> DataFrame:
     """The same table; from now on the session hands Python workers batches of so many rows and bytes at most.
 
     Texts can be long: the usual batch of 10,000 rows can be larger than a worker's memory.

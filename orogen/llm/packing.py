@@ -42,6 +42,11 @@ class WordTokenizer:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
 
+    def forget(self) -> None:
+        """A worker lives on and does other work after this; it must not keep what it no longer needs."""
+        self.words, self.chunks = {}, {"": b""}
+        gc.collect()
+
     def _encode_words(self, words: list[str]) -> None:
         """Many plain words at once; the end mark of their last tokens parts them again."""
         groups = [words[k : k + 400] for k in range(0, len(words), 400)]
@@ -114,8 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, step = tokenizer(tokenizer_path), 4 * capacity
-        gc.freeze()  # what is remembered has no cycles to look for
-        gc.set_threshold(200_000, 50, 1000)
+        gc.set_threshold(200_000, 50, 1000)  # what is remembered has no cycles to look for
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch["doc_id"], coder.encode([t if t is not None else "" for t in batch["text"]])):
@@ -126,6 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     rows.append(row + (np.frombuffer(part, "<u4").astype("int32"),) if with_ids else row)
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             yield pd.DataFrame(rows, columns=names)
+        coder.forget()
 
     return in_small_batches(docs).select("doc_id", "text").mapInPandas(pieces, PIECES + ", ids array<int>" * with_ids)
 
