@@ -49,7 +49,7 @@ from customer
 """
 _CELLS = """
 select cast(l_linenumber as bigint) * 10 as tick, l_suppkey % 18 as r, l_partkey % 36 as c,
-  case when count(*) % 7 = 0 then null else avg(l_extendedprice) end as value, count(*) as n
+  case when count(*) % 7 = 0 then null else max(l_extendedprice) end as value, count(*) as n
 from lineitem group by l_linenumber, l_suppkey % 18, l_partkey % 36
 """
 _VELOCITY = """
