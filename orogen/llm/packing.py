@@ -19,7 +19,7 @@ from .base import in_small_batches, keep, numbered
 CAPACITY = 2048
 END_ID = 0
 #: Words that a worker remembers with their ids; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 _BEYOND_LATIN = re.compile("[^\u0000-\u024f]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -70,7 +70,7 @@ class WordTokenizer:
         for c in chunks:
             low = c.lower()
             word = low.rstrip(punctuation)
-            if word.isalpha() and (latin or not _BEYOND_LATIN.search(low)):
+            if word.isalpha() and (latin or low.isascii() or not _BEYOND_LATIN.search(low)):
                 plain.append((c, word, low[len(word) :]))
             else:
                 rest.append(c)
