@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import space
+from . import spatial
 
 
 def latitude(j: Column, n_lat: int) -> Column:
@@ -96,6 +97,18 @@ def mask_bounds(cells: DataFrame, width: int, height: int, bounds: tuple[float,
     return cells.withColumn("value", F.when(inside if include else ~inside, F.col("value")))
 
 
+def mask_plates(cells: DataFrame, rings: DataFrame, width: int, height: int, bounds: tuple[float, float, float, float], plates: list[int] | None = None, at: float = 0.5) -> DataFrame:
+    """Cells keep their value where their centre (or another share of the cell) is in an outer ring of a plate and in none of its holes.
+
+    Each place of the raster is looked up once, whatever the number of ticks.
+    """
+    own = rings if plates is None else rings.where(F.col("plate_id").isin(plates))
+    places = cells.select("r", "c").distinct().withColumn("point_id", F.col("r").cast("long") * width + F.col("c"))
+    places = places.withColumn("lon", cell_lon(F.col("c"), width, bounds[0], bounds[2], at)).withColumn("lat", cell_lat(F.col("r"), height, bounds[1], bounds[3], at))
+    inside = places.join(spatial.containing(places, own).select("point_id").distinct(), "point_id", "left_semi").select("r", "c", F.lit(True).alias("_in"))
+    return cells.join(inside, ["r", "c"], "left").withColumn("value", F.when(F.col("_in"), F.col("value"))).drop("_in")
+
+
 def crop(cells: DataFrame, width: int, height: int, bounds: tuple[float, float, float, float], box: tuple[float, float, float, float]) -> DataFrame:
     """The pixel window of a box, rows and columns counted anew from its corner."""
     import math

@@ -171,3 +171,33 @@ def accumulated_opening(samples: DataFrame, rate: Column) -> DataFrame:
 def flowlines(seeds: DataFrame, omegas: DataFrame, step: int, model: str = "Uniform") -> DataFrame:
     """Paths of seeds that lie on a boundary, with the spreading rate (5.0 for Uniform, else 0) and the opening so far."""
     return accumulated_opening(motion_paths(seeds, omegas, step).withColumn("rate", F.lit(5.0 if model == "Uniform" else 0.0)), F.col("rate"))
+
+
+def velocity_in_frame(points: DataFrame, omegas: DataFrame, anchor: int | None = None) -> DataFrame:
+    """Add v, speed and azimuth (radians, null at rest) of points (plate_id, p) seen from an anchor plate.
+
+    omegas(plate_id, omega) of one tick; without an anchor, or where it has no omega, the frame stands still.
+    """
+    still = F.coalesce(F.first("omega", ignorenulls=True), space.vec(0, 0, 0)).alias("_frame")
+    frame = omegas.where(F.lit(False) if anchor is None else F.col("plate_id") == anchor).agg(still)
+    seen = omegas.join(F.broadcast(frame)).select("plate_id", space.vec_sub(F.col("omega"), F.col("_frame")).alias("_omega"))  # one row
+    rows = points.join(seen, "plate_id").withColumn("v", space.linear_velocity(F.col("_omega"), F.col("p"))).drop("_omega")
+    return rows.withColumn("speed", space.norm(F.col("v"))).withColumn("azimuth", F.when(F.col("speed") > space.EPS, space.azimuth(F.col("p"), F.col("v"))))
+
+
+def rotations_in_frame(rotations: DataFrame, anchor: int) -> DataFrame:
+    """Each plate's rotation (plate_id, tick, q) as seen from the anchor plate; no rows at ticks without the anchor."""
+    own = rotations.where(F.col("plate_id") == anchor).select("tick", space.quat_inverse(F.col("q")).alias("_frame"))
+    return rotations.join(own, "tick").withColumn("q", space.compose(F.col("q"), F.col("_frame"))).drop("_frame")
+
+
+def with_polar_wander(rotations: DataFrame, wander: DataFrame) -> DataFrame:
+    """Rotations turned on by the whole body's own at their tick (columns tick, q); ticks that it lacks stay as they are."""
+    turn = F.coalesce("_wander", space.quat(*_IDENTITY))
+    return rotations.join(wander.select("tick", F.col("q").alias("_wander")), "tick", "left").withColumn("q", space.compose(F.col("q"), turn)).drop("_wander")
+
+
+def segment_records(segments: DataFrame) -> DataFrame:
+    """One flat JSON record a segment, for interchange: plate_id, segment_id, record."""
+    fields = ["plate_id", "segment_id", "tick_a", "tick_b", "azimuth", "elevation", "angle"]
+    return segments.select("plate_id", "segment_id", F.to_json(F.struct(*fields)).alias("record"))

@@ -29,6 +29,24 @@ def sample_along(vertices: DataFrame, n: int) -> DataFrame:
     return on.groupBy("boundary_id", "sample").agg(best).select("boundary_id", "sample", F.col("m.at").alias("p"), F.col("m.arc").alias("arc"), space.normalize(space.vec_sub(F.col("m.q"), F.col("m.p"))).alias("tangent"))
 
 
+def sample_by_spacing(vertices: DataFrame, spacing: float) -> DataFrame:
+    """boundary_id, sample, p: the first vertex, then a point every `spacing` along the chords; all vertices if it is 0.
+
+    A point that falls on a vertex up to 1e-9 counts, so a line's end can be its last sample.
+    """
+    w = Window.partitionBy("boundary_id").orderBy("pos")
+    if spacing <= 0:
+        return vertices.select("boundary_id", F.col("pos").cast("long").alias("sample"), "p")
+    legs = vertices.withColumn("q", F.lead("p").over(w)).withColumn("_length", space.norm(space.vec_sub(F.col("q"), F.col("p"))))
+    legs = legs.withColumn("_end", F.sum("_length").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_from", F.coalesce(F.col("_end") - F.col("_length"), F.lit(0.0)))
+    before = F.floor((F.col("_from") + 1e-9) / spacing)
+    until = F.floor((F.col("_end") + 1e-9) / spacing)
+    inner = legs.where("q is not null and _length > 0").where(until > before).select("boundary_id", "p", "q", "_from", "_length", F.explode(F.sequence(before + 1, until)).alias("sample"))
+    t = (F.col("sample") * spacing - F.col("_from")) / F.col("_length")
+    on = inner.select("boundary_id", "sample", space.vec_add(F.col("p"), space.vec_scale(space.vec_sub(F.col("q"), F.col("p")), t)).alias("p"))
+    return on.unionByName(vertices.where("pos = 0").select("boundary_id", F.lit(0).cast("long").alias("sample"), "p"))
+
+
 def boundary_velocities(samples: DataFrame, boundaries: DataFrame, omegas: DataFrame) -> DataFrame:
     """v_right - v_left at the samples, with its parts along the tangent and the boundary's normal.
 
