@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from orogen.functions import space
-from orogen.operators import grid, log, motion, spatial, stellar
+from orogen.operators import grid, log, motion, rates, requests, spatial, stellar
 from orogen.plans import products
 from orogen.sources import datasets
 from orogen.streaming import logs
@@ -153,3 +153,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.sql("select plate_id, max_by(is_retired, sequence) as r from plates_now group by plate_id").collect()
     assert {r["plate_id"]: r["r"] for r in rows} == {r["plate_id"]: r["is_retired"] for r in log.plates(e).collect()}
+
+
+def test_spacing_goes_over_vertices_and_keeps_an_exact_end(spark):
+    v = spark.createDataFrame([(1, 0, (0.0, 0.0, 0.0)), (1, 1, (1.0, 0.0, 0.0)), (1, 2, (1.0, 1.0, 0.0)), (2, 0, (5.0, 0.0, 0.0))], "boundary_id long, pos int, p struct<x:double,y:double,z:double>")
+    got = {(r["boundary_id"], r["sample"]): (round(r["p"]["x"], 9), round(r["p"]["y"], 9)) for r in rates.sample_by_spacing(v, 0.4).collect()}
+    assert got == {(1, 0): (0, 0), (1, 1): (0.4, 0), (1, 2): (0.8, 0), (1, 3): (1, 0.2), (1, 4): (1, 0.6), (1, 5): (1, 1), (2, 0): (5, 0)}
+    assert rates.sample_by_spacing(v, 0).count() == 4
+
+
+def test_requests_name_what_they_miss(spark):
+    rows = [("Flowline", None, "m", None, None, None), ("QueryPlateId", None, "", 0.1, None, None), ("Reconstruct", "f", "m", 0.1, None, None), ("BoundaryAnalytics", "f", None, 0.1, None, None)]
+    r = spark.createDataFrame(rows, "query_type string, frame string, kinematics_model string, partition_tolerance double, boundary_sampling int, integration_policy string")
+    assert {x["query_type"]: x["errors"] for x in requests.policy_check(r).collect()} == {
+        "Flowline": ["frame", "integration_policy", "partition_tolerance"], "QueryPlateId": ["kinematics_model"], "Reconstruct": [], "BoundaryAnalytics": ["boundary_sampling", "kinematics_model"]}
+
+
+def test_a_plate_is_at_rest_in_its_own_frame(spark):
+    w = spark.range(2).select(F.col("id").alias("plate_id"), space.vec(0, 0, F.col("id") + 1.0).alias("omega"))
+    p = spark.range(2).select(F.col("id").alias("plate_id"), space.vec(1, 0, 0).alias("p"))
+    see = lambda anchor: {r["plate_id"]: (r["speed"], r["azimuth"]) for r in motion.velocity_in_frame(p, w, anchor).collect()}
+    assert see(0)[0] == (0.0, None) and see(0)[1][0] == 1.0 and abs(see(0)[1][1] - math.pi / 2) < 1e-12
+    assert see(None)[1][0] == 2.0 and see(9)[1][0] == 2.0
+    q = w.select("plate_id", F.lit(5).alias("tick"), space.from_axis_angle(space.vec(0, 0, 1), F.col("plate_id") + 1.0).alias("q"))
+    seen = {r["plate_id"]: r["q"]["w"] for r in motion.rotations_in_frame(q, 0).collect()}
+    assert abs(seen[0] - 1) < 1e-12 and abs(seen[1] - math.cos(0.5)) < 1e-12
+    assert motion.rotations_in_frame(q, 7).count() == 0
+    assert {r["q"]["w"] for r in motion.with_polar_wander(q, q.where("tick = 0").select("tick", "q")).collect()} == {r["q"]["w"] for r in q.collect()}
+
+
+def test_plate_mask_leaves_holes_out_and_keeps_every_tick(spark):
+    ring = "plate_id long, ring_id long, is_hole boolean, ring array<struct<x:double,y:double>>"
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    r = spark.createDataFrame([(1, 1, False, square(-40.0, 40.0)), (1, 2, True, square(-20.0, 20.0)), (2, 3, False, square(60.0, 80.0))], ring)
+    c = spark.createDataFrame([(t, *at, 1.0) for t in (0, 1) for at in ((0, 17), (5, 20), (8, 18))]  # outside, in the ring, in its hole
+        + [(0, 1, 25, 1.0)], "tick long, r int, c int, value double")
+    kept = lambda plates: sorted((x["tick"], x["r"]) for x in grid.mask_plates(c, r, 36, 18, (-180.0, -90.0, 180.0, 90.0), plates).where("value is not null").collect())
+    assert kept([1]) == [(0, 5), (1, 5)] and kept(None) == [(0, 1), (0, 5), (1, 5)]
+    assert grid.mask_plates(c, r, 36, 18, (-180.0, -90.0, 180.0, 90.0)).count() == 7
