@@ -1,10 +1,12 @@
-"""Requests on plate data: which of their required parts are missing."""
+"""Requests on plate data: which of their required parts are missing, and what their answers come from."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
+
 #: The parts that each type of query needs.
 ALWAYS = ("kinematics_model", "partition_tolerance")
 REQUIRED = {
@@ -25,3 +27,16 @@ def policy_check(requests: DataFrame) -> DataFrame:
     absent["partition_tolerance"] = F.col("partition_tolerance").isNull()
     errors = F.array_sort(F.array_compact(F.array(*(F.when(absent[p], F.lit(p)) for p in absent))))
     return requests.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
+
+
+def provenance_columns(answers: DataFrame, heads: DataFrame, tick: int, frame: str, solver: str) -> DataFrame:
+    """Add tick, frame, solver, sources and key to answers with a plate_id.
+
+    sources names each stream read (heads: stream_key, sequence; those of one request) with its last sequence; key is
+    the same for answers on one plate from the same sources. method tells whether the plate was known.
+    """
+    each = F.array_sort(F.collect_list(F.concat_ws(":", "stream_key", F.col("sequence").cast("string"))))
+    sources = heads.agg(F.array_join(each, ",").alias("sources"))
+    rows = answers.join(F.broadcast(sources))  # one row
+    rows = rows.withColumns({"tick": F.lit(tick).cast("long"), "frame": F.lit(frame), "solver": F.lit(solver), "method": F.when(F.col("plate_id").isNull(), "none").otherwise("given")})
+    return rows.withColumn("key", ids.short_hash(*(F.col(c) for c in ("plate_id", "tick", "frame", "solver", "sources"))))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..domain import sql, table
+from ..domain import sql, table, topology_events
 from ..functions import ids
-from ..operators import motion, requests
+from ..operators import log, motion, requests
 from ..registry import query
 
 #: A request for each order: the type goes round the six, parts are missing by divisibility of the key.
@@ -41,3 +41,10 @@ def f23_region_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("segments", """select plate_id, segment_id, '{"plate_id":' || plate_id || ',"segment_id":"' || segment_id || '","tick_a":' || tick_a || ',"tick_b":' || tick_b || ',"azimuth":' || azimuth || ',"elevation":' || elevation || ',"angle":' || angle || '}' as record from segments"""))
 def s16_export_motion_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.segment_records(table(spark, sf_dir, "segments"))
+
+
+@query(sql("topology points", """with h as (select stream_key, max(sequence) as s from topology group by stream_key), src as (select string_agg(stream_key || ':' || s, ',' order by stream_key) as sources from h)
+select point_id, 57::bigint as tick, case when plate_id is null then 'none' else 'given' end as method, sources, left(sha256(concat(coalesce(cast(plate_id as varchar), ''), chr(10), '57', chr(10), 'mantle', chr(10), 'fold-1', chr(10), sources)), 16) as key from points, src"""))
+def y33_provenance_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = requests.provenance_columns(table(spark, sf_dir, "points"), log.heads(topology_events(spark, sf_dir)), 57, "mantle", "fold-1")
+    return told.select("point_id", "tick", "method", "sources", "key")
