@@ -288,7 +288,7 @@ def test_plan_matches_large_items_two_by_two():
 
 def test_fingerprints_and_likeness(spark, docs, odd, none):
     all_ = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 7000).alias("doc_id"), "text"))
-    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(all_, bucket_rows=20).collect()}
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(all_, quantiles=7, part_rows=5).collect()}
     texts = {d: t or "" for d, t in text_of(all_).items()}
     order = sorted(texts, reverse=True)
     parts = lambda t: {p for p in re.split(r"\n+|(?<=\.)\s+", t) if p}
