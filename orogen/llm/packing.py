@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -10,11 +11,10 @@ from functools import cache
 from string import punctuation
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import in_small_batches, keep, numbered
+from .base import keep, map_batches, numbered
 
 CAPACITY = 2048
 END_ID = 0
@@ -28,14 +28,19 @@ class WordTokenizer:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     This vocabulary never joins what white space parts, so the ids of a text are the ids of its blank-separated
-    chunks in turn; each chunk is encoded once and remembered.
+    chunks in turn; each chunk is encoded once and remembered. Texts of Latin letters are lowered as a whole, as
+    the tokenizer does it letter by letter, which leaves fewer different chunks.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each worker its core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        #: The same vocabulary and merges for words that are lower-case letters already.
+        self.plain = Tokenizer(self.model.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -45,12 +50,11 @@ class WordTokenizer:
     def forget(self) -> None:
         """A worker lives on and does other work after this; it must not keep what it no longer needs."""
         self.words, self.chunks = {}, {"": b""}
-        gc.collect()
 
     def _encode_words(self, words: list[str]) -> None:
         """Many plain words at once; the end mark of their last tokens parts them again."""
         groups = [words[k : k + 400] for k in range(0, len(words), 400)]
-        found = self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        found = self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, one in zip(groups, found):
             ids = np.array(one.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
@@ -63,29 +67,29 @@ class WordTokenizer:
     def _one(self, word: str) -> bytes:
         return np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks are mostly a Latin word with punctuation after it; the word is looked up without these."""
+    def _learn(self, chunks: set[str]) -> None:
+        """Chunks are mostly a word of lower-case Latin letters with punctuation after it; the word is looked up without it."""
         latin = not _BEYOND_LATIN.search(" ".join(chunks))
-        plain, rest = [], []
+        parted, rest = [], []
         for c in chunks:
-            low = c.lower()
-            word = low.rstrip(punctuation)
-            if word.isalpha() and (latin or low.isascii() or not _BEYOND_LATIN.search(low)):
-                plain.append((c, word, low[len(word) :]))
+            word = c.rstrip(punctuation)
+            if word.isalpha() and (latin or not _BEYOND_LATIN.search(c)) and word == word.lower():
+                parted.append((c, word))
             else:
                 rest.append(c)
-        self._encode_words([w for w in {w for _, w, _ in plain} if w not in self.words])
-        for tail in {t for _, _, t in plain if t} - self.words.keys():
-            self.words[tail] = self._one(tail)
         words = self.words
-        self.chunks.update((c, words[w] + words[t] if t else words[w]) for c, w, t in plain)
+        self._encode_words([w for w in {w for _, w in parted} if w not in words])
+        for tail in {c[len(w) :] for c, w in parted if len(w) < len(c)} - words.keys():
+            words[tail] = self._one(tail)
+        self.chunks.update((c, words[w] if len(w) == len(c) else words[w] + words[c[len(w) :]]) for c, w in parted)
         self.chunks.update((c, self._one(c)) for c in rest)
 
     def encode(self, texts: list[str], together: int = 2_000_000) -> Iterator[bytes]:
         """The texts' ids in turn; words are learned for some millions of characters at a time."""
         group, chars = [], 0
         for text in texts:
-            group.append(text.replace("\n", " ").split(" "))
+            low = text if text.isascii() or not _BEYOND_LATIN.search(text) else None
+            group.append((low.lower() if low is not None else text).replace("\n", " ").split(" "))
             chars += len(text)
             if chars >= together:
                 yield from self._encode(group)
@@ -99,7 +103,7 @@ class WordTokenizer:
             self.words = {}
         missing = set().union(*group) - self.chunks.keys()
         if missing:
-            self._learn(list(missing))
+            self._learn(missing)
         for chunks in group:
             yield b"".join(map(self.chunks.__getitem__, chunks))
 
@@ -117,22 +121,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     is cut, into full pieces and a last shorter one. A null text counts as empty: its one piece is the end id.
     """
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[list[list]]) -> Iterator[list]:
         coder, step = tokenizer(tokenizer_path), 4 * capacity
         gc.set_threshold(200_000, 50, 1000)  # what is remembered has no cycles to look for
-        for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"], coder.encode([t if t is not None else "" for t in batch["text"]])):
-                ids += END_ID.to_bytes(4, "little")
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
+        for ids, texts in batches:
+            rows: list[list] = [[] for _ in range(5 + with_ids)]
+            for doc_id, raw in zip(ids, coder.encode([t if t is not None else "" for t in texts])):
+                raw += END_ID.to_bytes(4, "little")
+                for k, at in enumerate(range(0, len(raw), step)):
+                    part = raw[at : at + step]
                     row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
-                    rows.append(row + (np.frombuffer(part, "<u4").astype("int32"),) if with_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            yield pd.DataFrame(rows, columns=names)
+                    for column, x in zip(rows, row + (np.frombuffer(part, "<u4").astype("int32"),) if with_ids else row):
+                        column.append(x)
+            yield rows
         coder.forget()
 
-    return in_small_batches(docs).select("doc_id", "text").mapInPandas(pieces, PIECES + ", ids array<int>" * with_ids)
+    return map_batches(docs, ["doc_id", "text"], pieces, PIECES + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
