@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+BATCH_ROWS, BATCH_BYTES = 250, "4m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,10 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it names none, a new temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; only a local session that names none gets a new temporary one."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,17 +42,32 @@ def keep(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
 
 
-def in_small_batches(docs: DataFrame, rows: int = 250, size: str = "4m") -> DataFrame:
-    """The same table; from now on the session hands Python workers batches of so many rows and bytes at most.
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """The same table; the session hands Python workers batches of so many rows and bytes at most.
 
-    Texts can be long: the usual batch of 10,000 rows can be larger than a worker's memory.
+    Texts can be long: the usual batch of 10,000 rows can be larger than a worker's memory. The bounds are the
+    same for all operators, so none changes how another's lazy result runs.
     """
     conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs
 
 
+def map_batches(docs: DataFrame, columns: list[str], each: Callable[[Iterator[list[list]]], Iterator[list]], schema: str) -> DataFrame:
+    """Rows through Python, batch by batch: `each` gets lists of the columns' values and gives lists of the schema's.
+
+    Values are Python's own, so that integers stay whole beside nulls.
+    """
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in each([c.to_pylist() for c in b.columns] for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, target)], schema=target)
+
+    return in_small_batches(docs).select(columns).mapInArrow(run, schema)
+
+
 def crc32_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

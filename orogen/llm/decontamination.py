@@ -1,28 +1,33 @@
-"""Benchmark decontamination: a BM25 index of test items with block-max bounds, queried by every passage."""
+"""Benchmark decontamination: a BM25 inverted index of test items, searched by every passage with block-max WAND."""
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import in_small_batches
+from .base import in_small_batches, keep, map_batches
 
 K1, B = 1.2, 0.75
-BLOCK = 32
+#: Consecutive items that share one bound in each posting list.
+BLOCK = 8
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Least part of an item's own BM25 score that a passage must reach.
 LEAST_SCORE = 0.5
 #: Words of the question, and of the answer, that must be in the passage.
 LEAST_PART = 0.5
-#: Items of one index. Longer benchmarks are searched in so many passes over the documents.
-MOST_ITEMS = 20_000
+#: Postings of one broadcast index (some 40 bytes each). Longer benchmarks are searched part by part.
+MOST_POSTINGS = 3_000_000
+EPSILON = 1e-9
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 FOUND = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, word_start long"
@@ -43,116 +48,228 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return question or answer, answer
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return set(zip(*(words[k:] for k in range(SHINGLE_WORDS)))) if len(words) >= SHINGLE_WORDS else {tuple(words)} if words else set()
+def shingles(words: list[str]) -> set[int]:
+    """Hashes of the word shingles; of all words together where there are fewer."""
+    from xxhash import xxh3_64_intdigest
+
+    n = SHINGLE_WORDS
+    return {xxh3_64_intdigest(" ".join(words[k : k + n])) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def weighted(items: DataFrame) -> DataFrame:
+    """Postings item_id, length, word, df, impact of items (item_id, text): an item scores 1 on a passage that has all its words.
+
+    An impact is the word's BM25 weight in the item over the sum of the item's weights. Document frequencies,
+    the number of items and their mean length are those of the whole benchmark.
+    """
+
+    def each(batches: Iterator[list[list]]) -> Iterator[list]:
+        for ids, texts in batches:
+            rows = [(i, w, f, sum(tf.values())) for i, tf in ((i, Counter(words_of(t))) for i, t in zip(ids, texts)) for w, f in tf.items()]
+            yield [list(c) for c in zip(*rows)] or [[], [], [], []]
+
+    counted = keep(map_batches(items, ["item_id", "text"], each, "item_id long, word string, tf int, length int"))
+    whole = counted.select("item_id", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    n, mean = whole["n"], max(1.0, whole["mean"] or 1.0)
+    df = counted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    own = counted.join(df, "word").select("item_id", "length", "word", "df", weight.alias("own"))
+    total = own.groupBy("item_id").agg(F.sum("own").alias("total"))
+    return own.join(total, "item_id").select("item_id", "length", "word", "df", (F.col("own") / F.col("total")).alias("impact"))
 
 
 class Index:
-    """Postings of the items with normalised BM25 impacts: an item scores 1 on a passage that has all its words.
+    """Posting lists of items in one order: positions, impacts, and the greatest impact in each block of BLOCK positions.
 
-    Items are ordered by their rarest words, so that like items share a block; each term has its greatest
-    impact over the whole list and over each block of items.
+    Items are ordered by their rarest words, so that like items share a block. All lists lie one after another
+    in flat arrays.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
-        kept = [(i, t, words_of(t)) for i, t in items]
-        kept = [x for x in kept if x[2]]
-        df = Counter(w for *_, ws in kept for w in set(ws))
-        kept.sort(key=lambda x: (min((df[w], w) for w in x[2]), x[0]))
-        self.ids = np.array([x[0] for x in kept], np.int64)
-        self.lengths = [len(x[2]) for x in kept]
-        self.shingles = [shingles(x[2]) for x in kept]
-        self.parts = [tuple(set(p) for p in question_and_answer(x[1])) for x in kept]
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
-        n, mean = len(kept), max(1.0, float(np.mean(self.lengths or [1])))
-        self.impacts = np.zeros((len(self.terms), n), np.float32)
-        for i, (_, _, ws) in enumerate(kept):
-            tf = Counter(ws)
-            own = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / mean)) for w, f in tf.items()}
-            total = sum(own.values())
-            for w, x in own.items():
-                self.impacts[self.terms[w], i] = x / total
-        starts = np.arange(0, n, BLOCK)
-        self.blocks = np.maximum.reduceat(self.impacts, starts, axis=1) if n else self.impacts
-        self.most = self.impacts.max(axis=1) if n else np.zeros(0, np.float32)
-        #: Every span as long as an item lies whole in one passage of twice the stride.
-        self.stride = max([64, *self.lengths])
-
-    def search(self, terms: np.ndarray, least: float) -> Iterator[tuple[int, int, float]]:
-        """(first word, item, score) for all passages of a text (term of each word, -1 for others) and items that reach `least`.
-
-        Block-max WAND in batches of passages: bounds of whole lists first, then of blocks of items; only
-        items of blocks whose bound reaches the threshold are scored.
+    def __init__(self, postings: list[tuple[int, str, int, float]], texts: dict[int, str], stride: int):
+        rarest: dict[int, tuple[int, str]] = {}
+        for item, word, df, _ in postings:
+            rarest[item] = min(rarest.get(item, (df, word)), (df, word))
+        self.ids = sorted(rarest, key=lambda i: (rarest[i], i))
+        at = {i: k for k, i in enumerate(self.ids)}
+        words = [words_of(texts[i]) for i in self.ids]
+        self.lengths = [len(w) for w in words]
+        self.shingles = [shingles(w) for w in words]
+        self.parts = [tuple(set(p) for p in question_and_answer(texts[i])) for i in self.ids]
+        self.terms = {w: k for k, w in enumerate(sorted({p[1] for p in postings}))}
+        rows = sorted((self.terms[w], at[i], x) for i, w, _, x in postings)
+        term = np.array([r[0] for r in rows], np.int64)
+        self.items = array("q", [r[1] for r in rows])
+        self.impacts = array("d", [r[2] for r in rows])
+        self.first = np.searchsorted(term, np.arange(len(self.terms) + 1)).tolist()
+        # Blocks of each list: their numbers and greatest impacts.
+        block = np.array(self.items, np.int64) // BLOCK
+        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if rows else np.zeros(0, np.int64)
+        self.block = block[new]
+        self.block_most = np.maximum.reduceat(np.array(self.impacts), new) if rows else np.zeros(0)
+        self.block_first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
+        self.block_number = array("q", self.block.tolist())
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.most = np.maximum.reduceat(np.array(self.impacts), self.first[:-1]) if rows else np.zeros(0)
+        #: At least the longest item's words: every span as long as it lies whole in one passage of twice the stride.
+        self.stride = stride
+
+    def live_blocks(self, terms: np.ndarray, least: float) -> np.ndarray:
+        """Blocks of items whose bound, summed over these different terms, reaches `least`."""
+        if self.most[terms].sum() < least - EPSILON:
+            return np.zeros(0, np.int64)
+        a, n = self.block_first[terms], self.block_first[terms + 1] - self.block_first[terms]
+        at = np.arange(n.sum()) + np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n)
+        return np.flatnonzero(np.bincount(self.block[at], self.block_most[at], self.blocks) >= least - EPSILON)
+
+    def wand(self, terms: list[int], least: float) -> Iterator[tuple[int, float]]:
+        """(item, score) of all items that reach `least` on these different terms, in order.
+
+        Cursors stand on the terms' lists. The pivot is the first item at which the greatest impacts of the lists
+        up to it reach the threshold; what lies before it cannot. If the bounds of the blocks around the pivot do
+        not reach it either, all these cursors go past the nearest block's end, else the pivot is scored.
+        """
+        items, impacts, first = self.items, self.impacts, self.first
+        cursors = [[items[first[t]], first[t], first[t + 1], float(self.most[t]), t] for t in terms]  # item, place, end, most, term
+        need = least - EPSILON
+
+        def forward(cursor: list, to: int) -> None:
+            cursor[1] = bisect_left(items, to, cursor[1], cursor[2])
+            cursor[0] = items[cursor[1]] if cursor[1] < cursor[2] else len(self.ids)
+
+        while True:
+            cursors.sort(key=lambda c: c[0])
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += c[3]
+                if bound >= need:
+                    pivot = k
+                    break
+            if pivot < 0 or cursors[pivot][0] >= len(self.ids):
+                return
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            bound, block = 0.0, item // BLOCK
+            for c in cursors[: pivot + 1]:
+                at = bisect_left(self.block_number, block, int(self.block_first[c[4]]), int(self.block_first[c[4] + 1]))
+                if at < self.block_first[c[4] + 1] and self.block_number[at] == block:
+                    bound += self.block_most[at]
+            if bound < need:
+                past = (block + 1) * BLOCK
+                if pivot + 1 < len(cursors):
+                    past = min(past, cursors[pivot + 1][0])
+                for c in cursors[: pivot + 1]:
+                    if c[0] < past:
+                        forward(c, past)
+            elif cursors[0][0] == item:
+                here = sorted((c[4], impacts[c[1]]) for c in cursors[: pivot + 1])
+                score = sum(x for _, x in here)
+                if score >= least:
+                    yield item, score
+                for c in cursors[: pivot + 1]:
+                    forward(c, item + 1)
+            else:
+                for c in cursors[:pivot]:
+                    if c[0] < item:
+                        forward(c, item)
+
+    def search(self, words: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+        """(first word, item, score) for all passages of a text and all items that reach `least` in them.
+
+        A text whose words together do not reach it in any block of items has no passage that does.
         """
-        at = np.flatnonzero(terms >= 0)
-        if not len(at):
+        get = self.terms.get
+        known = np.array([t for t in map(get, set(words)) if t is not None], np.int64)
+        if not len(known) or not len(self.live_blocks(known, least)):
             return
-        known = terms[at]
-        starts = np.arange(0, max(1, len(terms) - self.stride), self.stride)
-        a, b = np.searchsorted(at, starts), np.searchsorted(at, starts + 2 * self.stride)
-        upto = np.concatenate([[0.0], np.cumsum(self.most[known], dtype=np.float64)])
-        for some in np.array_split(live := np.flatnonzero(upto[b] - upto[a] >= least - 1e-6), max(1, -(-len(live) // 256))):
-            has = np.zeros((len(some), len(self.terms)), np.float32)
-            for row, p in enumerate(some):
-                has[row, known[a[p] : b[p]]] = 1
-            bound = has @ self.blocks
-            for block in np.flatnonzero((bound >= least - 1e-5).any(axis=0)):
-                rows = np.flatnonzero(bound[:, block] >= least - 1e-5)
-                full = has[rows] @ self.impacts[:, block * BLOCK : (block + 1) * BLOCK]
-                for r, i in zip(*np.nonzero(full >= least)):
-                    yield int(starts[some[rows[r]]]), int(block * BLOCK + i), float(full[r, i])
+        every = [get(w) for w in words]
+        for start in range(0, max(1, len(words) - self.stride), self.stride):
+            terms = sorted(set(every[start : start + 2 * self.stride]) - {None})
+            if terms and len(self.live_blocks(np.array(terms, np.int64), least)):
+                for item, score in self.wand(terms, least):
+                    yield start, item, score
 
     def matches(self, text: str, least: float, similarity: float) -> list[tuple]:
-        """Verified items of a text: item, score, overlap, question's and answer's overlap, first word of the passage."""
-        ws = words_of(text)
-        get = self.terms.get
-        terms = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
+        """Verified items of a text: item, score, overlap, question's and answer's overlap, first word of the passage.
+
+        Of several passages the one with the greatest overlap counts, then the greatest score, then the first.
+        """
+        words = words_of(text)
         best: dict[int, tuple] = {}
-        for start, i, score in self.search(terms, least):
-            passage = ws[start : start + 2 * self.stride]
+        for start, i, score in self.search(words, least):
+            passage = words[start : start + 2 * self.stride]
             own = self.shingles[i]
-            overlap = len(own & shingles(passage)) / len(own) if self.lengths[i] >= SHINGLE_WORDS else float(_holds(passage, next(iter(own))))
+            n = min(SHINGLE_WORDS, self.lengths[i])
+            overlap = len(own & shingles(passage)) / len(own) if n == SHINGLE_WORDS else float(_holds(passage, n, own))
             have = set(passage)
             q, a = (len(p & have) / len(p) for p in self.parts[i])
             if overlap >= similarity and min(q, a) >= LEAST_PART and (i not in best or (overlap, score) > best[i][1::-1]):
                 best[i] = (score, overlap, q, a, start)
-        return [(int(self.ids[i]), *x) for i, x in sorted(best.items())]
+        return [(self.ids[i], *x) for i, x in sorted(best.items())]
 
 
-def _holds(passage: list[str], words: tuple[str, ...]) -> bool:
-    return any(tuple(passage[k : k + len(words)]) == words for k in range(len(passage) - len(words) + 1))
+def _holds(passage: list[str], n: int, own: set[int]) -> bool:
+    """Whether a passage has the few words of a short item in a row."""
+    return any(shingles(passage[k : k + n]) == own for k in range(len(passage) - n + 1))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, similarity: float = SIMILARITY, most_items: int = MOST_ITEMS) -> DataFrame:
-    """doc_id, item_id, score, overlap, question_overlap, answer_overlap, word_start of all leaks found in whole texts.
+def indexes(benchmark: DataFrame, most_postings: int = MOST_POSTINGS) -> Iterator[Index]:
+    """The benchmark's index, in parts of about `most_postings`; weights are those of the whole, so parts change no result.
 
-    Every passage (overlapping word windows, each twice as long as the longest item) is a query; items whose
-    score reaches `least` of their own are verified: `similarity` of the item's five-word shingles must be in
-    the passage, and half of the words of both its question and its answer. A document and item give one row,
-    of the best passage. The index is of one part of the benchmark of at most `most_items` items, sent to the
-    executors; a longer benchmark is searched part by part. Null or empty texts and items match nothing.
+    Of rows that repeat an item_id the least text counts. Items without words are in no part.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    parts = max(1, -(-items.count() // most_items))
-    found = None
+    items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    postings = keep(weighted(items))
+    seen = postings.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).first()
+    parts, stride = max(1, -(-seen["n"] // most_postings)), max(64, seen["longest"] or 0)
     for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
-        shared = spark.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in own)))
+        here = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part
+        texts = {r["item_id"]: r["text"] for r in items.where(here).collect()}
+        rows = [(r["item_id"], r["word"], r["df"], r["impact"]) for r in postings.where(here).collect()]
+        if rows:
+            yield Index(rows, texts, stride)
+
 
-        def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            names = FOUND.replace(" long", "").replace(" double", "").split(", ")
-            for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"]) if t for m in index.matches(t, least, similarity)]
-                yield pd.DataFrame(rows, columns=names)
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, similarity: float = SIMILARITY, most_postings: int = MOST_POSTINGS) -> DataFrame:
+    """doc_id, item_id, score, overlap, question_overlap, answer_overlap, word_start of all leaks found in whole texts.
 
-        one = in_small_batches(docs).select("doc_id", "text").mapInPandas(each, FOUND)
+    Every passage (overlapping word windows, each twice as long as the longest item, 128 words at least) is a query;
+    items whose score reaches `least` of their own are verified: `similarity` of the item's five-word shingles
+    must be in the passage, and half of the words of both its question and its answer. A row of docs and an item
+    give one row, of the best passage; rows that repeat a doc_id, or have none, are rows like others. Null or
+    empty texts and items match nothing, and an empty table gives no rows. Very long texts are searched whole;
+    other columns are ignored, whatever their names.
+    """
+    sc, found = docs.sparkSession.sparkContext, None
+    for index in indexes(benchmark, most_postings):
+        shared = sc.broadcast(index)
+
+        def each(batches: Iterator[list[list]], shared=shared) -> Iterator[list]:
+            for ids, texts in batches:
+                rows = [(d, *m) for d, t in zip(ids, texts) if t for m in shared.value.matches(t, least, similarity)]
+                yield [list(c) for c in zip(*rows)] or [[]] * 7
+
+        one = map_batches(docs, ["doc_id", "text"], each, FOUND)
         found = one if found is None else found.unionByName(one)
+    return docs.sparkSession.createDataFrame([], FOUND) if found is None else found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, similarity: float = SIMILARITY, most_postings: int = MOST_POSTINGS) -> Column:
+    """Whether the column text holds a test item, verified as in contaminated(); false for null and empty texts."""
+    sc, found = docs.sparkSession.sparkContext, F.lit(False)
+    for index in indexes(benchmark, most_postings):
+        found = found | _holder(sc.broadcast(index), least, similarity)("text")
     return found
 
 
+def _holder(shared: Broadcast, least: float, similarity: float):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(t) and bool(shared.value.matches(t, least, similarity)) for t in texts], dtype=bool)
+
+    return holds
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no test item is found; columns as given."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows in whose text no test item is found; columns as given, null ids and repeated rows too."""
+    return in_small_batches(docs).where(~leaks(docs, benchmark, **options))

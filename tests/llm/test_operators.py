@@ -1,9 +1,11 @@
 """The ten operators against brute-force versions, and on null, empty, repeated and clashing rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,28 +85,75 @@ def test_cascade_is_exact_over_its_universe(spark):
 # --- 2
 
 
-def test_leaks_are_found_and_clean_documents_left(spark, docs, none):
-    items = [(k, prose(30, 5000 + k)) for k in range(70)] + [(900, None), (901, "")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+def plain_scores(items):
+    """For each item the weights of its words by BM25 over all items, as parts of its own score."""
+    words = {i: decontamination.words_of(t or "") for i, t in items}
+    words = {i: w for i, w in words.items() if w}
+    df, mean = Counter(w for ws in words.values() for w in set(ws)), sum(map(len, words.values())) / len(words)
+    out = {}
+    for i, ws in words.items():
+        own = {w: math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, f in Counter(ws).items()}
+        out[i] = {w: x / sum(own.values()) for w, x in own.items()}
+    return words, out
+
+
+def plain_leaks(texts, items, least=0.5, similarity=0.8):
+    words, weights = plain_scores(items)
+    stride, item_text, found = max([64, *map(len, words.values())]), dict(items), {}
+    grams = lambda ws: {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+    for d, text in texts:
+        ws = decontamination.words_of(text or "")
+        for start in range(0, max(1, len(ws) - stride), stride):
+            passage = ws[start : start + 2 * stride]
+            for i, own in weights.items():
+                score = sum(x for w, x in own.items() if w in set(passage))
+                if score < least or not passage:
+                    continue
+                n = len(words[i])
+                overlap = len(grams(words[i]) & grams(passage)) / len(grams(words[i])) if n >= 5 else float(any(passage[k : k + n] == words[i] for k in range(len(passage))))
+                q, a = (len(set(p) & set(passage)) / len(set(p)) for p in decontamination.question_and_answer(item_text[i]))
+                if overlap >= similarity and min(q, a) >= 0.5 and (d, i) not in found:
+                    found[d, i] = (round(score, 9), overlap)
+                elif (d, i) in found and (overlap, round(score, 9)) > found[d, i][::-1]:
+                    found[d, i] = (round(score, 9), overlap)
+    return found
+
+
+def test_leaks_equal_a_plain_search(spark, docs, odd, none):
+    items = [(k, prose(30, 5000 + k)) for k in range(70)] + [(900, None), (901, ""), (902, "two words"), (7, prose(30, 5007)), (8, prose(30, 5008))]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit(1))
     bad = [(5000 + k, prose(200, 700 + k) + " " + items[k][1].upper() + " " + prose(90, 800 + k), "en", "s", 0) for k in range(10)]
-    all_ = docs.unionByName(spark.createDataFrame(bad, DOCS))
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(all_, bench).collect()}
-    assert got == {(5000 + k, k) for k in range(10)}
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(all_, bench, most_items=9).collect()} == got
-    assert decontamination.without_leaks(all_, bench).count() == docs.count()
+    bad += [(5050, prose(100, 5) + " two words " + prose(40, 6), "en", "s", 0), (5051, " ".join(items[20][1].split()[:27]) + " else", "en", "s", 0)]
+    bad += [(5052, prose(4000, 77) + " " + items[30][1], "en", "s", 0)]
+    all_ = docs.unionByName(spark.createDataFrame(bad, DOCS)).unionByName(odd.select(docs.columns).withColumn("doc_id", F.col("doc_id") + 7000))
+    want = plain_leaks(list(text_of(all_).items()), list({i: t for i, t in reversed(items)}.items()))
+    assert {(5000 + k, k) for k in range(10)} | {(5050, 902), (5051, 20), (5052, 30)} == set(want)
+    for most in (3_000_000, 100):
+        got = {(r["doc_id"], r["item_id"]): (round(r["score"], 9), r["overlap"]) for r in decontamination.contaminated(all_.withColumn("item_id", F.lit(0)), bench, most_postings=most).collect()}
+        assert got == want
+    assert text_of(decontamination.without_leaks(all_, bench)).keys() == text_of(all_).keys() - {d for d, _ in want}
+    big = 2**53 + 1
+    named = spark.createDataFrame([(None, bad[0][1], "en", "s", 0), (big, bad[1][1], "en", "s", 0), (big, bad[1][1], "en", "s", 0), (big, "clean", "en", "s", 0), (None, None, "en", "s", 0)], DOCS)
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in decontamination.contaminated(named, bench).collect()) == [(str(big), 1), (str(big), 1), ("None", 0)]
+    left = decontamination.without_leaks(named.withColumn("score", F.lit("x")), bench)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == [(str(big), "clean"), ("None", None)] and left.columns[-1] == "score"
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(docs, bench.where("false")).count() == 0
-
-
-def test_block_bounds_lose_nothing():
-    index = decontamination.Index([(k, prose(25, 40 + k)) for k in range(90)])
-    words = decontamination.words_of(" ".join(prose(60, k) for k in (41, 900, 77)) + " " + prose(25, 50))
-    terms = np.array([index.terms.get(w, -1) for w in words])
-    found = {(s, i) for s, i, _ in index.search(terms, 0.3)}
-    for s in range(0, max(1, len(words) - index.stride), index.stride):
-        have = {t for t in terms[s : s + 2 * index.stride] if t >= 0}
-        full = index.impacts[sorted(have)].sum(axis=0)
-        assert {(s, i) for i in np.flatnonzero(full >= 0.3 + 1e-5)} <= found
-        assert all(full[i] >= 0.3 - 1e-5 for t, i in found if t == s)
+    assert decontamination.without_leaks(none, bench).count() == 0 and decontamination.without_leaks(docs, bench.where("false")).count() == docs.count()
+
+
+def test_block_max_wand_loses_nothing(spark):
+    items = [(k, prose(25, 40 + k)) for k in range(90)]
+    _, weights = plain_scores(items)
+    index = next(decontamination.indexes(spark.createDataFrame(items, "item_id long, text string")))
+    for seed in range(30):
+        have = set(decontamination.words_of(prose(random.Random(seed).randint(5, 400), seed)))
+        terms = sorted(index.terms[w] for w in have if w in index.terms)
+        for least in (0.2, 0.4, 0.6):
+            want = {i: s for i, own in weights.items() if (s := sum(x for w, x in own.items() if w in have)) >= least}
+            got = {index.ids[i]: s for i, s in index.wand(terms, least)}
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+            blocks = set(index.live_blocks(np.array(terms, np.int64), least).tolist())
+            assert {i // decontamination.BLOCK for i, k in enumerate(index.ids) if k in want} <= blocks
 
 
 # --- 3, 8
