@@ -94,3 +94,14 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, salts
         .withColumn(name, F.col("_first") + F.col("_at"))
         .drop("_salt", "_at", "_first")
     )
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, count: str = "n", hot: int = 10_000) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key and the number of rows that have it.
+
+    Keys with over a `hot`-th part of all rows, of which there are fewer than `hot`, are broadcast; so no task gets
+    all rows of a common key. The rest are joined by a shuffle.
+    """
+    much = max(1000, total // hot)
+    few, many = table.where(F.col(count) <= much), table.where(F.col(count) > much)
+    return rows.join(F.broadcast(many), key).unionByName(rows.join(few, key))

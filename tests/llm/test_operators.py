@@ -374,27 +374,6 @@ def test_repeated_passages_are_found_and_cut(spark, docs, odd, none):
     assert paragraphs.without_repeats(odd).columns == odd.columns and paragraphs.repeated_passages(none).count() == 0
 
 
-def packed_words(words):
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - paragraphs.CODE_BITS)
-    shifts = np.arange(paragraphs.CODES, dtype=np.uint64) * np.uint64(paragraphs.CODE_BITS)
-    return (h.reshape(1, 3, paragraphs.CODES) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
-
-
-def test_bands_find_most_pairs_that_are_alike():
-    r = random.Random(2)
-    words = [[r.choice(VOCABULARY) for _ in range(paragraphs.PARAGRAPH_WORDS + 1)] for _ in range(400)]
-    a, b = np.concatenate([packed_words(w[:-1]) for w in words]), np.concatenate([packed_words(w[1:]) for w in words])
-    grams = lambda w: set(zip(*(w[k : k + 17] for k in range(5))))
-    exact = [len(grams(w[:-1]) & grams(w[1:])) / len(grams(w[:-1]) | grams(w[1:])) for w in words]
-    assert np.allclose(paragraphs.jaccard(a, b), exact, atol=0.07)
-    bands = paragraphs.bands_for(0.8, 0.95)
-    hit = (paragraphs.band_keys(a, bands) == paragraphs.band_keys(b, bands)).any(axis=1)
-    assert hit.mean() > 0.9
-
-
-# --- pipeline
-
-
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs, kept = base.read(spark, sf, "documents"), []
