@@ -11,15 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import in_small_batches, keep
+from .base import join_counted, keep, map_batches
 from .components import components
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 BITS = 64
 SEED = 42
-#: Variants that one block of variants should hold at most, on average.
-BLOCK_VARIANTS = 2_000_000
+#: Variants that a block holds on average, and those beyond which it is split by more leading bits.
+BLOCK_VARIANTS, MOST_VARIANTS = 1_000_000, 4_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -40,14 +40,14 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and its 64-bit fingerprint as a long. Null texts and texts without words have 0."""
+    """doc_id, text_hash and the 64-bit fingerprint fp as a long. Null texts and texts without words have fingerprint 0."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = np.fromiter((simhash(t, words) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": got.view(np.int64)})
+    def each(batches: Iterator[list[list]]) -> Iterator[list]:
+        for ids, hashes, texts in batches:
+            yield [ids, hashes, np.fromiter((simhash(t, words) for t in texts), np.uint64, len(texts)).view(np.int64)]
 
-    return in_small_batches(docs).select("doc_id", "text").mapInPandas(each, "doc_id long, fp long")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_batches(hashed, ["doc_id", "text_hash", "text"], each, "doc_id long, text_hash long, fp long")
 
 
 def masks(bits: int, radius: int) -> np.ndarray:
@@ -64,9 +64,11 @@ def _meeting(block: pd.DataFrame, bits: int, half: int) -> pd.DataFrame:
     keeps them connected.
     """
     low_bits = BITS - bits
+    if len(block) < 2:
+        return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
     fps = np.sort(block["fp"].to_numpy(np.int64).view(np.uint64))
-    lead, low = fps >> np.uint64(low_bits), fps & np.uint64((1 << low_bits) - 1)
-    spent = np.bitwise_count(lead ^ np.uint64(block["block"].iloc[0]))
+    lead, low = (fps >> np.uint64(low_bits), fps & np.uint64((1 << low_bits) - 1)) if low_bits else (fps, np.zeros(len(fps), np.uint64))
+    spent = np.bitwise_count(lead ^ block["block"].to_numpy(np.int64).view(np.uint64)[0])
     variants, owners = [], []
     for d in range(half + 1):
         own = np.flatnonzero(spent == d)
@@ -92,48 +94,88 @@ def _meeting(block: pd.DataFrame, bits: int, half: int) -> pd.DataFrame:
     return pd.DataFrame({"a": fps[a[true]].view(np.int64), "b": fps[b[true]].view(np.int64)})
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, count: int | None = None) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = RADIUS, count: int | None = None, most: int = MOST_VARIANTS) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp), enough to connect all within the radius.
 
     Every fingerprint stands for its variants: all words within half the radius. Two are within the radius
     just if they share a variant. Variants are dealt out by their leading bits; as most of a fingerprint's
     variants share these, it is sent once for each of the few leading parts that its variants have and the
-    variants are spelled out where they meet. The number of leading bits follows the number of
-    fingerprints, so a block of variants stays small at any size.
+    variants are spelled out where they meet. The number of leading bits follows the number of fingerprints.
+    Near copies share leading bits: a block with more than `most` variants is dealt out again by more bits, in the
+    end by whole variants, each of which has at most as many different fingerprints as the ball has words.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
     half = radius // 2
     n = distinct.count() if count is None else count
     ball = sum(math.comb(BITS, r) for r in range(half + 1))
-    bits = min(24, max(8, math.ceil(math.log2(max(2, n * ball / BLOCK_VARIANTS)))))
-    flips = F.array(*(F.lit(int(m)) for m in masks(bits, half)))
-    sent = distinct.select("fp", F.explode(flips).alias("flip")).select(
-        "fp", F.shiftrightunsigned("fp", BITS - bits).bitwiseXOR(F.col("flip")).alias("block")
-    )
-    links = sent.groupBy("block").applyInPandas(lambda block: _meeting(block, bits, half), "a long, b long")
-    return links.distinct()
+    bits, links = min(24, max(8, math.ceil(math.log2(max(2, n * ball / BLOCK_VARIANTS))))), None
+    sent = _dealt(distinct.select("fp", F.lit(0).cast("long").alias("block"), F.lit(0).alias("spent")), 0, bits, half)
+    while True:
+        left = BITS - bits
+        weight = F.element_at(F.array(*(F.lit(sum(math.comb(left, r) for r in range(half - d + 1))) for d in range(half + 1))), F.col("spent") + 1)
+        heavy = None
+        if left:
+            heavy = keep(sent.groupBy("block").agg(F.sum(weight.cast("long")).alias("n")).where(F.col("n") > most).select("block"))
+            heavy = None if heavy.isEmpty() else heavy
+        light = sent if heavy is None else sent.join(heavy, "block", "left_anti")
+        # Blocks of one fingerprint have nothing to compare.
+        one = light.groupBy("block").applyInPandas(_block(bits, half), "a long, b long")
+        links = one if links is None else links.unionByName(one)
+        if heavy is None:
+            return links.distinct()
+        more = min(left, 16)
+        sent = keep(_dealt(sent.join(heavy, "block"), bits, bits + more, half))
+        bits += more
+
+
+def _block(bits: int, half: int):
+    return lambda block: _meeting(block, bits, half)
+
+
+def _dealt(sent: DataFrame, bits: int, to: int, half: int) -> DataFrame:
+    """Rows fp, block (leading bits of variants), spent (bits that differ there), dealt by more leading bits."""
+    flips = F.array(*(F.struct(F.lit(int(m)).alias("flip"), F.lit(int(m).bit_count()).alias("d")) for m in masks(to - bits, half).astype(np.int64)))
+    part = F.shiftrightunsigned("fp", BITS - to).bitwiseAND(F.lit((1 << (to - bits)) - 1))
+    rows = sent.select("fp", "block", "spent", F.explode(flips).alias("x")).where(F.col("spent") + F.col("x.d") <= half)
+    return rows.select("fp", F.shiftleft("block", to - bits).bitwiseOR(part.bitwiseXOR(F.col("x.flip"))).alias("block"), (F.col("spent") + F.col("x.d")).alias("spent"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp, component_id: documents linked at `radius` or fewer differing bits, through others too.
+    """doc_id, fp, component_id, for every row: documents linked at `radius` or fewer differing bits, through others too.
 
     Equal fingerprints are one node, so groups of copies of any size cost one node each; component_id is
     the smallest doc_id of all that can be reached. Texts without words have fingerprint 0 and link like any.
-    Rows with a null doc_id keep their fingerprint and take part like others; minima pass over nulls.
+    Rows with a null doc_id keep their fingerprint and take part like others; minima pass over nulls. Rows that
+    repeat a doc_id are rows like others. An empty table gives no rows; other columns are ignored.
     """
     own = keep(fingerprints(docs, words))
-    distinct = keep(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _in_components(own, radius).select("doc_id", "fp", "component_id")
+
+
+def _in_components(own: DataFrame, radius: int) -> DataFrame:
+    """Rows doc_id, text_hash, fp with component_id and first, the component's least (doc_id, nulls last; text_hash)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    distinct = keep(own.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")))
     labels = components(near_links(distinct.select("fp"), radius))
-    nodes = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label")
+    nodes = keep(
+        distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
     )
-    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = keep(nodes.join(least, "label").select("fp", "component_id"))
-    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+    least = nodes.groupBy("label").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("fps"))
+    ids = keep(join_counted(nodes.select("fp", "label", "n"), least, "label", nodes.count(), "fps").select("fp", "n", "first"))
+    return join_counted(own, ids, "fp", own.count()).select("doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), "first")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents without those that are near-duplicates of one with a smaller doc_id; columns as given."""
-    leaders = near_duplicates(docs, radius, words).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(leaders, "doc_id", "left_semi").select(docs.columns)
+    """The documents without those that are near-duplicates of an earlier one; columns as given.
+
+    The first of a group is that with the smallest doc_id, null ids last, then by a hash of the text. Of rows
+    with one doc_id (or none) and one text one stays.
+    """
+    rows = _in_components(keep(fingerprints(docs, words)), radius)
+    here = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_hash") == F.col("first.text_hash"))
+    leaders = rows.where(here).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_text"))
+    joined = whole.join(keep(leaders), F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")))
+    once = joined.where("_rows = 1").select("_row")
+    return once.unionByName(joined.where("_rows > 1").dropDuplicates(["_doc", "_hash"]).select("_row")).select("_row.*")

@@ -266,12 +266,22 @@ def test_ball_hashing_finds_every_pair_within_the_radius(spark):
         for flips in (1, 3, 4, 5, 8):
             fps.add(b ^ sum(1 << k for k in r.sample(range(64), flips)))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"))
-    label = {x["node"]: x["label"] for x in components.components(links).collect()}
-    for i, a in enumerate(signed):
-        for b in signed[i + 1 :]:
-            if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
-                assert label[a] == label[b]
+    for most in (simhash.MOST_VARIANTS, 3000):  # with 3,000, blocks are split up to whole variants
+        links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), most=most)
+        label = {x["node"]: x["label"] for x in components.components(links).collect()}
+        for i, a in enumerate(signed):
+            for b in signed[i + 1 :]:
+                if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+                    assert label[a] == label[b]
+
+
+def test_one_of_each_with_odd_ids(spark):
+    a, b, big = prose(60, 1), prose(60, 2), 2**53 + 1
+    rows = [(None, a), (big, a), (big, a), (big, b), (None, b), (5, prose(60, 3)), (5, prose(60, 4)), (None, prose(60, 5)), (None, prose(60, 5)), (7, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS).selectExpr("*", "1 as first", "'x' as fp", "2 as n")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(big, a), (big, b), (5, rows[5][1]), (5, rows[6][1]), (None, rows[7][1]), (7, None)])
 
 
 def test_components_of_chains_and_stars(spark):
