@@ -7,6 +7,7 @@ from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from .base import in_small_batches, keep, map_batches
 
 K1, B = 1.2, 0.75
 #: Consecutive items that share one bound in each posting list.
-BLOCK = 8
+BLOCK = 2
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Least part of an item's own BM25 score that a passage must reach.
@@ -107,87 +108,117 @@ class Index:
         self.block = block[new]
         self.block_most = np.maximum.reduceat(np.array(self.impacts), new) if rows else np.zeros(0)
         self.block_first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
-        self.block_number = array("q", self.block.tolist())
+        self.block_start, self.block_number = self.block_first.tolist(), array("q", self.block.tolist())
         self.blocks = -(-len(self.ids) // BLOCK)
         self.most = np.maximum.reduceat(np.array(self.impacts), self.first[:-1]) if rows else np.zeros(0)
         #: At least the longest item's words: every span as long as it lies whole in one passage of twice the stride.
         self.stride = stride
 
-    def live_blocks(self, terms: np.ndarray, least: float) -> np.ndarray:
-        """Blocks of items whose bound, summed over these different terms, reaches `least`."""
-        if self.most[terms].sum() < least - EPSILON:
-            return np.zeros(0, np.int64)
+    def gathered(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of these terms' blocks in the flat arrays, and the number (among `terms`) of the term of each."""
         a, n = self.block_first[terms], self.block_first[terms + 1] - self.block_first[terms]
-        at = np.arange(n.sum()) + np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n)
-        return np.flatnonzero(np.bincount(self.block[at], self.block_most[at], self.blocks) >= least - EPSILON)
+        number = np.repeat(np.arange(len(terms)), n)
+        return np.arange(len(number)) + (a - np.cumsum(n) + n)[number], number
+
+    def live_passages(self, words: list[str], least: float) -> Iterator[tuple[int, list[int], list[int]]]:
+        """(first word, terms, blocks) of the passages of a text with the blocks of items whose bounds reach `least` there.
 
-    def wand(self, terms: list[int], least: float) -> Iterator[tuple[int, float]]:
-        """(item, score) of all items that reach `least` on these different terms, in order.
+        The bounds of all the text's words together go first: few texts have a block left. Then those of each
+        passage, the words of two neighbouring strides, by one product of presences and bounds.
+        """
+        get = self.terms.get
+        known = {w: t for w in set(words) if (t := get(w)) is not None}
+        terms = np.array(list(known.values()), np.int64)
+        if self.most[terms].sum() < least - EPSILON:
+            return
+        at, number = self.gathered(terms)
+        block, most = self.block[at], self.block_most[at]
+        live = np.bincount(block, most, self.blocks) >= least - EPSILON
+        blocks = np.flatnonzero(live)
+        if not len(blocks):
+            return
+        here = live[block]
+        bounds = np.zeros((len(terms), len(blocks)))
+        bounds[number[here], np.searchsorted(blocks, block[here])] = most[here]
+        local = dict(zip(known, range(len(known))))
+        every = np.fromiter(map(local.get, words, repeat(-1)), np.int64, len(words))
+        place = np.flatnonzero(every >= 0)
+        has = np.zeros((-(-len(words) // self.stride), len(terms)), bool)
+        has[place // self.stride, every[place]] = True
+        if len(has) > 1:
+            has = has[:-1] | has[1:]
+        reach = has.astype(np.float64) @ bounds >= least - EPSILON
+        for p in np.flatnonzero(reach.any(axis=1)):
+            yield int(p) * self.stride, sorted(terms[has[p]].tolist()), blocks[reach[p]].tolist()
+
+    def wand(self, terms: list[int], least: float, blocks: list[int]) -> Iterator[tuple[int, float]]:
+        """(item, score) of all items of some blocks that reach `least` on these different terms, in order.
 
         Cursors stand on the terms' lists. The pivot is the first item at which the greatest impacts of the lists
-        up to it reach the threshold; what lies before it cannot. If the bounds of the blocks around the pivot do
-        not reach it either, all these cursors go past the nearest block's end, else the pivot is scored.
+        up to it reach the threshold; what lies before it cannot. If its block is none of the given ones, or the
+        bounds of the block for the lists up to the pivot do not reach the threshold, all these cursors go past
+        the block, else the pivot is scored.
         """
-        items, impacts, first = self.items, self.impacts, self.first
+        items, impacts, first, end = self.items, self.impacts, self.first, len(self.ids)
         cursors = [[items[first[t]], first[t], first[t + 1], float(self.most[t]), t] for t in terms]  # item, place, end, most, term
         need = least - EPSILON
 
         def forward(cursor: list, to: int) -> None:
-            cursor[1] = bisect_left(items, to, cursor[1], cursor[2])
-            cursor[0] = items[cursor[1]] if cursor[1] < cursor[2] else len(self.ids)
+            if cursor[0] < to:
+                cursor[1] = bisect_left(items, to, cursor[1], cursor[2])
+                cursor[0] = items[cursor[1]] if cursor[1] < cursor[2] else end
 
+        for c in cursors:
+            forward(c, blocks[0] * BLOCK)
         while True:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort(key=_item)
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
                 bound += c[3]
                 if bound >= need:
                     pivot = k
                     break
-            if pivot < 0 or cursors[pivot][0] >= len(self.ids):
+            if pivot < 0 or cursors[pivot][0] >= end:
                 return
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            bound, block = 0.0, item // BLOCK
-            for c in cursors[: pivot + 1]:
-                at = bisect_left(self.block_number, block, int(self.block_first[c[4]]), int(self.block_first[c[4] + 1]))
-                if at < self.block_first[c[4] + 1] and self.block_number[at] == block:
-                    bound += self.block_most[at]
-            if bound < need:
+            block = item // BLOCK
+            at = bisect_left(blocks, block)
+            if at == len(blocks):
+                return
+            if blocks[at] != block:
+                for c in cursors:
+                    forward(c, blocks[at] * BLOCK)
+            elif self._bound(block, [c[4] for c in cursors[: pivot + 1]]) < need:
                 past = (block + 1) * BLOCK
                 if pivot + 1 < len(cursors):
                     past = min(past, cursors[pivot + 1][0])
                 for c in cursors[: pivot + 1]:
-                    if c[0] < past:
-                        forward(c, past)
+                    forward(c, past)
             elif cursors[0][0] == item:
-                here = sorted((c[4], impacts[c[1]]) for c in cursors[: pivot + 1])
-                score = sum(x for _, x in here)
+                score = sum(x for _, x in sorted((c[4], impacts[c[1]]) for c in cursors[: pivot + 1]))
                 if score >= least:
                     yield item, score
                 for c in cursors[: pivot + 1]:
                     forward(c, item + 1)
             else:
                 for c in cursors[:pivot]:
-                    if c[0] < item:
-                        forward(c, item)
+                    forward(c, item)
 
-    def search(self, words: list[str], least: float) -> Iterator[tuple[int, int, float]]:
-        """(first word, item, score) for all passages of a text and all items that reach `least` in them.
+    def _bound(self, block: int, terms: list[int]) -> float:
+        total = 0.0
+        for t in terms:
+            at = bisect_left(self.block_number, block, self.block_start[t], self.block_start[t + 1])
+            if at < self.block_start[t + 1] and self.block_number[at] == block:
+                total += self.block_most[at]
+        return total
 
-        A text whose words together do not reach it in any block of items has no passage that does.
-        """
-        get = self.terms.get
-        known = np.array([t for t in map(get, set(words)) if t is not None], np.int64)
-        if not len(known) or not len(self.live_blocks(known, least)):
-            return
-        every = [get(w) for w in words]
-        for start in range(0, max(1, len(words) - self.stride), self.stride):
-            terms = sorted(set(every[start : start + 2 * self.stride]) - {None})
-            if terms and len(self.live_blocks(np.array(terms, np.int64), least)):
-                for item, score in self.wand(terms, least):
-                    yield start, item, score
+    def search(self, words: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+        """(first word, item, score) for all passages of a text and all items that reach `least` in them."""
+        for start, terms, blocks in self.live_passages(words, least):
+            for item, score in self.wand(terms, least, blocks):
+                yield start, item, score
 
     def matches(self, text: str, least: float, similarity: float) -> list[tuple]:
         """Verified items of a text: item, score, overlap, question's and answer's overlap, first word of the passage.
@@ -208,6 +239,10 @@ class Index:
         return [(self.ids[i], *x) for i, x in sorted(best.items())]
 
 
+def _item(cursor: list) -> int:
+    return cursor[0]
+
+
 def _holds(passage: list[str], n: int, own: set[int]) -> bool:
     """Whether a passage has the few words of a short item in a row."""
     return any(shingles(passage[k : k + n]) == own for k in range(len(passage) - n + 1))
