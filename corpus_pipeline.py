@@ -14,7 +14,7 @@ from orogen.llm.queries import tokenizer_path
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality.learned(docs, read(spark, sf_dir, "labels"), crc32_of_id() % 5 != 0)
-    return quality.scored(docs, model).where("predicted = 1").select(docs.columns)
+    return quality.accepted(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,14 +9,29 @@ from pyspark.sql import functions as F
 LEARNED = "assistant"
 
 
-def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """pair_id, conv_id, side: conversations 2k (chosen) and 2k + 1 (rejected) are a pair.
+def of_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, side, turn, role, text of given pairs of conversations (pair_id, conv_id, side: chosen or rejected)."""
+    named = pairs.select("pair_id", F.col("conv_id").alias("_conv"), "side")
+    return named.join(turns.select("conv_id", "turn", "role", "text"), F.col("_conv") == F.col("conv_id")).select("pair_id", "side", "turn", "role", "text")
 
-    It is a rule on ids, so no group of like conversations meets in one place.
+
+def swapped_answers(turns: DataFrame) -> DataFrame:
+    """pair_id, side, turn, role, text: each conversation, and the same with another one's last answer in place of its own.
+
+    The conversation itself is chosen. The rejected one has its turns before the last answer (the last turn of role
+    `assistant`), then the last answer of its partner: the conversation whose id differs in the lowest bit alone.
+    Conversations without an answer keep all their turns on both sides; where the partner is missing or has no
+    answer, the rejected side ends before the answer. Turns with a null conv_id belong to none and are left out.
     """
-    ids = turns.select("conv_id").where("conv_id is not null").distinct()
-    side = F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected")
-    return ids.select(F.expr("conv_id div 2").alias("pair_id"), "conv_id", side.alias("side"))
+    own = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    answer = F.struct("turn", "text")
+    last = own.where(F.col("role") == LEARNED).groupBy("conv_id").agg(F.max(answer).alias("answer"))
+    cut = own.join(last.select("conv_id", F.col("answer.turn").alias("at"), F.col("answer.text").alias("said")), "conv_id", "left")
+    before = F.col("at").isNull() | (F.col("turn") < F.col("at")) | ((F.col("turn") == F.col("at")) & ((F.col("role") != LEARNED) | ~F.col("text").eqNullSafe(F.col("said"))))
+    side = lambda rows, name: rows.select(F.col("conv_id").alias("pair_id"), F.lit(name).alias("side"), "turn", "role", "text")
+    partner = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("answer.text").alias("text"))
+    swapped = last.select("conv_id", F.col("answer.turn").alias("turn")).join(partner, "conv_id").select("conv_id", "turn", F.lit(LEARNED).alias("role"), "text")
+    return side(own, "chosen").unionByName(side(cut.where(before), "rejected")).unionByName(side(swapped, "rejected"))
 
 
 def _rendered(turns: str) -> str:
@@ -33,16 +48,17 @@ def _spans(turns: str) -> str:
     )
 
 
-def formatted(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+def formatted(sided: DataFrame) -> DataFrame:
     """pair_id, n_common, prompt, chosen, rejected, chosen_spans, rejected_spans for every pair.
 
-    Columns read: turns(conv_id, turn, role, text), pairs(pair_id, conv_id, side). The prompt is the longest
-    common prefix of the two conversations in turns of equal role and text, rendered once; the completions
-    are the turns after it. Spans are the character ranges of a completion to learn from. A side that is
+    Columns read: pair_id, side (chosen or rejected), turn, role, text; others are ignored, whatever their names.
+    The prompt is the longest common prefix of the two conversations in turns of equal role and text, rendered
+    once; the completions are the turns after it. Spans are the character ranges of a completion to learn from. A side that is
     missing counts as a conversation without turns; null roles and texts are rendered as empty, and equal
-    each other; turns with the same number follow by role and text. A conversation is one row, however long.
+    each other; turns with the same number follow by role and text, null first. No turns give no rows. A pair is
+    one row, however long: a conversation has to fit in a task, as a text has to.
     """
-    rows = pairs.select("pair_id", "conv_id", "side").join(turns.select("conv_id", "turn", "role", "text"), "conv_id")
+    rows = sided.select("pair_id", "side", "turn", "role", "text")
     turn = F.struct("turn", "role", "text")
     grouped = rows.groupBy("pair_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == "chosen", turn))).alias("c"),
@@ -64,18 +80,29 @@ def formatted(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+def preferences(sided: DataFrame) -> DataFrame:
     """formatted() with the spans as text, such as `11-40,63-90`."""
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["first"], s["last"])), ",")
-    return formatted(turns, pairs).withColumns({c: text(c) for c in ("chosen_spans", "rejected_spans")})
+    return formatted(sided).withColumns({c: text(c) for c in ("chosen_spans", "rejected_spans")})
 
 
 ORACLE_SQL = """
-with t as (
-  select conv_id // 2 as pair_id, conv_id % 2 as side, role, text,
-         row_number() over (partition by conv_id order by turn, role, text) as pos,
+with answers as (
+  select conv_id, turn, text from (
+    select *, row_number() over (partition by conv_id order by turn desc, text desc nulls last) as r
+    from conversations where role = 'assistant' and conv_id is not null) where r = 1),
+sided as (
+  select conv_id as pair_id, 0 as side, turn, role, text from conversations where conv_id is not null
+  union all
+  select c.conv_id, 1, c.turn, c.role, c.text from conversations c left join answers a on c.conv_id = a.conv_id
+  where c.conv_id is not null and (a.turn is null or c.turn < a.turn or (c.turn = a.turn and (c.role <> 'assistant' or c.text is distinct from a.text)))
+  union all
+  select a.conv_id, 1, a.turn, 'assistant', b.text from answers a join answers b on b.conv_id = xor(a.conv_id, 1)),
+t as (
+  select pair_id, side, role, text,
+         row_number() over (partition by pair_id, side order by turn, role, text) as pos,
          '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as piece
-  from conversations),
+  from sided),
 both_sides as (
   select coalesce(a.pair_id, b.pair_id) as pair_id, coalesce(a.pos, b.pos) as pos,
          a.pos is not null and b.pos is not null and a.role is not distinct from b.role and a.text is not distinct from b.text as same

@@ -10,18 +10,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import in_small_batches
+from .base import in_small_batches, map_batches
 
 THRESHOLD = 0.3
-FEATURES = 20
+#: Shares and means of a text, and places for its hashed runs of three bytes.
+SHAPES, HASHED = 20, 256
+FEATURES = SHAPES + HASHED
+#: Rows that are learned from, at most.
+POSITIVES, UNLABELLED = 4_000, 12_000
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares and means that tell how a text is written; zeros for an empty one."""
+    """How a text is written, and the root shares of its runs of three bytes by their hashes; zeros for an empty one."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    out = np.zeros(FEATURES)
-    if not raw:
-        return out
+    out = np.zeros(FEATURES, np.float32)
+    if raw:
+        out[:SHAPES] = _shape(raw)
+        b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+        runs = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(2654435761) >> np.uint32(24)
+        out[SHAPES:] = np.sqrt(np.bincount(runs, minlength=HASHED) / max(1, len(runs)))
+    return out
+
+
+def _shape(raw: bytes) -> tuple[float, ...]:
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
@@ -30,7 +41,7 @@ def features(text: str | None) -> np.ndarray:
     n, w = len(raw), max(1, len(words))
     distinct = len(set(words))
     triples = set(zip(words, words[1:], words[2:]))
-    out[:] = (
+    return (
         1.0,
         np.log1p(n),
         np.sqrt(counts[65:91].sum() / max(1, letters)),
@@ -52,7 +63,6 @@ def features(text: str | None) -> np.ndarray:
         sum(len(x) == 1 for x in words) / w,
         sum(x.isupper() and len(x) > 1 for x in words) / w,
     )
-    return out
 
 
 @dataclass
@@ -63,12 +73,50 @@ class Model:
     prior: float
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk of outputs on positives and on unlabelled rows, with the logistic loss.
+
+    The non-negative risk is the first plus the second, or plus 0 where that is below 0.
+    """
+    loss = lambda z: float(np.logaddexp(0, z).mean())  # noqa: E731  of the label -1
+    return prior * loss(-positive), loss(unlabelled) - prior * loss(positive)
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from the outputs of a classifier of the two that saw neither.
+
+    Above any threshold the unlabelled rows hold at least the prior times the positives' part; where no
+    negatives are left, the ratio of both parts comes down to the prior. The least upper bound of that ratio
+    over thresholds is taken, with one standard deviation each way for the rows' numbers.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    cuts = np.quantile(positive, np.linspace(0.02, 0.9, 45))
+    p = np.array([(positive >= t).mean() for t in cuts])
+    u = np.array([(unlabelled >= t).mean() for t in cuts])
+    slack = np.sqrt(u * (1 - u) / len(unlabelled)) + np.sqrt(p * (1 - p) / len(positive))
+    return float(np.clip(((u + slack) / np.maximum(p, 1e-9)).min(), 0.01, 0.99))
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """estimated_prior() with a classifier of positives against unlabelled rows, learned on one half and read on the other, both ways."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        model = fit(positive[half::2], unlabelled[half::2], 0.5, steps=300, unbiased=False)
+        z = lambda x: np.log(predict(model, x) / (1 - predict(model, x)))
+        found.append(estimated_prior(z(positive[1 - half :: 2]), z(unlabelled[1 - half :: 2])))
+    return sum(found) / 2
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3, unbiased: bool = True) -> Model:
     """Minimise the non-negative unbiased risk of a logistic model by gradient steps.
 
     With class prior p and the logistic loss, the risk is p E+[loss(g, 1)] + max(0, Eu[loss(g, -1)] - p E+[loss(g, -1)]).
     When the second part falls below zero the step goes up its gradient, as the non-negative estimator has it.
-    Without positives or unlabelled rows the model scores every text by the prior.
+    Without `unbiased` unlabelled rows count as negative. Without positives or unlabelled rows the model scores
+    every text by the prior.
     """
     prior = float(min(max(prior, 0.01), 0.99))
     n = FEATURES
@@ -85,13 +133,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-    loss = lambda z: np.logaddexp(0, z)  # noqa: E731  of the label -1
     for t in range(1, steps + 1):
         gp, gu = p @ w, u @ w
         wrong = prior * -(p.T @ (1 - sigmoid(gp))) / len(p)
-        rest = u.T @ sigmoid(gu) / len(u) - prior * (p.T @ sigmoid(gp)) / len(p)
-        below = loss(gu).mean() - prior * loss(gp).mean()
-        grad = (wrong + rest if below >= 0 else -rest) + decay * np.append(w[:-1], 0)
+        rest = u.T @ sigmoid(gu) / len(u) - unbiased * prior * (p.T @ sigmoid(gp)) / len(p)
+        grad = (wrong + rest if not unbiased or risk(gp, gu, prior)[1] >= 0 else -rest) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(mean, scale, w, prior)
@@ -102,48 +148,50 @@ def predict(model: Model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def learned(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 4000, unlabelled: int = 12_000) -> Model:
-    """Fit on bounded samples (by a hash of the id): trusted positives and documents without a label.
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """Fit on bounded samples (by a hash of id and text): trusted positives, and documents at large, their labels unread.
 
-    The class prior is the share of label 1 among all labelled rows that may be learned from. Features are
-    computed on the executors; the driver gets feature rows of the two samples only. If every document has a
-    label, those with one stand in as unlabelled text, their labels unread.
+    Positives are drawn from the label table by id, at most `positives` of them; the unlabelled rows from all
+    documents that may be learned from. The class prior is estimated from these two. Texts are scanned once for
+    both and not shuffled; the driver gets feature rows only.
     """
-    own = labels.where(learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    prior = own.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    if prior is None:
-        return fit(np.zeros((0, FEATURES)), np.zeros((0, FEATURES)), 0.5)
+    place = lambda *c: F.pmod(F.xxhash64(F.lit(5), *c), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    trusted = labels.where(learn & (F.col("quality") == 1)).select("doc_id").distinct().orderBy(place("doc_id"), "doc_id").limit(positives)
     rows = docs.where(learn).select("doc_id", "text")
+    share = 1.1 * unlabelled / max(1, rows.count())
+    # At most `positives` ids.
+    marked = rows.join(F.broadcast(trusted.withColumn("_good", F.lit(True))), "doc_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"), place("doc_id", "text").alias("place"))
+    some = marked.where(F.col("good") | (F.col("place") < share)).select("text", "good", "place", (F.col("place") < share).alias("web"))
 
-    def sample(some: DataFrame, most: int) -> np.ndarray:
-        n = some.count()
-        place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        got = _featured(some.where(place < most / max(1, n))).collect()
-        return np.array([r["x"] for r in sorted(got, key=lambda r: (r["doc_id"], r["x"]))]).reshape(-1, FEATURES)
+    def each(batches: Iterator[list[list]]) -> Iterator[list]:
+        for texts, good, at, web in batches:
+            yield [good, web, at, [features(t).tobytes() for t in texts]]
 
-    plain = rows.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    good = sample(rows.join(own.where("quality = 1"), "doc_id", "left_semi"), positives)
-    web = sample(plain, unlabelled)
-    return fit(good, web if len(web) >= 200 else sample(rows, unlabelled), prior)
+    found = map_batches(some, ["text", "good", "place", "web"], each, "good boolean, web boolean, place double, x binary")
+    # A repeated id can stand for many rows; the bounds hold for rows.
+    top = lambda c, most: [r["x"] for r in found.where(c).orderBy("place", "x").limit(most).collect()]
+    p, u = (np.array([np.frombuffer(x, np.float32) for x in top(c, most)], np.float64).reshape(-1, FEATURES) for c, most in (("good", positives), ("web", unlabelled)))
+    return fit(p, u, prior_of(p, u))
 
 
-def _featured(docs: DataFrame) -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [features(t) for t in batch["text"]]})
+def _scores(model: Model):
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(predict(model, np.array([features(t) for t in texts], np.float64).reshape(-1, FEATURES)))
 
-    return in_small_batches(docs).select("doc_id", "text").mapInPandas(each, "doc_id long, x array<double>")
+    return score
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The given columns, score (0 to 1) and predicted (1 if the score reaches the threshold) for every whole text.
 
-    Null and empty texts get the score of an empty text. Columns named score or predicted are replaced.
+    Null and empty texts get the score of an empty text; repeated rows and null ids are rows like others, an empty
+    table gives no rows. Columns named score or predicted are replaced.
     """
+    found = in_small_batches(docs).withColumn("score", _scores(model)("text"))
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(predict(model, np.array([features(t) for t in texts]).reshape(-1, FEATURES)))
 
-    scored_docs = in_small_batches(docs).withColumn("score", score("text"))
-    return scored_docs.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches the threshold; columns as given, whatever their names."""
+    return in_small_batches(docs).where(_scores(model)("text") >= threshold)

@@ -43,7 +43,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
-    return chat.preferences(turns, chat.neighbour_pairs(turns))
+    return chat.preferences(chat.swapped_answers(turns))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,8 +65,8 @@ class Ends:
         return lows, highs
 
 
-def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int, summary_rows: int = SUMMARY_ROWS) -> tuple[int, list[int]]:
-    """The smallest capacity with which the ordered groups fit into the shards, and the cuts (ends) it gives.
+def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int, summary_rows: int = SUMMARY_ROWS, capacity: int | None = None) -> tuple[int, list[int]]:
+    """The smallest capacity with which the ordered groups fit into the shards, and the cuts (ends) it gives; or the cuts of a given one.
 
     Binary search over capacities with a greedy check of each. The driver holds a summary of the ends, not
     the ends: first equal buckets over the whole range. The bounds that they give leave a small range of
@@ -75,7 +75,7 @@ def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int, summa
     """
     if total == 0:
         return 0, [0] * shards
-    low, high = max(largest, -(-total // shards)), -(-total // shards) + largest
+    low, high = (max(largest, -(-total // shards)), -(-total // shards) + largest) if capacity is None else (capacity, capacity)
     windows = [(0, total)]
     rows: list[tuple[int, int]] = []
     while True:
@@ -118,12 +118,37 @@ def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int, summa
                 windows.append(window)
 
 
+def even_cuts(groups: DataFrame, total: int, capacity: int, cuts: list[int], shards: int, summary_rows: int = SUMMARY_ROWS) -> list[int]:
+    """Cuts near to equal parts that keep every shard within the capacity (`cuts`: the greedy ones, the farthest that do).
+
+    Greedy filling leaves all slack to the last shards. The greedy cuts from the other end are the nearest ones
+    that do; between both, each cut has the ends around its equal part to choose from, and of all chains within
+    the capacity that with the least squared distance to equal parts is taken.
+    """
+    if total == 0 or shards == 1:
+        return cuts
+    back = groups.select((total - F.col("end") + F.col("bytes")).alias("end"))
+    nearest = [total - c for c in reversed(minimax_cuts(back, total, capacity, shards, summary_rows, capacity)[1][:-1])]
+    targets = [total * (k + 1) // shards for k in range(shards - 1)]
+    around = groups.agg(*(x for t in targets for x in (F.max(F.when(F.col("end") <= t, F.col("end"))), F.min(F.when(F.col("end") > t, F.col("end")))))).first()
+    best: dict[int, tuple[int, tuple[int, ...]]] = {0: (0, ())}
+    for k, t in enumerate(targets):
+        options = {x for x in (around[2 * k], around[2 * k + 1], nearest[k], cuts[k]) if x is not None and nearest[k] <= x <= cuts[k]}
+        best = {
+            x: min((cost + (x - t) ** 2, (*chain, x)) for at, (cost, chain) in best.items() if 0 <= x - at <= capacity)
+            for x in options
+            if any(0 <= x - at <= capacity for at in best)
+        }
+    return [*min(v for at, v in best.items() if total - at <= capacity)[1], total]
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, summary_rows: int = SUMMARY_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
     Law `bytes`: equal texts stay together, and the bytes of the fullest shard are the least possible. Groups
     over an equal share (fewer than there are shards) come first in order and have a shard each; the others
-    follow in order of their hash and are cut where the smallest feasible capacity says. Slots number a
+    follow in order of their hash; no shard of these exceeds the smallest feasible capacity, and within it they
+    are cut as near to equal parts as that allows. Slots number a
     shard's rows from 0 in salted parts, so a group that holds most rows is not numbered by one task.
     Empty tables give no rows; null texts are a group of their own. grown_shard is null under this law.
     """
@@ -141,7 +166,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERH
     rest = groups.where(~F.col("group").isin(large)) if large else groups
     rest = keep(with_ends(rest))
     largest = rest.agg(F.max("bytes")).first()[0] or 0
-    _, cuts = minimax_cuts(rest, left, largest, free, summary_rows)
+    capacity, cuts = minimax_cuts(rest, left, largest, free, summary_rows)
+    cuts = even_cuts(rest, left, capacity, cuts, free, summary_rows)
     inner = sorted(set(cuts[:-1]))
     starts = {r["end"]: r["group"] for r in rest.where(F.col("end").isin(inner)).collect()} if inner else {}
     # A shard begins after the group that ends at its cut; a cut at 0 or repeated leaves a shard empty.

@@ -147,36 +147,96 @@ def test_block_max_wand_loses_nothing(spark):
     index = next(decontamination.indexes(spark.createDataFrame(items, "item_id long, text string")))
     for seed in range(30):
         have = set(decontamination.words_of(prose(random.Random(seed).randint(5, 400), seed)))
-        terms = sorted(index.terms[w] for w in have if w in index.terms)
+        terms, every = sorted(index.terms[w] for w in have if w in index.terms), list(range(index.blocks))
         for least in (0.2, 0.4, 0.6):
             want = {i: s for i, own in weights.items() if (s := sum(x for w, x in own.items() if w in have)) >= least}
-            got = {index.ids[i]: s for i, s in index.wand(terms, least)}
+            got = {index.ids[i]: s for i, s in index.wand(terms, least, every)}
             assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
-            blocks = set(index.live_blocks(np.array(terms, np.int64), least).tolist())
-            assert {i // decontamination.BLOCK for i, k in enumerate(index.ids) if k in want} <= blocks
+    text = decontamination.words_of(" ".join(prose(60, k) for k in (41, 900, 77)) + " " + prose(25, 50) + " " + prose(100, 60))
+    for least in (0.2, 0.4, 0.6):
+        want = set()
+        for start in range(0, max(1, len(text) - index.stride), index.stride):
+            have = set(text[start : start + 2 * index.stride])
+            want |= {(start, i) for i, own in weights.items() if sum(x for w, x in own.items() if w in have) >= least}
+        assert {(s, index.ids[i]) for s, i, _ in index.search(text, least)} == want and want
 
 
 # --- 3, 8
 
 
-def test_languages_of_held_out_documents(spark, odd):
+def plain_kernel(a, b):
+    grams = [{t.lower()[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)} for t in (a, b)]
+    return len(grams[0] & grams[1]), len(grams[0])
+
+
+def test_kernels_equal_plain_sets(spark):
+    texts = ["the cat and the dog", "der Hund und die Katze", "日本語の文", "çà et là", ""] + [prose(30, k) for k in range(5)]
+    grams = langid.Grams(texts)
+    everything = {g for t in texts for n in (1, 2, 3) for g in (t.lower()[k : k + n] for k in range(len(t) - n + 1))}
+    assert grams.columns == len(everything)
+    p = grams.presence(texts)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            (both, na), (_, nb) = plain_kernel(a, b), plain_kernel(b, a)
+            assert abs(float(p[i] @ p[j]) - both / max(1, na * nb) ** 0.5) < 1e-4
+    assert np.allclose(langid.Numbered(np.array([3, 9]), 1 << 40)[np.array([0, 3, 9, 10])], [-1, 0, 1, -1])
+    few = langid.MOST_TABLE
+    try:
+        langid.MOST_TABLE = 1  # by search, with the same results
+        assert np.array_equal(langid.Grams(texts).presence(texts), p)
+    finally:
+        langid.MOST_TABLE = few
+    model = langid.fit(texts[:4], ["en", "de", "ja", "fr"])
+    kernel = np.array([[float(p[i] @ p[j]) for j in range(4)] for i in range(len(texts))])
+    assert np.allclose(langid.score(model, texts), kernel @ model.coefficients, atol=1e-3)
+    # Ridge regression in the span of the landmarks: the gradient of the weighted squared error and the penalty is null.
+    k, y = kernel[:4], 2 * np.eye(4)[[2, 1, 3, 0]] * 0 + np.where(np.array(model.languages)[None, :] == np.array(["en", "de", "ja", "fr"])[:, None], 1.0, -1.0)
+    assert np.allclose(k.T @ (4 * (k @ model.coefficients - y)) + 0.01 * 4 * k @ model.coefficients, 0, atol=1e-4)
+
+
+def test_languages_of_held_out_documents(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     truth = base.read(spark, sf, "documents").select("doc_id", "lang")
     got = queries.op3_language_id(spark, sf).join(truth, "doc_id").where("held_out and lang is not null")
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
     model = langid.fit(["the cat and the dog", "der hund und die katze"], ["en", "de"])
-    rows = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
-    assert rows[0]["lang_pred"] == rows[1]["lang_pred"] == rows[2]["lang_pred"] == "und"
-    assert all(0 <= r["score"] <= 1 for r in rows.values()) and len(rows) == 12
-    assert {r["lang_pred"] for r in langid.identify(odd, langid.fit([], [])).collect()} == {"und"}
+    clash = odd.selectExpr("*", "1 as lang_pred", "2 as _rank").unionByName(odd.selectExpr("*", "1 as lang_pred", "2 as _rank").where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = langid.identify(clash, model).collect()
+    assert len(rows) == 15 and all(0 <= r["score"] <= 1 for r in rows) and sum(r["doc_id"] is None for r in rows) == 3
+    assert {r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 2, None)} == {"und"} == {r["lang_pred"] for r in langid.identify(odd, langid.fit([], [])).collect()}
+    digits = spark.createDataFrame([(2**53 + 1, "½ ² ① 12"), (None, "日本"), (1, "a")], "doc_id long, text string")
+    assert [(r["doc_id"], r["lang_pred"]) for r in langid.identify(digits, model).collect()] == [(2**53 + 1, "und"), (None, "de"), (1, langid.identify(digits, model).where("doc_id = 1").first()["lang_pred"])]
+    assert langid.identify(none, model).count() == 0 and langid.learned(none, F.lit(True)).languages == []
 
 
-def test_quality_of_held_out_documents(spark, odd):
+def test_quality_of_held_out_documents(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     got = queries.op8_quality(spark, sf).join(base.read(spark, sf, "labels"), "doc_id").where("held_out")
     assert got.select(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
     nothing = np.zeros((0, quality.FEATURES))
-    assert all(abs(r["score"] - 0.7) < 1e-9 and r["predicted"] == 1 for r in quality.scored(odd, quality.fit(nothing, nothing, 0.7)).collect())
+    model = quality.fit(nothing, nothing, 0.7)
+    assert all(abs(r["score"] - 0.7) < 1e-9 and r["predicted"] == 1 for r in quality.scored(odd, model).collect())
+    kept = quality.accepted(odd.withColumn("doc_id", F.lit(None).cast("long")), model)
+    assert kept.count() == 12 and kept.columns == odd.columns and {r["score"] for r in kept.collect()} == {"clash"}
+    assert quality.scored(none, model).count() == quality.accepted(none, model).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert abs(quality.learned(odd, labels, F.lit(True)).prior - 0.5) < 1e-9
+
+
+def test_risk_and_prior():
+    r = np.random.default_rng(3)
+    p, u = r.normal(2, 1, 500), np.concatenate([r.normal(2, 1, 600), r.normal(-2, 1, 400)])
+    plain = lambda z, y: np.mean([math.log1p(math.exp(-y * x)) for x in z])
+    a, b = quality.risk(p, u, 0.6)
+    assert abs(a - 0.6 * plain(p, 1)) < 1e-9 and abs(b - (plain(u, -1) - 0.6 * plain(p, -1))) < 1e-9
+    assert 0.55 < quality.estimated_prior(p, u) < 0.72 and quality.estimated_prior(p, p) > 0.95
+    # Steps lower the non-negative risk of the model below that of the constant one, and no gradient is left.
+    x, w = np.zeros((500, quality.FEATURES)), np.zeros((1000, quality.FEATURES))
+    x[:, 1], w[:, 1] = p, u
+    model = quality.fit(x, w, 0.6)
+    out = lambda z: np.log(quality.predict(model, z) / (1 - quality.predict(model, z)))
+    assert sum(quality.risk(out(x), out(w), 0.6)) < 0.9 * sum(quality.risk(np.full(500, 0.4), np.full(1000, 0.4), 0.6))
+    assert ((quality.predict(model, w) > 0.5) == (np.arange(1000) < 600)).mean() > 0.93
 
 
 # --- 4
@@ -204,6 +264,10 @@ def test_minimax_cuts_equal_a_plain_search(spark, summary_rows):
     ends = sharding.with_ends(groups).cache()
     capacity, cuts = sharding.minimax_cuts(ends, sum(sizes), max(sizes), 7, summary_rows)
     assert capacity == smallest_capacity(ordered, 7) and cuts[-1] == sum(sizes)
+    even = sharding.even_cuts(ends, sum(sizes), capacity, cuts, 7, summary_rows)
+    parts = [b - a for a, b in zip([0, *even], even)]
+    assert set(even) <= {sum(ordered[: k + 1]) for k in range(len(ordered))} and max(parts) <= capacity and len(parts) == 7
+    assert max(parts) - min(parts) < max(sizes) + 1 and min(parts) >= sum(sizes) / 7 - max(sizes)
 
 
 def test_shards_keep_copies_together(spark, docs, odd, none):
@@ -293,16 +357,33 @@ def test_components_of_chains_and_stars(spark):
 # --- 6
 
 
-def test_preferences(spark):
+def test_preferences_of_given_pairs(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", None), (2, 0, None, "only"), (4, 0, "user", "s"), (5, 0, "user", "s")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("side", F.lit("clash"))
-    got = {r["pair_id"]: r for r in chat.preferences(turns, chat.neighbour_pairs(turns)).collect()}
+    pairs = spark.createDataFrame([(k // 2, k, "rejected" if k % 2 else "chosen") for k in range(6)], "pair_id long, conv_id long, side string")
+    got = {r["pair_id"]: r for r in chat.preferences(chat.of_pairs(turns, pairs)).collect()}
     assert got[0]["prompt"] == "<|user|>\nq<|end|>\n" and got[0]["n_common"] == 1
     a, b = map(int, got[0]["chosen_spans"].split("-"))
     assert got[0]["chosen"][a:b] == "good<|end|>\n" and got[0]["rejected"].endswith("<|user|>\n<|end|>\n")
     assert got[1]["n_common"] == 0 and got[1]["chosen"] == "<||>\nonly<|end|>\n" and got[1]["rejected"] == ""
     assert got[2]["chosen"] == got[2]["rejected"] == "" and got[2]["n_common"] == 1
-    assert chat.preferences(turns.where("false"), chat.neighbour_pairs(turns.where("false"))).count() == 0
+    assert chat.preferences(chat.of_pairs(turns.where("false"), pairs)).count() == 0
+
+
+def test_preferences_against_another_answer(spark):
+    rows = [(6, 0, "user", "q"), (6, 1, "assistant", "a"), (6, 2, "user", "more"), (6, 3, "assistant", "six"), (6, 4, "user", "thanks"), (7, 0, "assistant", "seven"), (7, 0, "assistant", "seven")]
+    rows += [(-1, 0, "user", "m"), (-1, 1, "assistant", "minus one"), (-2, 0, "user", "n"), (-2, 1, "assistant", None), (1, 0, "user", "no answer"), (12, 0, "user", ""), (12, 1, "assistant", "x"), (None, 0, "user", "lost")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' as side", "0 as pair_id", "1 as at")
+    got = {r["pair_id"]: r for r in chat.preferences(chat.swapped_answers(turns)).collect()}
+    end = "<|end|>\n"
+    assert set(got) == {6, 7, -1, -2, 1, 12}
+    assert got[6]["n_common"] == 3 and got[6]["chosen"] == f"<|assistant|>\nsix{end}<|user|>\nthanks{end}" and got[6]["rejected"] == f"<|assistant|>\nseven{end}"
+    assert got[7]["n_common"] == 0 and got[7]["rejected"] == f"<|assistant|>\nsix{end}"
+    assert got[-1]["prompt"] == f"<|user|>\nm{end}" and got[-1]["rejected"] == f"<|assistant|>\n{end}" and got[-2]["rejected"] == f"<|assistant|>\nminus one{end}"
+    assert got[1]["n_common"] == 1 and got[1]["chosen"] == got[1]["rejected"] == "" and got[12]["rejected"] == "" and got[12]["n_common"] == 1
+    assert chat.preferences(chat.swapped_answers(turns.where("false"))).count() == 0
+    whole = queries.op6_chat_preferences(spark, "/root/testdata/sf0.01")
+    assert whole.where("n_common > 0 and prompt <> '' and rejected <> ''").count() > 0.9 * whole.count()
 
 
 # --- 7
