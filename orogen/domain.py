@@ -16,8 +16,8 @@ select event_id as sequence, {tick} as tick, 's' || cast(user_id % 4 as string)
   case when user_id % 3 = 0 then 'p' || cast(user_id as string) end as plate_id,
   case when user_id % 3 = 1 then 'b' || cast(user_id as string) end as boundary_id,
   case when user_id % 3 = 2 then 'j' || cast(user_id as string) end as junction_id,
-  case when user_id % 3 = 1 and event_type in ('signup', 'error') then 'p' || cast(3 * ((3 * user_id) % 4 + 4 * (event_id % 12)) as string) end as plate_id_left,
-  case when user_id % 3 = 1 and event_type in ('signup', 'error') then 'p' || cast(3 * ((3 * user_id) % 4 + 4 * ((event_id + 5) % 12)) as string) end as plate_id_right,
+  case when user_id % 3 = 1 and event_type in ('signup', 'error') then 'p' || cast(3 * ((3 * user_id) % 4 + 4 * (event_id % (case when event_id % 3 = 0 then 12 else 2 end))) as string) end as plate_id_left,
+  case when user_id % 3 = 1 and event_type in ('signup', 'error') then 'p' || cast(3 * ((3 * user_id) % 4 + 4 * ((event_id + 5) % (case when event_id % 3 = 0 then 12 else 2 end))) as string) end as plate_id_right,
   case when user_id % 3 = 1 and event_type in ('signup', 'error', 'click')
        then case cast(floor(value) as bigint) % 3 when 0 then 'Divergent' when 1 then 'Convergent' else 'Transform' end end as boundary_type,
   case when user_id % 3 = 1 and event_type in ('signup', 'error', 'view') then event_id % 360 end as geometry_seed,

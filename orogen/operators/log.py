@@ -8,20 +8,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import content_hash
+from .earlier import bucket_of, with_earlier, with_place
 
 ZERO_HASH = "0" * 64
 PAYLOAD = ["plate_id", "boundary_id", "junction_id", "plate_id_left", "plate_id_right", "boundary_type", "geometry", "boundary_ids", "location", "reason"]
 
 
-def _by_sequence():
-    return Window.partitionBy("stream_key").orderBy("sequence")
+def _earlier(events: DataFrame, name: str, column: str, kind: str = "last") -> DataFrame:
+    return with_earlier(events, ["stream_key"], ["sequence"], bucket_of("sequence"), name, F.col(column), kind)
 
 
-def read_events(spark: SparkSession, path: str, schema, stream: str | None = None, from_sequence: int = 0) -> DataFrame:
-    """Scan a log that is partitioned by stream_key; both filters reach the files."""
+def read_events(spark: SparkSession, path: str, schema, stream: str | None = None, from_sequence: int = 0, check_links: bool = False) -> DataFrame:
+    """Scan a log that is partitioned by stream_key; both filters reach the files.
+
+    With check_links every row (columns previous_hash, hash) gets linked: whether it names the hash of the row
+    before it; the first one that is read is taken as it is.
+    """
     log = spark.read.schema(schema).parquet(path).where(F.col("sequence") >= from_sequence)
-    return log.where(F.col("stream_key") == stream) if stream is not None else log
+    log = log.where(F.col("stream_key") == stream) if stream is not None else log
+    return with_links(log) if check_links else log
+
+
+def with_links(events: DataFrame) -> DataFrame:
+    return _earlier(events, "_before", "hash").withColumn("linked", F.coalesce(F.col("previous_hash") == F.col("_before"), F.lit(True))).drop("_before")
 
 
 def at_tick(events: DataFrame, tick: int) -> DataFrame:
@@ -54,21 +63,26 @@ def counts(events: DataFrame, width: int) -> DataFrame:
 
 def tick_decreases(events: DataFrame) -> DataFrame:
     """Rows whose tick is less than that of the sequence before."""
-    return events.withColumn("previous_tick", F.lag("tick").over(_by_sequence())).where("tick < previous_tick")
+    return _earlier(events, "previous_tick", "tick").where("tick < previous_tick")
 
 
 def late(events: DataFrame) -> DataFrame:
     """Rows whose tick is less than some tick before in sequence."""
-    before = _by_sequence().rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("greatest_tick", F.max("tick").over(before)).where("tick < greatest_tick")
+    return _earlier(events, "greatest_tick", "tick", "max").where("tick < greatest_tick")
 
 
 def capabilities(events: DataFrame) -> DataFrame:
     """Whether a stream's ticks never decrease, computed from the rows."""
-    rows = events.withColumn("previous", F.lag("tick").over(_by_sequence()))
+    rows = _earlier(events, "previous", "tick")
     return rows.groupBy("stream_key").agg(F.bool_and(F.coalesce(F.col("tick") >= F.col("previous"), F.lit(True))).alias("is_monotone"), F.count(F.lit(1)).alias("n"))
 
 
+def is_sorted(rows: DataFrame, by: str, order: str, column: str) -> DataFrame:
+    """Whether a column rises strictly with (order, column) in each group: columns `by`, sorted."""
+    seen = with_earlier(rows, [by], [order, column], bucket_of(order), "_before", F.col(column))
+    return seen.groupBy(by).agg(F.bool_and(F.coalesce(F.col(column) > F.col("_before"), F.lit(True))).alias("sorted"))
+
+
 def checked_append(new: DataFrame, path: str, expected_head: int | None, tick_policy: str = "Allow") -> None:
     """Append one stream's batch: not empty, sequences strictly increasing after the expected head, ticks by policy."""
     spark = new.sparkSession
@@ -93,8 +107,9 @@ def checked_append(new: DataFrame, path: str, expected_head: int | None, tick_po
 
 def assign_sequences(plans: DataFrame, head: int = -1) -> DataFrame:
     """Sequence after the head in order of (kind, order_key, asset) within each stream."""
-    w = Window.partitionBy("stream_key").orderBy("kind", "order_key", "asset")
-    return plans.withColumn("sequence", F.lit(head) + F.row_number().over(w))
+    number = F.col("order_key") if dict(plans.dtypes)["order_key"] in ("int", "bigint") else None
+    buckets = [F.col("kind"), F.substring(F.col("order_key").cast("string"), 1, 4) if number is None else bucket_of("order_key")]
+    return with_place(plans, ["stream_key"], ["order_key", "asset"], buckets, "_place").withColumn("sequence", F.lit(head) + F.col("_place")).drop("_place")
 
 
 def payload_text() -> Column:
@@ -132,7 +147,7 @@ def build_chain(events: DataFrame) -> DataFrame:
 def chain_faults(chained: DataFrame) -> DataFrame:
     """Rows (with columns previous_hash, hash, payload) that do not link to the row before or do not hash to their hash."""
     own = F.sha2(F.concat_ws("\n", F.lit("1"), F.col("tick").cast("string"), "previous_hash", "payload"), 256)
-    rows = chained.withColumn("_before", F.coalesce(F.lag("hash").over(_by_sequence()), F.lit(ZERO_HASH)))
+    rows = _earlier(chained, "_before", "hash").withColumn("_before", F.coalesce("_before", F.lit(ZERO_HASH)))
     faults = rows.withColumn("bad_link", F.col("previous_hash") != F.col("_before")).withColumn("bad_hash", F.col("hash") != own)
     return faults.where("bad_link or bad_hash").select("stream_key", "sequence", "bad_link", "bad_hash")
 
@@ -188,8 +203,8 @@ def motion_segments(events: DataFrame) -> DataFrame:
 
 def snapshot_index(events: DataFrame, tick: int) -> DataFrame:
     """For a snapshot of the events up to a tick: its last sequence, and the least tick that it left out before it."""
-    kept = F.max(F.when(F.col("tick") <= tick, F.col("sequence"))).over(Window.partitionBy("stream_key"))
-    rows = events.withColumn("last_sequence", kept)
+    kept = events.groupBy("stream_key").agg(F.max(F.when(F.col("tick") <= tick, F.col("sequence"))).alias("last_sequence"))
+    rows = events.select("stream_key", "sequence", "tick").join(kept, "stream_key")
     skipped = F.min(F.when((F.col("sequence") <= F.col("last_sequence")) & (F.col("tick") > tick), F.col("tick")))
     return rows.groupBy("stream_key", "last_sequence").agg(skipped.alias("min_skipped_tick")).withColumn("snapshot_tick", F.lit(tick).cast("long"))
 
@@ -304,6 +319,9 @@ def ingest_audit(events: DataFrame) -> DataFrame:
     """
     line = F.concat_ws(":", F.col("sequence").cast("string"), "event_id")
     bucket = F.floor(F.col("sequence") / 1000)
+    # Digests of digests: of 1,000 sequences, of 1,000 of these, then of all.
     parts = events.groupBy("stream_key", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", line.alias("t")))), lambda x: x["t"]), "\n"), 256).alias("d"))
-    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "\n"), 256)
-    return parts.groupBy("stream_key").agg(F.sum("n").alias("n_events"), F.min("first").alias("first_sequence"), F.max("last").alias("last_sequence"), digest.alias("digest"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "\n"), 256)
+    sums = [F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")]
+    wide = parts.groupBy("stream_key", F.floor(F.col("bucket") / 1000).alias("wide")).agg(*sums, joined.alias("d")).withColumnRenamed("wide", "bucket")
+    return wide.groupBy("stream_key").agg(F.sum("n").alias("n_events"), F.min("first").alias("first_sequence"), F.max("last").alias("last_sequence"), joined.alias("digest"))

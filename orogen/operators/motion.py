@@ -6,33 +6,41 @@ queries(plate_id, tick, ...); a rotation is a quaternion column q.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import space
 from ..tables import cut
+from .earlier import with_earlier
 
 _IDENTITY = (0.0, 0.0, 0.0, 1.0)
 
 
 def segment_at(ticks: DataFrame, segments: DataFrame) -> DataFrame:
-    """Add `s`, the segment that rules each (plate_id, tick), null before the first.
+    """Add `s`, the segment that rules each (plate_id, tick), null before the first, and whether it covers the tick.
 
     A segment covers tick_a < t <= tick_b; of several the latest tick_a, then the least tick_b, then the id.
-    Where none covers the tick, the one that ended last rules (greatest tick_b <= t, then latest tick_a, least
-    id). One aggregation over an equality join on plate; the range is a residual that is evaluated in the join.
+    Where none covers the tick, the one that ended last rules (greatest tick_b <= t, then latest tick_a, least id).
+    Covering segments meet their ticks by plate and bucket of ticks; a bucket is twice as wide as a segment on
+    average, so segments are sent to 1.5 buckets on average. Ended ones are looked back for, also by buckets.
     """
-    keyed = ticks.select("plate_id", "tick").distinct()
-    covers = (F.col("tick_a") < F.col("tick")) & (F.col("tick") <= F.col("tick_b"))
-    row = F.struct(*segments.columns)
-    inside = F.min_by(row, F.when(covers, F.struct((-F.col("tick_a")).alias("a"), F.col("tick_b").alias("b"), F.col("segment_id").alias("i"))))
-    ended = F.min_by(row, F.when(F.col("tick_b") <= F.col("tick"), F.struct((-F.col("tick_b")).alias("b"), (-F.col("tick_a")).alias("a"), F.col("segment_id").alias("i"))))
-    found = keyed.join(segments.where("tick_b > tick_a"), "plate_id").where("tick_a < tick").groupBy("plate_id", "tick").agg(inside.alias("i"), ended.alias("e"))
-    return ticks.join(found.select("plate_id", "tick", F.coalesce("i", "e").alias("s"), F.col("i").isNotNull().alias("covered")), ["plate_id", "tick"], "left")
+    keyed, valid = ticks.select("plate_id", "tick").distinct(), segments.where("tick_b > tick_a")
+    width = max(1, int(2 * (valid.agg(F.avg(F.col("tick_b") - F.col("tick_a"))).first()[0] or 1)))
+    row, at = F.struct(*segments.columns), lambda c: F.floor(c / width).cast("long")
+    dealt = valid.withColumn("_bucket", F.explode(F.sequence(at(F.col("tick_a") + 1), at(F.col("tick_b")))))
+    met = keyed.withColumn("_bucket", at(F.col("tick"))).join(dealt, ["plate_id", "_bucket"]).where("tick_a < tick and tick <= tick_b")
+    order = F.struct((-F.col("tick_a")).alias("a"), F.col("tick_b").alias("b"), F.col("segment_id").alias("i"))
+    inside = met.groupBy("plate_id", "tick").agg(F.min_by(row, order).alias("_inside"))
+    # Of those that end together one counts; an end comes before a query of the same tick.
+    ends = valid.groupBy("plate_id", F.col("tick_b").alias("tick")).agg(F.min_by(row, F.struct((-F.col("tick_a")).alias("a"), F.col("segment_id").alias("i"))).alias("_row"))
+    both = ends.select("plate_id", "tick", F.lit(0).alias("_kind"), "_row").unionByName(keyed.select("plate_id", "tick", F.lit(1).alias("_kind"), F.lit(None).cast(ends.schema["_row"].dataType).alias("_row")))
+    ended = with_earlier(both, ["plate_id"], ["tick", "_kind"], F.floor(F.col("tick") / (64 * width)).cast("long"), "_ended", F.col("_row")).where("_kind = 1")
+    found = ended.select("plate_id", "tick", "_ended").join(inside, ["plate_id", "tick"], "left")
+    return ticks.join(found.select("plate_id", "tick", F.coalesce("_inside", "_ended").alias("s"), F.col("_inside").isNotNull().alias("covered")), ["plate_id", "tick"], "left")
 
 
 def _part(s: Column, tick: Column) -> Column:
@@ -88,20 +96,40 @@ def active_link(ticks: DataFrame, links: DataFrame) -> DataFrame:
     return ticks.join(links, "frame").where(inside).groupBy("frame", "tick").agg(best).select("frame", "tick", F.col("l.base_frame").alias("base_frame"), F.col("l.q").alias("q"))
 
 
-def frame_chains(ticks: DataFrame, links: DataFrame, roots: list[str], depth: int = 32) -> DataFrame:
-    """frame, tick, q to the root and is_valid: links are followed until a root; missing links and cycles are invalid."""
-    state = ticks.select("frame", "tick", F.col("frame").alias("at"), space.quat(*_IDENTITY).alias("q"), F.lit(True).alias("is_valid"))
-    for _ in range(depth):
-        state = cut(state)
-        open_ = F.col("is_valid") & ~F.col("at").isin(roots)
-        if state.where(open_).isEmpty():
+def frame_chains(ticks: DataFrame, links: DataFrame, roots: list[str]) -> DataFrame:
+    """frame, tick, q to the root and is_valid: links are followed until a root; missing links and cycles are invalid.
+
+    The link of every frame that can be reached is found tick by tick first; then each (frame, tick) points at
+    its base, and pointers and products are doubled until none moves: about log2 of the longest chain rounds. A
+    chain that is still open when twice as many links were followed as there are frames goes round.
+    """
+    here, seen = ticks.select("frame", "tick").distinct(), None
+    found = None
+    while True:
+        rows = cut(active_link(here.where(~F.col("frame").isin(roots)), links))
+        found = rows if found is None else found.unionByName(rows)
+        seen = here if seen is None else cut(seen.unionByName(here))
+        here = cut(rows.select(F.col("base_frame").alias("frame"), "tick").distinct().join(seen, ["frame", "tick"], "left_anti"))
+        if here.isEmpty():
             break
-        l = active_link(state.where(open_).select(F.col("at").alias("frame"), "tick").distinct(), links).select(F.col("frame").alias("at"), "tick", "base_frame", F.col("q").alias("ql"), F.lit(True).alias("has"))
-        state = state.join(l, ["at", "tick"], "left").select(
-            "frame", "tick", F.coalesce("base_frame", "at").alias("at"),
-            F.when(F.col("has") & open_, space.compose(F.col("q"), F.col("ql"))).otherwise(F.col("q")).alias("q"),
-            (F.col("is_valid") & (F.col("has").isNotNull() | F.col("at").isin(roots))).alias("is_valid"))
-    return state.select("frame", "tick", "q", (F.col("is_valid") & F.col("at").isin(roots)).alias("is_valid"))
+    step = found.select("frame", "tick", F.col("base_frame").alias("to"), "q")
+    state = cut(
+        seen.join(step, ["frame", "tick"], "left").select(
+            "frame", "tick", F.when(~F.col("frame").isin(roots), F.col("to")).alias("to"), F.coalesce("q", space.quat(*_IDENTITY)).alias("q"), (F.col("to").isNotNull() | F.col("frame").isin(roots)).alias("is_valid")
+        )
+    )
+    rounds, most = 0, max(1, seen.select("frame").distinct().count())
+    while 2**rounds <= 2 * most and not state.where("to is not null").isEmpty():
+        other = state.select(F.col("frame").alias("to"), "tick", F.col("to").alias("to2"), F.col("q").alias("q2"), F.col("is_valid").alias("v2"))
+        state = cut(
+            state.join(other, ["to", "tick"], "left").select(
+                "frame", "tick", F.col("to2").alias("to"), F.when(F.col("q2").isNull(), F.col("q")).otherwise(space.compose(F.col("q"), F.col("q2"))).alias("q"),
+                (F.col("is_valid") & F.coalesce("v2", F.lit(True))).alias("is_valid"),
+            )
+        )
+        rounds += 1
+    own = ticks.select("frame", "tick").distinct()
+    return own.join(state, ["frame", "tick"]).select("frame", "tick", "q", (F.col("is_valid") & F.col("to").isNull()).alias("is_valid"))
 
 
 def frame_transform(pairs: DataFrame, chains: DataFrame) -> DataFrame:
@@ -130,36 +158,39 @@ def overlapping_links(links: DataFrame) -> DataFrame:
     return links.where("from_tick is not null").withColumn("next_from", F.lead("from_tick").over(w)).where("to_tick >= next_from")
 
 
-def motion_paths(seeds: DataFrame, omegas: DataFrame, step: int, direction: int = 1, most_steps: int = 10_000) -> DataFrame:
-    """seed_id, plate_id, tick, x, y, z, error of explicit Euler paths; the end point is not a sample.
+def motion_paths(seeds: DataFrame, omegas: DataFrame, step: int, direction: int = 1) -> DataFrame:
+    """seed_id, plate_id, tick, x, y, z, vx, vy, vz, error, known of explicit Euler paths; the end point is not a sample.
 
     seeds(seed_id, plate_id, x, y, z, start_tick, end_tick); omegas(plate_id, tick, omega). Each seed gets its
-    plate's velocities of its own range in one row (as many as it has steps, bounded by most_steps), so seeds of
-    a common plate are spread over tasks. Positions are renormalised; the error grows by 1e-4 a tick.
+    plate's velocities of its own range in one row (as many as it has steps), so seeds of a common plate are
+    spread over tasks. Where a plate has no velocity it stands still and the sample is not `known`; every path
+    runs to its end. Positions are renormalised; the error grows by 1e-4 a tick. v is the velocity at the sample.
     """
     low, high = F.least("start_tick", "end_tick"), F.greatest("start_tick", "end_tick")
-    own = seeds.join(omegas.select("plate_id", "tick", "omega"), "plate_id").where((F.col("tick") >= low) & (F.col("tick") <= high) & ((F.col("tick") - F.col("start_tick")) % step == 0))
-    w = F.struct("tick", F.col("omega.x").alias("x"), F.col("omega.y").alias("y"), F.col("omega.z").alias("z"))
-    rows = own.groupBy("seed_id", "plate_id", "x", "y", "z", "start_tick", "end_tick").agg(F.collect_list(w).alias("w"))
+    at = omegas.select("plate_id", "tick", F.struct("tick", F.col("omega.x").alias("x"), F.col("omega.y").alias("y"), F.col("omega.z").alias("z")).alias("_w"))
+    own = seeds.join(at, "plate_id", "left").withColumn("_w", F.when((F.col("tick") >= low) & (F.col("tick") <= high) & ((F.col("tick") - F.col("start_tick")) % step == 0), F.col("_w")))
+    rows = own.groupBy("seed_id", "plate_id", "x", "y", "z", "start_tick", "end_tick").agg(F.collect_list("_w").alias("w"))
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["seed_id", "plate_id", "tick", "x", "y", "z", "vx", "vy", "vz", "error", "known"]
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                table = {d["tick"]: np.array([d["x"], d["y"], d["z"]]) for d in r.w}
-                p, t, error = np.array([r.x, r.y, r.z]), r.start_tick, 0.0
-                out.append((r.seed_id, r.plate_id, t, *p, error))
-                for _ in range(most_steps):
+                table = {d["tick"]: (d["x"], d["y"], d["z"]) for d in r.w}
+                x, y, z, t, error = r.x, r.y, r.z, r.start_tick, 0.0
+                while True:
+                    a, b, c = table.get(t, (0.0, 0.0, 0.0))
+                    v = (b * z - c * y, c * x - a * z, a * y - b * x)
+                    out.append((r.seed_id, r.plate_id, t, x, y, z, *v, error, t in table))
                     dt = direction * step
-                    if (t + dt - r.end_tick) * direction >= 0 or t not in table:
+                    if (t + dt - r.end_tick) * direction >= 0:
                         break
-                    p = p + np.cross(table[t], p) * dt
-                    p = p / (np.linalg.norm(p) or 1.0)
-                    t, error = t + dt, error + 1e-4 * abs(dt)
-                    out.append((r.seed_id, r.plate_id, t, *p, error))
-            yield pd.DataFrame(out, columns=["seed_id", "plate_id", "tick", "x", "y", "z", "error"])
+                    x, y, z = x + v[0] * dt, y + v[1] * dt, z + v[2] * dt
+                    n = math.sqrt(x * x + y * y + z * z) or 1.0
+                    x, y, z, t, error = x / n, y / n, z / n, t + dt, error + 1e-4 * abs(dt)
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(paths, "seed_id long, plate_id long, tick long, x double, y double, z double, error double")
+    return rows.mapInPandas(paths, "seed_id long, plate_id long, tick long, x double, y double, z double, vx double, vy double, vz double, error double, known boolean")
 
 
 def accumulated_opening(samples: DataFrame, rate: Column) -> DataFrame:
@@ -168,9 +199,31 @@ def accumulated_opening(samples: DataFrame, rate: Column) -> DataFrame:
     return samples.withColumn("opening", F.sum(rate * F.abs(F.col("tick") - F.coalesce(F.lag("tick").over(w), F.col("tick")))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def flowlines(seeds: DataFrame, omegas: DataFrame, step: int, model: str = "Uniform") -> DataFrame:
-    """Paths of seeds that lie on a boundary, with the spreading rate (5.0 for Uniform, else 0) and the opening so far."""
-    return accumulated_opening(motion_paths(seeds, omegas, step).withColumn("rate", F.lit(5.0 if model == "Uniform" else 0.0)), F.col("rate"))
+#: Fixed value: the rate of the model `Uniform`; other models have none.
+UNIFORM_RATE = 5.0
+
+
+def flowlines(seeds: DataFrame, omegas: DataFrame, step: int, model: str = "Uniform", direction: int = 1) -> DataFrame:
+    """Paths of seeds that lie on a boundary, with the spreading rate of the model and the opening so far."""
+    rate = F.lit(UNIFORM_RATE if model == "Uniform" else 0.0)
+    return accumulated_opening(motion_paths(seeds, omegas, step, direction).withColumn("rate", rate), F.col("rate"))
+
+
+def flowline_bundle(samples: DataFrame, boundaries: DataFrame, omegas: DataFrame, start: int, end: int, step: int, model: str = "Uniform") -> DataFrame:
+    """Flowlines of both sides of boundaries: boundary_id, sample, side and the columns of flowlines() but seed_id.
+
+    samples(boundary_id, sample, p), such as those of sample_by_spacing(); boundaries(boundary_id, plate_left, plate_right).
+    """
+    sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("plate_left").alias("plate_id")), F.struct(F.lit("right").alias("side"), F.col("plate_right").alias("plate_id")))).alias("s")
+    rows = samples.select("boundary_id", "sample", "p").join(boundaries.select("boundary_id", "plate_left", "plate_right"), "boundary_id").select("boundary_id", "sample", "p", sides).select("boundary_id", "sample", "p", "s.*")
+    named = cut(rows.withColumn("seed_id", F.monotonically_increasing_id()))
+    seeds = named.select("seed_id", "plate_id", "p.*").withColumns({"start_tick": F.lit(start).cast("long"), "end_tick": F.lit(end).cast("long")})
+    return flowlines(seeds, omegas, step, model, 1 if end >= start else -1).join(named.select("seed_id", "boundary_id", "sample", "side"), "seed_id").drop("seed_id")
+
+
+def kept_samples(samples: DataFrame, keep: Column, **metadata: Column) -> DataFrame:
+    """A trajectory sampler: the samples that a condition keeps, with columns of metadata about them."""
+    return samples.where(keep).withColumns(metadata)
 
 
 def velocity_in_frame(points: DataFrame, omegas: DataFrame, anchor: int | None = None) -> DataFrame:

@@ -20,7 +20,11 @@ def sample_along(vertices: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("boundary_id").orderBy("pos")
     arcs = arc_lengths(vertices).withColumn("total", F.max("arc").over(Window.partitionBy("boundary_id")))
     legs = arcs.withColumn("q", F.lead("p").over(w)).withColumn("arc1", F.lead("arc").over(w)).where("q is not null")
-    i = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample")
+    # The samples that can fall on a leg, one more at each side; the condition below decides.
+    step = F.col("total") / (n - 1)
+    low = F.when(F.col("total") > 0, F.greatest(F.floor(F.col("arc") / step) - 1, F.lit(0))).otherwise(F.lit(0))
+    high = F.when(F.col("total") > 0, F.least(F.floor(F.col("arc1") / step) + 1, F.lit(n - 1))).otherwise(F.lit(n - 1))
+    i = F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("sample")
     spread = legs.select("*", i).withColumn("s", F.col("sample") * F.col("total") / (n - 1))
     first = F.col("arc") == 0
     on = spread.where(((F.col("s") > F.col("arc")) | (first & (F.col("sample") == 0))) & ((F.col("s") <= F.col("arc1") + 1e-15)))
@@ -60,8 +64,9 @@ def boundary_velocities(samples: DataFrame, boundaries: DataFrame, omegas: DataF
 
 
 def velocity_profile(samples: DataFrame) -> DataFrame:
-    least = F.min(F.struct("normal_rate", "sample")).alias("lo")
-    most = F.min(F.struct((-F.col("normal_rate")).alias("m"), "sample")).alias("hi")
+    """Extremes with the first sample that has them (rates that are equal to 1e-9 tie), and means."""
+    least = F.min(F.struct(F.round("normal_rate", 9).alias("r"), "sample", "normal_rate")).alias("lo")
+    most = F.min(F.struct((-F.round("normal_rate", 9)).alias("r"), "sample", (-F.col("normal_rate")).alias("m"))).alias("hi")
     s = samples.groupBy("boundary_id").agg(F.count(F.lit(1)).alias("n"), least, most, F.avg("normal_rate").alias("mean_normal"), F.avg(F.abs("tangential_rate")).alias("mean_slip"))
     return s.select("boundary_id", "n", F.col("lo.normal_rate").alias("min_normal"), (-F.col("hi.m")).alias("max_normal"), F.col("lo.sample").alias("min_sample"), F.col("hi.sample").alias("max_sample"), "mean_normal", "mean_slip")
 

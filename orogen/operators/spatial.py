@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import space
+from ..tables import cut
 
 
 def candidates(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
@@ -81,23 +82,39 @@ def arc_distance(p: Column, a: Column, b: Column) -> Column:
 
 
 def nearest_boundary(points: DataFrame, boundaries: DataFrame, reach_deg: float = 5.0) -> DataFrame:
-    """point_id, boundary_id, degrees: the nearest boundary within the reach (columns point_id, lon, lat; lon0, lat0, lon1, lat1).
+    """point_id, boundary_id, degrees: the nearest boundary of each point (columns point_id, lon, lat; lon0, lat0, lon1, lat1).
+
+    Points that have none within the reach are looked up again with twice the reach, up to the whole sphere.
+    Distances that are equal to 1e-9 degrees go to the least id. No boundaries give no rows.
+    """
+    found, left, reach = None, points.select("point_id", "lon", "lat"), reach_deg
+    while True:
+        some = cut(within_reach(left, boundaries, reach))
+        found = some if found is None else found.unionByName(some)
+        left = cut(left.join(some.select("point_id"), "point_id", "left_anti"))
+        if reach >= 180 or left.isEmpty():
+            return found
+        reach = min(180.0, 2 * reach)
+
+
+def within_reach(points: DataFrame, boundaries: DataFrame, reach_deg: float) -> DataFrame:
+    """nearest_boundary() of the points that have one within the reach.
 
     Segments are dealt to the buckets of their boxes widened by the reach (by latitude in longitude, up to
     all the way round near the poles); points have one bucket each. Longitudes are wrapped.
     """
-    size = reach_deg
-    cols = int(360 / size)
+    cols = max(1, int(360 / reach_deg))
+    size = 360 / cols
     top = F.least(F.greatest(F.abs("lat0"), F.abs("lat1")) + reach_deg, F.lit(89.0))
     wide = F.least(reach_deg / F.cos(F.radians(top)), F.lit(180.0))
     low = F.floor((F.least("lon0", "lon1") - wide + 180) / size).cast("int")
     high = F.least(F.floor((F.greatest("lon0", "lon1") + wide + 180) / size).cast("int"), low + cols - 1)
     dealt = boundaries.withColumn("_bx", F.explode(F.sequence(low, high))).withColumn("_bx", F.pmod("_bx", F.lit(cols)))
-    y = lambda c: F.floor((c + 90) / size).cast("int")
+    y = lambda c: F.floor((F.least(F.greatest(c, F.lit(-90.0)), F.lit(90.0)) + 90) / size).cast("int")
     dealt = dealt.withColumn("_by", F.explode(F.sequence(y(F.least("lat0", "lat1") - reach_deg), y(F.greatest("lat0", "lat1") + reach_deg))))
     unit = lambda la, lo: space.latlon_to_unit(F.col(la), F.col(lo))
     dealt = dealt.select("_bx", "_by", "boundary_id", unit("lat0", "lon0").alias("_a"), unit("lat1", "lon1").alias("_b"))
     at = points.select("point_id", unit("lat", "lon").alias("_p"), F.pmod(F.floor((F.col("lon") + 180) / size).cast("int"), F.lit(cols)).alias("_bx"), y(F.col("lat")).alias("_by"))
     d = F.degrees(arc_distance(F.col("_p"), F.col("_a"), F.col("_b")))
     met = at.join(dealt, ["_bx", "_by"]).select("point_id", "boundary_id", d.alias("d")).where(F.col("d") <= reach_deg)
-    return met.groupBy("point_id").agg(F.min(F.struct("d", "boundary_id")).alias("m")).select("point_id", F.col("m.boundary_id").alias("boundary_id"), F.col("m.d").alias("degrees"))
+    return met.groupBy("point_id").agg(F.min(F.struct(F.round("d", 9).alias("r"), "boundary_id", "d")).alias("m")).select("point_id", F.col("m.boundary_id").alias("boundary_id"), F.col("m.d").alias("degrees"))

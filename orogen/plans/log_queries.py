@@ -10,7 +10,7 @@ from ..functions import ids
 from ..operators import log
 from ..registry import query
 
-T, N = 400, 6000
+T, N = 500, 6000
 FLAT = ["stream_key", "sequence", "tick", "event_id", "event_type", "plate_id", "boundary_id", "junction_id"]
 
 
@@ -166,11 +166,14 @@ def w3_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.build_chain(topology_events(spark, sf_dir))
 
 
-@query(sql("topology", "select 's0' as stream_key, cast(0 as bigint) as sequence, true as bad_link, true as bad_hash where false"))
+@query(sql("topology", """with f as (select stream_key, sequence, sequence % 97 = 5 as tampered, sequence % 89 = 7 as cut from topology)
+select stream_key, sequence, cut as bad_link, tampered or cut as bad_hash from f where tampered or cut"""))
 def w2_chain_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain with faults: some payloads are changed after it was built, some links point at no row."""
     events = topology_events(spark, sf_dir)
-    chained = log.build_chain(events).join(events.select("stream_key", "sequence", log.payload_text().alias("payload")), ["stream_key", "sequence"])
-    return log.chain_faults(chained)
+    payload = F.when(F.col("sequence") % 97 == 5, F.concat(log.payload_text(), F.lit("!"))).otherwise(log.payload_text())
+    chained = log.build_chain(events).join(events.select("stream_key", "sequence", payload.alias("payload")), ["stream_key", "sequence"])
+    return log.chain_faults(chained.withColumn("previous_hash", F.when(F.col("sequence") % 89 == 7, F.lit("cut")).otherwise(F.col("previous_hash"))))
 
 
 @query(_state("select * from p", 100_000))
@@ -192,8 +195,9 @@ def s8_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.usable_snapshots(index, 300)
 
 
-@query(sql("topology", """with d as (select stream_key, floor(sequence / 1000) as bucket, count(*) as n, min(sequence) as f, max(sequence) as l, sha256(string_agg(sequence || ':' || event_id, chr(10) order by sequence)) as d from topology group by all)
-select stream_key, sum(n)::bigint as n_events, min(f) as first_sequence, max(l) as last_sequence, sha256(string_agg(d, chr(10) order by bucket)) as digest from d group by stream_key"""))
+@query(sql("topology", """with d as (select stream_key, floor(sequence / 1000) as bucket, count(*) as n, min(sequence) as f, max(sequence) as l, sha256(string_agg(sequence || ':' || event_id, chr(10) order by sequence)) as d from topology group by all),
+e as (select stream_key, floor(bucket / 1000) as bucket, sum(n) as n, min(f) as f, max(l) as l, sha256(string_agg(d, chr(10) order by bucket)) as d from d group by stream_key, floor(bucket / 1000))
+select stream_key, sum(n)::bigint as n_events, min(f) as first_sequence, max(l) as last_sequence, sha256(string_agg(d, chr(10) order by bucket)) as digest from e group by stream_key"""))
 def s12_ingest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.ingest_audit(topology_events(spark, sf_dir))
 
@@ -237,9 +241,7 @@ def x8_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("topology", "select stream_key, bool_and(ok) as sorted from (select stream_key, coalesce(sequence > lag(sequence) over (partition by stream_key order by tick, sequence), true) as ok from topology) group by stream_key"))
 def o2_canonically_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("stream_key").orderBy("tick", "sequence")
-    rows = topology_events(spark, sf_dir).withColumn("ok", F.coalesce(F.col("sequence") > F.lag("sequence").over(w), F.lit(True)))
-    return rows.groupBy("stream_key").agg(F.bool_and("ok").alias("sorted"))
+    return log.is_sorted(topology_events(spark, sf_dir), "stream_key", "tick", "sequence")
 
 
 @query(sql("topology", f"select {', '.join(FLAT)} from topology where sequence > {N} order by sequence limit 50"))

@@ -12,7 +12,7 @@ from ..registry import query
 from ..tables import r6
 from .grid_queries import WORLD, cells
 from .motion_queries import _ONE_TICK, _at_57, _mul
-from .plate_queries import _grid_map
+from .plate_queries import _GRID, _grid_map
 from .space_queries import _RINGS, rings
 
 #: Both ends of each boundary as unit vectors a and b, with the angle w between them.
@@ -127,8 +127,7 @@ def w6_sample_by_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.sample_by_spacing(line, 0.03).select("boundary_id", "sample", *_xyz("p"))
 
 
-@query("""with n as (select count(*) // 40 as r from customer), a as (select c_custkey as k, c_custkey % 40 as i, c_custkey // 40 as j, r from customer, n where c_custkey < r * 40)
-select 2 * k as boundary_id, k as start_junction, k + 1 as end_junction from a where i < 39 union all select 2 * k + 1, k, k + 40 from a where j < r - 1""")
+@query(_GRID + "select id as boundary_id, s as start_junction, e as end_junction from b")
 def j14_match_boundary_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _grid_map(spark, sf_dir)
     b = m["boundaries"].select("boundary_id", "start", "end")

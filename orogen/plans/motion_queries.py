@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..domain import sql, table
 from ..functions import space
-from ..operators import log, motion
+from ..operators import log, motion, rates
 from ..registry import query
 from ..tables import r6
 
@@ -106,15 +106,60 @@ def a2_motion_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.motion_segments(one.unionByName(two)).select("segment_id", "plate_id", "angle")
 
 
-@query()
+_BASE = _ROTATIONS[: _ROTATIONS.index(_RULED[5:])].rstrip().rstrip(",")
+
+
+def _paths(seeds: str, last: int, more: str = "") -> str:
+    """SQL: explicit Euler steps of two ticks along the velocities of the seeds' plates, from tick 0 to before the last."""
+    return _BASE + f""",
+ax as (select b.x as qx, b.y as qy, b.z as qz, b.w as qw, t.tick, w.plate_id, an / (tick_b - tick_a) as rate, cos(el)*cos(az) as a, cos(el)*sin(az) as b, sin(el) as c
+  from whole w join base b using (segment_id) join (select unnest(range(0, {last}, 2)) as tick) t on w.tick_a <= t.tick and t.tick < w.tick_b),
+tw as (select *, 2*(qy*c - qz*b) as t1, 2*(qz*a - qx*c) as t2, 2*(qx*b - qy*a) as t3 from ax),
+om as (select plate_id, tick, rate*(a + qw*t1 + qy*t3 - qz*t2) as ox, rate*(b + qw*t2 + qz*t1 - qx*t3) as oy, rate*(c + qw*t3 + qx*t2 - qy*t1) as oz from tw),
+seed as ({seeds}),
+path as (select seed_id, plate_id, 0::bigint as tick, x, y, z, 0.0::double as error from seed
+  union all select seed_id, plate_id, tick + 2, x / n, y / n, z / n, error + 0.0002 from (select *, sqrt(x*x + y*y + z*z) as n from (
+    select p.seed_id, p.plate_id, p.tick, p.error, p.x + 2*(coalesce(oy, 0)*p.z - coalesce(oz, 0)*p.y) as x, p.y + 2*(coalesce(oz, 0)*p.x - coalesce(ox, 0)*p.z) as y, p.z + 2*(coalesce(ox, 0)*p.y - coalesce(oy, 0)*p.x) as z
+    from path p left join om o on o.plate_id = p.plate_id and o.tick = p.tick where p.tick + 2 < {last}))){more}
+"""
+
+
+def path_omegas(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
+    grid = table(spark, sf_dir, "plates").select("plate_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"), F.lit(2).cast("long"))).alias("tick"))
+    return motion.angular_velocities(grid, table(spark, sf_dir, "segments"))
+
+
+def _r4(c: str) -> F.Column:
+    return (F.round(c, 4) + F.lit(0.0)).alias(c)
+
+
+_ROUND = ", ".join(f"round({c}, 4) + 0.0 as {c}" for c in ("x", "y", "z", "error"))
+
+
+@query(sql("segments points", _paths("select point_id as seed_id, plate_id, cos(radians(lat))*cos(radians(lon)) as x, cos(radians(lat))*sin(radians(lon)) as y, sin(radians(lat)) as z from points where plate_id is not null", 30)
+  + f"select seed_id, p.tick, {_ROUND}, round(coalesce(oy, 0)*z - coalesce(oz, 0)*y, 6) + 0.0 as vx, round(coalesce(oz, 0)*x - coalesce(ox, 0)*z, 6) + 0.0 as vy, round(coalesce(ox, 0)*y - coalesce(oy, 0)*x, 6) + 0.0 as vz from path p left join om o on o.plate_id = p.plate_id and o.tick = p.tick"))
 def y7_motion_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "segments").where("tick_a < 40")
-    grid = table(spark, sf_dir, "plates").select("plate_id", F.explode(F.sequence(F.lit(0), F.lit(30), F.lit(2))).cast("long").alias("tick"))
-    omegas = motion.angular_velocities(grid, s)
     p = table(spark, sf_dir, "points").where("plate_id is not null")
     xyz = space.latlon_to_unit(F.col("lat"), F.col("lon"))
     seeds = p.select(F.col("point_id").alias("seed_id"), "plate_id", *(xyz[c].alias(c) for c in "xyz"), F.lit(0).cast("long").alias("start_tick"), F.lit(30).cast("long").alias("end_tick"))
-    return motion.flowlines(seeds, omegas, 2).select("seed_id", "tick", *(r6(F.col(c)).alias(c) for c in ("x", "y", "z", "error", "opening")))
+    found = motion.motion_paths(seeds, path_omegas(spark, sf_dir, 30), 2)
+    return found.select("seed_id", "tick", *(_r4(c) for c in ("x", "y", "z", "error")), *(r6(F.col(c)).alias(c) for c in ("vx", "vy", "vz")))
+
+
+_LINE_SEEDS = """select boundary_id * 1000 + sample * 2 + k as seed_id, boundary_id, sample, side, plate_id, ax + (bx-ax)*sample*0.05/ch as x, ay + (by_-ay)*sample*0.05/ch as y, az + (bz-az)*sample*0.05/ch as z from (
+  select *, unnest(range(0, cast(floor((ch + 1e-9) / 0.05) as bigint) + 1)) as sample from (select *, sqrt(power(bx-ax,2)+power(by_-ay,2)+power(bz-az,2)) as ch from (
+    select boundary_id, plate_left, plate_right, cos(radians(lat0))*cos(radians(lon0)) as ax, cos(radians(lat0))*sin(radians(lon0)) as ay, sin(radians(lat0)) as az,
+      cos(radians(lat1))*cos(radians(lon1)) as bx, cos(radians(lat1))*sin(radians(lon1)) as by_, sin(radians(lat1)) as bz from boundaries))), lateral (values (0, 'left', plate_left), (1, 'right', plate_right)) v(k, side, plate_id)"""
+
+
+@query(sql("segments boundaries", _paths(_LINE_SEEDS, 10) + f"select s.boundary_id, s.sample, s.side, p.tick, {_ROUND.replace('(', '(p.')}, p.tick * 5.0 as opening from path p join seed s using (seed_id)"))
+def y8_flowline_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flowlines of both sides of every boundary, from points every 0.05 along it."""
+    b = table(spark, sf_dir, "boundaries")
+    line = F.array(space.latlon_to_unit(F.col("lat0"), F.col("lon0")), space.latlon_to_unit(F.col("lat1"), F.col("lon1")))
+    samples = rates.sample_by_spacing(b.select("boundary_id", F.posexplode(line).alias("pos", "p")), 0.05)
+    found = motion.flowline_bundle(samples, b, path_omegas(spark, sf_dir, 10), 0, 10, 2)
+    return found.select("boundary_id", "sample", "side", "tick", *(_r4(c) for c in ("x", "y", "z", "error", "opening")))
 
 
 #: Frame links from parts: ten frames with a chain of bases each, ranges of ten ticks, some always valid.

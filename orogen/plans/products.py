@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 
@@ -11,14 +12,14 @@ from pyspark.sql import functions as F
 AUDIT = "product string, fingerprint string, source string, last_sequence long, generator string, version string, params string, created double, seconds double, reused boolean"
 
 
-def fingerprint(spark: SparkSession, source: str, last_sequence: int, generator: str, version: str, params: dict[str, str]) -> str:
+def fingerprint(source: str, last_sequence: int, generator: str, version: str, params: dict[str, str]) -> str:
     text = "\n".join([source, str(last_sequence), generator, version, *(f"{k}={params[k]}" for k in sorted(params))])
-    return spark.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def reuse_or_compute(spark: SparkSession, folder: str, product: str, source: str, last_sequence: int, generator: str, version: str, params: dict[str, str], make: Callable[[], DataFrame]) -> DataFrame:
     """The product of this fingerprint: read if it was written before, else computed and written. Each use adds an audit row."""
-    key = fingerprint(spark, source, last_sequence, generator, version, params)
+    key = fingerprint(source, last_sequence, generator, version, params)
     path, began, reused = f"{folder}/{product}/fingerprint={key}", time.time(), True
     try:
         found = spark.read.parquet(path)
@@ -34,16 +35,19 @@ def reuse_or_compute(spark: SparkSession, folder: str, product: str, source: str
 
 def retention_candidates(products: DataFrame, group: str, key: str, keep: int, sequence_age: int | None = None, tick_age: int | None = None) -> DataFrame:
     """All but each group's newest (sequence, then tick, then key) that are older than the ages given; null ages ask nothing."""
-    w = Window.partitionBy(group)
-    place = F.row_number().over(w.orderBy(F.desc("sequence"), F.desc("tick"), key))
-    rows = products.withColumn("_place", place).where(F.col("_place") > keep)
+    age = F.struct((-F.col("sequence")).alias("s"), (-F.col("tick")).alias("t"), F.col(key).alias("k"))
+    # Only the newest few of each group are ranked; all others are told by the last of these.
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("sequence"), F.desc("tick"), key))
+    newest_rows = products.withColumn("_place", place).where(F.col("_place") <= keep)
+    last = newest_rows.groupBy(group).agg(F.max(age).alias("_last"), F.count(F.lit(1)).alias("_kept")).where(F.col("_kept") == keep)
+    rows = products.join(last, group).where(age > F.col("_last")).drop("_last", "_kept") if keep > 0 else products
     newest = products.groupBy(group).agg(F.max("sequence").alias("_s"), F.max("tick").alias("_t"))
     old = F.lit(sequence_age is None and tick_age is None)
     if sequence_age is not None:
         old = old | (F.col("_s") - F.col("sequence") > sequence_age)
     if tick_age is not None:
         old = old | (F.col("_t") - F.col("tick") > tick_age)
-    return rows.join(newest, group).where(old).drop("_place", "_s", "_t")
+    return rows.join(newest, group).where(old).drop("_s", "_t")
 
 
 def stale_products(index: DataFrame, changes: DataFrame) -> DataFrame:

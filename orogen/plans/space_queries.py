@@ -11,14 +11,14 @@ from ..operators import rates, spatial
 from ..registry import query
 from ..tables import r6
 
-#: A box around each order's start, 6 by 4 degrees, for every fortieth order; every third of these is a hole.
-_RINGS = "rings as (select boundary_id as ring_id, plate_left as plate_id, boundary_id % 120 = 0 as is_hole, lon0 as w, lat0 as s, lon0 + 6 as e, lat0 + 4 as n from boundaries where boundary_id % 40 = 0)"
+#: A box around each order's start, 6 by 4 degrees; every third is a hole.
+_RINGS = "rings as (select boundary_id as ring_id, plate_left as plate_id, boundary_id % 3 = 0 as is_hole, lon0 as w, lat0 as s, lon0 + 6 as e, lat0 + 4 as n from boundaries)"
 
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "boundaries").where("boundary_id % 40 = 0")
+    b = table(spark, sf_dir, "boundaries")
     v = lambda dx, dy: F.struct((F.col("lon0") + dx).alias("x"), (F.col("lat0") + dy).alias("y"))
-    return b.select(F.col("boundary_id").alias("ring_id"), F.col("plate_left").alias("plate_id"), (F.col("boundary_id") % 120 == 0).alias("is_hole"), F.array(v(0, 0), v(6, 0), v(6, 4), v(0, 4)).alias("ring"))
+    return b.select(F.col("boundary_id").alias("ring_id"), F.col("plate_left").alias("plate_id"), (F.col("boundary_id") % 3 == 0).alias("is_hole"), F.array(v(0, 0), v(6, 0), v(6, 4), v(0, 4)).alias("ring"))
 
 
 _INSIDE = f"""with {_RINGS}, met as (select p.point_id, r.plate_id, count(*) filter (where not is_hole) as o, count(*) filter (where is_hole) as h from points p join rings r on p.lon > w and p.lon < e and p.lat > s and p.lat < n group by all),
@@ -31,13 +31,19 @@ def j3_assign_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.assign_plate(table(spark, sf_dir, "points"), rings(spark, sf_dir)).select("point_id", "plate_id")
 
 
-@query(sql("boundaries points", _INSIDE + "select p.point_id, min(i.plate_id) as plate, count(i.plate_id) as n_candidates, case count(i.plate_id) when 0 then 'Unassigned' when 1 then 'Certain' else 'Uncertain' end as confidence from points p left join inside i using (point_id) group by p.point_id"))
+@query(sql("boundaries points", _INSIDE + """select p.point_id, min(i.plate_id) as plate, count(i.plate_id) as n_candidates, case count(i.plate_id) when 0 then 'Unassigned' when 1 then 'Certain' else 'Uncertain' end as confidence from points p left join inside i using (point_id) group by p.point_id
+union all select -1 - ring_id, null, null, 'Boundary' from rings"""))
 def y5_plate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.plate_query(table(spark, sf_dir, "points"), rings(spark, sf_dir))
+    """All points, and the first corner of each ring: these lie on the boundary, whatever plates are around."""
+    r = rings(spark, sf_dir)
+    corners = r.select((-1 - F.col("ring_id")).alias("point_id"), F.col("ring")[0]["x"].alias("lon"), F.col("ring")[0]["y"].alias("lat"))
+    found = spatial.plate_query(table(spark, sf_dir, "points").select("point_id", "lon", "lat").unionByName(corners), r)
+    own = lambda c: F.when(F.col("point_id") >= 0, F.col(c)).alias(c)
+    return found.select("point_id", own("plate"), own("n_candidates"), "confidence")
 
 
 @query(sql("boundaries", f"""with {_RINGS}, h as (select ring_id as hole, w + 3 as x, s + 2 as y from rings where is_hole), o as (select * from rings where not is_hole)
-select hole, min(ring_id) as outer_ring from h left join o on x > w and x < e and y > s and y < n group by hole"""))
+select hole, min(ring_id) as outer_ring from h left join o on x >= w and x < e and y >= s and y < n group by hole"""))
 def j15_assign_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rings(spark, sf_dir)
     return spatial.assign_holes(r.where("not is_hole"), r.where("is_hole")).select("hole", F.col("outer").alias("outer_ring"))
@@ -91,7 +97,7 @@ def p10_slice_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.slice_plane(p, space.vec(1, 0, 0), space.vec(0, 0, 1), 0.8, 0.6).select("point_id", r6(F.col("u")).alias("u"), r6(F.col("v")).alias("v"))
 
 
-_SAMPLES = """with u as (select *, radians(lat0) as la, radians(lon0) as lo, radians(lat1) as lb, radians(lon1) as lp from boundaries where boundary_id % 5 = 1),
+_SAMPLES = """with u as (select *, radians(lat0) as la, radians(lon0) as lo, radians(lat1) as lb, radians(lon1) as lp from boundaries),
 xyz as (select *, cos(la)*cos(lo) as ax, cos(la)*sin(lo) as ay, sin(la) as az, cos(lb)*cos(lp) as bx, cos(lb)*sin(lp) as by_, sin(lb) as bz from u),
 g as (select *, atan2(sqrt(power(ay*bz-az*by_,2)+power(az*bx-ax*bz,2)+power(ax*by_-ay*bx,2)), ax*bx+ay*by_+az*bz) as w from xyz),
 s as (select g.*, k as sample, (sin((1-k/4.0)*w))/sin(w) as fa, sin(k/4.0*w)/sin(w) as fb from g, range(0, 5) r(k)),
@@ -104,7 +110,7 @@ rate as (select boundary_id, sample, x, y, z, sample / 4.0 * w as arc, vx*tx+vy*
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "boundaries").where("boundary_id % 5 = 1")
+    b = table(spark, sf_dir, "boundaries")
     line = F.array(space.latlon_to_unit(F.col("lat0"), F.col("lon0")), space.latlon_to_unit(F.col("lat1"), F.col("lon1")))
     return rates.sample_along(b.select("boundary_id", F.posexplode(line).alias("pos", "p")), 5)
 
@@ -129,9 +135,10 @@ def y9_boundary_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rate_samples(spark, sf_dir).select("boundary_id", "sample", "tangential_rate", "normal_rate"), "boundary_id", "sample")
 
 
-@query(sql("boundaries plates", _SAMPLES + """select boundary_id, count(*) as n, round(min(normal_rate), 6) + 0.0 as min_normal, round(max(normal_rate), 6) + 0.0 as max_normal, round(avg(normal_rate), 6) + 0.0 as mean_normal, round(avg(abs(tangential_rate)), 6) + 0.0 as mean_slip from rate group by boundary_id"""))
+@query(sql("boundaries plates", _SAMPLES + """select boundary_id, count(*) as n, round(min(normal_rate), 6) + 0.0 as min_normal, round(max(normal_rate), 6) + 0.0 as max_normal, round(avg(normal_rate), 6) + 0.0 as mean_normal, round(avg(abs(tangential_rate)), 6) + 0.0 as mean_slip,
+  cast(arg_min(sample, {'r': round(normal_rate, 9), 's': sample}) as integer) as min_sample, cast(arg_min(sample, {'r': -round(normal_rate, 9), 's': sample}) as integer) as max_sample from rate group by boundary_id"""))
 def a3_velocity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rates.velocity_profile(rate_samples(spark, sf_dir)).drop("min_sample", "max_sample"), "boundary_id", "n")
+    return _rounded(rates.velocity_profile(rate_samples(spark, sf_dir)), "boundary_id", "n", "min_sample", "max_sample")
 
 
 @query(sql("boundaries plates", _SAMPLES + """select boundary_id, round(min(normal_rate), 6) + 0.0 as min_normal_rate, round(max(normal_rate), 6) + 0.0 as max_normal_rate, round(avg(normal_rate), 6) + 0.0 as avg_normal_rate,
@@ -141,9 +148,10 @@ def a4_rate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rates.rate_statistics(rate_samples(spark, sf_dir)), "boundary_id")
 
 
-@query(sql("boundaries plates", _SAMPLES + """select boundary_id, round(avg(normal_rate), 6) + 0.0 as half_rate, round(2 * avg(normal_rate), 6) + 0.0 as full_rate, round(stddev_pop(normal_rate), 6) + 0.0 as deviation from rate where normal_rate > 0 group by boundary_id"""))
+@query(sql("boundaries plates", _SAMPLES + """select boundary_id, round(avg(normal_rate), 6) + 0.0 as half_rate, round(2 * avg(normal_rate), 6) + 0.0 as full_rate, round(stddev_pop(normal_rate), 6) + 0.0 as deviation, round(degrees(atan2(abs(avg(tangential_rate)), abs(avg(normal_rate)))), 4) + 0.0 as obliquity from rate where normal_rate > 0 group by boundary_id"""))
 def a5_spreading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rates.spreading(rate_samples(spark, sf_dir)).drop("obliquity"), "boundary_id")
+    found = rates.spreading(rate_samples(spark, sf_dir)).withColumn("obliquity", F.round("obliquity", 4))
+    return _rounded(found, "boundary_id")
 
 
 @query(sql("boundaries plates", _SAMPLES + """select boundary_id, round(max(-normal_rate), 6) + 0.0 as max_rate, round(avg(-normal_rate), 6) + 0.0 as mean_rate, round(arg_max(arc, sample) - arg_min(arc, sample), 6) + 0.0 as length, count(*) as n from rate where normal_rate < 0 group by boundary_id"""))
@@ -161,7 +169,7 @@ pt as (select point_id, cos(radians(lat))*cos(radians(lon)) as x, cos(radians(la
 n as (select *, sqrt(power(ay*bz-az*by_,2)+power(az*bx-ax*bz,2)+power(ax*by_-ay*bx,2)) as m, ay*bz-az*by_ as qx, az*bx-ax*bz as qy, ax*by_-ay*bx as qz from g),
 d as (select point_id, boundary_id, case when m > 0 and (qy*az-qz*ay)*x+(qz*ax-qx*az)*y+(qx*ay-qy*ax)*z >= 0 and (by_*qz-bz*qy)*x+(bz*qx-bx*qz)*y+(bx*qy-by_*qx)*z >= 0 then abs(asin((x*qx+y*qy+z*qz)/m))
   else least(acos(least(1.0, x*ax+y*ay+z*az)), acos(least(1.0, x*bx+y*by_+z*bz))) end as r from pt, n)
-select point_id, round(degrees(min(r)), 4) + 0.0 as degrees from d group by point_id having degrees(min(r)) <= 5"""))
+select point_id, arg_min(boundary_id, {'r': round(degrees(r), 9), 'b': boundary_id}) as boundary_id, round(degrees(min(r)), 4) + 0.0 as degrees from d group by point_id"""))
 def j16_nearest_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "boundaries").where("boundary_id % 5 = 1").select("boundary_id", "lon0", "lat0", "lon1", "lat1")
-    return spatial.nearest_boundary(table(spark, sf_dir, "points"), b).select("point_id", (F.round("degrees", 4) + 0.0).alias("degrees"))
+    b = table(spark, sf_dir, "boundaries").select("boundary_id", "lon0", "lat0", "lon1", "lat1")
+    return spatial.nearest_boundary(table(spark, sf_dir, "points"), b).select("point_id", "boundary_id", (F.round("degrees", 4) + 0.0).alias("degrees"))
