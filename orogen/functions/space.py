@@ -302,3 +302,40 @@ def obliquity_deg(tangential: Column, normal: Column) -> Column:
 
 def bounds_95(rate: Column, sigma: Column) -> tuple[Column, Column]:
     return rate - 1.96 * sigma, rate + 1.96 * sigma
+
+
+def segment_tangent(p: Column, q: Column) -> Column:
+    """The direction from p to q in the tangent plane of p; east where they are one point, or opposite."""
+    flat = let(vec_sub(q, p), lambda d: vec_sub(d, vec_scale(p, dot(d, p))))
+    return let(flat, lambda t: F.when(norm(t) > EPS, normalize(t)).otherwise(east(p)))
+
+
+def convergence_rate(normal: Column) -> Column:
+    return F.greatest(-normal, F.lit(0.0))
+
+
+def divergence_rate(normal: Column) -> Column:
+    return F.greatest(normal, F.lit(0.0))
+
+
+def bbox_from_center(lon: Column, lat: Column, half_lon: float, half_lat: float) -> Column:
+    """Struct of west, south, east, north; latitudes are clamped, longitudes are not wrapped."""
+    return F.struct((lon - half_lon).alias("west"), F.greatest(lat - half_lat, F.lit(-90.0)).alias("south"), (lon + half_lon).alias("east"), F.least(lat + half_lat, F.lit(90.0)).alias("north"))
+
+
+def bounds_in_common(a: list[Column], b: list[Column]) -> Column:
+    """The rectangle that two (west, south, east, north) share; null where they only touch or do not meet."""
+    w, s, e, n = F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3])
+    return F.when((w < e) & (s < n), F.struct(w.alias("west"), s.alias("south"), e.alias("east"), n.alias("north")))
+
+
+def ring_neighbours(ring: Column) -> Column:
+    """Each vertex of an open ring (at) with the one before and the one after it."""
+    n = F.size(ring)
+    return F.transform(ring, lambda p, i: F.struct(p.alias("at"), F.element_at(ring, F.when(i == 0, n).otherwise(i)).alias("before"), F.element_at(ring, ((i + 1) % n + 1).cast("int")).alias("after")))
+
+
+def double_order(x: Column) -> list[Column]:
+    """Keys of a total order: numbers as they are, minus zero before zero, NaN last (Spark has NaN last, and both zeros equal)."""
+    sign = F.when(x == 0, F.when(F.substring(x.cast("string"), 1, 1) == "-", 0).otherwise(1)).otherwise(0)
+    return [x, sign]

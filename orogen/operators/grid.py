@@ -5,7 +5,7 @@ velocity grid (j, i, ve, vn) of n_lat rows and n_lon columns that goes round; ce
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import space
@@ -16,25 +16,42 @@ def latitude(j: Column, n_lat: int) -> Column:
     return -90 + (j + 0.5) * 180.0 / n_lat
 
 
-def gradients(grid: DataFrame, fields: list[str], n_lat: int, n_lon: int) -> DataFrame:
-    """d_<field>_di (round the globe) and d_<field>_dj (one-sided at the edges), per radian of longitude and latitude."""
+def neighbours(grid: DataFrame, fields: list[str], n_lon: int, wraps: bool = True) -> DataFrame:
+    """Add <field>_east, _west, _north, _south of the cells beside each; null where there is none.
+
+    A sparse grid has cells without neighbours; on one that wraps, the last column's east is the first.
+    """
+    shifted = lambda dj, di, name: grid.select((F.col("j") - dj).alias("j"), (F.pmod(F.col("i") - di, F.lit(n_lon)) if wraps else F.col("i") - di).alias("i"), *(F.col(f).alias(f"{f}_{name}") for f in fields))
+    rows = grid
+    for dj, di, name in ((0, 1, "east"), (0, -1, "west"), (1, 0, "north"), (-1, 0, "south")):
+        rows = rows.join(shifted(dj, di, name), ["j", "i"], "left")
+    return rows
+
+
+def gradients(grid: DataFrame, fields: list[str], n_lat: int, n_lon: int, wraps: bool = True) -> DataFrame:
+    """d_<field>_di and d_<field>_dj, per radian of longitude and latitude.
+
+    Differences are one-sided at the edges: in latitude always, in longitude where the grid does not go round.
+    """
     row, col = Window.partitionBy("j").orderBy("i"), Window.partitionBy("i").orderBy("j")
     every = Window.partitionBy("j").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     dlon, dlat = 2 * 3.141592653589793 / n_lon, 3.141592653589793 / n_lat
+
+    def difference(f: str, w, step: float, first: Column | None, last: Column | None) -> Column:
+        after, before = F.coalesce(F.lead(f).over(w), *([first] if first is not None else [])), F.coalesce(F.lag(f).over(w), *([last] if last is not None else []))
+        steps = F.when(after.isNull() | before.isNull(), 1.0).otherwise(2.0)
+        return (F.coalesce(after, f) - F.coalesce(before, f)) / (steps * step)
+
     out = {}
     for f in fields:
-        after = F.coalesce(F.lead(f).over(row), F.first(f).over(every))
-        before = F.coalesce(F.lag(f).over(row), F.last(f).over(every))
-        out[f"d_{f}_di"] = (after - before) / (2 * dlon)
-        up, down = F.lead(f).over(col), F.lag(f).over(col)
-        steps = F.when(up.isNull() | down.isNull(), 1.0).otherwise(2.0)
-        out[f"d_{f}_dj"] = (F.coalesce(up, f) - F.coalesce(down, f)) / (steps * dlat)
+        out[f"d_{f}_di"] = difference(f, row, dlon, F.first(f).over(every) if wraps else None, F.last(f).over(every) if wraps else None)
+        out[f"d_{f}_dj"] = difference(f, col, dlat, None, None)
     return grid.withColumns(out)
 
 
-def strain_rate(grid: DataFrame, n_lat: int, n_lon: int) -> DataFrame:
+def strain_rate(grid: DataFrame, n_lat: int, n_lon: int, wraps: bool = True) -> DataFrame:
     """Eee, Enn, Een on the unit sphere with metric terms, and what follows from them: dilatation, vorticity, second invariant."""
-    g = gradients(grid, ["ve", "vn"], n_lat, n_lon)
+    g = gradients(grid, ["ve", "vn"], n_lat, n_lon, wraps)
     lat = F.radians(latitude(F.col("j"), n_lat))
     c, t = F.cos(lat), F.tan(lat)
     ee = F.col("d_ve_di") / c - F.col("vn") * t
@@ -152,3 +169,32 @@ def bounds_of(geo: list[Column], width: Column, height: Column) -> list[Column]:
     x = [geo[0] + geo[1] * i + geo[2] * j for i in (F.lit(0), width) for j in (F.lit(0), height)]
     y = [geo[3] + geo[4] * i + geo[5] * j for i in (F.lit(0), width) for j in (F.lit(0), height)]
     return [F.least(*x), F.least(*y), F.greatest(*x), F.greatest(*y)]
+
+
+def value_at(points: DataFrame, cells: DataFrame, width: int, height: int, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """Points (lon, lat) with the cell (r, c) that they are in, clamped to the raster's edge, and its values."""
+    west, south, east, north = bounds
+    clamped = lambda x, most: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(most)).cast("long")
+    at = points.withColumn("r", clamped((north - F.col("lat")) * height / (north - south), height - 1)).withColumn("c", clamped((F.col("lon") - west) * width / (east - west), width - 1))
+    return at.join(cells, ["r", "c"])
+
+
+def global_grid(spark: SparkSession, resolution: float, registration: str = "pixel") -> DataFrame:
+    """j, i, lat, lon of a global grid: centres of pixels, or gridlines with both poles (the last meridian is the first)."""
+    n_lon, n_lat, off = int(360 / resolution), int(180 / resolution), 0.5 if registration == "pixel" else 0.0
+    rows = n_lat + (registration != "pixel")
+    k = spark.range(rows * n_lon)
+    j, i = F.expr(f"id div {n_lon}"), F.col("id") % n_lon
+    return k.select(j.alias("j"), i.alias("i"), (-90 + (j + off) * resolution).alias("lat"), (-180 + (i + off) * resolution).alias("lon"))
+
+
+def sample_field(nodes: DataFrame, rings: DataFrame, omegas: DataFrame) -> DataFrame:
+    """Nodes (j, i, lat, lon) with plate_id, the velocity's parts east and north, and speed; null where no plate is.
+
+    Plates come from polygons, velocities from the plates' omegas.
+    """
+    named = nodes.withColumn("point_id", F.col("j") * 1_000_000 + F.col("i")).withColumn("plate_id", F.lit(None).cast("long"))
+    own = spatial.assign_plate(named, rings).join(omegas.select("plate_id", "omega"), "plate_id", "left")
+    p = space.latlon_to_unit(F.col("lat"), F.col("lon"))
+    rows = own.withColumn("p", p).withColumn("v", F.when(F.col("omega").isNotNull(), space.linear_velocity(F.col("omega"), F.col("p"))))
+    return rows.select("j", "i", "lat", "lon", "plate_id", space.dot(F.col("v"), space.east(F.col("p"))).alias("east"), space.dot(F.col("v"), space.north(F.col("p"))).alias("north"), space.norm(F.col("v")).alias("speed"))

@@ -7,7 +7,8 @@ queries(plate_id, tick, ...); a rotation is a quaternion column q.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -254,3 +255,77 @@ def segment_records(segments: DataFrame) -> DataFrame:
     """One flat JSON record a segment, for interchange: plate_id, segment_id, record."""
     fields = ["plate_id", "segment_id", "tick_a", "tick_b", "azimuth", "elevation", "angle"]
     return segments.select("plate_id", "segment_id", F.to_json(F.struct(*fields)).alias("record"))
+
+
+def with_plate(features: DataFrame) -> DataFrame:
+    return features.where(F.col("plate_id").isNotNull())
+
+
+def boundaries_as_features(boundaries: DataFrame) -> DataFrame:
+    """Active boundaries as features on their left plate."""
+    active = boundaries.where("not is_retired")
+    return active.withColumn("feature_id", F.concat(F.lit("boundary:"), F.col("boundary_id").cast("string"))).withColumn("plate_id", F.col("plate_left"))
+
+
+def canonical_order(rows: DataFrame, *ids: str) -> DataFrame:
+    """Ascending ids; for the sink only, as a sort moves all rows."""
+    return rows.orderBy(*ids)
+
+
+def plate_ticks(plates: DataFrame, ticks: DataFrame, most: int = 10_000) -> DataFrame:
+    """plate_id, tick: every plate at every different tick; up to `most` ticks, which are a stated list, are sent to the plates."""
+    found = [r["tick"] for r in ticks.select("tick").distinct().orderBy("tick").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} ticks: ask for ranges of them")
+    return plates.select("plate_id", F.explode(F.array(*(F.lit(t).cast("long") for t in found)) if found else F.array().cast("array<long>")).alias("tick"))
+
+
+@dataclass(frozen=True)
+class VelocityModel:
+    """Angular velocities of plates: a function from rows with plate_id and tick to these rows with omega."""
+
+    omegas: Callable[[DataFrame], DataFrame]
+
+    def absolute(self, ticks: DataFrame) -> DataFrame:
+        return self.omegas(ticks)
+
+    def relative(self, ticks: DataFrame) -> DataFrame:
+        """ticks(plate_id, against, tick): omega of the plate, and relative to the other one."""
+        other = self.omegas(ticks.select(F.col("against").alias("plate_id"), "tick").distinct()).select(F.col("plate_id").alias("against"), "tick", F.col("omega").alias("_other"))
+        return self.omegas(ticks).join(other, ["against", "tick"]).withColumn("relative", space.vec_sub(F.col("omega"), F.col("_other"))).drop("_other")
+
+
+_EXCHANGE = "id long, frame string, v struct<x:double,y:double,z:double>"
+
+
+def velocity_exchange(samples: DataFrame, key: str) -> DataFrame:
+    """One JSON record a sample (key, plate_id, v): its id, the name of its frame and the velocity's parts."""
+    frame = F.when(F.col("plate_id").isNull(), "mantle").otherwise(F.concat(F.lit("plate:"), F.col("plate_id").cast("string")))
+    return samples.select(F.to_json(F.struct(F.col(key).cast("long").alias("id"), frame.alias("frame"), "v")).alias("record"))
+
+
+def from_exchange(records: DataFrame) -> DataFrame:
+    """id, frame, v of records; those that cannot be read are null."""
+    return records.select(F.from_json("record", _EXCHANGE).alias("r")).select("r.*")
+
+
+def canonical_links(links: DataFrame) -> DataFrame:
+    """Links without identities, merged where ranges touch (merge_links)."""
+    return merge_links(links)
+
+
+def definition_faults(links: DataFrame, roots: list[str]) -> DataFrame:
+    """frame, fault: frames without a name, with links that overlap, whose base is defined nowhere, or on a cycle of bases at any tick.
+
+    Base pointers are doubled as sets of (frame, base) pairs: after log2 of the frames rounds only cycles are left.
+    """
+    blank = links.where("frame is null or trim(frame) = ''").select("frame", F.lit("no name").alias("fault"))
+    over = overlapping_links(links).select("frame", F.lit("overlap").alias("fault"))
+    known = links.select(F.col("frame").alias("base_frame")).distinct()
+    lost = links.where(~F.col("base_frame").isin(roots)).join(known, "base_frame", "left_anti").select("frame", F.lit("unknown base").alias("fault"))
+    pairs = cut(links.where(~F.col("base_frame").isin(roots)).select("frame", F.col("base_frame").alias("to")).distinct())
+    for _ in range(max(1, math.ceil(math.log2(max(2, links.select("frame").distinct().count()))) + 1)):
+        other = pairs.select(F.col("frame").alias("to"), F.col("to").alias("to2"))
+        pairs = cut(pairs.join(other, "to").select("frame", F.col("to2").alias("to")).distinct())
+    loop = pairs.select("frame", F.lit("cycle").alias("fault"))
+    return blank.unionByName(over).unionByName(lost).unionByName(loop).distinct()

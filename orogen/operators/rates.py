@@ -51,16 +51,39 @@ def sample_by_spacing(vertices: DataFrame, spacing: float) -> DataFrame:
     return on.unionByName(vertices.where("pos = 0").select("boundary_id", F.lit(0).cast("long").alias("sample"), "p"))
 
 
+def boundary_omegas(boundaries: DataFrame, omegas: DataFrame) -> DataFrame:
+    """Add omega_left and omega_right of rows with plate_left and plate_right. The planner broadcasts omegas where they are few."""
+    side = lambda c, o: omegas.select(F.col("plate_id").alias(c), F.col("omega").alias(o))
+    return boundaries.join(side("plate_left", "omega_left"), "plate_left").join(side("plate_right", "omega_right"), "plate_right")
+
+
+def divergent(samples: DataFrame) -> DataFrame:
+    return samples.where("normal_rate > 0")
+
+
+def convergent(samples: DataFrame) -> DataFrame:
+    return samples.where("normal_rate < 0")
+
+
+def slipping(samples: DataFrame, off: float = 1e-12) -> DataFrame:
+    return samples.where(F.abs("tangential_rate") > off)
+
+
+def speed_statistics(samples: DataFrame, *by: str) -> DataFrame:
+    """n, mean, least and greatest speed and population deviation of velocities v by group."""
+    s = samples.withColumn("_s", space.norm(F.col("v")))
+    return s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_s").alias("mean_speed"), F.min("_s").alias("min_speed"), F.max("_s").alias("max_speed"), F.stddev_pop("_s").alias("deviation"))
+
+
 def boundary_velocities(samples: DataFrame, boundaries: DataFrame, omegas: DataFrame) -> DataFrame:
     """v_right - v_left at the samples, with its parts along the tangent and the boundary's normal.
 
     boundaries(boundary_id, plate_left, plate_right), omegas(plate_id, omega) of one tick.
     """
-    side = lambda c, o: omegas.select(F.col("plate_id").alias(c), F.col("omega").alias(o))
-    rows = samples.join(boundaries, "boundary_id").join(side("plate_left", "ol"), "plate_left").join(side("plate_right", "orr"), "plate_right")
-    rows = rows.withColumn("v", space.linear_velocity(space.vec_sub(F.col("orr"), F.col("ol")), F.col("p")))
+    rows = boundary_omegas(samples.join(boundaries, "boundary_id"), omegas)
+    rows = rows.withColumn("v", space.linear_velocity(space.vec_sub(F.col("omega_right"), F.col("omega_left")), F.col("p")))
     rows = rows.withColumn("normal", space.boundary_normal(F.col("p"), F.col("tangent"), F.col("plate_left"), F.col("plate_right")))
-    return rows.withColumn("tangential_rate", space.dot(F.col("v"), F.col("tangent"))).withColumn("normal_rate", space.dot(F.col("v"), F.col("normal"))).drop("ol", "orr")
+    return rows.withColumn("tangential_rate", space.dot(F.col("v"), F.col("tangent"))).withColumn("normal_rate", space.dot(F.col("v"), F.col("normal"))).drop("omega_left", "omega_right")
 
 
 def velocity_profile(samples: DataFrame) -> DataFrame:
@@ -78,18 +101,18 @@ def rate_statistics(samples: DataFrame) -> DataFrame:
 
 def spreading(samples: DataFrame) -> DataFrame:
     """Divergent samples: half and full rate, obliquity in degrees, population deviation."""
-    d = samples.where("normal_rate > 0")
+    d = divergent(samples)
     return d.groupBy("boundary_id").agg(F.avg("normal_rate").alias("half_rate"), (2 * F.avg("normal_rate")).alias("full_rate"), space.obliquity_deg(F.avg("tangential_rate"), F.avg("normal_rate")).alias("obliquity"), F.stddev_pop("normal_rate").alias("deviation"))
 
 
 def convergence(samples: DataFrame) -> DataFrame:
-    c = samples.where("normal_rate < 0")
+    c = convergent(samples)
     length = F.max_by("arc", "sample") - F.min_by("arc", "sample")
     return c.groupBy("boundary_id").agg(F.max(-F.col("normal_rate")).alias("max_rate"), F.avg(-F.col("normal_rate")).alias("mean_rate"), length.alias("length"), F.count(F.lit(1)).alias("n"))
 
 
 def strike_slip(samples: DataFrame, off: float = 1e-12) -> DataFrame:
-    s = samples.where(F.abs("tangential_rate") > off)
+    s = slipping(samples, off)
     t = F.col("tangential_rate")
     return s.groupBy("boundary_id").agg(F.max(F.abs(t)).alias("max_slip"), F.avg(F.abs(t)).alias("mean_slip"), F.count_if(t > off).alias("n_right"), F.count_if(t < -off).alias("n_left"))
 

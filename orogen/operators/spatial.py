@@ -118,3 +118,18 @@ def within_reach(points: DataFrame, boundaries: DataFrame, reach_deg: float) ->
     d = F.degrees(arc_distance(F.col("_p"), F.col("_a"), F.col("_b")))
     met = at.join(dealt, ["_bx", "_by"]).select("point_id", "boundary_id", d.alias("d")).where(F.col("d") <= reach_deg)
     return met.groupBy("point_id").agg(F.min(F.struct(F.round("d", 9).alias("r"), "boundary_id", "d")).alias("m")).select("point_id", F.col("m.boundary_id").alias("boundary_id"), F.col("m.d").alias("degrees"))
+
+
+def in_local_box(p: Column, centre: tuple[float, float, float], half: tuple[float, float, float]) -> Column:
+    return (F.abs(p["x"] - centre[0]) <= half[0]) & (F.abs(p["y"] - centre[1]) <= half[1]) & (F.abs(p["z"] - centre[2]) <= half[2])
+
+
+def in_patch(p: Column, box: tuple[float, float, float, float], low: float, high: float, radius: float = 1.0) -> Column:
+    """In a lon/lat box (west, south, east, north) and between two altitudes over the radius."""
+    unit = space.normalize(p)
+    return (space.norm(p) - radius).between(low, high) & space.in_bbox(space.unit_lon(unit), space.unit_lat(unit), *box)
+
+
+def in_polygon(p: Column, ring: Column) -> Column:
+    unit = space.normalize(p)
+    return space.point_in_ring(space.unit_lon(unit), space.unit_lat(unit), ring)

@@ -65,6 +65,19 @@ def daily_mean_flux(flux: Column, lat_deg: Column, decl: Column) -> Column:
     return flux / math.pi * (h * F.sin(p) * F.sin(decl) + F.cos(p) * F.cos(decl) * F.sin(h))
 
 
+def zenith_angle(lat_deg: Column, decl: Column, hour_angle: Column) -> Column:
+    p = F.radians(lat_deg)
+    return F.acos(F.greatest(F.least(F.sin(p) * F.sin(decl) + F.cos(p) * F.cos(decl) * F.cos(hour_angle), F.lit(1.0)), F.lit(-1.0)))
+
+
+def time_at_true_anomaly(a: Column, e: Column, m0: Column, mass: Column, anomaly: Column, after: Column) -> Column:
+    """The first time from `after` on at which a body has a true anomaly (elliptic orbits)."""
+    n = mean_motion(a, mass)
+    ecc = F.atan2(F.sqrt(1 - e * e) * F.sin(anomaly), e + F.cos(anomaly))
+    wait = F.pmod(ecc - e * F.sin(ecc) - m0 - n * after, F.lit(2 * math.pi))
+    return after + wait / n
+
+
 def tree_faults(bodies: DataFrame) -> DataFrame:
     """system_id, body_id, fault: duplicate ids, missing parents, and bodies whose parents never end (cycles).
 
