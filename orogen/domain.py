@@ -74,16 +74,16 @@ VIEWS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table; the driver's table is read, nothing is cached."""
+def table(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame | None = None) -> DataFrame:
+    """A domain table; the driver's table is read (or `rows` in its place, a stream too), nothing is cached."""
     text, source = VIEWS[name]
     path = f"{sf_dir}/{source}.parquet"
-    return spark.sql(text.format(**_DIALECT["spark"]).replace(f"from {source}", "from {src}"), src=spark.read.parquet(path))
+    return spark.sql(text.format(**_DIALECT["spark"]).replace(f"from {source}", "from {src}"), src=spark.read.parquet(path) if rows is None else rows)
 
 
-def topology_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topology_events(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """The topology log in the library's schema: geometry, location and boundary_ids as nested values."""
-    t = table(spark, sf_dir, "topology")
+    t = table(spark, sf_dir, "topology", rows)
     point = lambda k: F.struct((F.col("geometry_seed") + k).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     base = F.expr("(3 * (cast(substring(junction_id, 2) as bigint) + 3)) % 4")
     bid = lambda k: F.concat(F.lit("b"), (3 * (base + 4 * ((F.col("incidence_seed") + k) % 12)) + 1).cast("string"))

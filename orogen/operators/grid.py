@@ -126,6 +126,14 @@ def mask_plates(cells: DataFrame, rings: DataFrame, width: int, height: int, bou
     return cells.join(inside, ["r", "c"], "left").withColumn("value", F.when(F.col("_in"), F.col("value"))).drop("_in")
 
 
+def mask_plates_by_tick(cells: DataFrame, rings: DataFrame, width: int, height: int, bounds: tuple[float, float, float, float], at: float = 0.5) -> DataFrame:
+    """mask_plates() with the rings of each cell's own tick (rings have a column tick)."""
+    places = cells.select("tick", "r", "c").distinct().withColumn("point_id", F.col("r").cast("long") * width + F.col("c"))
+    places = places.withColumn("lon", cell_lon(F.col("c"), width, bounds[0], bounds[2], at)).withColumn("lat", cell_lat(F.col("r"), height, bounds[1], bounds[3], at))
+    inside = places.join(spatial.containing(places, rings, also=("tick",)).select("point_id", "tick").distinct(), ["point_id", "tick"], "left_semi").select("tick", "r", "c", F.lit(True).alias("_in"))
+    return cells.join(inside, ["tick", "r", "c"], "left").withColumn("value", F.when(F.col("_in"), F.col("value"))).drop("_in")
+
+
 def crop(cells: DataFrame, width: int, height: int, bounds: tuple[float, float, float, float], box: tuple[float, float, float, float]) -> DataFrame:
     """The pixel window of a box, rows and columns counted anew from its corner."""
     import math

@@ -216,6 +216,61 @@ def usable_snapshots(index: DataFrame, tick: int) -> DataFrame:
     return good.groupBy("stream_key").agg(best).select("stream_key", "s.*")
 
 
+KINDS = {"Plate": "plate_id", "Boundary": "boundary_id", "Junction": "junction_id"}
+
+
+def as_events(state: DataFrame, kind: str, template: DataFrame) -> DataFrame:
+    """Snapshot rows of one kind as create and retire events before all others (sequences -2 and -1)."""
+    have = [c for c in template.columns if c in state.columns]
+    row = {c: F.lit(None).cast(f.dataType) for c, f in ((c, template.schema[c]) for c in template.columns)} | {"tick": F.lit(0).cast("long")}
+    made = row | {c: F.col(c) for c in have} | {"sequence": F.lit(-2).cast("long"), "event_type": F.lit(f"{kind}Created")}
+    gone = row | {"stream_key": F.col("stream_key"), KINDS[kind]: F.col(KINDS[kind]), "sequence": F.lit(-1).cast("long"), "event_type": F.lit(f"{kind}Retired"), "reason": F.col("retirement_reason")}
+    of = lambda rows, values: rows.select(*(values[c].alias(c) for c in template.columns))
+    return of(state, made).unionByName(of(state.where("is_retired"), gone))
+
+
+def folds(events: DataFrame) -> dict[str, DataFrame]:
+    return {"Plate": plates(events), "Boundary": boundaries(events), "Junction": junctions(events)}
+
+
+def write_snapshot(events: DataFrame, folder: str, tick: int) -> None:
+    """The three entity tables of a log, and each stream's last sequence, in partitions of stream and snapshot tick. A repeated write replaces itself."""
+    tables = {f"{kind.lower()}_state": state for kind, state in folds(events).items()} | {"heads": heads(events).withColumnRenamed("sequence", "last_sequence")}
+    for name, rows in tables.items():
+        out = rows.withColumn("snapshot_tick", F.lit(tick).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("stream_key", "snapshot_tick").parquet(f"{folder}/{name}")
+
+
+def read_snapshot(spark: SparkSession, folder: str, tick: int) -> dict[str, DataFrame]:
+    """Tables by kind, and heads, of one snapshot tick."""
+    names = {kind: f"{kind.lower()}_state" for kind in KINDS} | {"heads": "heads"}
+    return {kind: spark.read.parquet(f"{folder}/{name}").where(F.col("snapshot_tick") == tick).drop("snapshot_tick") for kind, name in names.items()}
+
+
+def snapshot_plus_tail(snapshot: dict[str, DataFrame], events: DataFrame) -> DataFrame:
+    """The log that folds to the same state: snapshot rows as events, and the events after each stream's last sequence; streams without a snapshot whole."""
+    tail = events.join(snapshot["heads"].select("stream_key", "last_sequence"), "stream_key", "left").where("last_sequence is null or sequence > last_sequence").select(events.columns)
+    for kind in KINDS:
+        tail = tail.unionByName(as_events(snapshot[kind], kind, events))
+    return tail
+
+
+def last_writers(events: DataFrame) -> DataFrame:
+    """The events that decide the state: for each entity the last one that wrote each of its attributes.
+
+    The log without all others folds to the same state, also when more events are added in any order.
+    """
+    t, seq = F.col("event_type"), F.col("sequence")
+    some = lambda c: F.max(F.when(c, seq))
+    made, life = t.endswith("Created"), t.endswith("Created") | t.endswith("Retired")
+    ids = (t == "JunctionCreated") | ((t == "JunctionUpdated") & (F.size("boundary_ids") > 0))
+    at = (t == "JunctionCreated") | ((t == "JunctionUpdated") & F.col("location").isNotNull())
+    writes = [made, life, made | (t == "BoundaryTypeChanged"), made | (t == "BoundaryGeometryUpdated"), ids, at]
+    entity = F.coalesce("plate_id", "boundary_id", "junction_id")
+    last = events.groupBy("stream_key", F.substring(t, 1, 5).alias("_kind"), entity.alias("_entity")).agg(F.array_compact(F.array_distinct(F.array(*(some(w) for w in writes)))).alias("_s"))
+    return events.join(last.select("stream_key", F.explode("_s").alias("sequence")).distinct(), ["stream_key", "sequence"], "left_semi")
+
+
 def plates_as_events(state: DataFrame, template: DataFrame) -> DataFrame:
     """Snapshot rows of plates as create and retire events before all others (sequences -2 and -1)."""
     row = {c: F.lit(None).cast(t) for c, t in template.dtypes}

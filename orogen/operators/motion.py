@@ -245,6 +245,12 @@ def rotations_in_frame(rotations: DataFrame, anchor: int) -> DataFrame:
     return rotations.join(own, "tick").withColumn("q", space.compose(F.col("q"), F.col("_frame"))).drop("_frame")
 
 
+def rotations_in_custom_frame(rotations: DataFrame, chains: DataFrame, frame: str) -> DataFrame:
+    """Each plate's rotation as seen from a frame that is defined by links (chains: frame_chains); no rows at ticks where it is not valid."""
+    own = chains.where((F.col("frame") == frame) & F.col("is_valid")).select("tick", space.quat_inverse(F.col("q")).alias("_frame"))
+    return rotations.join(own, "tick").withColumn("q", space.compose(F.col("q"), F.col("_frame"))).drop("_frame")
+
+
 def with_polar_wander(rotations: DataFrame, wander: DataFrame) -> DataFrame:
     """Rotations turned on by the whole body's own at their tick (columns tick, q); ticks that it lacks stay as they are."""
     turn = F.coalesce("_wander", space.quat(*_IDENTITY))

@@ -29,6 +29,17 @@ def policy_check(requests: DataFrame) -> DataFrame:
     return requests.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
 
 
+def reconstruct(features: DataFrame, rotations: DataFrame, heads: DataFrame, tick: int, frame: str, solver: str) -> DataFrame:
+    """An answer to a reconstruction request: features (plate_id, line) turned to the tick, with where the answer comes from.
+
+    Features without a plate are kept as they are, with method `none`.
+    """
+    from . import motion
+
+    turned = motion.reconstruct(features, rotations, "plate_id", "line").unionByName(features.where("plate_id is null"))
+    return provenance_columns(turned, heads, tick, frame, solver)
+
+
 def provenance_columns(answers: DataFrame, heads: DataFrame, tick: int, frame: str, solver: str) -> DataFrame:
     """Add tick, frame, solver, sources and key to answers with a plate_id.
 

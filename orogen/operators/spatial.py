@@ -13,26 +13,27 @@ from ..functions import space
 from ..tables import cut
 
 
-def candidates(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
+def candidates(points: DataFrame, rings: DataFrame, size: float = 10.0, also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of points and rings that contain them (strict ray cast).
 
     Rings are dealt to the lon/lat buckets of their boxes, points have one bucket: an equality join with the
-    ray cast as residual, never a nested loop. Smaller buckets part dense places further.
+    ray cast as residual, never a nested loop. Smaller buckets part dense places further. Rows also have to agree
+    in the columns `also`, such as a tick.
     """
     bucket = lambda c: F.floor(c / size).cast("int")
     low = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
     high = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
     dealt = rings.withColumn("_bx", F.explode(F.sequence(bucket(low("x")), bucket(high("x"))))).withColumn("_by", F.explode(F.sequence(bucket(low("y")), bucket(high("y")))))
     at = points.withColumn("_bx", bucket(F.col("lon"))).withColumn("_by", bucket(F.col("lat")))
-    met = at.join(dealt.withColumnRenamed("plate_id", "ring_plate"), ["_bx", "_by"]).drop("_bx", "_by")
+    met = at.join(dealt.withColumnRenamed("plate_id", "ring_plate"), ["_bx", "_by", *also]).drop("_bx", "_by")
     return met.where(space.point_in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
 
 
-def containing(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
+def containing(points: DataFrame, rings: DataFrame, size: float = 10.0, also: tuple[str, ...] = ()) -> DataFrame:
     """point_id, plate_id of plates with the point in an outer ring and in no hole."""
-    met = candidates(points.select("point_id", "lon", "lat"), rings, size)
-    inside = met.groupBy("point_id", "ring_plate").agg(F.count_if(~F.col("is_hole")).alias("o"), F.count_if("is_hole").alias("h"))
-    return inside.where("o > 0 and h = 0").select("point_id", F.col("ring_plate").alias("plate_id"))
+    met = candidates(points.select("point_id", "lon", "lat", *also), rings, size, also)
+    inside = met.groupBy("point_id", "ring_plate", *also).agg(F.count_if(~F.col("is_hole")).alias("o"), F.count_if("is_hole").alias("h"))
+    return inside.where("o > 0 and h = 0").select("point_id", F.col("ring_plate").alias("plate_id"), *also)
 
 
 def assign_plate(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:

@@ -137,8 +137,12 @@ def polygonize(darts_: DataFrame, positions: DataFrame, boundaries: DataFrame) -
     rows = faces.join(boundaries.select("boundary_id", "plate_left", "plate_right"), "boundary_id").withColumn("plate_id", side)
     rings = rows.groupBy("face").agg(F.min("plate_id").alias("plate_id"), F.max("plate_id").alias("_other"), F.transform(F.array_sort(F.collect_list(F.struct("position", "xyz"))), lambda x: x["xyz"]).alias("ring"))
     rings = rings.where("plate_id = _other").drop("_other").withColumn("area", space.spherical_ring_area(F.col("ring")))
-    outside = rings.agg(F.max(F.struct(F.abs("area").alias("a"), (-F.col("face")).alias("f"))).alias("m")).select((-F.col("m.f")).alias("face"))
-    return rings.join(outside, "face", "left_anti").withColumn("is_outer", F.col("area") > 0)
+    return rings.join(outside_face(rings), "face", "left_anti").withColumn("is_outer", F.col("area") > 0)
+
+
+def outside_face(rings: DataFrame) -> DataFrame:
+    """One row: the face with the greatest absolute area, the least id on ties."""
+    return rings.agg(F.max(F.struct(F.abs("area").alias("a"), (-F.col("face")).alias("f"))).alias("m")).select((-F.col("m.f")).alias("face"))
 
 
 def quality(polygons: DataFrame, sliver: float) -> DataFrame:

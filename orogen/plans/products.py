@@ -33,6 +33,11 @@ def reuse_or_compute(spark: SparkSession, folder: str, product: str, source: str
     return found
 
 
+def read_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each use of a product under the folder."""
+    return spark.read.schema(AUDIT).parquet(f"{folder}/audit")
+
+
 def retention_candidates(products: DataFrame, group: str, key: str, keep: int, sequence_age: int | None = None, tick_age: int | None = None) -> DataFrame:
     """All but each group's newest (sequence, then tick, then key) that are older than the ages given; null ages ask nothing."""
     age = F.struct((-F.col("sequence")).alias("s"), (-F.col("tick")).alias("t"), F.col(key).alias("k"))

@@ -13,8 +13,9 @@ TOPOLOGY = "schema string, plates array<struct<plateKey:string,plateId:string>>,
 SEGMENTS = "schema string, modelId string, plates array<struct<plateKey:string,plateId:string,segments:array<struct<tickA:long,tickB:long,axisAzimuthMicroDeg:int,axisElevationMicroDeg:int,angleMicroDeg:int,segmentId:string>>>>"
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.input_file_name())
+def read_json(spark: SparkSession, path: str, schema: str, one_per_line: bool = False) -> DataFrame:
+    """JSON documents, one in each file or one on each line, with the file's name."""
+    return spark.read.schema(schema).json(path, multiLine=not one_per_line).withColumn("file", F.input_file_name())
 
 
 def manifest_errors(manifests: DataFrame) -> DataFrame:
@@ -57,10 +58,27 @@ def segment_plans(assets: DataFrame) -> DataFrame:
     return rows.select("file", "modelId", "plateKey", F.coalesce("s.segmentId", ids.stable_id(F.col("file"), F.col("plateKey"), F.col("k"))).alias("segment_id"), F.col("s.tickA").alias("tick_a"), F.col("s.tickB").alias("tick_b"), F.col("s.axisAzimuthMicroDeg").alias("azimuth"), F.col("s.axisElevationMicroDeg").alias("elevation"), F.col("s.angleMicroDeg").alias("angle"), ok.alias("is_valid"))
 
 
-def read_cells(spark: SparkSession, path: str, schema: str = "r int, c int, value double") -> DataFrame:
-    """Raster cells of Parquet files; the tick is the last run of digits in the file's name."""
+def read_cells(spark: SparkSession, path: str, schema: str = "r int, c int, value double", pattern: str | None = None) -> DataFrame:
+    """Raster cells of Parquet files; the tick is the last run of digits in the file's name, or what the pattern's group finds in its path."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    return spark.read.schema(schema).parquet(path).withColumn("tick", F.regexp_extract(name, r"(\d+)\D*$", 1).cast("long"))
+    tick = F.regexp_extract(name, r"(\d+)\D*$", 1) if pattern is None else F.regexp_extract(F.input_file_name(), pattern, 1)
+    return spark.read.schema(schema).parquet(path).withColumn("tick", tick.cast("long"))
+
+
+#: The folder of a frame, and how its tick is read from a path.
+FRAME, FRAME_TICK = "frame=tick%06d", r"frame=tick(\d+)/"
+
+
+def export_raster(cells: DataFrame, start: int, end: int, step: int, path: str, method: str = "linear") -> None:
+    """Frames of a raster sequence at start, start + step, ... up to end, each in a folder named by its tick."""
+    from ..operators import grid
+
+    if step <= 0 or end < start:
+        raise ValueError("a step must be positive, and the end not before the start")
+    k = cells.sparkSession.range(start, end + 1, step).select(F.col("id").alias("tick"))
+    ticks = cells.select("sequence_id").distinct().join(F.broadcast(k))  # as many as the export has frames
+    frames = grid.raster_at(cells, ticks, method).select(F.format_string("tick%06d", "tick").alias("frame"), "r", "c", "value")
+    frames.write.mode("overwrite").partitionBy("frame").parquet(path)
 
 
 def export_ticks(frames: DataFrame, path: str) -> None:

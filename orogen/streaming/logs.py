@@ -1,4 +1,4 @@
-"""The event log as a stream: heads, late events, folded state and violations, kept per key between batches."""
+"""The event log as a stream: heads, windows, folded state, violations, and appends that take each event once."""
 
 from __future__ import annotations
 
@@ -51,13 +51,50 @@ def plate_state(events: DataFrame) -> DataFrame:
     return rows.groupBy("stream_key", "plate_id").applyInPandasWithState(update, _STATE, "last long, made boolean, retired boolean, reason string", "update", "NoTimeout")
 
 
-def append_once(events: DataFrame, path: str, checkpoint: str, after: Callable[[DataFrame], None] | None = None):
-    """Write each batch in a folder of its own number, so a repeated batch replaces itself. The query is returned."""
+def each_batch(events: DataFrame, checkpoint: str, do: Callable[[DataFrame, int], None]) -> None:
+    """Hand each batch and its number to `do`, until all that is there has been read. A repeated batch has its number again."""
+    events.writeStream.foreachBatch(do).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def append_once(events: DataFrame, path: str, checkpoint: str) -> None:
+    """Append a stream's batches to a log, each event once.
+
+    A batch is written to a folder of its number, so a repeated one replaces itself. Rows at or before the head
+    that the batches before left in their stream are refused, whether repeated or late; they go to `path`/refused.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         own = batch.dropDuplicates(["stream_key", "sequence"])
-        own.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        if after is not None:
-            after(own)
+        before = spark.read.schema(own.schema.add("batch", "int")).parquet(f"{path}/log").where(F.col("batch") < number) if number else own.limit(0)
+        heads = before.groupBy("stream_key").agg(F.max("sequence").alias("_head"))
+        known = own.join(heads, "stream_key", "left").withColumn("_late", F.coalesce(F.col("sequence") <= F.col("_head"), F.lit(False)))
+        known.where("not _late").select(own.columns).write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+        known.where("_late").select(own.columns).write.mode("overwrite").parquet(f"{path}/refused/batch={number}")
+
+    each_batch(events, checkpoint, write)
+
+
+def maintained(events: DataFrame, path: str, checkpoint: str, report: bool = False) -> None:
+    """Keep, batch by batch, the events that decide the state of plates, boundaries and junctions (log.last_writers).
+
+    State n is made from state n - 1 and batch n, whatever order sequences come in; a repeated batch makes the
+    same. With `report` each batch's violations of the event rules are written to `path`/report: what the rules
+    need of earlier events is in the state.
+    """
+
+    def fold(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        both = batch if number == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/state={number - 1}"))
+        if report:
+            mine = batch.select("stream_key", "sequence").distinct()
+            log.invariant_report(both).join(mine, ["stream_key", "sequence"], "left_semi").write.mode("overwrite").parquet(f"{path}/report/batch={number}")
+        log.last_writers(both).write.mode("overwrite").parquet(f"{path}/state={number}")
+
+    each_batch(events, checkpoint, fold)
+
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest_state(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The deciding events of the newest state under a path; log.plates() and the other folds make tables of them."""
+    newest = spark.read.schema(schema.add("state", "int")).parquet(path).agg(F.max("state")).first()[0]
+    return spark.read.schema(schema).parquet(f"{path}/state={newest}")

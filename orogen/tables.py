@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in spark.checkpoint.dir, which all executors share."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in spark.checkpoint.dir; only a local session that has none gets a new temporary folder."""
     sc = df.sparkSession.sparkContext
