@@ -54,8 +54,9 @@ class Grams:
         self.letters, self.base = Numbered(letters.astype(np.int64), 0x110000), len(letters) + 1
         self.known, self.first, self.columns = [], [], 0
         symbols = self._symbols(_points(landmarks))
+        wanted = np.ones(len(symbols), bool)
         for n in ORDERS:
-            codes = np.unique(self._ngrams(symbols, n, np.ones(len(symbols), bool)))
+            codes = np.unique(self._ngrams(symbols, n, wanted))
             self.known.append(Numbered(codes, self.base**n))
             self.first.append(self.columns)
             self.columns += len(codes)
@@ -65,7 +66,7 @@ class Grams:
         return self.letters[points].astype(np.int64) + 1
 
     def _ngrams(self, symbols: np.ndarray, n: int, wanted: np.ndarray) -> np.ndarray:
-        """Codes of the n-grams that begin at the wanted places and hold no symbol 0; `wanted` keeps only these places."""
+        """Codes of the n-grams of wanted places, for orders 1, 2, ... in turn: `wanted` loses the places whose n-gram has a symbol 0."""
         m = max(0, len(symbols) - n + 1)
         wanted[m:] = False
         wanted[:m] &= symbols[n - 1 :] > 0
@@ -150,7 +151,10 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def _fitted(grams: Grams, marks: np.ndarray, kernel: np.ndarray, languages: list[str], ridge: float) -> Model:
-    """The kernel of two texts is the number of n-grams that both have, over the root of the product of their numbers."""
+    """The kernel of two texts is the number of n-grams that both have, over the root of the product of their numbers.
+
+    Counted are n-grams that some landmark has; all others are in no kernel with a landmark.
+    """
     if not languages:
         return Model([], grams, np.zeros((0, 0)), np.zeros((0, 0), np.float32))
     kinds, coefficients = regression(kernel, marks @ marks.T, languages, ridge)
@@ -200,7 +204,7 @@ def learned(docs: DataFrame, learn: Column, per_language: int = ROWS, landmarks:
             yield [languages, [row.tobytes() for row in _kernel(own, texts, vectors)]]
 
     rows = sorted((r["lang"], r["kernel"]) for r in map_batches(sample, ["lang", "text"], each, "lang string, kernel binary").collect())
-    kernel = np.array([np.frombuffer(k, np.float32) for _, k in rows]).reshape(-1, len(marks))
+    kernel = np.array([np.frombuffer(k, np.float32) for _, k in rows], np.float32).reshape(len(rows), len(marks))
     return _fitted(grams, marks, kernel, [x for x, _ in rows], ridge)
 
 

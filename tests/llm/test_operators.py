@@ -187,6 +187,7 @@ def test_kernels_equal_plain_sets(spark):
     finally:
         langid.MOST_TABLE = few
     model = langid.fit(texts[:4], ["en", "de", "ja", "fr"])
+    p = model.grams.presence(texts)  # of the four landmarks' n-grams
     kernel = np.array([[float(p[i] @ p[j]) for j in range(4)] for i in range(len(texts))])
     assert np.allclose(langid.score(model, texts), kernel @ model.coefficients, atol=1e-3)
     # Ridge regression in the span of the landmarks: the gradient of the weighted squared error and the penalty is null.
