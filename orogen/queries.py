@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLE, QUERIES
 
-for _name in ("log_queries", "plate_queries", "motion_queries", "space_queries", "grid_queries", "measure_queries", "request_queries", "stellar_queries", "ingest_queries", "basic_queries"):
+for _name in ("log_queries", "plate_queries", "motion_queries", "space_queries", "grid_queries", "measure_queries", "request_queries", "stellar_queries", "ingest_queries", "basic_queries", "stream_queries"):
     import_module(f".plans.{_name}", __package__)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import log
 
@@ -27,6 +28,12 @@ def tick_windows(events: DataFrame, width: int) -> DataFrame:
     return events.groupBy("stream_key", (F.floor(F.col("tick") / width) * width).alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sliding_windows(events: DataFrame, width: int, step: int) -> DataFrame:
+    """Counts in windows of `width` integer ticks that begin every `step`; a tick is in width / step of them."""
+    begins = F.explode(F.transform(F.sequence(F.lit(0), F.lit(width // step - 1)), lambda k: (F.floor(F.col("tick") / step) - k) * step))
+    return events.select("stream_key", begins.alias("window_start")).groupBy("stream_key", "window_start").agg(F.count(F.lit(1)).alias("n"))
+
+
 def deduplicated(events: DataFrame, time: str, delay: str) -> DataFrame:
     """One row for each event id within the watermark."""
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(["event_id"])
@@ -51,6 +58,11 @@ def plate_state(events: DataFrame) -> DataFrame:
     return rows.groupBy("stream_key", "plate_id").applyInPandasWithState(update, _STATE, "last long, made boolean, retired boolean, reason string", "update", "NoTimeout")
 
 
+def _and(schema: StructType, number: str) -> StructType:
+    """The schema and the number of its folder."""
+    return StructType([*schema.fields, StructField(number, IntegerType())])
+
+
 def each_batch(events: DataFrame, checkpoint: str, do: Callable[[DataFrame, int], None]) -> None:
     """Hand each batch and its number to `do`, until all that is there has been read. A repeated batch has its number again."""
     events.writeStream.foreachBatch(do).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -66,7 +78,7 @@ def append_once(events: DataFrame, path: str, checkpoint: str) -> None:
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = batch.dropDuplicates(["stream_key", "sequence"])
-        before = spark.read.schema(own.schema.add("batch", "int")).parquet(f"{path}/log").where(F.col("batch") < number) if number else own.limit(0)
+        before = spark.read.schema(_and(own.schema, "batch")).parquet(f"{path}/log").where(F.col("batch") < number) if number else own.limit(0)
         heads = before.groupBy("stream_key").agg(F.max("sequence").alias("_head"))
         known = own.join(heads, "stream_key", "left").withColumn("_late", F.coalesce(F.col("sequence") <= F.col("_head"), F.lit(False)))
         known.where("not _late").select(own.columns).write.mode("overwrite").parquet(f"{path}/log/batch={number}")
@@ -96,5 +108,5 @@ def maintained(events: DataFrame, path: str, checkpoint: str, report: bool = Fal
 
 def latest_state(spark: SparkSession, path: str, schema) -> DataFrame:
     """The deciding events of the newest state under a path; log.plates() and the other folds make tables of them."""
-    newest = spark.read.schema(schema.add("state", "int")).parquet(path).agg(F.max("state")).first()[0]
+    newest = spark.read.schema(_and(schema, "state")).parquet(path).agg(F.max("state")).first()[0]
     return spark.read.schema(schema).parquet(f"{path}/state={newest}")
