@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import keep, letters_a_to_z_lower
+from .base import join_counted, keep, letters_a_to_z_lower
 
 #: The rules that the query is asked to apply.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 _URL = r"(?s)://([^/?#]*)([^?#]*)"
-#: A filter beyond this many bytes is not sent to the executors with the plan.
-MOST_FILTER_BYTES = 64 << 20
+#: Filters of more bytes, and more rules, are not sent to the executors with the plan: then rules are joined, with the same result.
+MOST_FILTER_BYTES, MOST_RULES = 4 << 20, 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -40,7 +40,7 @@ def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[
 class Level:
     bits: int
     hashes: int
-    words: tuple[int, ...]  # 64 bits each
+    data: bytes
 
 
 @dataclass(frozen=True)
@@ -62,64 +62,88 @@ def _places(level: int, bits: int, hashes: int, key: Column) -> list[Column]:
 
 
 def _might_hold(level: Level, key: Column, number: int) -> Column:
-    words = F.array(*(F.lit(w) for w in level.words)) if len(level.words) > 1 else F.array(F.lit(level.words[0]))
-    found = F.lit(True)
+    data, found = F.lit(level.data), F.lit(True)
     for place in _places(number, level.bits, level.hashes, key):
-        word = F.element_at(words, (F.shiftright(place, 6) + 1).cast("int"))
-        found = found & (F.call_function("shiftrightunsigned", word, (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        byte = F.conv(F.hex(F.substring(data, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        found = found & (F.call_function("shiftrightunsigned", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return found
 
 
+def _shape(n: int, rate: float) -> tuple[int, int]:
+    """Bits and hashes of a filter over n keys."""
+    return max(64, 64 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64)), max(1, round(-math.log2(rate)))
+
+
+def first_rate(n: int, total: int) -> float:
+    """The rate of the first filter: what it takes wrongly for listed should be about as long as the list."""
+    return min(0.5, max(1e-6, n * math.sqrt(0.5) / max(1, total)))
+
+
 def _level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
     """A Bloom filter over n keys. Words are combined on the executors; the driver gets the filter itself."""
-    bits = max(64, 64 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
-    hashes = max(1, round(-math.log2(rate)))
-    if bits // 8 > MOST_FILTER_BYTES:
-        raise ValueError("the list is too long for one filter; split the list by host and build a cascade for each part")
-    one = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    bits, hashes = _shape(n, rate)
+    one = F.expr("shiftleft(1, cast(place % 8 as int))")
     rows = (
         keys.select(F.explode(F.array(*_places(number, bits, hashes, F.col("key")))).alias("place"))
-        .groupBy(F.shiftright("place", 6).alias("word"))
+        .groupBy(F.shiftright("place", 3).alias("byte"))
         .agg(F.bit_or(one).alias("bits"))
         .collect()
     )
-    words = [0] * (bits // 64)
+    data = bytearray(bits // 8)
     for r in rows:
-        words[r["word"]] = r["bits"]
-    return Level(bits, hashes, tuple(words))
+        data[r["byte"]] = r["bits"]
+    return Level(bits, hashes, bytes(data))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 60) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 60, most_bytes: int = MOST_FILTER_BYTES) -> Cascade | None:
     """Build levels until no key of the universe (column key) is mistaken. `listed` has a column key.
 
     The universe is read once: only what the first filter takes wrongly for listed goes on, and its rate is
     set so that this is about as long as the list. From then on levels hold half of the level two before.
-    An empty list gives a cascade that lists nothing.
+    An empty list gives a cascade that lists nothing; None where a filter would be longer than `most_bytes`.
     """
     yes = keep(listed.select("key").where("key is not null").distinct())
     n = yes.count()
     if n == 0:
         return Cascade(())
     total = universe.count()
-    levels = [_level(yes, n, min(0.5, max(1e-6, n * math.sqrt(0.5) / max(1, total))), 0)]
+    if _shape(n, first_rate(n, total))[0] // 8 > most_bytes:
+        return None
+    levels = [_level(yes, n, first_rate(n, total), 0)]
     wrong = universe.select("key").where(_might_hold(levels[0], F.col("key"), 0)).distinct().join(yes, "key", "left_anti")
     holds, other = yes, keep(wrong)  # what the last level holds; what it takes wrongly for held
     while (left := other.count()) > 0:
         if len(levels) == most_levels:
             raise RuntimeError("the cascade does not end; change the hash seeds")
         number = len(levels)
+        if _shape(left, 0.5)[0] // 8 > most_bytes:
+            return None
         levels.append(_level(other, left, 0.5, number))
         holds, other = other, keep(holds.where(_might_hold(levels[-1], F.col("key"), number)))
     return Cascade(tuple(levels))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str = "allow") -> DataFrame:
+def _by_join(keyed: DataFrame, rules: list[tuple[str, str]], default: str) -> DataFrame:
+    """What judge() returns, from a join of all candidate keys with the rules; common keys are joined by broadcast."""
+    spark = keyed.sparkSession
+    rows = keep(keyed.withColumn("_row", F.monotonically_increasing_id()))
+    listed = spark.createDataFrame([(r, v, k) for k, (r, v) in enumerate(rules)], "key string, verdict string, place long").groupBy("key").agg(F.min_by("verdict", "place").alias("verdict"))
+    keys = rows.select("_row", F.explode("_keys").alias("key"))
+    counted = keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(listed, "key"))
+    hits = join_counted(keys, counted, "key", rows.count())
+    best = hits.groupBy("_row").agg(F.max(F.struct(F.char_length("key").alias("n"), "key", "verdict")).alias("m"))
+    return rows.join(best, "_row", "left").select("page_id", "host", "path", F.col("m.key").alias("rule"), F.coalesce("m.verdict", F.lit(default)).alias("verdict"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str = "allow", most_bytes: int = MOST_FILTER_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (columns page_id, url).
 
     A rule is host and path prefix in one string. It fits its host, all subdomains and paths that start with
     its path; of several the longest wins (then the first in order). Without a rule the verdict is `default`:
     the cascade says that no listed key fits the url. Null urls and those without `://` have an empty host
-    and path, and fit no rule. Repeated rows are judged each.
+    and path, and fit no rule. Repeated rows are judged each; null ids too; an empty table gives no rows; of
+    rules that repeat a prefix the first counts; other columns are ignored, whatever their names. A list whose
+    filters would be too long to send is joined instead.
     """
     spark = pages.sparkSession
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -130,10 +154,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str =
     lengths = sorted({len(r) - len(h) for (r, _), h in zip(rules, hosts)})
     keyed = parsed.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
     listed = spark.createDataFrame([(r,) for r, _ in rules], "key string")
-    cascade = build_cascade(listed, keyed.select(F.explode("_keys").alias("key")))
+    cascade = None if len(rules) > MOST_RULES else build_cascade(listed, keyed.select(F.explode("_keys").alias("key")), most_bytes=most_bytes)
+    if cascade is None:
+        return _by_join(keyed, rules, default)
     fits = F.filter("_keys", cascade.listed)
     longest = F.array_max(F.transform(fits, lambda k: F.struct(F.char_length(k).alias("n"), k.alias("key"))))["key"]
-    verdicts = F.create_map(*(F.lit(x) for r in rules for x in r))
+    verdicts = F.create_map(*(F.lit(x) for r in dict(reversed(rules)).items() for x in r))
     return keyed.withColumn("rule", longest).select(
         "page_id", "host", "path", "rule", F.coalesce(F.element_at(verdicts, F.col("rule")), F.lit(default)).alias("verdict")
     )

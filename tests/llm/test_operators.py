@@ -61,6 +61,12 @@ def test_url_rules_equal_a_plain_search(spark):
     urls += [None, "", "://", "http://org/#a://com/de/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages).collect()}
+    by_join = urlfilter.judge(pages, most_bytes=0)
+    assert got == {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in by_join.collect()}
+    twice = pages.unionByName(pages).withColumn("page_id", F.lit(None).cast("long"))
+    assert urlfilter.judge(twice).count() == 2 * len(urls) and urlfilter.judge(pages.where("false")).count() == 0
+    assert {r["verdict"] for r in urlfilter.judge(pages, [("org/", "block"), ("org/", "allow")]).where("rule is not null").collect()} == {"block"}
+    assert urlfilter.judge(pages, []).where("rule is null and verdict = 'allow'").count() == len(urls)
     for k, url in enumerate(urls):
         host, path = "", ""
         if url and "://" in url:
