@@ -6,10 +6,11 @@ import random
 from pyspark.sql import functions as F
 
 from orogen.functions import space
-from orogen.operators import grid, log, motion, rates, requests, spatial, stellar
+from orogen.operators import earlier, grid, log, motion, rates, requests, spatial, stellar
 from orogen.plans import products
 from orogen.sources import datasets
 from orogen.streaming import logs
+from orogen.tables import cut
 
 EVENTS = (
     "stream_key string, sequence long, tick long, event_id string, event_type string, plate_id string, boundary_id string, junction_id string, plate_id_left string, plate_id_right string, "
@@ -191,3 +192,114 @@ def test_plate_mask_leaves_holes_out_and_keeps_every_tick(spark):
     kept = lambda plates: sorted((x["tick"], x["r"]) for x in grid.mask_plates(c, r, 36, 18, (-180.0, -90.0, 180.0, 90.0), plates).where("value is not null").collect())
     assert kept([1]) == [(0, 5), (1, 5)] and kept(None) == [(0, 1), (0, 5), (1, 5)]
     assert grid.mask_plates(c, r, 36, 18, (-180.0, -90.0, 180.0, 90.0)).count() == 7
+
+
+# --- looking back, by buckets
+
+
+def test_looking_back_over_buckets_equals_a_plain_walk(spark):
+    r = random.Random(3)
+    rows = [(f"g{r.randrange(3)}", k, r.choice([None, r.randrange(50)])) for k in r.sample(range(400), 150)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    for width in (7, 100_000):
+        last = earlier.with_earlier(df, ["g"], ["k"], earlier.bucket_of("k", width), "found", F.col("v"))
+        most = earlier.with_earlier(df, ["g"], ["k"], earlier.bucket_of("k", width), "found", F.col("v"), "max")
+        place = {(x["g"], x["k"]): x["n"] for x in earlier.with_place(df, ["g"], ["k"], [earlier.bucket_of("k", width)], "n").collect()}
+        for got, pick in ((last, lambda x: x[-1]), (most, max)):
+            found = {(x["g"], x["k"]): x["found"] for x in got.collect()}
+            for g, k, _ in rows:
+                before = [v for h, j, v in sorted(rows, key=lambda x: x[1]) if h == g and j < k and v is not None]
+                assert found[g, k] == (pick(before) if before else None)
+                assert place[g, k] == sum(h == g and j <= k for h, j, _ in rows)
+
+
+def test_ruling_segments_equal_a_plain_search(spark):
+    r = random.Random(5)
+    segments = [(f"s{k}", r.randrange(3), a := r.randrange(100), a + r.choice([0, 1, 5, 90]), 0, 0, 1) for k in range(60)]
+    ticks = [(p, t) for p in range(4) for t in range(0, 200, 7)]
+    got = motion.segment_at(spark.createDataFrame(ticks, "plate_id long, tick long"), spark.createDataFrame(segments, "segment_id string, plate_id long, tick_a long, tick_b long, azimuth int, elevation int, angle int"))
+    found = {(x["plate_id"], x["tick"]): (x["s"]["segment_id"] if x["s"] else None, x["covered"]) for x in got.collect()}
+    for p, t in ticks:
+        own = [s for s in segments if s[1] == p and s[3] > s[2]]
+        inside = min((s for s in own if s[2] < t <= s[3]), key=lambda s: (-s[2], s[3], s[0]), default=None)
+        ended = min((s for s in own if s[3] <= t), key=lambda s: (-s[3], -s[2], s[0]), default=None)
+        want = inside or ended
+        assert found[p, t] == (want[0] if want else None, inside is not None), (p, t)
+
+
+def test_chains_of_any_length_and_cycles(spark):
+    turn = (0.0, 0.0, math.sin(0.05), math.cos(0.05))
+    links = [(f"f{k}", k, f"f{k - 1}" if k else "mantle", None, None, None, turn) for k in range(50)] + [("a", 60, "b", None, None, None, turn), ("b", 61, "c", None, None, None, turn), ("c", 62, "a", None, None, None, turn), ("d", 63, "nowhere", None, None, None, turn), ("e", 64, "a", None, None, None, turn)]
+    df = spark.createDataFrame(links, "frame string, position long, base_frame string, from_tick long, to_tick long, sequence_hint int, q struct<x:double,y:double,z:double,w:double>")
+    asked = spark.createDataFrame([(f, 5) for f in ("f49", "f0", "a", "d", "e", "mantle", "unknown")], "frame string, tick long")
+    got = {x["frame"]: x for x in motion.frame_chains(asked, df, ["mantle"]).collect()}
+    assert {f for f, x in got.items() if x["is_valid"]} == {"f49", "f0", "mantle"} and len(got) == 7
+    assert abs(got["f49"]["q"]["z"] - math.sin(2.5)) < 1e-9 and got["mantle"]["q"]["w"] == 1.0
+    faults = {(x["frame"], x["fault"]) for x in motion.definition_faults(df, ["mantle"]).collect()}
+    assert faults == {("a", "cycle"), ("b", "cycle"), ("c", "cycle"), ("e", "cycle"), ("d", "unknown base")}
+
+
+def test_paths_run_to_their_end(spark):
+    seeds = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0, 0, 10), (2, 9, 0.0, 1.0, 0.0, 0, 10), (3, 0, 1.0, 0.0, 0.0, 10, 0)], "seed_id long, plate_id long, x double, y double, z double, start_tick long, end_tick long")
+    omegas = spark.createDataFrame([(0, t, (0.0, 0.0, 0.01)) for t in (0, 2, 4, 8, 10)], "plate_id long, tick long, omega struct<x:double,y:double,z:double>")
+    there = {(r["seed_id"], r["tick"]): r for r in motion.motion_paths(seeds.where("seed_id < 3"), omegas, 2).collect()}
+    assert len(there) == 10 and not there[1, 6]["known"] and there[1, 8]["x"] == there[1, 6]["x"] and there[1, 4]["y"] > 0.039
+    assert all(there[2, t]["y"] == 1.0 and not there[2, t]["known"] for t in range(0, 10, 2)) and abs(there[1, 0]["vy"] - 0.01) < 1e-12
+    back = [r["tick"] for r in motion.motion_paths(seeds.where("seed_id = 3"), omegas, 2, -1).collect()]
+    assert sorted(back) == [2, 4, 6, 8, 10]
+
+
+# --- state
+
+
+def test_deciding_events_fold_to_the_same_state(spark):
+    r = random.Random(7)
+    rows = []
+    for k in range(300):
+        e = r.randrange(4)
+        kind = r.choice(["PlateCreated", "PlateRetired", "BoundaryCreated", "BoundaryTypeChanged", "BoundaryGeometryUpdated", "BoundaryRetired", "JunctionCreated", "JunctionUpdated", "JunctionRetired"])
+        row = {"sequence": k, "event_type": kind, "reason": f"r{k}" if kind.endswith("Retired") else None}
+        if kind.startswith("Plate"):
+            row["plate_id"] = f"p{e}"
+        elif kind.startswith("Boundary"):
+            row |= {"boundary_id": f"b{e}", "boundary_type": r.choice(["Divergent", "Transform"]), "plate_id_left": f"p{e}", "plate_id_right": "p9", "geometry": ("Polyline3", [(float(k), 0.0, 0.0)])}
+        else:
+            row |= {"junction_id": f"j{e}", "boundary_ids": r.choice([[], ["b1", "b2"]]), "location": r.choice([None, (1.0, 0.0, 0.0, float(k))])}
+        rows.append(row)
+    whole, some = events(spark, *rows), None
+    parts = rows[:]
+    r.shuffle(parts)
+    for k in range(0, 300, 60):
+        batch = events(spark, *parts[k : k + 60])
+        some = cut(log.last_writers(batch if some is None else some.unionByName(batch)))
+    assert some.count() < 100
+    for a, b in zip(log.folds(whole).values(), log.folds(some).values()):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_far_points_find_their_nearest_boundary(spark):
+    b = spark.createDataFrame([(1, 10.0, 10.0, 12.0, 11.0), (2, -170.0, -60.0, -165.0, -62.0), (3, 100.0, 85.0, 120.0, 84.0)], "boundary_id long, lon0 double, lat0 double, lon1 double, lat1 double")
+    points = [(k, float(lon), float(lat)) for k, (lon, lat) in enumerate([(11, 10), (60, 0), (178, -20), (-30, 88), (0, -88), (-120, 10)])]
+    got = {r["point_id"]: (r["boundary_id"], r["degrees"]) for r in spatial.nearest_boundary(spark.createDataFrame(points, "point_id long, lon double, lat double"), b).collect()}
+    assert len(got) == len(points)
+
+    def unit(lat, lon):
+        a, o = math.radians(lat), math.radians(lon)
+        return (math.cos(a) * math.cos(o), math.cos(a) * math.sin(o), math.sin(a))
+
+    for k, lon, lat in points:
+        best = {}
+        for r in b.collect():
+            p, q = unit(r["lat0"], r["lon0"]), unit(r["lat1"], r["lon1"])
+            steps = [tuple(x + (y - x) * s / 2000 for x, y in zip(p, q)) for s in range(2001)]
+            here = unit(lat, lon)
+            best[r["boundary_id"]] = min(math.degrees(math.acos(max(-1, min(1, sum(a * c for a, c in zip(here, s)) / math.sqrt(sum(c * c for c in s)))))) for s in steps)
+        assert got[k][0] == min(best, key=best.get) and abs(got[k][1] - min(best.values())) < 1e-3
+
+
+def test_the_flagship_answers_at_the_smallest_scale(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+    known = __spark_entry__.queries()
+    assert known["w2_chain_faults"](spark, "/root/testdata/sf0.001").count() > 0 and known["j9_missing_plates"](spark, "/root/testdata/sf0.001").count() > 0
