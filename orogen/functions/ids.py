@@ -30,6 +30,17 @@ def short_hash(*parts: Column) -> Column:
     return F.substring(content_hash(*parts), 1, 16)
 
 
+def slice_hash(stream: Column, tick: Column, frame: Column) -> Column:
+    """Names the state of a stream at a tick in a frame."""
+    return short_hash(F.lit("slice"), stream, tick, frame)
+
+
+def point_hash(lat: Column, lon: Column, tick: Column) -> Column:
+    """Names a place at a tick, in micro-degrees."""
+    micro = lambda c: F.round(c * 1e6).cast("long")
+    return short_hash(F.lit("point"), micro(lat), micro(lon), tick)
+
+
 def region_hash(spec: Column) -> Column:
     return F.sha2(F.to_json(spec), 256)
 

@@ -339,3 +339,9 @@ def double_order(x: Column) -> list[Column]:
     """Keys of a total order: numbers as they are, minus zero before zero, NaN last (Spark has NaN last, and both zeros equal)."""
     sign = F.when(x == 0, F.when(F.substring(x.cast("string"), 1, 1) == "-", 0).otherwise(1)).otherwise(0)
     return [x, sign]
+
+
+def spherical_centroid(line: Column) -> Column:
+    """The unit vector along the mean of unit points; zero where they cancel."""
+    total = F.aggregate(line, vec(0, 0, 0), vec_add)
+    return let(total, normalize)

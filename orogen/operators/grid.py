@@ -167,6 +167,13 @@ def resample(cells: DataFrame, width: int, height: int, new_width: int, new_heig
     return sums.select("tick", F.col("nr").alias("r"), F.col("nc").alias("c"), value.alias("value"))
 
 
+def zones_in(cells: DataFrame, rings: DataFrame, width: int, height: int, bounds: tuple[float, float, float, float], at: float = 0.5) -> DataFrame:
+    """r, c, plate_id: the plates whose polygons hold a place of each cell, for zonal_stats()."""
+    places = cells.select("r", "c").distinct().withColumn("point_id", F.col("r").cast("long") * width + F.col("c"))
+    places = places.withColumn("lon", cell_lon(F.col("c"), width, bounds[0], bounds[2], at)).withColumn("lat", cell_lat(F.col("r"), height, bounds[1], bounds[3], at))
+    return places.join(spatial.containing(places, rings), "point_id").select("r", "c", "plate_id")
+
+
 def zonal_stats(cells: DataFrame, zones: DataFrame) -> DataFrame:
     """count, mean, min, max of the values of each plate; zones(r, c, plate_id)."""
     return cells.join(zones, ["r", "c"]).groupBy("tick", "plate_id").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))

@@ -117,6 +117,13 @@ def strike_slip(samples: DataFrame, off: float = 1e-12) -> DataFrame:
     return s.groupBy("boundary_id").agg(F.max(F.abs(t)).alias("max_slip"), F.avg(F.abs(t)).alias("mean_slip"), F.count_if(t > off).alias("n_right"), F.count_if(t < -off).alias("n_left"))
 
 
+def without_net_rotation(rotations: DataFrame, net: DataFrame) -> DataFrame:
+    """Rotations with the net one of their tick undone (net: tick, q): what is left moves against the mantle. Ticks without a net rotation stay."""
+    undo = net.select("tick", space.quat_inverse(F.col("q")).alias("_undo"))
+    rows = rotations.join(undo, "tick", "left")
+    return rows.withColumn("q", F.when(F.col("_undo").isNull(), F.col("q")).otherwise(space.quat_multiply(F.col("_undo"), F.col("q")))).drop("_undo")
+
+
 def net_rotation(rotations: DataFrame, weight: Column) -> DataFrame:
     """Weighted mean quaternion of each tick, signs aligned with the first plate's; plates without weight are skipped. Columns tick, plate_id, q."""
     rows = rotations.withColumn("_w", weight).where("_w > 0")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..domain import sql, table
-from ..functions import space
+from ..functions import ids, space
 from ..operators import grid, motion, rates, spatial
 from ..registry import query
 from ..tables import r6
-from .grid_queries import WORLD, cells
+from .grid_queries import SHIFTED, WORLD, cells
 from .measure_queries import _AT, _ENDS, _OMEGA, _R, at, ends, omegas
+from .motion_queries import _ONE_TICK, _at_57, _mul
 
 _QS = """with s as (select segment_id, plate_id, tick_a, tick_b, radians(azimuth / 1e6) as az, radians(elevation / 1e6) as el, radians(angle / 1e6) as an from segments),
 q as (select *, cos(el)*cos(az)*sin(an/2) as x, cos(el)*sin(az)*sin(an/2) as y, sin(el)*sin(an/2) as z, cos(an/2) as w from s)
@@ -358,3 +359,50 @@ def a15_planar_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rings(spark, sf_dir)
     band = math.radians(6.0) * (F.sin(F.radians(F.col("ring")[2]["y"])) - F.sin(F.radians(F.col("ring")[0]["y"])))
     return r.select("ring_id", r6(space.planar_ring_area(F.col("ring"))).alias("area"), space.is_ccw(F.col("ring")).alias("ccw"), space.ring_mean(F.col("ring"), "x").alias("mean_x"), r6(band).alias("band"))
+
+
+@query(sql("segments boundaries plates", _ONE_TICK + """, wr as (select *, 1.0 + plate_id % 4 as wt from rot where plate_id % 5 > 0),
+f as (select x as fx, y as fy, z as fz, w as fw from wr order by plate_id limit 1), s as (select tick, wt * (case when x*fx + y*fy + z*fz + w*fw < 0 then -1 else 1 end) as k, x, y, z, w from wr, f),
+t as (select tick, sum(k*x) as x, sum(k*y) as y, sum(k*z) as z, sum(k*w) as w from s group by tick), n as (select *, sqrt(x*x + y*y + z*z + w*w) as n from t),
+u as (select tick, -x / n as x, -y / n as y, -z / n as z, w / n as w from n), left_ as (select r.plate_id, r.tick, """ + _mul("u", "r") + " from rot r join u using (tick)) select plate_id, tick, " + _R(*((c, c) for c in "xyzw")) + " from left_"))
+def a8_against_the_mantle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plates' rotations without the net rotation of all."""
+    p, turned = F.col("plate_id"), _at_57(spark, sf_dir)
+    net = rates.net_rotation(turned, F.when(p % 5 > 0, 1.0 + p % 4).otherwise(0.0))
+    return rates.without_net_rotation(turned, net).select("plate_id", "tick", *(r6(F.col(f"q.{c}")).alias(c) for c in "xyzw"))
+
+
+@query(sql("boundaries", _ENDS + ", s as (select boundary_id, ax + bx as x, ay + by_ as y, az + bz + 1 as z from g) select boundary_id, " + _R(*((f"{c} / sqrt(x*x + y*y + z*z)", c) for c in "xyz")) + " from s"))
+def a16_spherical_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the triangle of each boundary and the pole."""
+    c = ends(spark, sf_dir).select("boundary_id", space.spherical_centroid(F.array("p", "q", space.vec(0, 0, 1))).alias("c"))
+    return c.select("boundary_id", *(r6(F.col(f"c.{k}")).alias(k) for k in "xyz"))
+
+
+@query(sql("points", """select point_id, left(sha256(concat('slice', chr(10), 's' || point_id % 4, chr(10), point_id % 9, chr(10), 'mantle')), 16) as slice,
+  left(sha256(concat('point', chr(10), cast(round(lat * 1000000) as bigint), chr(10), cast(round(lon * 1000000) as bigint), chr(10), point_id % 9)), 16) as point from points"""))
+def f22_slices_and_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = table(spark, sf_dir, "points"), F.col("point_id")
+    return p.select("point_id", ids.slice_hash(F.concat(F.lit("s"), (k % 4).cast("string")), k % 9, F.lit("mantle")).alias("slice"), ids.point_hash(F.col("lat"), F.col("lon"), k % 9).alias("point"))
+
+
+@query(sql("boundaries cells", """with g as (select boundary_id as ring_id, plate_left as plate_id, boundary_id % 3 = 0 as is_hole, lon0 as w, lat0 as s, lon0 + 6 as e, lat0 + 4 as n from boundaries),
+k as (select distinct r, c, -175 + (c + 0.52) * 10 as lon, 90 - (r + 0.52) * 10 as lat from cells),
+met as (select k.r, k.c, g.plate_id, count(*) filter (where not is_hole) as o, count(*) filter (where is_hole) as h from k join g on lon > w and lon < e and lat > s and lat < n group by all)
+select tick, m.plate_id, count(value) as n, round(avg(value), 4) + 0.0 as mean, round(min(value), 4) + 0.0 as min, round(max(value), 4) + 0.0 as max from cells join met m using (r, c) where o > 0 and h = 0 group by tick, m.plate_id"""))
+def y28_zones_of_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .space_queries import rings
+
+    zones = grid.zones_in(cells(spark, sf_dir), rings(spark, sf_dir), 36, 18, SHIFTED, at=0.52)
+    stats = grid.zonal_stats(cells(spark, sf_dir), zones)
+    return stats.select("tick", "plate_id", "n", *((F.round(c, 4) + 0.0).alias(c) for c in ("mean", "min", "max")))
+
+
+@query(sql("bodies", """with k as (select body_id, ecc, m0, sqrt(6.6743e-11 * 2e30 / (a_m*a_m*a_m)) as n, atan2(sqrt(1 - ecc*ecc) * sin(1.0), ecc + cos(1.0)) as e from bodies), w as (select *, e - ecc * sin(e) - m0 - n * 1000000.0 as d from k)
+select body_id, round((1000000.0 + (d - 2 * pi() * floor(d / (2 * pi()))) / n) / 1000, 3) + 0.0 as kiloseconds from w"""))
+def y29_next_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first time after 1,000,000 s at which each body has a true anomaly of one radian."""
+    from ..operators import stellar
+
+    t = stellar.time_at_true_anomaly(F.col("a_m"), F.col("ecc"), F.col("m0"), F.lit(2e30), F.lit(1.0), F.lit(1e6))
+    return table(spark, sf_dir, "bodies").select("body_id", (F.round(t / 1000, 3) + 0.0).alias("kiloseconds"))

@@ -69,7 +69,7 @@ def y23_raster_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).where(F.col("tick").between(20, 50)).groupBy("tick").agg(F.count(F.lit(1)).alias("n"))
 
 
-WORLD, BOX = (-180.0, -90.0, 180.0, 90.0), (-95.0, -40.0, 75.0, 35.0)
+WORLD, SHIFTED, BOX = (-180.0, -90.0, 180.0, 90.0), (-175.0, -90.0, 185.0, 90.0), (-95.0, -40.0, 75.0, 35.0)
 
 
 @query(sql("cells", "select tick, r, c, case when -180 + c * 10 between -95 and 75 and 90 - r * 10 between -40 and 35 then round(value, 4) + 0.0 end as value from cells"))

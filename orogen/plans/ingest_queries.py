@@ -11,7 +11,7 @@ from ..registry import query
 from ..sources import datasets
 from ..tables import cut, new_folder, r6
 from . import products
-from .grid_queries import WORLD, cells
+from .grid_queries import SHIFTED, cells
 from .log_queries import _STATE, N, T
 from .measure_queries import _AT, _OMEGA, _xyz, at, omegas
 from .motion_queries import _ACTIVE, _FT, _ONE_TICK, _ROTATED, _at_57, _mul, links
@@ -296,12 +296,12 @@ def a19_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("boundaries cells", """with g as (select boundary_id as ring_id, plate_left as plate_id, boundary_id % 3 = 0 as is_hole, lon0 as w, lat0 as s, lon0 + 6 as e, lat0 + 4 as n, 10 * (1 + boundary_id % 7) as tick from boundaries),
-k as (select distinct tick, r, c, -180 + (c + 0.52) * 10 as lon, 90 - (r + 0.52) * 10 as lat from cells),
+k as (select distinct tick, r, c, -175 + (c + 0.52) * 10 as lon, 90 - (r + 0.52) * 10 as lat from cells),
 met as (select k.tick, k.r, k.c, g.plate_id, count(*) filter (where not is_hole) as o, count(*) filter (where is_hole) as h from k join g on g.tick = k.tick and lon > w and lon < e and lat > s and lat < n group by all),
 i as (select distinct tick, r, c from met where o > 0 and h = 0)
 select x.tick, x.r, x.c, case when i.r is not null then round(value, 4) + 0.0 end as value from cells x left join i on i.tick = x.tick and i.r = x.r and i.c = x.c"""))
 def y25_raster_mask_by_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings that hold at one tick each mask the frame of that tick."""
     own = rings(spark, sf_dir).withColumn("tick", 10 * (1 + F.col("ring_id") % 7))
-    masked = grid.mask_plates_by_tick(cells(spark, sf_dir), own, 36, 18, WORLD, at=0.52)
+    masked = grid.mask_plates_by_tick(cells(spark, sf_dir), own, 36, 18, SHIFTED, at=0.52)
     return masked.select("tick", "r", "c", (F.round("value", 4) + 0.0).alias("value"))

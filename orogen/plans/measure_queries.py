@@ -10,7 +10,7 @@ from ..functions import space
 from ..operators import grid, motion, rates, topology
 from ..registry import query
 from ..tables import r6
-from .grid_queries import WORLD, cells
+from .grid_queries import SHIFTED, cells
 from .motion_queries import _ONE_TICK, _at_57, _mul
 from .plate_queries import _GRID, _grid_map
 from .space_queries import _RINGS, rings
@@ -136,11 +136,11 @@ def j14_match_boundary_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.match_ends(incidents, m["positions"], first).select("boundary_id", F.col("start").alias("start_junction"), F.col("end").alias("end_junction"))
 
 
-@query(sql("boundaries cells", f"""with {_RINGS}, k as (select distinct r, c, -180 + (c + 0.52) * 10 as lon, 90 - (r + 0.52) * 10 as lat from cells),
+@query(sql("boundaries cells", f"""with {_RINGS}, k as (select distinct r, c, -175 + (c + 0.52) * 10 as lon, 90 - (r + 0.52) * 10 as lat from cells),
 met as (select k.r, k.c, g.plate_id, count(*) filter (where not is_hole) as o, count(*) filter (where is_hole) as h from k join rings g on lon > w and lon < e and lat > s and lat < n group by all),
 i as (select distinct r, c from met where o > 0 and h = 0)
 select tick, x.r, x.c, case when i.r is not null then round(value, 4) + 0.0 end as value from cells x left join i on i.r = x.r and i.c = x.c"""))
 def y25_raster_mask_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tested a little off the centres, as these lie on edges of the rings."""
-    masked = grid.mask_plates(cells(spark, sf_dir), rings(spark, sf_dir), 36, 18, WORLD, at=0.52)
+    """A raster that begins at 175 degrees west, tested a little off the centres, as these lie on edges of the rings."""
+    masked = grid.mask_plates(cells(spark, sf_dir), rings(spark, sf_dir), 36, 18, SHIFTED, at=0.52)
     return masked.select("tick", "r", "c", (F.round("value", 4) + 0.0).alias("value"))

@@ -169,7 +169,10 @@ pt as (select point_id, cos(radians(lat))*cos(radians(lon)) as x, cos(radians(la
 n as (select *, sqrt(power(ay*bz-az*by_,2)+power(az*bx-ax*bz,2)+power(ax*by_-ay*bx,2)) as m, ay*bz-az*by_ as qx, az*bx-ax*bz as qy, ax*by_-ay*bx as qz from g),
 d as (select point_id, boundary_id, case when m > 0 and (qy*az-qz*ay)*x+(qz*ax-qx*az)*y+(qx*ay-qy*ax)*z >= 0 and (by_*qz-bz*qy)*x+(bz*qx-bx*qz)*y+(bx*qy-by_*qx)*z >= 0 then abs(asin((x*qx+y*qy+z*qz)/m))
   else least(acos(least(1.0, x*ax+y*ay+z*az)), acos(least(1.0, x*bx+y*by_+z*bz))) end as r from pt, n)
-select point_id, arg_min(boundary_id, {'r': round(degrees(r), 9), 'b': boundary_id}) as boundary_id, round(degrees(min(r)), 4) + 0.0 as degrees from d group by point_id"""))
+, m as (select point_id, arg_min(boundary_id, {'r': round(degrees(r), 9), 'b': boundary_id}) as boundary_id, round(degrees(min(r)), 4) + 0.0 as degrees from d group by point_id)
+select m.*, boundary_type, plate_left, plate_right from m join boundaries using (boundary_id)"""))
 def j16_nearest_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "boundaries").select("boundary_id", "lon0", "lat0", "lon1", "lat1")
-    return spatial.nearest_boundary(table(spark, sf_dir, "points"), b).select("point_id", "boundary_id", (F.round("degrees", 4) + 0.0).alias("degrees"))
+    """With the type of the nearest boundary and the plates beside it."""
+    b = table(spark, sf_dir, "boundaries")
+    found = spatial.nearest_boundary(table(spark, sf_dir, "points"), b.select("boundary_id", "lon0", "lat0", "lon1", "lat1"))
+    return found.join(b, "boundary_id").select("point_id", "boundary_id", (F.round("degrees", 4) + 0.0).alias("degrees"), "boundary_type", "plate_left", "plate_right")
