@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +32,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths of the tables kept so far, for temporary().
+_KEPT: list[str] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are kept inside are deleted at the end, when what was made of them has been written."""
+    first = len(_KEPT)
+    try:
+        yield
+    finally:
+        delete(spark, _KEPT[first:])
+        del _KEPT[first:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keep(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
@@ -38,6 +61,7 @@ def keep(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    _KEPT.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
 
