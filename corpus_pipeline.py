@@ -7,33 +7,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from orogen.llm import decontamination, packing, paragraphs, quality, simhash
-from orogen.llm.base import crc32_of_id, read, shared_folder
+from orogen.llm.base import crc32_of_id, delete, read, shared_folder, temporary
 from orogen.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts have the score of an empty text."""
     model = quality.learned(docs, read(spark, sf_dir, "labels"), crc32_of_id() % 5 != 0)
     return quality.accepted(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id."""
+    """One document of each group of near-duplicates stays, that of the smallest doc_id, null ids last.
+
+    All texts without words are one group. Of rows with one doc_id (or none) and one text one stays.
+    """
     return simhash.one_of_each(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages stay in the first document that has them."""
+    """Passages stay in the first document that has them. Rows with a null text or doc_id stay as they are."""
     return paragraphs.without_repeats(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a test item go."""
+    """Documents with a test item go, each row judged by its text alone; null texts stay."""
     return decontamination.without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences. A null text is an empty document; rows that repeat an id are documents of their own."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -45,7 +48,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: SQL cannot fit the classifier or draw the MinHash bands; tests hold run() against brute-force versions.
+#: SQL cannot fit the classifier; tests/llm/test_pipeline.py holds each stage and run() against brute-force versions.
 ORACLE_SQL = None
 
 
@@ -54,6 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, [f"{folder}/{k - 1}"])
     return docs
