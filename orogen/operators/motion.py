@@ -98,7 +98,7 @@ def active_link(ticks: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def frame_chains(ticks: DataFrame, links: DataFrame, roots: list[str]) -> DataFrame:
-    """frame, tick, q to the root and is_valid: links are followed until a root; missing links and cycles are invalid.
+    """frame, tick, q to the root, via (the bases on the way) and is_valid: links are followed until a root; missing links and cycles are invalid.
 
     The link of every frame that can be reached is found tick by tick first; then each (frame, tick) points at
     its base, and pointers and products are doubled until none moves: about log2 of the longest chain rounds. A
@@ -116,21 +116,22 @@ def frame_chains(ticks: DataFrame, links: DataFrame, roots: list[str]) -> DataFr
     step = found.select("frame", "tick", F.col("base_frame").alias("to"), "q")
     state = cut(
         seen.join(step, ["frame", "tick"], "left").select(
-            "frame", "tick", F.when(~F.col("frame").isin(roots), F.col("to")).alias("to"), F.coalesce("q", space.quat(*_IDENTITY)).alias("q"), (F.col("to").isNotNull() | F.col("frame").isin(roots)).alias("is_valid")
+            "frame", "tick", F.when(~F.col("frame").isin(roots), F.col("to")).alias("to"), F.coalesce("q", space.quat(*_IDENTITY)).alias("q"),
+            F.when(F.col("to").isNull(), F.array().cast("array<string>")).otherwise(F.array("to")).alias("via"), (F.col("to").isNotNull() | F.col("frame").isin(roots)).alias("is_valid"),
         )
     )
     rounds, most = 0, max(1, seen.select("frame").distinct().count())
     while 2**rounds <= 2 * most and not state.where("to is not null").isEmpty():
-        other = state.select(F.col("frame").alias("to"), "tick", F.col("to").alias("to2"), F.col("q").alias("q2"), F.col("is_valid").alias("v2"))
+        other = state.select(F.col("frame").alias("to"), "tick", F.col("to").alias("to2"), F.col("q").alias("q2"), F.col("via").alias("via2"), F.col("is_valid").alias("v2"))
         state = cut(
             state.join(other, ["to", "tick"], "left").select(
                 "frame", "tick", F.col("to2").alias("to"), F.when(F.col("q2").isNull(), F.col("q")).otherwise(space.compose(F.col("q"), F.col("q2"))).alias("q"),
-                (F.col("is_valid") & F.coalesce("v2", F.lit(True))).alias("is_valid"),
+                F.concat("via", F.coalesce("via2", F.array().cast("array<string>"))).alias("via"), (F.col("is_valid") & F.coalesce("v2", F.lit(True))).alias("is_valid"),
             )
         )
         rounds += 1
     own = ticks.select("frame", "tick").distinct()
-    return own.join(state, ["frame", "tick"]).select("frame", "tick", "q", (F.col("is_valid") & F.col("to").isNull()).alias("is_valid"))
+    return own.join(state, ["frame", "tick"]).select("frame", "tick", "q", "via", (F.col("is_valid") & F.col("to").isNull()).alias("is_valid"))
 
 
 def frame_transform(pairs: DataFrame, chains: DataFrame) -> DataFrame:
@@ -142,6 +143,12 @@ def frame_transform(pairs: DataFrame, chains: DataFrame) -> DataFrame:
     return rows.select("from_frame", "to_frame", "tick", F.when(valid, space.compose(F.col("qa"), space.quat_inverse(F.col("qb")))).alias("q"), valid.alias("is_valid"))
 
 
+def evaluation_chains(pairs: DataFrame, chains: DataFrame) -> DataFrame:
+    """pairs(from_frame, to_frame, tick) with the frames that a transform goes through: from the first to its root, then from the second to its own."""
+    side = lambda f, v: chains.where("is_valid").select(F.col("frame").alias(f), "tick", F.concat(F.array("frame"), "via").alias(v))
+    return pairs.join(side("from_frame", "_a"), ["from_frame", "tick"]).join(side("to_frame", "_b"), ["to_frame", "tick"]).select("from_frame", "to_frame", "tick", F.concat("_a", "_b").alias("chain"))
+
+
 def merge_links(links: DataFrame) -> DataFrame:
     """Drop identity links, then merge neighbours (by hint, start) of one frame and base when both are always valid or ranges touch."""
     w = Window.partitionBy("frame").orderBy(F.asc_nulls_last("sequence_hint"), "from_tick", "position")

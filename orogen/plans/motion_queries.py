@@ -222,3 +222,24 @@ def w12_merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w13_overlapping_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = links(spark, sf_dir).withColumn("from_tick", F.col("from_tick") - F.length("frame") % 2).withColumn("to_tick", F.col("to_tick") + F.col("position") % 3)
     return motion.overlapping_links(x).select("frame", "base_frame", "from_tick", "to_tick", "next_from")
+
+
+@query(_FT + "u as (select frame, tick from t union select 'f' || k, tick from t, (values (0), (1), (2), (3)) v(k)), " + _ACTIVE.format(t="u") + """
+, one as (select * from act where k = 1),
+c as (select u.frame, u.tick, case when a.base_frame = 'mantle' then u.frame || '>mantle' when b.base_frame is not null then u.frame || '>' || a.base_frame || '>mantle' end as way from u left join one a on a.frame = u.frame and a.tick = u.tick left join one b on b.frame = a.base_frame and b.tick = u.tick)
+select x.frame as from_frame, 'f0' as to_frame, x.tick, x.way || '>' || y.way as chain from (select c.* from c join t using (frame, tick)) x join c y on y.frame = 'f0' and y.tick = x.tick where x.way is not null and y.way is not null""")
+def u4_evaluation_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = frame_ticks(spark, sf_dir)
+    all_ = t.unionByName(t.select(F.lit("f0").alias("frame"), "tick")).distinct()
+    pairs = t.select(F.col("frame").alias("from_frame"), F.lit("f0").alias("to_frame"), "tick")
+    found = motion.evaluation_chains(pairs, motion.frame_chains(all_, links(spark, sf_dir), ["mantle"]))
+    return found.select("from_frame", "to_frame", "tick", F.array_join("chain", ">").alias("chain"))
+
+
+_OMEGAS = _paths("select 1", 32).split("seed as (")[0].rstrip().rstrip(",")
+
+
+@query(sql("segments plates", _OMEGAS + "\nselect p.plate_id, t.tick, round(coalesce(ox, 0), 6) + 0.0 as x, round(coalesce(oy, 0), 6) + 0.0 as y, round(coalesce(oz, 0), 6) + 0.0 as z from plates p cross join (select unnest(range(0, 31, 2)) as tick) t left join om o on o.plate_id = p.plate_id and o.tick = t.tick"))
+def y6_omegas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axis and speed of every plate at every second tick up to 30, gaps between segments too."""
+    return path_omegas(spark, sf_dir, 30).select("plate_id", "tick", *(r6(F.col(f"omega.{c}")).alias(c) for c in "xyz"))
