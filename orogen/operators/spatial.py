@@ -6,6 +6,8 @@ that do not cross ±180 (split them there first).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,18 +78,25 @@ def slice_plane(points: DataFrame, u: Column, v: Column, width: float, height: f
 def arc_distance(p: Column, a: Column, b: Column) -> Column:
     """Angle from a point to a great-circle arc: to its plane where the foot lies on it, else to the nearer end."""
     n = space.normalize(space.cross(a, b))
-    side = space.dot(p, n)
-    foot = (space.dot(space.cross(n, a), p) >= 0) & (space.dot(space.cross(b, n), p) >= 0)
-    ends = F.least(space.great_circle_angle(p, a), space.great_circle_angle(p, b))
-    return F.when(foot & (space.norm(n) > 0), F.abs(F.asin(space.clamp(side, -1.0, 1.0)))).otherwise(ends)
+    return _distance(p, a, b, n, space.cross(n, a), space.cross(b, n))
+
+
+def _distance(p: Column, a: Column, b: Column, n: Column, after: Column, before: Column) -> Column:
+    """arc_distance() from the arc's normal n, n x a and b x n, which are worth computing once for each arc."""
+    foot = (space.dot(after, p) >= 0) & (space.dot(before, p) >= 0) & (space.dot(n, n) > 0)
+    ends = F.acos(space.clamp(F.greatest(space.dot(p, a), space.dot(p, b)), -1.0, 1.0))
+    return F.when(foot, F.abs(F.asin(space.clamp(space.dot(p, n), -1.0, 1.0)))).otherwise(ends)
 
 
-def nearest_boundary(points: DataFrame, boundaries: DataFrame, reach_deg: float = 5.0) -> DataFrame:
+def nearest_boundary(points: DataFrame, boundaries: DataFrame, reach_deg: float | None = None) -> DataFrame:
     """point_id, boundary_id, degrees: the nearest boundary of each point (columns point_id, lon, lat; lon0, lat0, lon1, lat1).
 
-    Points that have none within the reach are looked up again with twice the reach, up to the whole sphere.
+    Points that have none within the reach are looked up again with twice the reach, up to the whole sphere. The
+    first reach, where none is given, follows the number of boundaries: a few should be within it on average.
     Distances that are equal to 1e-9 degrees go to the least id. No boundaries give no rows.
     """
+    if reach_deg is None:
+        reach_deg = min(5.0, max(0.1, 2 * math.sqrt(41_253 / max(1, boundaries.count()))))  # square degrees of the sphere
     found, left, reach = None, points.select("point_id", "lon", "lat"), reach_deg
     while True:
         some = cut(within_reach(left, boundaries, reach))
@@ -110,13 +119,15 @@ def within_reach(points: DataFrame, boundaries: DataFrame, reach_deg: float) ->
     wide = F.least(reach_deg / F.cos(F.radians(top)), F.lit(180.0))
     low = F.floor((F.least("lon0", "lon1") - wide + 180) / size).cast("int")
     high = F.least(F.floor((F.greatest("lon0", "lon1") + wide + 180) / size).cast("int"), low + cols - 1)
-    dealt = boundaries.withColumn("_bx", F.explode(F.sequence(low, high))).withColumn("_bx", F.pmod("_bx", F.lit(cols)))
+    unit = lambda la, lo: space.latlon_to_unit(F.col(la), F.col(lo))
+    arcs = boundaries.withColumns({"_a": unit("lat0", "lon0"), "_b": unit("lat1", "lon1")})
+    arcs = arcs.withColumn("_n", space.normalize(space.cross(F.col("_a"), F.col("_b"))))
+    arcs = arcs.withColumns({"_after": space.cross(F.col("_n"), F.col("_a")), "_before": space.cross(F.col("_b"), F.col("_n"))})
+    dealt = arcs.withColumn("_bx", F.explode(F.sequence(low, high))).withColumn("_bx", F.pmod("_bx", F.lit(cols)))
     y = lambda c: F.floor((F.least(F.greatest(c, F.lit(-90.0)), F.lit(90.0)) + 90) / size).cast("int")
     dealt = dealt.withColumn("_by", F.explode(F.sequence(y(F.least("lat0", "lat1") - reach_deg), y(F.greatest("lat0", "lat1") + reach_deg))))
-    unit = lambda la, lo: space.latlon_to_unit(F.col(la), F.col(lo))
-    dealt = dealt.select("_bx", "_by", "boundary_id", unit("lat0", "lon0").alias("_a"), unit("lat1", "lon1").alias("_b"))
     at = points.select("point_id", unit("lat", "lon").alias("_p"), F.pmod(F.floor((F.col("lon") + 180) / size).cast("int"), F.lit(cols)).alias("_bx"), y(F.col("lat")).alias("_by"))
-    d = F.degrees(arc_distance(F.col("_p"), F.col("_a"), F.col("_b")))
+    d = F.degrees(_distance(*(F.col(c) for c in ("_p", "_a", "_b", "_n", "_after", "_before"))))
     met = at.join(dealt, ["_bx", "_by"]).select("point_id", "boundary_id", d.alias("d")).where(F.col("d") <= reach_deg)
     return met.groupBy("point_id").agg(F.min(F.struct(F.round("d", 9).alias("r"), "boundary_id", "d")).alias("m")).select("point_id", F.col("m.boundary_id").alias("boundary_id"), F.col("m.d").alias("degrees"))
 
