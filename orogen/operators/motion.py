@@ -246,6 +246,21 @@ def velocity_in_frame(points: DataFrame, omegas: DataFrame, anchor: int | None =
     return rows.withColumn("speed", space.norm(F.col("v"))).withColumn("azimuth", F.when(F.col("speed") > space.EPS, space.azimuth(F.col("p"), F.col("v"))))
 
 
+def velocity_in_custom_frame(points: DataFrame, omegas: DataFrame, chains: DataFrame, frame: str) -> DataFrame:
+    """velocity_in_frame() for a frame that is defined by links, tick by tick: it moves with the plate that its chain ends at.
+
+    points(plate_id, tick, p), omegas(plate_id, tick, omega), chains: frame_chains() with roots such as `plate:7`
+    and `mantle`. A frame on the mantle stands still; there are no rows at ticks where the frame is not valid.
+    """
+    anchor = F.regexp_extract(F.element_at("via", -1), r"^plate:(\d+)$", 1)
+    own = chains.where((F.col("frame") == frame) & F.col("is_valid")).select("tick", F.when(anchor != "", anchor.cast("long")).alias("_anchor"))
+    moving = omegas.select(F.col("plate_id").alias("_anchor"), "tick", F.col("omega").alias("_frame"))
+    at = own.join(moving, ["_anchor", "tick"], "left").select("tick", F.coalesce("_frame", space.vec(0, 0, 0)).alias("_frame"))
+    seen = omegas.join(at, "tick").select("plate_id", "tick", space.vec_sub(F.col("omega"), F.col("_frame")).alias("_omega"))
+    rows = points.join(seen, ["plate_id", "tick"]).withColumn("v", space.linear_velocity(F.col("_omega"), F.col("p"))).drop("_omega")
+    return rows.withColumn("speed", space.norm(F.col("v"))).withColumn("azimuth", F.when(F.col("speed") > space.EPS, space.azimuth(F.col("p"), F.col("v"))))
+
+
 def rotations_in_frame(rotations: DataFrame, anchor: int) -> DataFrame:
     """Each plate's rotation (plate_id, tick, q) as seen from the anchor plate; no rows at ticks without the anchor."""
     own = rotations.where(F.col("plate_id") == anchor).select("tick", space.quat_inverse(F.col("q")).alias("_frame"))

@@ -81,6 +81,22 @@ def y10_velocity_in_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("point_id", r6(F.col("speed")).alias("speed"), r6(F.degrees("azimuth")).alias("azimuth"))
 
 
+@query(sql("points plates", _SEEN.format(7) + """, a as (select point_id, sqrt(vx*vx + vy*vy + vz*vz) as s, atan2(-vx*sin(lo) + vy*cos(lo), -vx*sin(la)*cos(lo) - vy*sin(la)*sin(lo) + vz*cos(la)) as az from v)
+select point_id, 5::bigint as tick, round(s, 6) + 0.0 as speed, case when s > 1e-9 then round(degrees(case when az < 0 then az + 2*pi() else az end), 6) + 0.0 end as azimuth from a"""))
+def y10_velocity_in_custom_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each nation stands on the frame before it or, the first of every five, on the plate two further on; seen from the frame that ends at plate 7."""
+    n, name = F.col("n_nationkey"), lambda c: F.concat(F.lit("c"), c.cast("string"))
+    links = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        name(n).alias("frame"), n.cast("long").alias("position"), F.when(n % 5 == 0, F.concat(F.lit("plate:"), (n + 2).cast("string"))).otherwise(name(n - 1)).alias("base_frame"),
+        F.lit(None).cast("long").alias("from_tick"), F.lit(None).cast("long").alias("to_tick"), F.lit(None).cast("int").alias("sequence_hint"), space.from_axis_angle(space.vec(0, 0, 1), n * 0.1).alias("q"),
+    )
+    ticks = links.select("frame", F.lit(5).cast("long").alias("tick"))
+    chains = motion.frame_chains(ticks, links, ["mantle", *(f"plate:{k}" for k in range(25))])
+    at_tick = lambda rows: rows.withColumn("tick", F.lit(5).cast("long"))
+    seen = motion.velocity_in_custom_frame(at_tick(at(spark, sf_dir)), at_tick(omegas(spark, sf_dir)), chains, "c8")
+    return seen.select("point_id", "tick", r6(F.col("speed")).alias("speed"), r6(F.degrees("azimuth")).alias("azimuth"))
+
+
 @query("select c_custkey, round(c_acctbal - 1.96 * (c_custkey % 10), 6) + 0.0 as low, round(c_acctbal + 1.96 * (c_custkey % 10), 6) + 0.0 as high from customer")
 def f17_rate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
