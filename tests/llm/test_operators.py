@@ -332,8 +332,8 @@ def test_near_duplicates_equal_all_pairs(spark, docs, odd, none):
 
 def test_ball_hashing_finds_every_pair_within_the_radius(spark):
     r = random.Random(8)
-    fps = {r.getrandbits(64) for _ in range(60)}
-    for b in sorted(fps)[:40]:
+    fps = {r.getrandbits(64) for _ in range(24)}
+    for b in sorted(fps)[:16]:
         for flips in (1, 3, 4, 5, 8):
             fps.add(b ^ sum(1 << k for k in r.sample(range(64), flips)))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
