@@ -119,7 +119,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, count: int | None = No
             heavy = keep(sent.groupBy("block").agg(F.sum(weight.cast("long")).alias("n")).where(F.col("n") > most).select("block"))
             heavy = None if heavy.isEmpty() else heavy
         light = sent if heavy is None else sent.join(heavy, "block", "left_anti")
-        # Blocks of one fingerprint have nothing to compare.
+        if links is not None:  # most blocks of many leading bits hold one fingerprint and have nothing to compare
+            light = light.join(light.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"), "block", "left_semi")
         one = light.groupBy("block").applyInPandas(_block(bits, half), "a long, b long")
         links = one if links is None else links.unionByName(one)
         if heavy is None:
