@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprint, langid, packing, paragraphs, quality, sharding, simhash, spelling, urlfilter
+from . import chat, decontamination, fingerprint, langid, negatives, packing, paragraphs, quality, sharding, simhash, spelling, urlfilter
 from .base import crc32_of_id, read
 
 
@@ -69,11 +69,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.relabelled(read(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_url_filter, op2_decontamination, op3_language_id, op4_sharding, op5_simhash,
         op6_chat_preferences, op7_packing, op8_quality, op9_fingerprint, op10_substring_dedup,
-        op11_spelling_variants,
+        op11_spelling_variants, op12_hard_negatives,
     )
     return {f.__name__: f for f in own}
 
@@ -95,4 +100,4 @@ group by p.page_id, p.host, p.path
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1_SQL, "op6_chat_preferences": chat.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL}
+    return {"op1_url_filter": _OP1_SQL, "op6_chat_preferences": chat.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL}
