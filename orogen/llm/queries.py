@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprint, langid, negatives, packing, paragraphs, quality, sharding, simhash, spelling, urlfilter
+from . import chat, decontamination, fingerprint, langid, negatives, ngrams, packing, paragraphs, quality, sharding, simhash, spelling, urlfilter
 from .base import crc32_of_id, read
 
 
@@ -74,11 +74,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scores(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_url_filter, op2_decontamination, op3_language_id, op4_sharding, op5_simhash,
         op6_chat_preferences, op7_packing, op8_quality, op9_fingerprint, op10_substring_dedup,
-        op11_spelling_variants, op12_hard_negatives,
+        op11_spelling_variants, op12_hard_negatives, op13_lm_scores,
     )
     return {f.__name__: f for f in own}
 
