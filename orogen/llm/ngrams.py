@@ -22,7 +22,7 @@ GROWTH = 1.25
 COMMON, COMMON_BYTES = 1 << 18, 64
 #: Bytes of a filter that is broadcast; a larger one is probed by a shuffle of the n-grams, with the same result.
 FILTER_BYTES = 128 << 20
-LEAST_SLICES, SLICE_ROWS = 1 << 12, 1 << 18
+LEAST_SLICES, SLICE_ROWS = 1 << 10, 1 << 18
 END = b""
 #: The low bits of an n-gram's key name the class of its context, those of a word's key the class that words have.
 CLASSES = 64
