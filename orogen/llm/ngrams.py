@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ LEAST_SLICES, SLICE_ROWS = 1 << 10, 1 << 18
 END = b""
 #: The low bits of an n-gram's key name the class of its context, those of a word's key the class that words have.
 CLASSES = 64
-WORDS, TOGETHER = CLASSES - 1, 1 << 20
+WORDS = CLASSES - 1
+#: Bytes of texts whose n-grams are counted together, and words whose counts are.
+TOGETHER, WORDS_TOGETHER = 8 << 20, 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -56,9 +59,28 @@ def _of_class(key: np.ndarray, number: np.ndarray | int) -> np.ndarray:
     return (key & ~np.uint64(CLASSES - 1)) | np.asarray(number, np.uint64)
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: bytes | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased, then the end."""
-    return [*(text.encode().lower().split() if text else ()), END]
+    own = text.lower().split() if text else []
+    own.append(END)
+    return own
+
+
+def _grouped(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+    """Some batches in one (the last column is the texts), so that a word that many texts have is looked up once."""
+    waiting, size = None, 0
+    for columns in batches:
+        waiting = columns if waiting is None else [a + b for a, b in zip(waiting, columns)]
+        size += sum(len(t) for t in columns[-1] if t)
+        if size >= TOGETHER:
+            yield waiting
+            waiting, size = None, 0
+    if waiting is not None:
+        yield waiting
+
+
+def _utf8(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text", F.col("text").cast("binary"))
 
 
 @dataclass
@@ -83,7 +105,7 @@ class Model:
 class Passage:
     """The tokens of some texts in one row: their n-grams' keys by order, and where each text begins."""
 
-    def __init__(self, texts: list[str | None], model: Model):
+    def __init__(self, texts: list[bytes | None], model: Model):
         from xxhash import xxh64_intdigest
 
         flat: list[bytes] = []
@@ -94,20 +116,24 @@ class Passage:
             lengths.append(len(own))
         self.lengths = np.array(lengths, np.int64)
         self.begins = self.lengths.cumsum() - self.lengths
-        number = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+        number = dict.fromkeys(flat)
         self.words = list(number)
+        number.update(zip(self.words, range(len(self.words))))
         self.at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        hashes = np.fromiter((xxh64_intdigest(w, 42) for w in self.words), np.uint64, len(self.words))
+        hashes = np.fromiter(map(xxh64_intdigest, self.words, repeat(42)), np.uint64, len(self.words))
         #: Exact counts of common words, -1 for the others.
-        self.exact = np.fromiter((model.common.get(w, -1) for w in self.words), np.int64, len(self.words))
+        self.exact = np.fromiter(map(model.common.get, self.words, repeat(-1)), np.int64, len(self.words))
         classes = np.where(self.exact < 0, 0, 1 + np.minimum(level_of(self.exact) // 2, 46))
         end = np.uint64(xxh64_intdigest(END, 42))
-        context, self.keys, self.classes = hashes[self.at], [_of_class(hashes[self.at], WORDS)], [None]
+        context = hashes[self.at]
+        #: Keys of the different words, and of each place's longer n-grams with their contexts' classes, by order.
+        self.word_keys, self.keys, self.classes = _of_class(hashes, WORDS), [], []
+        self.end = number.get(END, 0)
         start = end
         for m in range(2, model.order + 1):
             before = self._before(context, start)
             context = _mixed(_mixed(before * _ODD[0]) + hashes[self.at])
-            kind = self._before(classes[self.at], classes[number[END]] if END in number else 0) if m == 2 else np.full(len(flat), 46 + m)
+            kind = self._before(classes[self.at], classes[self.end] if len(classes) else 0) if m == 2 else np.full(len(flat), 46 + m)
             self.keys.append(_of_class(context, kind))
             self.classes.append(kind)
             start = _mixed(np.array([start]) * _ODD[0] + end)[0]
@@ -126,14 +152,16 @@ class Passage:
         """
         if not len(self.at):
             return np.zeros(0)
-        unique, where = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = COUNT_OF[levels(unique)][where].reshape(len(self.keys), -1)
-        p, texts = model.unigram(counts[0]), COUNT_OF[levels(self.keys[0][self.begins[:1] + self.lengths[:1] - 1])][0]
-        for m in range(1, len(self.keys)):
-            context = self._before(counts[m - 1], texts)
-            seen = np.minimum(1.0, counts[m] / np.maximum(context, 1.0))
-            back = np.where(context > 0, model.back_off[self.classes[m]], 1.0)
-            p = (1 - back) * seen + back * p
+        of_word = COUNT_OF[levels(self.word_keys)]
+        context, texts = of_word[self.at], of_word[self.end]
+        p = model.unigram(context)
+        for keys, kind in zip(self.keys, self.classes):
+            unique, where = np.unique(keys, return_inverse=True)
+            counts = COUNT_OF[levels(unique)][where]
+            context = self._before(context, texts)
+            seen = np.minimum(1.0, counts / np.maximum(context, 1.0))
+            back = np.where(context > 0, model.back_off[kind], 1.0)
+            p, context = (1 - back) * seen + back * p, counts
         return np.add.reduceat(np.log10(p), self.begins)
 
 
@@ -144,13 +172,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (its bytes; none for the end), n."""
 
     def each(batches: Iterator[list[list]]) -> Iterator[list]:
+        found: Counter[bytes] = Counter()
         for (texts,) in batches:
-            found = Counter()
             for text in texts:
                 found.update(tokens(text))
-            yield [list(found), list(found.values())]
+            if len(found) >= WORDS_TOGETHER:
+                yield [list(found), list(found.values())]
+                found = Counter()
+        yield [list(found), list(found.values())]
 
-    return map_batches(docs, ["text"], each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(_utf8(docs), ["text"], each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _common(words: DataFrame, most: int) -> dict[bytes, int]:
@@ -163,7 +194,10 @@ def _common(words: DataFrame, most: int) -> dict[bytes, int]:
         if total > most:
             break
         least = 2**power
-    return {} if least is None else {bytes(r["word"]): r["n"] for r in short.where(F.col("n") >= least).collect()}
+    if least is None:
+        return {}
+    rows = short.where(F.col("n") >= least).select("word", "n").toArrow()
+    return dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
 
 
 def gram_counts(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,31 +205,26 @@ def gram_counts(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[list[list]]) -> Iterator[list]:
-        waiting: list[np.ndarray] = []
-        for (texts,) in batches:
-            waiting += Passage(texts, shared.value).keys[1:] if texts else []
-            if sum(map(len, waiting)) >= TOGETHER:
-                yield _counted(waiting)
-                waiting = []
-        if waiting:
-            yield _counted(waiting)
+        for (texts,) in _grouped(batches):
+            if texts:
+                unique, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *Passage(texts, shared.value).keys]), return_counts=True)
+                yield [unique.view(np.int64), n]
 
-    return map_batches(docs, ["text"], each, "key long, n long")
-
-
-def _counted(keys: list[np.ndarray]) -> list[np.ndarray]:
-    unique, n = np.unique(np.concatenate(keys), return_counts=True)
-    return [unique.view(np.int64), n]
+    return map_batches(_utf8(docs), ["text"], each, "key long, n long")
 
 
 # --- the filter
 
 
-def _places(keys: np.ndarray, level: np.ndarray | int, k: int, bits: np.ndarray | int) -> np.ndarray:
-    """Where the k-th hash of a key's level stands among so many bits (fewer than 2**32)."""
+def _hashed(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a key's level, of which all HASHES are made."""
     h = _mixed(keys + np.asarray(level, np.uint64) * _ODD[0])
-    h = h + np.uint64(k) * ((h << np.uint64(32)) | (h >> np.uint64(32)) | np.uint64(1))
-    return ((h >> np.uint64(32)) * np.asarray(bits, np.uint64)) >> np.uint64(32)
+    return h, (h << np.uint64(32)) | (h >> np.uint64(32)) | np.uint64(1)
+
+
+def _place(h: np.ndarray, step: np.ndarray, k: int, bits: np.ndarray | int) -> np.ndarray:
+    """Where the k-th hash stands among so many bits (fewer than 2**32)."""
+    return ((((h + np.uint64(k) * step) >> np.uint64(32)) * np.asarray(bits, np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
 def filter_slice(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -204,21 +233,22 @@ def filter_slice(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     last = np.cumsum(levels)
     size = 8 * max(1, -(-int(levels.sum()) * BITS // 64))
     bits = np.zeros(8 * size, np.uint8)
-    every = np.repeat(keys, levels)
-    level = np.arange(len(every)) - np.repeat(last - levels, levels) + 1
+    level = np.arange(last[-1] if len(last) else 0) - np.repeat(last - levels, levels) + 1
+    h, step = _hashed(np.repeat(keys, levels), level)
     for k in range(HASHES):
-        bits[_places(every, level, k, 8 * size).astype(np.int64)] = 1
+        bits[_place(h, step, k, 8 * size)] = 1
     return np.packbits(bits)
 
 
 class Slices:
     """Slices of a filter in one array."""
 
-    def __init__(self, parts: list[tuple[int, bytes]], slices: int):
-        self.bytes = np.frombuffer(b"".join(b for _, b in parts), np.uint8)
+    def __init__(self, parts: Iterable[tuple[int, bytes]], slices: int, size: int):
+        self.bytes = np.empty(size, np.uint8)
         self.first, self.bits = np.zeros(slices, np.int64), np.zeros(slices, np.uint64)
         at = 0
         for number, b in parts:
+            self.bytes[at : at + len(b)] = np.frombuffer(b, np.uint8)
             self.first[number], self.bits[number] = at, 8 * len(b)
             at += len(b)
 
@@ -226,13 +256,16 @@ class Slices:
         """The highest level of each key (of the slice `at`): levels are probed from the first up to one that is not there."""
         out = np.zeros(len(keys), np.int64)
         live = np.flatnonzero(self.bits[at] > 0)
+        first, bits = self.first[at[live]], self.bits[at[live]]
         level = 0
         while len(live):
             level += 1
+            h, step = _hashed(keys[live], level)
             for k in range(HASHES):
-                own = at[live]
-                place = _places(keys[live], level, k, self.bits[own]).astype(np.int64)
-                live = live[(self.bytes[self.first[own] + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+                place = _place(h, step, k, bits)
+                there = (self.bytes[first + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+                if not there.all():
+                    live, first, bits, h, step = live[there], first[there], bits[there], h[there], step[there]
             out[live] = level
         return out
 
@@ -273,23 +306,24 @@ def _back_off(seen: np.ndarray) -> np.ndarray:
 # --- scores
 
 
-def _by_broadcast(rows: DataFrame, slices: DataFrame, model: Model) -> DataFrame:
+def _by_broadcast(rows: DataFrame, slices: DataFrame, size: int, model: Model) -> DataFrame:
+    """Columns of _SCORED; the filter comes to the driver piece by piece, `size` bytes in all."""
     sc = rows.sparkSession.sparkContext
-    parts = [(r["slice"], bytes(r["bits"])) for r in slices.select("slice", "bits").collect()]
-    shared, filled = sc.broadcast(model), sc.broadcast(Slices(parts, model.slices))
+    parts = ((r["slice"], r["bits"]) for r in slices.select("slice", "bits").toLocalIterator())
+    shared, filled = sc.broadcast(model), sc.broadcast(Slices(parts, model.slices, size))
 
     def each(batches: Iterator[list[list]]) -> Iterator[list]:
         model, slices = shared.value, filled.value
-        for ids, texts in batches:
-            yield _scored(ids, texts, model, lambda keys, _: slices.levels(keys, model.slice_of(keys)))
+        for ids, texts in _grouped(batches):
+            yield _scored(ids, texts, model, lambda keys: slices.levels(keys, model.slice_of(keys)))
 
-    return map_batches(rows, ["doc_id", "text"], each, _SCORED)
+    return map_batches(_utf8(rows), ["doc_id", "text"], each, _SCORED)
 
 
 _SCORED = "doc_id long, n_tokens long, score double, common_known long, common_score double, rest array<struct<word:binary,n:long>>"
 
 
-def _scored(ids: list, texts: list, model: Model, levels: Callable[[np.ndarray, int | None], np.ndarray]) -> list:
+def _scored(ids: list, texts: list[bytes | None], model: Model, levels: Callable[[np.ndarray], np.ndarray]) -> list:
     """Columns of _SCORED; the words whose exact counts are not at hand, with how often the text has each, are left for a join."""
     if not ids:
         return [[]] * 6
@@ -302,17 +336,18 @@ def _scored(ids: list, texts: list, model: Model, levels: Callable[[np.ndarray,
     for d, w, k in zip((pair // len(p.words)).tolist(), (pair % len(p.words)).tolist(), n.tolist()):
         rest[d].append({"word": p.words[w], "n": k})
     sums = [np.add.reduceat(x[p.at], p.begins) for x in (known.astype(np.int64), value)]
-    return [ids, p.lengths, p.log_probability(lambda keys: levels(keys, None), model), *sums, rest]
+    return [ids, p.lengths, p.log_probability(levels, model), *sums, rest]
 
 
 def _by_shuffle(rows: DataFrame, slices: DataFrame, model: Model) -> DataFrame:
     """The same for a filter of any size: each different n-gram goes to its slice once, and its level back to the rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    numbered = keep(rows.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    numbered = keep(_utf8(rows).select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
 
     def asked(batches: Iterator[list[list]]) -> Iterator[list]:
         for numbers, texts in batches:
-            parts = [np.unique(np.concatenate(Passage([t], shared.value).keys)) for t in texts]
+            passages = (Passage([t], shared.value) for t in texts)
+            parts = [np.unique(np.concatenate([p.word_keys, *p.keys])) for p in passages]
             keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield [keys.view(np.int64), np.repeat(np.array(numbers, np.int64), [len(x) for x in parts]), shared.value.slice_of(keys)]
 
@@ -320,7 +355,8 @@ def _by_shuffle(rows: DataFrame, slices: DataFrame, model: Model) -> DataFrame:
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         own = left.column("key").to_numpy().view(np.uint64)
-        found = Slices([(0, bits) for bits in right.column("bits").to_pylist()], 1).levels(own, np.zeros(len(own), np.int64))
+        bits = b"".join(right.column("bits").to_pylist())
+        found = Slices([(0, bits)], 1, len(bits)).levels(own, np.zeros(len(own), np.int64))
         return pa.table({"key": left.column("key"), "level": pa.array(found, pa.int32())})
 
     # Keys of a slice without bits have no level, so slices that are missing on one side need no care.
@@ -334,7 +370,7 @@ def _by_shuffle(rows: DataFrame, slices: DataFrame, model: Model) -> DataFrame:
                 known = sorted((np.int64(x["key"]).view(np.uint64).item(), x["level"]) for x in own or ())
                 at, level = np.array([k for k, _ in known], np.uint64), np.array([0, *(v for _, v in known)], np.int64)
 
-                def levels(keys: np.ndarray, _: None, at: np.ndarray = at, level: np.ndarray = level) -> np.ndarray:
+                def levels(keys: np.ndarray, at: np.ndarray = at, level: np.ndarray = level) -> np.ndarray:
                     place = np.searchsorted(at, keys)
                     same = np.append(at, np.uint64(0))[place] == keys
                     return np.where(same & (place < len(at)), level[np.minimum(place, len(at) - 1) + 1], 0) if len(at) else np.zeros(len(keys), np.int64)
@@ -368,8 +404,8 @@ def language_model_scores(docs: DataFrame, learn: Column, order: int = ORDER, co
     table[[r[0] for r in seen]] = [r[1] for r in seen]
     model.back_off = _back_off(table.reshape(4, CLASSES))
     size = slices.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
-    way = _by_broadcast if size <= filter_bytes else _by_shuffle
-    scored = keep(way(docs, slices, model).withColumn("row", F.monotonically_increasing_id()))
+    found = _by_broadcast(docs, slices, size, model) if size <= filter_bytes else _by_shuffle(docs, slices, model)
+    scored = keep(found.withColumn("row", F.monotonically_increasing_id()))
     asked = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     count = F.coalesce("n", F.lit(0))
     each = F.log10((count + PSEUDO) / (n + PSEUDO * (v + 1)))

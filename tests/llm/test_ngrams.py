@@ -84,7 +84,7 @@ def test_rare_words_are_joined_and_large_filters_shuffled_with_the_same_scores(s
 def test_levels_are_never_too_low_and_seldom_too_high():
     r = np.random.default_rng(1)
     keys, counts = r.integers(0, 2**63, 60_000).astype(np.uint64), np.minimum(r.zipf(1.6, 60_000), 10**6)
-    held = ngrams.Slices([(0, ngrams.filter_slice(keys, counts).tobytes())], 1)
+    held = ngrams.Slices([(0, bits := ngrams.filter_slice(keys, counts).tobytes())], 1, len(bits))
     got = held.levels(keys, np.zeros(len(keys), np.int64))
     true = ngrams.level_of(counts)
     assert (got >= true).all() and (got > true).mean() < 0.05
@@ -98,8 +98,8 @@ def test_probabilities_equal_the_formula_on_plain_counts():
     texts = ["a b a b a c", "b a", None]
     model = ngrams.Model(2, 11, 4, {})
     model.back_off = np.full(ngrams.CLASSES, 0.4)
-    p = ngrams.Passage(texts, model)
-    seen = Counter(np.concatenate(p.keys).tolist())
+    p = ngrams.Passage([t if t is None else t.encode() for t in texts], model)
+    seen = Counter(np.concatenate([p.word_keys[p.at], *p.keys]).tolist())
     got = p.log_probability(lambda keys: np.array([seen[k] for k in keys.tolist()]), model)
     one, two = Counter(), Counter()
     for text in texts:
