@@ -1,4 +1,9 @@
-"""Repeated passages inside documents: MinHash of sliding paragraphs, exact Jaccard of whole passages, components."""
+"""Repeated passages inside documents: MinHash of sliding paragraphs, exact Jaccard of whole passages, components.
+
+Paragraphs collide first by one MinHash each. Whatever of a document collides with others and is no repeat of the
+first of them is looked at again: by the next document that is left for its key, and by its whole paragraphs of as many
+words as a passage has, so that an exact repeat is found whoever else has parts of it.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import in_small_batches, join_counted, keep, map_batches
@@ -21,12 +26,17 @@ LEAST_WORDS = 40
 #: five shingles of five words, so passages of 49 words or more that are alike at 0.8 agree in 25 words somewhere,
 #: and shorter ones in all: one band of one row finds them all.
 PARAGRAPH_WORDS, KEY_WORDS = 25, 8
-#: Words of the earlier document around the places where keys met. Bounds are multiples of STEP, so that copies of
-#: a passage ask for the same words.
+#: Starts of whole paragraphs (of as many words as a passage has) of which one at least is keyed: of each passage
+#: of LEAST_WORDS + STARTS - 1 = 51 words that two documents share, both key the same paragraph.
+STARTS = 12
+#: Words of the earlier document around the places where keys met, besides a quarter of the words between these: what is
+#: alike at 0.8 differs in less. Bounds are multiples of STEP, so that copies of a passage ask for the same words.
 CONTEXT, STEP = 64, 32
+#: Earlier passages, or ranges of a document, that meet in one row; more are dealt to further rows with the same text.
+PORTION = 64
 SLOTS = 1 << 20
 _WORD = re.compile(r"\w+")
-_ODD = np.random.default_rng(20).integers(1, 2**63, KEY_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(20).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NO_SPANS = "array<struct<start:int,end:int,keeper_doc:long,keeper_start:int,keeper_end:int,similarity:double,own:long,other:long>>"
 
 
@@ -44,13 +54,13 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxh32_intdigest, words), np.uint32, len(words))
 
 
-def key_hashes(h: np.ndarray) -> np.ndarray:
-    """One hash for each run of KEY_WORDS words."""
-    n = len(h) - KEY_WORDS + 1
+def key_hashes(h: np.ndarray, words: int = KEY_WORDS) -> np.ndarray:
+    """One hash for each run of so many words."""
+    n = len(h) - words + 1
     if n < 1:
         return np.zeros(0, np.int64)
     wide, joined = h.astype(np.uint64) + np.uint64(1), np.zeros(n, np.uint64)
-    for k in range(KEY_WORDS):
+    for k in range(words):
         joined += wide[k : k + n] * _ODD[k]
     return _mixed(_mixed(joined)).view(np.int64)
 
@@ -95,21 +105,51 @@ def paragraph_keys(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return map_batches(docs.where("doc_id is not null"), ["doc_id", "text"], each, "key long, doc_id long, place int")
 
 
-def colliding(keys: DataFrame) -> DataFrame:
-    """doc_id, keeper_doc, lo, hi: pairs of a document and the first one with a key that it has, and the keeper's words in question.
+def meetings(keys: DataFrame) -> DataFrame:
+    """key, doc_id, place, keeper_doc, keeper_place: the keys that several documents have, and the first of these documents.
 
-    All documents of a key are paired with its first one (smallest doc_id), so a passage that n documents have
-    costs n pairs. Counts are combined before they are shuffled, and very common keys are joined by broadcast.
+    A passage that n documents have costs n rows for each of its keys. Counts are combined before they are shuffled,
+    and very common keys are joined by broadcast.
     """
     firsts = keys.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1")
     named = keep(firsts.select("key", F.col("k.doc_id").alias("keeper_doc"), F.col("k.place").alias("keeper_place"), "n"))
-    met = join_counted(keys.select("key", "doc_id"), named, "key", keys.count()).where("doc_id <> keeper_doc")
-    pairs = met.groupBy("doc_id", "keeper_doc").agg(F.min("keeper_place").alias("lo"), F.max("keeper_place").alias("hi"))
-    lo = F.greatest(F.lit(0), F.floor((F.col("lo") - CONTEXT) / STEP) * STEP)
-    hi = F.ceil((F.col("hi") + KEY_WORDS + CONTEXT) / STEP) * STEP
+    return join_counted(keys.select("key", "doc_id", "place"), named, "key", keys.count()).select("key", "doc_id", "place", "keeper_doc", "keeper_place")
+
+
+def asked_ranges(met: DataFrame, words: int = KEY_WORDS) -> DataFrame:
+    """doc_id, keeper_doc, lo, hi: each document that met a keeper, and the keeper's words in question."""
+    pairs = met.where("doc_id <> keeper_doc").groupBy("doc_id", "keeper_doc").agg(F.min("keeper_place").alias("lo"), (F.max("keeper_place") + words).alias("hi"))
+    around = CONTEXT + (F.col("hi") - F.col("lo")) / 4
+    lo = F.greatest(F.lit(0), F.floor((F.col("lo") - around) / STEP) * STEP)
+    hi = F.ceil((F.col("hi") + around) / STEP) * STEP
     return pairs.select("doc_id", "keeper_doc", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
 
+def whole_paragraph_keys(docs: DataFrame, holders: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """key, doc_id, place: whole paragraphs of `least` words around the given keys (doc_id, key) of documents.
+
+    The least hash of each STARTS paragraphs in a row is a key, as long as it lies in reach of a place of a given one.
+    """
+    own = holders.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_held"))
+    texts = _asked(docs, holders, "doc_id").select("doc_id", "text").join(own, F.col("doc_id") == F.col("_doc"))
+
+    def each(batches: Iterator[list[list]]) -> Iterator[list]:
+        for ids, texts, wanted in batches:
+            keys, places, counts = [], [], []
+            for text, held in zip(texts, wanted):
+                h = word_hashes(text)
+                g, near = key_hashes(h, least), np.flatnonzero(np.isin(key_hashes(h), np.array(held, np.int64)))
+                k, at = _least_of_windows(g, min(STARTS, max(1, len(g))))
+                after = np.searchsorted(near, at - least - STARTS)
+                close = np.append(near, np.iinfo(np.int64).max)[after] <= at + 2 * least + STARTS
+                keys.append(k[close])
+                places.append(at[close])
+                counts.append(int(close.sum()))
+            yield [np.concatenate(keys), np.repeat(np.array(ids, np.int64), counts), np.concatenate(places).astype(np.int32)] if ids else [[], [], []]
+
+    return map_batches(texts, ["doc_id", "text", "_held"], each, "key long, doc_id long, place int")
+
+
 def _slot(c: str) -> F.Column:
     return F.pmod(F.xxhash64(F.col(c)), F.lit(SLOTS)).cast("int")
 
@@ -130,7 +170,11 @@ def verified(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, simila
     There every key of the range is a place to start from; from it both texts are followed to both sides as long
     as they are alike, and the passage counts if it has `least` words and its five-word shingles the similarity.
     """
-    ranges = pairs.select("keeper_doc", "lo", "hi").distinct().groupBy("keeper_doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
+    def portions(rows: DataFrame, by: str, *order: str) -> DataFrame:
+        return rows.withColumn("_portion", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / PORTION))
+
+    asked_of = portions(pairs.select("keeper_doc", "lo", "hi").distinct(), "keeper_doc", "lo", "hi")
+    ranges = asked_of.groupBy("keeper_doc", "_portion").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
     sources = _asked(docs, pairs, "keeper_doc").select("doc_id", "text").join(ranges, F.col("doc_id") == F.col("keeper_doc")).select("doc_id", "text", "_ranges")
 
     def read(batches: Iterator[list[list]]) -> Iterator[list]:
@@ -142,7 +186,8 @@ def verified(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, simila
             yield [list(c) for c in zip(*rows)] or [[]] * 4
 
     words = map_batches(sources, ["doc_id", "text", "_ranges"], read, "keeper_doc long, lo int, hi int, words binary")
-    got = pairs.join(words, ["keeper_doc", "lo", "hi"]).groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("keeper_doc", "lo", "words"))).alias("_asked"))
+    met = portions(pairs, "doc_id", "keeper_doc", "lo", "hi").join(words, ["keeper_doc", "lo", "hi"])
+    got = met.groupBy(F.col("doc_id").alias("_doc"), "_portion").agg(F.array_sort(F.collect_list(F.struct("keeper_doc", "lo", "words"))).alias("_asked"))
     texts = _asked(docs, pairs, "doc_id").select("doc_id", "text").join(got, F.col("doc_id") == F.col("_doc"))
 
     def align(batches: Iterator[list[list]]) -> Iterator[list]:
@@ -175,14 +220,30 @@ def passages(x: np.ndarray, asked: list[dict], least: int = LEAST_WORDS, similar
     return out
 
 
+def unresolved(met: DataFrame, found: DataFrame) -> DataFrame:
+    """key, doc_id, place of the meetings with an earlier document that no passage found so far covers."""
+    spans = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"], s["end"])))).alias("_spans"))
+    covered = F.exists("_spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") + KEY_WORDS <= s["end"]))
+    rows = met.where("doc_id <> keeper_doc").join(spans, F.col("doc_id") == F.col("_doc"), "left")
+    return rows.where(~F.coalesce(covered, F.lit(False))).select("key", "doc_id", "place")
+
+
 def shared_passages(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, start, end, keeper_doc, keeper_start, keeper_end, similarity, component for each passage that an earlier document has.
 
-    A passage's class is the least key in it, which copies share; near copies of other classes are linked, and the
-    components of these links name the groups.
+    A key's documents meet the first that has it; those which turn out to repeat none of its passages there meet the
+    first of the rest, and all that share such a key key their whole paragraphs around it, too. A passage's class is
+    the least key in it, which copies share; near copies of other classes are linked, and the components of these
+    links name the groups.
     """
-    keys = keep(paragraph_keys(docs, least))
-    spans = keep(verified(docs, keep(colliding(keys)), least, similarity))
+    met = keep(meetings(keep(paragraph_keys(docs, least))))
+    first = keep(verified(docs, keep(asked_ranges(met)), least, similarity))
+    left = keep(unresolved(met, first))
+    again = meetings(left)
+    holders = met.join(left.select("key").distinct(), "key", "left_semi").select("doc_id", "key")
+    whole = meetings(keep(whole_paragraph_keys(docs, holders, least)))
+    more = asked_ranges(again).unionByName(asked_ranges(whole, least)).distinct()
+    spans = first.unionByName(keep(verified(docs, keep(more), least, similarity)))
     rows = spans.select("doc_id", "text_hash", F.explode("spans").alias("s")).select("doc_id", "text_hash", "s.*")
     labels = components(rows.select(F.col("own").alias("a"), F.col("other").alias("b")))
     named = labels.select(F.col("node").alias("own"), F.col("label").alias("_label"))
@@ -195,8 +256,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, similarity: flo
     doc_id; components, the groups of its repeated passages; n_removed, the passages whose keeper is another
     document; other_docs, the keepers' ids in order; spans, the word ranges (start, end) to remove. A document
     that only keeps what others repeat has n_removed 0 and itself no other_docs. The keeper of a key is the
-    document with the smallest doc_id that has it; a passage is compared with the keepers of its own keys, so
-    one whose every key stands in an earlier document without the passage is not found.
+    document with the smallest doc_id that has it. All exact repeats of LEAST_WORDS + STARTS - 1 words are found; a near
+    one is not if all its keys stand in two earlier documents that repeat no passage around them.
 
     Null, empty and short texts, and documents that share nothing, are not in the result, nor are rows with a null
     doc_id. Rows with one doc_id count as one document. An empty table gives no rows; other columns are ignored.

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-AGREE = 3  # words that agree after up to two that differ
-_SKIPS = [(1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)]
+AGREE = 3  # words that agree again after some that differ, at least
 
 
 def _run(x: np.ndarray, y: np.ndarray) -> int:
@@ -19,19 +18,46 @@ def _run(x: np.ndarray, y: np.ndarray) -> int:
     return n
 
 
-def _onward(x: np.ndarray, y: np.ndarray, exact: bool) -> tuple[int, int]:
-    """Words of both up to where they part; one or two that differ are passed if AGREE words agree after them."""
-    i = j = 0
+def _resumed(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, int, int]:
+    """Words of both that differ, `most` of each side at most, and the words that agree after them; (0, 0, 0) if none do.
+
+    Of all places at which AGREE words agree again the nearest counts; the run there must be as long as the gap.
+    """
+    reach = 4
+    while True:
+        reach = min(4 * reach, most)
+        p, q = x[: reach + AGREE], y[: reach + AGREE]
+        if len(p) < AGREE or len(q) < AGREE:
+            return 0, 0, 0
+        same = p[:, None] == q[None, :]
+        again = same[:-2, :-2] & same[1:-1, 1:-1] & same[2:, 2:]
+        a, b = np.nonzero(again)
+        for k in np.lexsort((abs(a - b), np.maximum(a, b)))[:4]:
+            i, j = int(a[k]), int(b[k])
+            n = _run(x[i:], y[j:])
+            if n >= max(i, j):
+                return i, j, n
+        if reach >= most or (reach >= len(x) and reach >= len(y)):
+            return 0, 0, 0
+
+
+def _onward(x: np.ndarray, y: np.ndarray, before: int, similarity: float) -> list[tuple[int, int]]:
+    """Where runs of agreeing words end in both, one after the other; `before` words agree in front of these.
+
+    A gap destroys its words' shingles and those that reach into it, so what alike passages may differ in follows
+    their length: gaps are looked for up to that share of what is still to come.
+    """
+    i = j = _run(x, y)
+    ends = [(i, j)]
     while True:
-        k = _run(x[i:], y[j:])
-        i, j = i + k, j + k
-        for a, b in () if exact else _SKIPS:
-            p, q = x[i + a : i + a + AGREE], y[j + b : j + b + AGREE]
-            if len(p) == len(q) == AGREE and (p == q).all():
-                i, j = i + a, j + b
-                break
-        else:
-            return i, j
+        whole = before + max(i, j)
+        share = (1 - similarity) / (1 + similarity)
+        most = 2 + int(share * (whole + min(len(x) - i, len(y) - j, whole)))
+        a, b, n = _resumed(x[i:], y[j:], most)
+        if not n:
+            return ends
+        i, j = i + a + n, j + b + n
+        ends.append((i, j))
 
 
 def shingle_hashes(x: np.ndarray, words: int = 5) -> np.ndarray:
@@ -57,12 +83,16 @@ def likeness(x: np.ndarray, y: np.ndarray, words: int = 5) -> float:
 def aligned_from(x: np.ndarray, y: np.ndarray, i: int, j: int, n: int, similarity: float) -> tuple[int, int, int, int, float]:
     """Range of x around the n equal words from i (in y from j), y's range that is like it, and their similarity.
 
-    Words that differ are passed only if the whole range stays alike enough; else the range ends at them.
+    Words that differ are passed as far as the whole range stays alike enough: else its outermost run goes, that of
+    the side with the more differing words, until what is left is alike.
     """
-    for exact in (False, True):
-        right, left = _onward(x[i + n :], y[j + n :], exact), _onward(x[:i][::-1], y[:j][::-1], exact)
-        a, b, c, d = i - left[0], i + n + right[0], j - left[1], j + n + right[1]
+    right = _onward(x[i + n :], y[j + n :], n, similarity)
+    left = _onward(x[:i][::-1], y[:j][::-1], n + right[-1][0], similarity)
+    while True:
+        (p, q), (r, s) = left[-1], right[-1]
+        a, b, c, d = i - p, i + n + r, j - q, j + n + s
         like = likeness(x[a:b], y[c:d])
-        if like >= similarity:
-            break
-    return a, b, c, d, like
+        if like >= similarity or len(left) == len(right) == 1:
+            return a, b, c, d, like
+        gained = [side[-1][0] - side[-2][0] if len(side) > 1 else np.inf for side in (left, right)]
+        (left if gained[0] <= gained[1] else right).pop()
