@@ -29,7 +29,8 @@ class WordTokenizer:
 
     This vocabulary never joins what white space parts, so the ids of a text are the ids of its blank-separated
     chunks in turn; each chunk is encoded once and remembered. Texts of Latin letters are lowered as a whole, as
-    the tokenizer does it letter by letter, which leaves fewer different chunks.
+    the tokenizer does it letter by letter, which leaves fewer different chunks. Strings of special tokens in a text
+    are their ids, as the tokenizer has it, wherever they stand and in no other case of letters; they part the text.
     """
 
     def __init__(self, path: str):
@@ -37,7 +38,13 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = self.model.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens must be matched as they stand")
+        # The longest is found first. No chunk has a line end, so these names of special tokens are theirs alone.
+        self.special = re.compile("(" + "|".join(re.escape(t.content) for t in sorted(added.values(), key=lambda t: -len(t.content))) + ")") if added else None
+        self.fixed = {"": b""} | {f"\n{t.content}": i.to_bytes(4, "little") for i, t in added.items()}
+        self.model.encode_special_tokens = True  # for what is left when special tokens are parted from it
         #: The same vocabulary and merges for words that are lower-case letters already.
         self.plain = Tokenizer(self.model.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -45,11 +52,11 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = dict(self.fixed)
 
     def forget(self) -> None:
         """A worker lives on and does other work after this; it must not keep what it no longer needs."""
-        self.words, self.chunks = {}, {"": b""}
+        self.words, self.chunks = {}, dict(self.fixed)
 
     def _encode_words(self, words: list[str]) -> None:
         """Many plain words at once; the end mark of their last tokens parts them again."""
@@ -88,8 +95,11 @@ class WordTokenizer:
         """The texts' ids in turn; words are learned for some millions of characters at a time."""
         group, chars = [], 0
         for text in texts:
-            low = text if text.isascii() or not _BEYOND_LATIN.search(text) else None
-            group.append((low.lower() if low is not None else text).replace("\n", " ").split(" "))
+            parts = self.special.split(text) if self.special else [text]
+            own = _chunks(parts[0])
+            for special, part in zip(parts[1::2], parts[2::2]):
+                own += [f"\n{special}", *_chunks(part)]
+            group.append(own)
             chars += len(text)
             if chars >= together:
                 yield from self._encode(group)
@@ -98,7 +108,7 @@ class WordTokenizer:
 
     def _encode(self, group: list[list[str]]) -> Iterator[bytes]:
         if len(self.chunks) > REMEMBERED:
-            self.chunks = {"": b""}
+            self.chunks = dict(self.fixed)
         if len(self.words) > REMEMBERED:
             self.words = {}
         missing = set().union(*group) - self.chunks.keys()
@@ -108,6 +118,11 @@ class WordTokenizer:
             yield b"".join(map(self.chunks.__getitem__, chunks))
 
 
+def _chunks(text: str) -> list[str]:
+    latin = text.isascii() or not _BEYOND_LATIN.search(text)
+    return (text.lower() if latin else text).replace("\n", " ").split(" ")
+
+
 @cache
 def tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker."""
@@ -117,7 +132,7 @@ def tokenizer(path: str) -> WordTokenizer:
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """Token pieces of whole texts: doc_id, piece, start, length, ids_crc32 and, unless left out, ids.
 
-    A document is the tokenizer's ids (no special tokens) and then id 0. Only a longer one than the capacity
+    A document is the tokenizer's ids (none added; those of special tokens that the text spells out) and then id 0. Only a longer one than the capacity
     is cut, into full pieces and a last shorter one. A null text counts as empty: its one piece is the end id.
     """
 

@@ -401,8 +401,9 @@ def test_packing_holds_every_token_once(spark, odd, none):
 
     path = queries.tokenizer_path()
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    more = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + k, prose(1 + 37 * k % 900, k)) for k in range(60)], "doc_id long, text string"))
+    special = ["<|endoftext|> [PAD] </s> x", "a<|endoftext|>B", "<|ENDOFTEXT|> <|startoftext|>", "É<|startoftext|><|endoftext|>\u0301日本", "don't<|endoftext|>'t\n<|endoftext|", "<|endoftext|>" * 3000]
+    some = [(100 + k, prose(1 + 37 * k % 900, k)) for k in range(60)] + [(200 + k, t) for k, t in enumerate([*special, " ".join(special)])]
+    more = odd.select("doc_id", "text").unionByName(spark.createDataFrame(some, "doc_id long, text string"))
     rows = packing.pack_documents(more, path).collect()
     bins, pieces = {}, {}
     for r in rows:

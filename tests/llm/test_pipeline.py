@@ -28,8 +28,9 @@ def folder(spark, tmp_path_factory):
     rows += [(400 + k, prose(90, 400 + k) + " " + passage + " " + prose(60, 500 + k)) for k in range(6)]
     rows += [(500 + k, prose(90, 600 + k) + " " + items[k][1] + " " + prose(60, 700 + k)) for k in range(5)]
     rows += [(600 + k, junk(80 + k, k)) for k in range(30)]
+    rows += [(700 + k, prose(80, 900 + k) + f" {s} " + prose(70, 950 + k)) for k, s in enumerate(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "x<|endoftext|>Y"])]
     random.Random(1).shuffle(rows)
-    labels = [(d, 0 if d >= 600 else 1, 0) for d, _ in rows if d % 3]
+    labels = [(d, 0 if 600 <= d < 700 else 1, 0) for d, _ in rows if d % 3]
     spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS).write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
@@ -52,7 +53,7 @@ def test_stages_equal_brute_force(spark, folder):
     given, out = kept[0]
     model = quality.learned(read(spark, folder, "documents"), read(spark, folder, "labels"), crc32_of_id() % 5 != 0)
     want = {d for d, t in given.items() if quality.predict(model, quality.features(t).astype(np.float64)[None])[0] >= 0.3}
-    assert texts(out).keys() == want and all(d < 600 for d in want) and len(want) > 100
+    assert texts(out).keys() == want and not any(600 <= d < 700 for d in want) and len(want) > 100
 
     given, out = kept[1]
     fp, least = {d: plain_simhash(t) for d, t in given.items()}, {}
@@ -87,7 +88,6 @@ def test_stages_equal_brute_force(spark, folder):
 
     given, out = kept[4]
     model = Tokenizer.from_file(queries.tokenizer_path())
-    model.encode_special_tokens = True
     lengths = {d: len(model.encode(t, add_special_tokens=False).ids) + 1 for d, t in given.items()}
     rows = [tuple(r) for r in out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect()]
     total = Counter()
