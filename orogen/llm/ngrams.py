@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import crc32_of_id, keep, map_batches
+from .base import crc32_of_id, in_small_batches, keep, map_batches
 
 ORDER, PSEUDO = 2, 0.1
-#: Hash functions of a level, and bits for each entry: a level that is not there is found once in some 45 probes.
-HASHES, BITS = 5, 8
+#: Hash functions of a level, all within one 64-bit word, and bits for each entry: a level that is not there is found
+#: once in some 25 probes.
+HASHES, BITS = 4, 10
 #: Each level's counts begin a quarter higher than those of the level before (the first ones: one higher).
 GROWTH = 1.25
 #: Words whose exact counts go to all workers, and their longest; the counts of the others are joined.
@@ -24,12 +25,12 @@ COMMON, COMMON_BYTES = 1 << 18, 64
 #: Bytes of a filter that is broadcast; a larger one is probed by a shuffle of the n-grams, with the same result.
 FILTER_BYTES = 128 << 20
 LEAST_SLICES, SLICE_ROWS = 1 << 10, 1 << 18
-END = b""
+END = b""  # a word of no letters
 #: The low bits of an n-gram's key name the class of its context, those of a word's key the class that words have.
 CLASSES = 64
 WORDS = CLASSES - 1
-#: Bytes of texts whose n-grams are counted together, and words whose counts are.
-TOGETHER, WORDS_TOGETHER = 8 << 20, 1 << 18
+#: Bytes of texts that are counted and scored together.
+TOGETHER = 8 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -59,28 +60,35 @@ def _of_class(key: np.ndarray, number: np.ndarray | int) -> np.ndarray:
     return (key & ~np.uint64(CLASSES - 1)) | np.asarray(number, np.uint64)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased, then the end."""
-    own = text.lower().split() if text else []
-    own.append(END)
-    return own
+class Tokens:
+    """The tokens of some texts in one row: each one's number among the different words, and each text's number of them.
 
+    Words stand between ASCII white space, A-Z lower-cased, and the end (a word of no letters) follows them.
+    """
 
-def _grouped(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-    """Some batches in one (the last column is the texts), so that a word that many texts have is looked up once."""
-    waiting, size = None, 0
-    for columns in batches:
-        waiting = columns if waiting is None else [a + b for a, b in zip(waiting, columns)]
-        size += sum(len(t) for t in columns[-1] if t)
-        if size >= TOGETHER:
-            yield waiting
-            waiting, size = None, 0
-    if waiting is not None:
-        yield waiting
+    def __init__(self, texts: pa.Array):
+        own = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        # Nothing stands after the last blank: that is the end. An empty text is the end alone.
+        closed = pc.if_else(pc.equal(own, ""), own, pc.binary_join_element_wise(own, "", " "))
+        parted = pc.ascii_split_whitespace(closed)
+        coded = parted.flatten().dictionary_encode()
+        self.words, self.at = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64)
+        self.lengths = parted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.begins = self.lengths.cumsum() - self.lengths
 
 
-def _utf8(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", F.col("text").cast("binary"))
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some batches in one, so that a word that many texts have is looked up once."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= TOGETHER:
+            yield pa.concat_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
 
 
 @dataclass
@@ -102,38 +110,28 @@ class Model:
         return ((keys >> np.uint64(6)) & np.uint64(self.slices - 1)).astype(np.int64)
 
 
-class Passage:
-    """The tokens of some texts in one row: their n-grams' keys by order, and where each text begins."""
+class Passage(Tokens):
+    """With the keys of the tokens' n-grams, by order."""
 
-    def __init__(self, texts: list[bytes | None], model: Model):
+    def __init__(self, texts: pa.Array, model: Model):
         from xxhash import xxh64_intdigest
 
-        flat: list[bytes] = []
-        lengths = []
-        for text in texts:
-            own = tokens(text)
-            flat += own
-            lengths.append(len(own))
-        self.lengths = np.array(lengths, np.int64)
-        self.begins = self.lengths.cumsum() - self.lengths
-        number = dict.fromkeys(flat)
-        self.words = list(number)
-        number.update(zip(self.words, range(len(self.words))))
-        self.at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        hashes = np.fromiter(map(xxh64_intdigest, self.words, repeat(42)), np.uint64, len(self.words))
+        super().__init__(texts)
+        words = self.words.to_pylist()
+        hashes = np.fromiter(map(xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
         #: Exact counts of common words, -1 for the others.
-        self.exact = np.fromiter(map(model.common.get, self.words, repeat(-1)), np.int64, len(self.words))
+        self.exact = np.fromiter(map(model.common.get, words, repeat(-1)), np.int64, len(words))
         classes = np.where(self.exact < 0, 0, 1 + np.minimum(level_of(self.exact) // 2, 46))
         end = np.uint64(xxh64_intdigest(END, 42))
         context = hashes[self.at]
         #: Keys of the different words, and of each place's longer n-grams with their contexts' classes, by order.
         self.word_keys, self.keys, self.classes = _of_class(hashes, WORDS), [], []
-        self.end = number.get(END, 0)
+        self.end = self.at[-1] if len(self.at) else 0
         start = end
         for m in range(2, model.order + 1):
             before = self._before(context, start)
             context = _mixed(_mixed(before * _ODD[0]) + hashes[self.at])
-            kind = self._before(classes[self.at], classes[self.end] if len(classes) else 0) if m == 2 else np.full(len(flat), 46 + m)
+            kind = self._before(classes[self.at], classes[self.end] if len(classes) else 0) if m == 2 else np.full(len(self.at), 46 + m)
             self.keys.append(_of_class(context, kind))
             self.classes.append(kind)
             start = _mixed(np.array([start]) * _ODD[0] + end)[0]
@@ -171,17 +169,12 @@ class Passage:
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (its bytes; none for the end), n."""
 
-    def each(batches: Iterator[list[list]]) -> Iterator[list]:
-        found: Counter[bytes] = Counter()
-        for (texts,) in batches:
-            for text in texts:
-                found.update(tokens(text))
-            if len(found) >= WORDS_TOGETHER:
-                yield [list(found), list(found.values())]
-                found = Counter()
-        yield [list(found), list(found.values())]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _grouped(batches):
+            own = Tokens(batch.column(0))
+            yield pa.RecordBatch.from_arrays([own.words, pa.array(np.bincount(own.at, minlength=len(own.words)), pa.int64())], ["word", "n"])
 
-    return map_batches(_utf8(docs), ["text"], each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_small_batches(docs).select("text").mapInArrow(each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _common(words: DataFrame, most: int) -> dict[bytes, int]:
@@ -204,68 +197,63 @@ def gram_counts(docs: DataFrame, model: Model) -> DataFrame:
     """key, n: n-grams of two words and more, counted for some million tokens at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def each(batches: Iterator[list[list]]) -> Iterator[list]:
-        for (texts,) in _grouped(batches):
-            if texts:
-                unique, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *Passage(texts, shared.value).keys]), return_counts=True)
-                yield [unique.view(np.int64), n]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _grouped(batches):
+            keys = Passage(batch.column(0), shared.value).keys
+            unique, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
-    return map_batches(_utf8(docs), ["text"], each, "key long, n long")
+    return in_small_batches(docs).select("text").mapInArrow(each, "key long, n long")
 
 
 # --- the filter
 
 
-def _hashed(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of a key's level, of which all HASHES are made."""
+def _word_and_mask(keys: np.ndarray, level: np.ndarray | int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The word, among so many (fewer than 2**32), of a key's level, and the bits that stand for it there."""
     h = _mixed(keys + np.asarray(level, np.uint64) * _ODD[0])
-    return h, (h << np.uint64(32)) | (h >> np.uint64(32)) | np.uint64(1)
-
-
-def _place(h: np.ndarray, step: np.ndarray, k: int, bits: np.ndarray | int) -> np.ndarray:
-    """Where the k-th hash stands among so many bits (fewer than 2**32)."""
-    return ((((h + np.uint64(k) * step) >> np.uint64(32)) * np.asarray(bits, np.uint64)) >> np.uint64(32)).astype(np.int64)
+    one, mask = np.uint64(1), np.zeros(len(h), np.uint64)
+    for k in range(HASHES):
+        mask |= one << ((h >> np.uint64(6 * k)) & np.uint64(63))
+    return (((h >> np.uint64(32)) * np.asarray(words, np.uint64)) >> np.uint64(32)).astype(np.int64), mask
 
 
 def filter_slice(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits, as bytes, in which each key stands at all levels up to that of its count."""
+    """64-bit words in which each key stands at all levels up to that of its count."""
     levels = level_of(counts)
-    last = np.cumsum(levels)
-    size = 8 * max(1, -(-int(levels.sum()) * BITS // 64))
-    bits = np.zeros(8 * size, np.uint8)
-    level = np.arange(last[-1] if len(last) else 0) - np.repeat(last - levels, levels) + 1
-    h, step = _hashed(np.repeat(keys, levels), level)
-    for k in range(HASHES):
-        bits[_place(h, step, k, 8 * size)] = 1
-    return np.packbits(bits)
+    every, last = int(levels.sum()), np.cumsum(levels)
+    words = np.zeros(max(1, -(-every * BITS // 64)), np.uint64)
+    level = np.arange(every) - np.repeat(last - levels, levels) + 1
+    at, mask = _word_and_mask(np.repeat(keys, levels), level, len(words))
+    np.bitwise_or.at(words, at, mask)
+    return words
 
 
 class Slices:
     """Slices of a filter in one array."""
 
     def __init__(self, parts: Iterable[tuple[int, bytes]], slices: int, size: int):
-        self.bytes = np.empty(size, np.uint8)
-        self.first, self.bits = np.zeros(slices, np.int64), np.zeros(slices, np.uint64)
+        self.words = np.empty(size // 8, np.uint64)
+        self.first, self.size = np.zeros(slices, np.int64), np.zeros(slices, np.uint64)
         at = 0
         for number, b in parts:
-            self.bytes[at : at + len(b)] = np.frombuffer(b, np.uint8)
-            self.first[number], self.bits[number] = at, 8 * len(b)
-            at += len(b)
+            n = len(b) // 8
+            self.words[at : at + n] = np.frombuffer(b, np.uint64)
+            self.first[number], self.size[number] = at, n
+            at += n
 
     def levels(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The highest level of each key (of the slice `at`): levels are probed from the first up to one that is not there."""
         out = np.zeros(len(keys), np.int64)
-        live = np.flatnonzero(self.bits[at] > 0)
-        first, bits = self.first[at[live]], self.bits[at[live]]
+        live = np.flatnonzero(self.size[at] > 0)
+        keys, at = keys[live], at[live]
+        first, size = self.first[at], self.size[at]
         level = 0
         while len(live):
             level += 1
-            h, step = _hashed(keys[live], level)
-            for k in range(HASHES):
-                place = _place(h, step, k, bits)
-                there = (self.bytes[first + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-                if not there.all():
-                    live, first, bits, h, step = live[there], first[there], bits[there], h[there], step[there]
+            word, mask = _word_and_mask(keys, level, size)
+            there = self.words[first + word] & mask == mask
+            live, keys, first, size = live[there], keys[there], first[there], size[there]
             out[live] = level
         return out
 
@@ -312,41 +300,39 @@ def _by_broadcast(rows: DataFrame, slices: DataFrame, size: int, model: Model) -
     parts = ((r["slice"], r["bits"]) for r in slices.select("slice", "bits").toLocalIterator())
     shared, filled = sc.broadcast(model), sc.broadcast(Slices(parts, model.slices, size))
 
-    def each(batches: Iterator[list[list]]) -> Iterator[list]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, slices = shared.value, filled.value
-        for ids, texts in _grouped(batches):
-            yield _scored(ids, texts, model, lambda keys: slices.levels(keys, model.slice_of(keys)))
+        for batch in _grouped(batches):
+            yield _scored(batch.column(0), batch.column(1), model, lambda keys: slices.levels(keys, model.slice_of(keys)))
 
-    return map_batches(_utf8(rows), ["doc_id", "text"], each, _SCORED)
+    return in_small_batches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, _SCORED)
 
 
 _SCORED = "doc_id long, n_tokens long, score double, common_known long, common_score double, rest array<struct<word:binary,n:long>>"
 
 
-def _scored(ids: list, texts: list[bytes | None], model: Model, levels: Callable[[np.ndarray], np.ndarray]) -> list:
+def _scored(ids: pa.Array, texts: pa.Array, model: Model, levels: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
     """Columns of _SCORED; the words whose exact counts are not at hand, with how often the text has each, are left for a join."""
-    if not ids:
-        return [[]] * 6
     p = Passage(texts, model)
     known = p.exact >= 0
     value = np.where(known, np.log10(model.unigram(np.maximum(p.exact, 0))), 0.0)
-    rest: list[list[dict]] = [[] for _ in ids]
-    asked = np.flatnonzero(~known[p.at])
-    pair, n = np.unique(np.repeat(np.arange(len(ids)), p.lengths)[asked] * len(p.words) + p.at[asked], return_counts=True)
-    for d, w, k in zip((pair // len(p.words)).tolist(), (pair % len(p.words)).tolist(), n.tolist()):
-        rest[d].append({"word": p.words[w], "n": k})
-    sums = [np.add.reduceat(x[p.at], p.begins) for x in (known.astype(np.int64), value)]
-    return [ids, p.lengths, p.log_probability(levels, model), *sums, rest]
+    asked, words = np.flatnonzero(~known[p.at]), max(1, len(p.words))
+    pair, n = np.unique(np.repeat(np.arange(len(ids)), p.lengths)[asked] * words + p.at[asked], return_counts=True)
+    ends = np.concatenate([[0], np.bincount(pair // words, minlength=len(ids)).cumsum()])
+    rest = pa.StructArray.from_arrays([p.words.take(pa.array(pair % words)), pa.array(n, pa.int64())], ["word", "n"])
+    sums = [np.add.reduceat(x[p.at], p.begins) if len(ids) else x[:0] for x in (known.astype(np.int64), value)]
+    columns = [ids, pa.array(p.lengths), pa.array(p.log_probability(levels, model)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "score", "common_known", "common_score", "rest"])
 
 
 def _by_shuffle(rows: DataFrame, slices: DataFrame, model: Model) -> DataFrame:
     """The same for a filter of any size: each different n-gram goes to its slice once, and its level back to the rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    numbered = keep(_utf8(rows).select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    numbered = keep(in_small_batches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")))
 
     def asked(batches: Iterator[list[list]]) -> Iterator[list]:
         for numbers, texts in batches:
-            passages = (Passage([t], shared.value) for t in texts)
+            passages = (Passage(pa.array([t], pa.string()), shared.value) for t in texts)
             parts = [np.unique(np.concatenate([p.word_keys, *p.keys])) for p in passages]
             keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield [keys.view(np.int64), np.repeat(np.array(numbers, np.int64), [len(x) for x in parts]), shared.value.slice_of(keys)]
@@ -363,23 +349,21 @@ def _by_shuffle(rows: DataFrame, slices: DataFrame, model: Model) -> DataFrame:
     levels = keys.select("slice", "key").distinct().groupBy("slice").cogroup(slices.select("slice", "bits").groupBy("slice")).applyInArrow(probe, "key long, level int")
     per_row = keys.join(levels.where("level > 0"), "key").groupBy("row").agg(F.collect_list(F.struct("key", "level")).alias("levels"))
 
-    def each(batches: Iterator[list[list]]) -> Iterator[list]:
-        for ids, texts, found in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for d, text, own in zip(ids, texts, found):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, own in enumerate(batch.column("levels").to_pylist()):
                 known = sorted((np.int64(x["key"]).view(np.uint64).item(), x["level"]) for x in own or ())
-                at, level = np.array([k for k, _ in known], np.uint64), np.array([0, *(v for _, v in known)], np.int64)
+                at, level = np.array([x for x, _ in known], np.uint64), np.array([v for _, v in known], np.int64)
 
                 def levels(keys: np.ndarray, at: np.ndarray = at, level: np.ndarray = level) -> np.ndarray:
-                    place = np.searchsorted(at, keys)
-                    same = np.append(at, np.uint64(0))[place] == keys
-                    return np.where(same & (place < len(at)), level[np.minimum(place, len(at) - 1) + 1], 0) if len(at) else np.zeros(len(keys), np.int64)
+                    if not len(at):
+                        return np.zeros(len(keys), np.int64)
+                    place = np.minimum(np.searchsorted(at, keys), len(at) - 1)
+                    return np.where(at[place] == keys, level[place], 0)
 
-                for column, x in zip(columns, _scored([d], [text], shared.value, levels)):
-                    column += list(x)
-            yield columns
+                yield _scored(batch.column("doc_id")[k : k + 1], batch.column("text")[k : k + 1], shared.value, levels)
 
-    return map_batches(numbered.join(per_row, "row", "left"), ["doc_id", "text", "levels"], each, _SCORED)
+    return numbered.join(per_row, "row", "left").select("doc_id", "text", "levels").mapInArrow(each, _SCORED)
 
 
 def language_model_scores(docs: DataFrame, learn: Column, order: int = ORDER, common: int = COMMON, filter_bytes: int = FILTER_BYTES) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def test_probabilities_equal_the_formula_on_plain_counts():
     texts = ["a b a b a c", "b a", None]
     model = ngrams.Model(2, 11, 4, {})
     model.back_off = np.full(ngrams.CLASSES, 0.4)
-    p = ngrams.Passage([t if t is None else t.encode() for t in texts], model)
+    p = ngrams.Passage(pa.array(texts), model)
     seen = Counter(np.concatenate([p.word_keys[p.at], *p.keys]).tolist())
     got = p.log_probability(lambda keys: np.array([seen[k] for k in keys.tolist()]), model)
     one, two = Counter(), Counter()
