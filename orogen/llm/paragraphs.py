@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .base import in_small_batches, join_counted, keep, map_batches
 from .components import components
-from .spans import aligned_from
+from .spans import run, aligned_from
 
 SIMILARITY = 0.8
 #: Words of a passage at least. Shorter pieces that documents share (phrases, licence lines, quotations) are left alone.
@@ -209,10 +209,12 @@ def passages(x: np.ndarray, asked: list[dict], least: int = LEAST_WORDS, similar
         keys, at = band_keys(y)
         left, right = np.searchsorted(ranked, keys), np.searchsorted(ranked, keys, "right")
         places = sorted((int(i), int(j)) for a, b, j in zip(left, right, at) for i in order[a:b])
+        tried: dict[int, int] = {}  # for each shift between the two the end of what was followed to no passage
         for i, j in places:
-            if any(a <= i and i + KEY_WORDS <= b for a, b, *_ in found):
+            if i < tried.get(i - j, 0) or any(a <= i and i + KEY_WORDS <= b for a, b, *_ in found):
                 continue
-            a, b, c, d, like = aligned_from(x, y, i, j, KEY_WORDS, similarity)
+            a, b, c, d, like = aligned_from(x, y, i, j, KEY_WORDS, similarity, least)
+            tried[i - j] = i + KEY_WORDS + run(x[i + KEY_WORDS :], y[j + KEY_WORDS :])
             if b - a >= least and like >= similarity:
                 found.append((a, b, c + lo, d + lo, like, int(g[a : b - KEY_WORDS + 1].min()), int(gy[c : max(c + 1, d - KEY_WORDS + 1)].min())))
         names = ("start", "end", "keeper_start", "keeper_end", "similarity", "own", "other")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 AGREE = 3  # words that agree again after some that differ, at least
+#: Words of a gap at most (what lies at its two sides is two passages else), and runs beyond the point where likeness is lost.
+GAP, BEYOND = 256, 4
 
 
-def _run(x: np.ndarray, y: np.ndarray) -> int:
+def run(x: np.ndarray, y: np.ndarray) -> int:
     """Equal words at the beginning."""
     n, at, step = min(len(x), len(y)), 0, 64
     while at < n:
@@ -34,30 +36,35 @@ def _resumed(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, int, int]:
         a, b = np.nonzero(again)
         for k in np.lexsort((abs(a - b), np.maximum(a, b)))[:4]:
             i, j = int(a[k]), int(b[k])
-            n = _run(x[i:], y[j:])
+            n = run(x[i:], y[j:])
             if n >= max(i, j):
                 return i, j, n
         if reach >= most or (reach >= len(x) and reach >= len(y)):
             return 0, 0, 0
 
 
-def _onward(x: np.ndarray, y: np.ndarray, before: int, similarity: float) -> list[tuple[int, int]]:
-    """Where runs of agreeing words end in both, one after the other; `before` words agree in front of these.
+def _gained(words: int, gap: tuple[int, int], similarity: float) -> float:
+    """What a run of agreeing words after a gap adds: positive sums mean the similarity or more.
 
-    A gap destroys its words' shingles and those that reach into it, so what alike passages may differ in follows
-    their length: gaps are looked for up to that share of what is still to come.
+    A run shares all its shingles but four, a gap destroys its own words' and four in either text.
     """
-    i = j = _run(x, y)
-    ends = [(i, j)]
-    while True:
-        whole = before + max(i, j)
-        share = (1 - similarity) / (1 + similarity)
-        most = 2 + int(share * (whole + min(len(x) - i, len(y) - j, whole)))
+    return (1 - similarity) * max(0, words - 4) - similarity * (sum(gap) + 8)
+
+
+def _onward(x: np.ndarray, y: np.ndarray, similarity: float, gain: float) -> list[tuple[int, int, float]]:
+    """Where runs of agreeing words end in both, one after the other, and what all up to there add to the gain in front."""
+    i, j, g, below = 0, 0, 0.0, 0
+    ends = [(0, 0, 0.0)]
+    while below <= BEYOND:
+        ahead = (1 - similarity) * min(len(x) - i, len(y) - j)
+        most = min(GAP, 2 + max(0, int((gain + g + ahead) / (2 * similarity))))
         a, b, n = _resumed(x[i:], y[j:], most)
         if not n:
-            return ends
-        i, j = i + a + n, j + b + n
-        ends.append((i, j))
+            break
+        i, j, g = i + a + n, j + b + n, g + _gained(n, (a, b), similarity)
+        ends.append((i, j, g))
+        below = below + 1 if gain + g < 0 else 0
+    return ends
 
 
 def shingle_hashes(x: np.ndarray, words: int = 5) -> np.ndarray:
@@ -66,7 +73,9 @@ def shingle_hashes(x: np.ndarray, words: int = 5) -> np.ndarray:
     joined, wide = np.zeros(n, np.uint64), x.astype(np.uint64)
     for k in range(words):
         joined = (joined ^ (joined >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + wide[k : k + n] * np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(joined ^ (joined >> np.uint64(32)))
+    joined ^= joined >> np.uint64(32)
+    joined.sort()
+    return joined[np.r_[True, joined[1:] != joined[:-1]]] if n else joined
 
 
 def likeness(x: np.ndarray, y: np.ndarray, words: int = 5) -> float:
@@ -80,19 +89,33 @@ def likeness(x: np.ndarray, y: np.ndarray, words: int = 5) -> float:
     return shared / max(1, len(both) - shared)
 
 
-def aligned_from(x: np.ndarray, y: np.ndarray, i: int, j: int, n: int, similarity: float) -> tuple[int, int, int, int, float]:
+def aligned_from(x: np.ndarray, y: np.ndarray, i: int, j: int, n: int, similarity: float, least: int) -> tuple[int, int, int, int, float]:
     """Range of x around the n equal words from i (in y from j), y's range that is like it, and their similarity.
 
-    Words that differ are passed as far as the whole range stays alike enough: else its outermost run goes, that of
-    the side with the more differing words, until what is left is alike.
+    Words that differ are passed as far as the whole range stays alike enough, by a count of what gaps destroy; if the
+    shingle sets then are not alike, the outermost run of the side that adds less goes, until they are. A range of
+    fewer than `least` words is not compared; its similarity is 0.
     """
-    right = _onward(x[i + n :], y[j + n :], n, similarity)
-    left = _onward(x[:i][::-1], y[:j][::-1], n + right[-1][0], similarity)
+    i, j, n = _whole_run(x, y, i, j, n)
+    own = (1 - similarity) * max(0, n - 4)
+    right = _onward(x[i + n :], y[j + n :], similarity, own)
+    to_right = max((g for _, _, g in right if own + g >= 0), default=0.0)
+    left = _onward(x[:i][::-1], y[:j][::-1], similarity, own + to_right)
+    while len(left) > 1 and own + to_right + left[-1][2] < 0:
+        left.pop()
+    while len(right) > 1 and own + left[-1][2] + right[-1][2] < 0:
+        right.pop()
     while True:
-        (p, q), (r, s) = left[-1], right[-1]
+        (p, q, _), (r, s, _) = left[-1], right[-1]
         a, b, c, d = i - p, i + n + r, j - q, j + n + s
-        like = likeness(x[a:b], y[c:d])
-        if like >= similarity or len(left) == len(right) == 1:
+        like = likeness(x[a:b], y[c:d]) if b - a >= least else 0.0
+        if like >= similarity or b - a < least or len(left) == len(right) == 1:
             return a, b, c, d, like
-        gained = [side[-1][0] - side[-2][0] if len(side) > 1 else np.inf for side in (left, right)]
-        (left if gained[0] <= gained[1] else right).pop()
+        last = [side[-1][2] - side[-2][2] if len(side) > 1 else np.inf for side in (left, right)]
+        (left if last[0] <= last[1] else right).pop()
+
+
+def _whole_run(x: np.ndarray, y: np.ndarray, i: int, j: int, n: int) -> tuple[int, int, int]:
+    """The longest run of equal words that has these."""
+    before, after = run(x[:i][::-1], y[:j][::-1]), run(x[i + n :], y[j + n :])
+    return i - before, j - before, before + n + after
