@@ -42,7 +42,8 @@ class WordTokenizer:
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens must be matched as they stand")
         # The longest is found first. No chunk has a line end, so these names of special tokens are theirs alone.
-        self.special = re.compile("(" + "|".join(re.escape(t.content) for t in sorted(added.values(), key=lambda t: -len(t.content))) + ")") if added else None
+        self.contents = sorted((t.content for t in added.values()), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, self.contents)) + ")")
         self.fixed = {"": b""} | {f"\n{t.content}": i.to_bytes(4, "little") for i, t in added.items()}
         self.model.encode_special_tokens = True  # for what is left when special tokens are parted from it
         #: The same vocabulary and merges for words that are lower-case letters already.
@@ -95,7 +96,7 @@ class WordTokenizer:
         """The texts' ids in turn; words are learned for some millions of characters at a time."""
         group, chars = [], 0
         for text in texts:
-            parts = self.special.split(text) if self.special else [text]
+            parts = self.special.split(text) if any(t in text for t in self.contents) else [text]
             own = _chunks(parts[0])
             for special, part in zip(parts[1::2], parts[2::2]):
                 own += [f"\n{special}", *_chunks(part)]
