@@ -13,50 +13,55 @@ from pyspark.sql import functions as F
 
 from ..functions import space
 from ..tables import cut
+from . import cells
 
 
-def candidates(points: DataFrame, rings: DataFrame, size: float = 10.0, also: tuple[str, ...] = ()) -> DataFrame:
+#: Degrees of the largest cell; a box of any ring fits into two of them along each axis.
+ROOT = 512.0
+
+
+def candidates(points: DataFrame, rings: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of points and rings that contain them (strict ray cast).
 
-    Rings are dealt to the lon/lat buckets of their boxes, points have one bucket: an equality join with the
-    ray cast as residual, never a nested loop. Smaller buckets part dense places further. Rows also have to agree
-    in the columns `also`, such as a tick.
+    Rings are dealt to the cells of their own size that their boxes touch, points look into one cell of each size that
+    there is: an equality join, whose pairs lie within a ring's width of each other, however dense or uneven both tables
+    are. Only pairs in the ring's box meet its shape. Rows also have to agree in the columns `also`, such as a tick.
     """
-    bucket = lambda c: F.floor(c / size).cast("int")
     low = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
     high = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
-    dealt = rings.withColumn("_bx", F.explode(F.sequence(bucket(low("x")), bucket(high("x"))))).withColumn("_by", F.explode(F.sequence(bucket(low("y")), bucket(high("y")))))
-    at = points.withColumn("_bx", bucket(F.col("lon"))).withColumn("_by", bucket(F.col("lat")))
-    met = at.join(dealt.withColumnRenamed("plate_id", "ring_plate"), ["_bx", "_by", *also]).drop("_bx", "_by")
-    return met.where(space.point_in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    boxed = rings.withColumns({"_w": low("x"), "_s": low("y"), "_e": high("x"), "_n": high("y")})
+    dealt = cells.dealt(boxed, [F.col("_w"), F.col("_s")], [F.col("_e"), F.col("_n")], ROOT)
+    at = cells.probes(points, [F.col("lon"), F.col("lat")], ROOT, dealt)
+    met = at.join(dealt.withColumnRenamed("plate_id", "ring_plate"), [*cells.keys(2), *also]).where("lon between _w and _e and lat between _s and _n")
+    return met.drop(*cells.keys(2), "_w", "_s", "_e", "_n").where(space.point_in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
 
 
-def containing(points: DataFrame, rings: DataFrame, size: float = 10.0, also: tuple[str, ...] = ()) -> DataFrame:
+def containing(points: DataFrame, rings: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """point_id, plate_id of plates with the point in an outer ring and in no hole."""
-    met = candidates(points.select("point_id", "lon", "lat", *also), rings, size, also)
+    met = candidates(points.select("point_id", "lon", "lat", *also), rings, also)
     inside = met.groupBy("point_id", "ring_plate", *also).agg(F.count_if(~F.col("is_hole")).alias("o"), F.count_if("is_hole").alias("h"))
     return inside.where("o > 0 and h = 0").select("point_id", F.col("ring_plate").alias("plate_id"), *also)
 
 
-def assign_plate(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
+def assign_plate(points: DataFrame, rings: DataFrame) -> DataFrame:
     """Points without a plate get the first (by id) that contains them, else null; others keep theirs."""
-    found = containing(points.where("plate_id is null"), rings, size).groupBy("point_id").agg(F.min("plate_id").alias("_found"))
+    found = containing(points.where("plate_id is null"), rings).groupBy("point_id").agg(F.min("plate_id").alias("_found"))
     return points.join(found, "point_id", "left").withColumn("plate_id", F.coalesce("plate_id", "_found")).drop("_found")
 
 
-def plate_query(points: DataFrame, rings: DataFrame, size: float = 10.0) -> DataFrame:
+def plate_query(points: DataFrame, rings: DataFrame) -> DataFrame:
     """plate, candidates and confidence: Boundary on a ring's vertex, Certain for one plate, Uncertain for more, Unassigned for none."""
-    inside = containing(points, rings, size).groupBy("point_id").agg(F.min("plate_id").alias("plate"), F.count(F.lit(1)).alias("n_candidates"))
+    inside = containing(points, rings).groupBy("point_id").agg(F.min("plate_id").alias("plate"), F.count(F.lit(1)).alias("n_candidates"))
     vertex = rings.select(F.explode("ring").alias("v")).select(F.col("v.x").alias("lon"), F.col("v.y").alias("lat")).distinct().withColumn("on_ring", F.lit(True))
     rows = points.select("point_id", "lon", "lat").join(inside, "point_id", "left").join(vertex, ["lon", "lat"], "left")
     n = F.coalesce("n_candidates", F.lit(0))
     return rows.select("point_id", "plate", n.cast("long").alias("n_candidates"), F.when(F.col("on_ring"), "Boundary").when(n == 1, "Certain").when(n > 1, "Uncertain").otherwise("Unassigned").alias("confidence"))
 
 
-def assign_holes(outers: DataFrame, holes: DataFrame, size: float = 10.0) -> DataFrame:
+def assign_holes(outers: DataFrame, holes: DataFrame) -> DataFrame:
     """Each hole's smallest outer that contains its centroid; null for orphans. Columns ring_id, ring."""
     at = holes.select(F.col("ring_id").alias("point_id"), space.ring_mean(F.col("ring"), "x").alias("lon"), space.ring_mean(F.col("ring"), "y").alias("lat"))
-    met = candidates(at, outers.select(F.col("ring_id").alias("plate_id"), "ring"), size)
+    met = candidates(at, outers.select(F.col("ring_id").alias("plate_id"), "ring"))
     best = met.groupBy("point_id").agg(F.min(F.struct(F.abs(space.planar_ring_area(F.col("ring"))).alias("a"), "ring_plate")).alias("m"))
     return at.join(best, "point_id", "left").select(F.col("point_id").alias("hole"), F.col("m.ring_plate").alias("outer"))
 

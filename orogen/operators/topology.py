@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import space
 from ..tables import cut
+from . import partition
 
 
 def adjacency_edges(boundaries: DataFrame, plates: DataFrame) -> DataFrame:
@@ -126,23 +127,28 @@ def walk_faces(darts_: DataFrame) -> DataFrame:
     return state.join(size, "face").select("dart", "face", (F.col("n") - F.col("left")).alias("position"), "n")
 
 
-def polygonize(darts_: DataFrame, positions: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """face, plate_id, ring (open, of unit points), area, is_outer: faces whose darts agree on the plate, but for the outside face.
+def polygonize(darts_: DataFrame, positions: DataFrame, boundaries: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """face, plate_id, ring (open, of unit points), area, is_outer, outer, is_orphan: faces whose darts agree on the plate, but for the outside face.
 
     A dart has its boundary's left plate when it runs forward, the right one backward. The outside face is the
-    one with the greatest absolute area, the first on ties.
+    one with the greatest absolute area, the first on ties. Holes name the outer ring that they lie in
+    (partition.assign_rings). Boundaries without a plate on a side leave no polygon there. Several maps at once, with
+    boundary and junction ids of their own, are told apart by the boundaries' columns `also`.
     """
     faces = walk_faces(darts_).join(darts_.select("dart", "boundary_id", "origin"), "dart").join(positions.select(F.col("junction_id").alias("origin"), "position").withColumnRenamed("position", "xyz"), "origin")
     side = F.when(F.col("dart") % 2 == 0, F.col("plate_left")).otherwise(F.col("plate_right"))
-    rows = faces.join(boundaries.select("boundary_id", "plate_left", "plate_right"), "boundary_id").withColumn("plate_id", side)
-    rings = rows.groupBy("face").agg(F.min("plate_id").alias("plate_id"), F.max("plate_id").alias("_other"), F.transform(F.array_sort(F.collect_list(F.struct("position", "xyz"))), lambda x: x["xyz"]).alias("ring"))
-    rings = rings.where("plate_id = _other").drop("_other").withColumn("area", space.spherical_ring_area(F.col("ring")))
-    return rings.join(outside_face(rings), "face", "left_anti").withColumn("is_outer", F.col("area") > 0)
+    rows = faces.join(boundaries.select("boundary_id", "plate_left", "plate_right", *also), "boundary_id").withColumn("plate_id", side)
+    agree = F.when(F.count("plate_id") == F.count(F.lit(1)), F.min("plate_id") == F.max("plate_id"))
+    rings = rows.groupBy("face", *also).agg(F.min("plate_id").alias("plate_id"), agree.alias("_agree"), F.transform(F.array_sort(F.collect_list(F.struct("position", "xyz"))), lambda x: x["xyz"]).alias("ring"))
+    rings = cut(rings.withColumn("area", space.spherical_ring_area(F.col("ring"))))
+    own = rings.join(outside_face(rings, also), ["face", *also], "left_anti").where("_agree").drop("_agree")
+    found = partition.assign_rings(own, also)
+    return own.join(found.select("face", *also, (~F.col("is_hole")).alias("is_outer"), "outer", "is_orphan"), ["face", *also])
 
 
-def outside_face(rings: DataFrame) -> DataFrame:
-    """One row: the face with the greatest absolute area, the least id on ties."""
-    return rings.agg(F.max(F.struct(F.abs("area").alias("a"), (-F.col("face")).alias("f"))).alias("m")).select((-F.col("m.f")).alias("face"))
+def outside_face(rings: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each map): the face with the greatest absolute area, the least id on ties."""
+    return rings.groupBy(*also).agg(F.max(F.struct(F.abs("area").alias("a"), (-F.col("face")).alias("f"))).alias("m")).select((-F.col("m.f")).alias("face"), *also)
 
 
 def quality(polygons: DataFrame, sliver: float) -> DataFrame:
@@ -158,7 +164,7 @@ def coverage(polygons: DataFrame, plates: DataFrame, off: float) -> DataFrame:
     return total.join(F.broadcast(lost)).withColumn("covers", F.abs(F.col("area") - 4 * F.pi()) < off)  # two tables of one row
 
 
-def partition(polygons: DataFrame, plates: DataFrame, faults: DataFrame, policy: str = "strict") -> DataFrame:
+def partition_status(polygons: DataFrame, plates: DataFrame, faults: DataFrame, policy: str = "strict") -> DataFrame:
     """One row: status and counts. Strict: any diagnostic or missing plate is an error; lenient: an error only without any plate."""
     lost = missing_plates(plates, polygons).agg(F.count(F.lit(1)).alias("n_missing"))
     bad = faults.agg(F.count(F.lit(1)).alias("n_faults"))
@@ -167,13 +173,3 @@ def partition(polygons: DataFrame, plates: DataFrame, faults: DataFrame, policy:
     wrong = (F.col("n_missing") > 0) | (F.col("n_faults") > 0)
     error = wrong if policy == "strict" else F.col("n_plates") == 0
     return row.withColumn("status", F.when(error, "error").when(wrong, "warning").otherwise("ok"))
-
-
-def density_epsilon(lines: DataFrame) -> DataFrame:
-    """Snap tolerance: the mean chord length by a factor of segments per boundary, between 1e-12 and 1e-6. lines(boundary_id, line)."""
-    v = lines.select("boundary_id", F.posexplode("line").alias("pos", "p"))
-    w = Window.partitionBy("boundary_id").orderBy("pos")
-    chords = v.withColumn("q", F.lead("p").over(w)).where("q is not null").select("boundary_id", space.norm(space.vec_sub(F.col("q"), F.col("p"))).alias("chord"))
-    s = chords.agg(F.avg("chord").alias("mean_chord"), (F.count(F.lit(1)) / F.countDistinct("boundary_id")).alias("density"))
-    factor = F.when(F.col("density") > 100, 1e-9).when(F.col("density") > 10, 1e-8).otherwise(1e-7)
-    return s.withColumn("epsilon", space.clamp(F.col("mean_chord") * factor, 1e-12, 1e-6))

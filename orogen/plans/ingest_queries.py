@@ -291,7 +291,7 @@ def a19_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     plates, none = m["cells"].unionByName(lost), m["boundaries"].where("boundary_id < 0").select("boundary_id")
     row = topology.coverage(p, plates, 1e-6)
     for policy in ("strict", "lenient"):
-        row = row.join(F.broadcast(topology.partition(p, plates, none, policy).select(F.col("status").alias(policy))))  # tables of one row
+        row = row.join(F.broadcast(topology.partition_status(p, plates, none, policy).select(F.col("status").alias(policy))))  # tables of one row
     return row.select("n_empty", "n_missing", "covers", "strict", "lenient")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..domain import sql, table
 from ..functions import space
-from ..operators import topology
+from ..operators import partition, topology
 from ..registry import query
 from ..tables import cut, r6
 
@@ -158,7 +161,7 @@ def y21_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _grid_map(spark, sf_dir)
     p = cut(topology.polygonize(m["darts"], m["positions"], m["boundaries"]))
     none = m["boundaries"].where("boundary_id < 0").select("boundary_id")
-    row = topology.partition(p, m["cells"], none).join(F.broadcast(topology.quality(p, 1e-12)))  # tables of one row
+    row = topology.partition_status(p, m["cells"], none).join(F.broadcast(topology.quality(p, 1e-12)))  # tables of one row
     rows = m["cells"].agg((F.max("plate_id") + 42).alias("n")).withColumn("r", F.expr("n div 40"))
     lat = lambda j: F.radians(-60 + j * 120.0 / F.col("r"))
     last = F.greatest(F.col("n") % 40 - 1, F.lit(0))
@@ -168,8 +171,127 @@ def y21_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("boundaries", """with v as (select radians(lat0) as a, radians(lon0) as b, radians(lat1) as c, radians(lon1) as d from boundaries),
 e as (select avg(sqrt(power(cos(a)*cos(b)-cos(c)*cos(d),2)+power(cos(a)*sin(b)-cos(c)*sin(d),2)+power(sin(a)-sin(c),2))) as m from v)
-select round(m, 6) + 0.0 as mean_chord, round(least(greatest(m * 1e-7, 1e-12), 1e-6) * 1e9, 6) + 0.0 as epsilon_e9 from e"""))
+select round(m, 6) + 0.0 as mean_chord, 1.0::double as density, round(least(greatest(m * 2e-2, 1e-12), 1e-6) * 1e9, 6) + 0.0 as epsilon_e9 from e"""))
 def a18_density_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "boundaries")
     line = F.array(space.latlon_to_unit(F.col("lat0"), F.col("lon0")), space.latlon_to_unit(F.col("lat1"), F.col("lon1")))
-    return topology.density_epsilon(b.select("boundary_id", line.alias("line"))).select(r6(F.col("mean_chord")).alias("mean_chord"), r6(F.col("epsilon") * 1e9).alias("epsilon_e9"))
+    found = partition.density_epsilon(b.select("boundary_id", line.alias("line")))
+    return found.select(r6(F.col("mean_chord")).alias("mean_chord"), "density", r6(F.col("epsilon") * 1e9).alias("epsilon_e9"))
+
+
+#: Tolerances of the four levels, and by how much ends are moved, in units of 1e-10.
+_MOVED = "case h when 0 then 50 when 1 then 500 when 2 then 5000 when 3 then 50000 else 3 * (h % 3) end"
+
+
+def _torn_ends(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The grid map, and the ends of its boundaries moved off their junctions along x: most hardly, some by more than a tolerance."""
+    m = _grid_map(spark, sf_dir)
+    both = F.explode(F.array(*(F.struct(F.lit(k).alias("place"), F.col(c).alias("junction_id")) for k, c in enumerate(("start", "end")))))
+    ends = m["boundaries"].select("boundary_id", both.alias("e")).select("boundary_id", "e.*").join(m["positions"], "junction_id")
+    ends = ends.withColumn("h", (F.col("boundary_id") * 7 + F.col("place") * 3) % 101)
+    at = F.struct((F.col("position.x") + F.expr(_MOVED) * 1e-10).alias("x"), F.col("position.y").alias("y"), F.col("position.z").alias("z"))
+    return m, ends.select("boundary_id", "place", at.alias("position"))
+
+
+def _map_of(snapped: DataFrame, boundaries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Darts and positions of snapped ends."""
+    side = lambda k: F.max(F.when(F.col("place") == k, F.col("junction_id")))
+    lines = snapped.groupBy("boundary_id").agg(side(0).alias("start"), side(1).alias("end"))
+    angle = F.explode(F.array(F.struct(F.lit(0).alias("place"), F.col("a0").alias("angle")), F.struct(F.lit(1).alias("place"), F.col("a1").alias("angle"))))
+    return topology.darts(lines, boundaries.select("boundary_id", angle.alias("x")).select("boundary_id", "x.*")), snapped.select("junction_id", "position").distinct()
+
+
+_TORN = _GRID + f""", t as (select id, 0 as place, s as k from b union all select id, 1, e from b),
+t2 as (select *, (id * 7 + place * 3) % 101 as h from t),
+t3 as (select id, place, k, {_MOVED} as d, lv.level, lv.eps from t2, (values (0, 10), (1, 100), (2, 1000), (3, 10000)) lv(level, eps)),
+t4 as (select *, case when d - lag(d) over w <= eps then 0 else 1 end as apart from t3 window w as (partition by level, k order by d, id, place)),
+t5 as (select *, sum(apart) over (partition by level, k order by d, id, place) as part from t4),
+torn as (select level, id, place, k, min(2 * id + place) over (partition by level, k, part) as junction, count(*) over (partition by level, k, part) as degree from t5)
+"""
+
+
+@query(_TORN + "select id as boundary_id, place, level, junction from torn")
+def y21_snapped_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ends join with each tolerance, from 1e-9 to 1e-6: all four maps in one pass."""
+    _, ends = _torn_ends(spark, sf_dir)
+    level = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(e).alias("eps")) for k, e in enumerate(partition.tolerances(1e-9)))))
+    found = partition.snap_ends(ends.select("*", level.alias("l")).select("boundary_id", "place", "position", "l.*"), F.col("eps"), ("level",))
+    return found.select("boundary_id", "place", "level", F.col("junction_id").alias("junction"))
+
+
+@query(_TORN + """, corner as (select k as cell, x.* from c, lateral (values
+  (0, 2 * k, 0, 2 * k + 1, 0), (1, 2 * k, 1, 2 * k + 3, 0), (2, 2 * k + 3, 1, 2 * k + 80, 1), (3, 2 * k + 1, 1, 2 * k + 80, 0)) x(corner, b1, p1, b2, p2)),
+whole as (select u.level, cell, bool_and(u.junction = v.junction) as whole from corner join torn u on u.id = b1 and u.place = p1 join torn v on v.id = b2 and v.place = p2 and v.level = u.level group by all),
+counts as (select level, count(*) filter (where not whole) as n_missing, count(*) as n_plates from whole group by level),
+f as (select level, count(distinct id) filter (where degree = 1) as n_open, count(*) filter (where degree = 1) as n_non_manifold from torn group by level),
+s as (select level, n_plates, n_missing, n_open, n_non_manifold, case when n_missing + n_open + n_non_manifold > 0 then 'error' else 'ok' end as strict,
+  case when n_missing = n_plates then 'error' when n_missing + n_open + n_non_manifold > 0 then 'warning' else 'ok' end as lenient from counts join f using (level))
+select *, level = (select min(level) from s where lenient <> 'error') as chosen from s""")
+def y21_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partition at each tolerance that the default policy tries, with its status; the first that is no error is chosen."""
+    m, ends = _torn_ends(spark, sf_dir)
+    level = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(e).alias("eps")) for k, e in enumerate(partition.tolerances(1e-9)))))
+    each = lambda df: df.select("*", level.alias("_l")).select("*", "_l.*").drop("_l").withColumn("boundary_id", F.col("boundary_id") * 4 + F.col("level"))
+    snapped = cut(partition.snap_ends(each(ends), F.col("eps"), ("level",)))
+    maps = cut(each(m["boundaries"]))
+    darts, positions = _map_of(snapped, maps)
+    polygons = topology.polygonize(darts, positions, maps, ("level",))
+    rows = cut(partition.statuses(polygons, m["cells"], partition.faults(snapped, ("level",)), "level"))
+    first = rows.where("lenient <> 'error'").agg(F.min("level").alias("_first"))
+    return rows.join(F.broadcast(first)).withColumn("chosen", F.coalesce(F.col("level") == F.col("_first"), F.lit(False))).drop("_first")  # one row
+
+
+@query(_TORN.replace("with a as", "with recursive a as", 1) + """, line as (select id, min(junction) as u, max(junction) as v from torn where level = 0 group by id),
+step as (select u, v from line union select v, u from line),
+main(node) as (select min(u) from step union select v from main join step on node = u),
+rest(start, node) as (select u, u from step where u not in (select node from main) union select start, v from rest join step on node = u),
+label as (select node, (select min(node) from main) as piece from main union all select node, min(start) from rest group by node)
+select piece, count(distinct node) as n_junctions, count(distinct id) as n_boundaries, 2 - count(distinct node) + count(distinct id) as n_faces, cast(2 as bigint) as euler
+from label join line on node in (u, v) group by piece""")
+def a9_partition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The torn map's pieces with V - E + F, its faces walked; a piece on a sphere has 2."""
+    m, ends = _torn_ends(spark, sf_dir)
+    snapped = cut(partition.snap_ends(ends, F.lit(1e-9)))
+    darts = cut(_map_of(snapped, m["boundaries"])[0])
+    faces = topology.walk_faces(darts).join(darts.select("dart", F.col("origin").alias("junction_id")), "dart").select("face", "junction_id")
+    return partition.pieces(snapped, faces)
+
+
+def _island_map(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The grid with an island in every fifth cell, in every tenth another one on it, and two rings around the north pole."""
+    m = _grid_map(spark, sf_dir)
+    grid = m["boundaries"].select("boundary_id", "start", "end", "a0", "a1", *(F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in ("plate_left", "plate_right")))
+    # The corners of a ring eastward along its south, and for each side the directions at its start and end.
+    turn = [(0.0, math.pi), (math.pi / 2, -math.pi / 2), (math.pi, 0.0), (-math.pi / 2, math.pi / 2)]
+    last = m["positions"].agg(F.max("junction_id").alias("_n"))
+    cell = m["cells"].join(F.broadcast(last)).select(F.col("plate_id").alias("k"), F.greatest(F.expr("(_n + 1) div 40"), F.lit(1)).alias("rows"))  # one row
+    islands = [(5, 0, 0.25, 1_000_000 + F.col("k") % 3, F.col("k")), (10, 4, 0.4, F.col("k"), 1_000_000 + F.col("k") % 3)]
+    lines, spots = [], []
+    for every, first, inset, left, right in islands:
+        own = cell.where(F.col("k") % every == 0)
+        lat = lambda f: -60 + (F.expr("k div 40") + f) * 120.0 / F.col("rows")
+        lon = lambda f: (F.col("k") % 40 + f) * 2.0
+        corners = [(inset, inset), (inset, 1 - inset), (1 - inset, 1 - inset), (1 - inset, inset)]
+        for s in range(4):
+            at = F.col("k") * 8 + 1_000_000_000 + first
+            lines.append(own.select((at + s).alias("boundary_id"), (at + s).alias("start"), (at + (s + 1) % 4).alias("end"), F.lit(turn[s][0]).alias("a0"), F.lit(turn[s][1]).alias("a1"), left.cast("long").alias("plate_left"), right.cast("long").alias("plate_right")))
+            spots.append(own.select((at + s).alias("junction_id"), space.latlon_to_unit(lat(corners[s][0]), lon(corners[s][1])).alias("position")))
+    polar = spark.range(8).select(F.col("id"), F.expr("id div 4").alias("ring"), (F.col("id") % 4).alias("s"))
+    at = 2_000_000_000 + F.col("ring") * 4
+    lines.append(polar.select((at + F.col("s")).alias("boundary_id"), (at + F.col("s")).alias("start"), (at + (F.col("s") + 1) % 4).alias("end"), F.lit(0.0).alias("a0"), F.pi().alias("a1"), (2_000_000 + F.col("ring")).alias("plate_left"), F.when(F.col("ring") == 1, F.lit(2_000_000).cast("long")).alias("plate_right")))
+    spots.append(polar.select((at + F.col("s")).alias("junction_id"), space.latlon_to_unit(75.0 + 10.0 * F.col("ring"), 90.0 * F.col("s") + 45.0).alias("position")))
+    b = cut(reduce(DataFrame.unionByName, lines, grid))
+    angles = b.select("boundary_id", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.col("a0").alias("angle")), F.struct(F.lit(1).alias("place"), F.col("a1").alias("angle")))).alias("x")).select("boundary_id", "x.*")
+    return {"boundaries": b, "darts": topology.darts(b.select("boundary_id", "start", "end"), angles), "positions": reduce(DataFrame.unionByName, spots, m["positions"])}
+
+
+@query(_GRID + """select 4 * k as face, k as plate_id, true as is_outer, 4 * k as outer_face from c
+union all select 2000000000 + 16 * k, 1000000 + k % 3, true, 2000000000 + 16 * k from c where k % 5 = 0
+union all select 2000000001 + 16 * k, k, false, 4 * k from c where k % 5 = 0
+union all select 2000000008 + 16 * k, k, true, 2000000008 + 16 * k from c where k % 10 = 0
+union all select 2000000009 + 16 * k, 1000000 + k % 3, false, 2000000000 + 16 * k from c where k % 10 = 0
+union all values (4000000000, 2000000, true, 4000000000), (4000000008, 2000001, true, 4000000008), (4000000009, 2000000, false, 4000000000)""")
+def y19_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of plates with holes, of plates of many outer rings, of islands on islands, and around a pole."""
+    m = _island_map(spark, sf_dir)
+    return topology.polygonize(m["darts"], m["positions"], m["boundaries"]).select("face", "plate_id", "is_outer", F.col("outer").alias("outer_face"))
