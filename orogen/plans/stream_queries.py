@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,11 @@ from .log_queries import _STATE
 BATCHES = 3
 
 
-def arriving(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
-    """The events as a stream of BATCHES files in order of event_id (all of them `times` over), one file a batch."""
+def arriving(spark: SparkSession, sf_dir: str, times: int = 1, end: str | None = None) -> DataFrame:
+    """The events as a stream of BATCHES files in order of event_id (all of them `times` over), one file a batch.
+
+    With `end` a file of one row of that time, and no other value, comes last.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     last = events.agg(F.max("event_id")).first()[0] or 0
     part = F.least(F.floor(F.col("event_id") * BATCHES / (last + 1)), F.lit(BATCHES - 1)).cast("int")
@@ -25,9 +30,18 @@ def arriving(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
     for again in range(times):
         for k in range(BATCHES):  # files are taken in order of their age
             events.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    if end:
+        last_row = spark.range(1).select(*((F.lit(end) if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in events.dtypes))
+        last_row.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _table(spark: SparkSession, sf_dir: str, fold: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    events, path = _stream(spark, sf_dir), new_folder(spark, key)
+    logs.maintained_table(events, fold, path, new_folder(spark, "checkpoint"))
+    return logs.current(spark, path, fold(events).schema, key)
+
+
 def _stream(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
     return topology_events(spark, sf_dir, arriving(spark, sf_dir, times))
 
@@ -42,24 +56,19 @@ def _kept(spark: SparkSession, sf_dir: str, report: bool = False) -> tuple[str,
     return path, events
 
 
-def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, events = _kept(spark, sf_dir)
-    return logs.latest_state(spark, path, events.schema)
-
-
 @query(_whole("select * from p"))
 def x1_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.plates(_state(spark, sf_dir))
+    return _table(spark, sf_dir, log.plates, "plate_id")
 
 
 @query(_whole("select * from b"))
 def x1_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.boundaries(_state(spark, sf_dir)).withColumn("geometry_seed", F.col("geometry.coords")[0]["x"].cast("long")).drop("geometry")
+    return _table(spark, sf_dir, log.boundaries, "boundary_id").withColumn("geometry_seed", F.col("geometry.coords")[0]["x"].cast("long")).drop("geometry")
 
 
 @query(_whole("select stream_key, junction_id, is_retired, radius, string_agg(boundary_id, ',' order by boundary_id) as boundary_ids from inc group by all"))
 def x1_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = log.junctions(_state(spark, sf_dir))
+    j = _table(spark, sf_dir, log.junctions, "junction_id")
     return j.select("stream_key", "junction_id", "is_retired", F.col("location.radius").alias("radius"), F.array_join(F.array_sort("boundary_ids"), ",").alias("boundary_ids"))
 
 
@@ -74,6 +83,22 @@ def x2_stream_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("stream_key").agg(F.max("sequence").alias("sequence"), F.max_by("tick", "sequence").alias("tick"))
 
 
+@query(ORACLE["x3_late_events"])
+def x3_stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late events as they arrive, against the greatest tick that is each stream's state."""
+    return logs.appended(logs.late_events(_stream(spark, sf_dir)), new_folder(spark, "late"), new_folder(spark, "checkpoint"))
+
+
+@query(ORACLE["x8_sessions"])
+def x8_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions on event time. A last row long after all others lets the watermark close every session; its own stays open."""
+    events = arriving(spark, sf_dir, end="9999-01-01").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    # A gap of just an hour does not part two events, the window's end does: one microsecond more.
+    found = logs.sessions(events, "user_id", "ts", "3600 seconds 1 microsecond", "2 hours")
+    told = logs.appended(found, new_folder(spark, "sessions"), new_folder(spark, "checkpoint"))
+    return told.select("user_id", F.col("session_start").cast(dict(spark.read.parquet(f"{sf_dir}/events.parquet").dtypes)["ts"]).alias("session_start"), "n")
+
+
 @query(ORACLE["y32_invariant_report"])
 def x4_stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the rules as batches arrive."""

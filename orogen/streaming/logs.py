@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +107,80 @@ def maintained(events: DataFrame, path: str, checkpoint: str, report: bool = Fal
     each_batch(events, checkpoint, fold)
 
 
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, so that it is not bound by an executor's heap."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def maintained_table(events: DataFrame, fold: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Keep a table of entities, folded by log.plates, boundaries or junctions, up to date with a stream.
+
+    The fold is a streaming aggregation: each entity's state is a row of the state store, and each batch writes the
+    entities that it touched, in a folder of its number; what others are is neither read nor written. Sequences may
+    come in any order. A repeated batch replaces its folder. Nothing is evicted: a retired entity may be created again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    with _state_on_disk(events.sparkSession):
+        fold(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def current(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
+    """The newest row of each entity of a table that maintained_table() keeps (schema: of its rows)."""
+    rows = spark.read.schema(_and(schema, "batch")).parquet(path)
+    last = rows.groupBy("stream_key", key).agg(F.max_by(F.struct(*(c for c in schema.names if c not in ("stream_key", key))), "batch").alias("_last"))
+    return last.select("stream_key", key, "_last.*").select(schema.names)
+
+
+def late_events(events: DataFrame) -> DataFrame:
+    """stream_key, sequence, tick, greatest_tick of events whose tick is less than one before them; for append mode.
+
+    Each stream's greatest tick so far is its state. Within a batch events count in order of their sequence.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("sequence")
+        top = rows["tick"].cummax().shift()
+        known = state.get[0] if state.exists else None
+        if known is not None:
+            top = top.fillna(known).clip(lower=known)
+        late = rows.assign(greatest_tick=top)[(rows["tick"] < top)]
+        state.update((int(max(rows["tick"].max(), known if known is not None else rows["tick"].max())),))
+        yield late.astype({"greatest_tick": "int64"})[["stream_key", "sequence", "tick", "greatest_tick"]]
+
+    rows = events.select("stream_key", "sequence", "tick")
+    return rows.groupBy("stream_key").applyInPandasWithState(update, "stream_key string, sequence long, tick long, greatest_tick long", "greatest long", "append", "NoTimeout")
+
+
+def sessions(events: DataFrame, by: str, time: str, gap: str, delay: str) -> DataFrame:
+    """`by`, session_start, n: events of which none is more than the gap after the one before; for append mode.
+
+    A session is told when the watermark, `delay` behind the newest event, has passed its end; rows that come later than
+    that are left out of it.
+    """
+    window = F.session_window(time, gap).alias("session")
+    return events.withWatermark(time, delay).groupBy(by, window).agg(F.min(time).alias("session_start"), F.count(F.lit(1)).alias("n")).select(by, "session_start", "n")
+
+
+def appended(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Write an append-mode stream as Parquet until all that is there has been read, and read it."""
+    with _state_on_disk(rows.sparkSession):
+        rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def latest_state(spark: SparkSession, path: str, schema) -> DataFrame:
     """The deciding events of the newest state under a path; log.plates() and the other folds make tables of them."""
     newest = spark.read.schema(_and(schema, "state")).parquet(path).agg(F.max("state")).first()[0]
