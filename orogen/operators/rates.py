@@ -33,6 +33,41 @@ def sample_along(vertices: DataFrame, n: int) -> DataFrame:
     return on.groupBy("boundary_id", "sample").agg(best).select("boundary_id", "sample", F.col("m.at").alias("p"), F.col("m.arc").alias("arc"), space.normalize(space.vec_sub(F.col("m.q"), F.col("m.p"))).alias("tangent"))
 
 
+def samples_by_mode(vertices: DataFrame, mode: str = "arc", count: int | None = None, spacing: float | None = None, ends: bool = True) -> DataFrame:
+    """boundary_id, sample, p, leg (the vertex before it) of lines of two or more vertices (boundary_id, pos, p).
+
+    mode: "arc" and "chord" space samples equally by great-circle or straight length, and put them on the arc or on the
+    chord; "vertices" takes the vertices. count: samples of each line; without it, `spacing` gives them: as many
+    intervals as fit best, one at least. With `ends` both ends are samples; without (a buffer around junctions) all lie
+    between them, and lines of two vertices keep both where the vertices are taken. Lines without length have one
+    sample, their first vertex.
+    """
+    w = Window.partitionBy("boundary_id").orderBy("pos")
+    if mode == "vertices":
+        last = vertices.withColumn("_last", F.max("pos").over(Window.partitionBy("boundary_id")))
+        taken = last if ends else last.where("_last <= 1 or (pos > 0 and pos < _last)")
+        first = F.lit(0) if ends else F.when(F.col("_last") > 1, 1).otherwise(0)
+        return taken.select("boundary_id", (F.col("pos") - first).cast("int").alias("sample"), "p", F.greatest(F.least("pos", F.col("_last") - 1), F.lit(0)).cast("int").alias("leg"))
+    legs = vertices.withColumn("q", F.lead("p").over(w)).where("q is not null")
+    length = space.great_circle_angle(F.col("p"), F.col("q")) if mode == "arc" else space.norm(space.vec_sub(F.col("q"), F.col("p")))
+    legs = legs.withColumn("_length", length).withColumn("_to", F.sum("_length").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    legs = legs.withColumn("_from", F.col("_to") - F.col("_length")).withColumn("_total", F.max("_to").over(Window.partitionBy("boundary_id")))
+    intervals = F.greatest(F.lit(1), F.bround(F.col("_total") / F.lit(spacing)).cast("int")) if count is None else None
+    n = F.lit(max(2 if ends else 1, count)) if count is not None else intervals + 1 if ends else F.greatest(F.lit(1), intervals - 1)
+    legs = legs.withColumn("_n", F.when(F.col("_total") > 0, n).otherwise(1))
+    # Sample i lies at first + i * step; those that may fall on a leg, one more at each side, are tried.
+    step = F.col("_total") / (F.col("_n") - 1 if ends else F.col("_n") + 1)
+    legs = legs.withColumns({"_step": F.when((F.col("_total") > 0) & (F.col("_n") > 1 if ends else F.lit(True)), step).otherwise(1.0), "_first": F.lit(0.0)})
+    legs = legs if ends else legs.withColumn("_first", F.when(F.col("_total") > 0, F.col("_step")).otherwise(0.0))
+    at = lambda c, more: F.least(F.greatest(F.floor((F.col(c) - F.col("_first")) / F.col("_step")) + more, F.lit(0)), F.col("_n") - 1).cast("int")
+    tried = legs.select("*", F.explode(F.sequence(at("_from", -1), at("_to", 1))).alias("sample")).withColumn("_s", F.least(F.col("_first") + F.col("sample") * F.col("_step"), F.col("_total")))
+    on = tried.where((F.col("_s") <= F.col("_to") + 1e-15) & ((F.col("_s") > F.col("_from")) | (F.col("_from") == 0)))
+    t = F.when(F.col("_length") > 0, space.clamp((F.col("_s") - F.col("_from")) / F.col("_length"), 0.0, 1.0)).otherwise(0.0)
+    place = space.slerp(F.col("p"), F.col("q"), t) if mode == "arc" else space.vec_add(F.col("p"), space.vec_scale(space.vec_sub(F.col("q"), F.col("p")), t))
+    best = on.groupBy("boundary_id", "sample").agg(F.min(F.struct("pos", place.alias("at"))).alias("_m"))
+    return best.select("boundary_id", "sample", F.col("_m.at").alias("p"), F.col("_m.pos").cast("int").alias("leg"))
+
+
 def sample_by_spacing(vertices: DataFrame, spacing: float) -> DataFrame:
     """boundary_id, sample, p: the first vertex, then a point every `spacing` along the chords; all vertices if it is 0.
 
@@ -99,22 +134,49 @@ def rate_statistics(samples: DataFrame) -> DataFrame:
     return samples.groupBy("boundary_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("normal_rate", "tangential_rate") for f in (F.min, F.max, F.avg)), F.max(speed).alias("max_speed"), F.avg(speed).alias("mean_speed"))
 
 
+def _or_zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
+
+
 def spreading(samples: DataFrame) -> DataFrame:
-    """Divergent samples: half and full rate, obliquity in degrees, population deviation."""
-    d = divergent(samples)
-    return d.groupBy("boundary_id").agg(F.avg("normal_rate").alias("half_rate"), (2 * F.avg("normal_rate")).alias("full_rate"), space.obliquity_deg(F.avg("tangential_rate"), F.avg("normal_rate")).alias("obliquity"), F.stddev_pop("normal_rate").alias("deviation"))
+    """Of the divergent samples of each boundary: half and full rate, asymmetry (slip over opening), obliquity in degrees, population deviation.
+
+    All are 0 for a boundary without divergent samples.
+    """
+    opening = F.col("normal_rate") > 0
+    n, t = F.avg(F.when(opening, F.col("normal_rate"))), F.avg(F.when(opening, F.col("tangential_rate")))
+    return samples.groupBy("boundary_id").agg(
+        _or_zero(n).alias("half_rate"), _or_zero(2 * n).alias("full_rate"), _or_zero(F.abs(t) / n).alias("asymmetry"),
+        _or_zero(space.obliquity_deg(t, n)).alias("obliquity"), _or_zero(F.stddev_pop(F.when(opening, F.col("normal_rate")))).alias("deviation"),
+    )
+
+
+def _length_of(which: Column) -> Column:
+    """From the first to the last of some samples along the boundary."""
+    at = F.when(which, F.col("sample"))
+    return _or_zero(F.max_by("arc", at) - F.min_by("arc", at)).alias("length")
 
 
 def convergence(samples: DataFrame) -> DataFrame:
-    c = convergent(samples)
-    length = F.max_by("arc", "sample") - F.min_by("arc", "sample")
-    return c.groupBy("boundary_id").agg(F.max(-F.col("normal_rate")).alias("max_rate"), F.avg(-F.col("normal_rate")).alias("mean_rate"), length.alias("length"), F.count(F.lit(1)).alias("n"))
+    """Of the convergent samples of each boundary: greatest and mean rate, length, number, greatest uncertainty.
+
+    The uncertainty is that of the samples' normal_sigma, null where there is none; the rest is 0 without convergent samples.
+    """
+    closing = F.col("normal_rate") < 0
+    rate = F.when(closing, -F.col("normal_rate"))
+    sigma = F.max(F.when(closing, F.col("normal_sigma"))) if "normal_sigma" in samples.columns else F.lit(None).cast("double")
+    return samples.groupBy("boundary_id").agg(
+        _or_zero(F.max(rate)).alias("max_rate"), _or_zero(F.avg(rate)).alias("mean_rate"), _length_of(closing), F.count_if(closing).alias("n"), sigma.alias("max_sigma")
+    )
 
 
 def strike_slip(samples: DataFrame, off: float = 1e-12) -> DataFrame:
-    s = slipping(samples, off)
+    """Of the slipping samples of each boundary: greatest and mean slip, length, numbers to the right and left; 0 without any."""
     t = F.col("tangential_rate")
-    return s.groupBy("boundary_id").agg(F.max(F.abs(t)).alias("max_slip"), F.avg(F.abs(t)).alias("mean_slip"), F.count_if(t > off).alias("n_right"), F.count_if(t < -off).alias("n_left"))
+    slip = F.when(F.abs(t) > off, F.abs(t))
+    return samples.groupBy("boundary_id").agg(
+        _or_zero(F.max(slip)).alias("max_slip"), _or_zero(F.avg(slip)).alias("mean_slip"), _length_of(F.abs(t) > off), F.count_if(t > off).alias("n_right"), F.count_if(t < -off).alias("n_left")
+    )
 
 
 def without_net_rotation(rotations: DataFrame, net: DataFrame) -> DataFrame:

@@ -148,22 +148,54 @@ def a4_rate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rates.rate_statistics(rate_samples(spark, sf_dir)), "boundary_id")
 
 
-@query(sql("boundaries plates", _SAMPLES + """select boundary_id, round(avg(normal_rate), 6) + 0.0 as half_rate, round(2 * avg(normal_rate), 6) + 0.0 as full_rate, round(stddev_pop(normal_rate), 6) + 0.0 as deviation, round(degrees(atan2(abs(avg(tangential_rate)), abs(avg(normal_rate)))), 4) + 0.0 as obliquity from rate where normal_rate > 0 group by boundary_id"""))
+@query(sql("boundaries plates", _SAMPLES + """, k as (select boundary_id, avg(normal_rate) as n, avg(tangential_rate) as t, stddev_pop(normal_rate) as s from rate where normal_rate > 0 group by boundary_id)
+select boundary_id, round(coalesce(n, 0), 6) + 0.0 as half_rate, round(coalesce(2 * n, 0), 6) + 0.0 as full_rate, round(coalesce(s, 0), 6) + 0.0 as deviation, round(coalesce(degrees(atan2(abs(t), abs(n))), 0), 4) + 0.0 as obliquity,
+  coalesce(abs(t) > 2 * n, false) as mostly_slip, round(case when abs(t) <= 2 * n and n > 1e-5 then abs(t) / n else 0 end, 4) + 0.0 as asymmetry from (select distinct boundary_id from rate) left join k using (boundary_id)"""))
 def a5_spreading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rates.spreading(rate_samples(spark, sf_dir)).withColumn("obliquity", F.round("obliquity", 4))
-    return _rounded(found, "boundary_id")
+    """The asymmetry is compared where it is not a ratio to next to nothing."""
+    found = rates.spreading(rate_samples(spark, sf_dir)).withColumns({"obliquity": F.round("obliquity", 4), "mostly_slip": F.col("asymmetry") > 2})
+    found = found.withColumn("asymmetry", F.round(F.when((F.col("asymmetry") <= 2) & (F.col("half_rate") > 1e-5), F.col("asymmetry")).otherwise(0.0), 4))
+    return _rounded(found, "boundary_id", "mostly_slip")
 
 
-@query(sql("boundaries plates", _SAMPLES + """select boundary_id, round(max(-normal_rate), 6) + 0.0 as max_rate, round(avg(-normal_rate), 6) + 0.0 as mean_rate, round(arg_max(arc, sample) - arg_min(arc, sample), 6) + 0.0 as length, count(*) as n from rate where normal_rate < 0 group by boundary_id"""))
+@query(sql("boundaries plates", _SAMPLES + """, k as (select boundary_id, max(-normal_rate) as x, avg(-normal_rate) as m, arg_max(arc, sample) - arg_min(arc, sample) as l, count(*) as n, max(0.001 * (1 + sample % 3)) as u from rate where normal_rate < 0 group by boundary_id)
+select boundary_id, round(coalesce(x, 0), 6) + 0.0 as max_rate, round(coalesce(m, 0), 6) + 0.0 as mean_rate, round(coalesce(l, 0), 6) + 0.0 as length, coalesce(n, 0) as n, round(u, 6) + 0.0 as max_sigma from (select distinct boundary_id from rate) left join k using (boundary_id)"""))
 def a6_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rates.convergence(rate_samples(spark, sf_dir)), "boundary_id", "n")
+    sigma = F.lit(0.001) * (1 + F.col("sample") % 3)
+    return _rounded(rates.convergence(rate_samples(spark, sf_dir).withColumn("normal_sigma", sigma)), "boundary_id", "n")
 
 
-@query(sql("boundaries plates", _SAMPLES + """select boundary_id, round(max(abs(tangential_rate)), 6) + 0.0 as max_slip, round(avg(abs(tangential_rate)), 6) + 0.0 as mean_slip, count(*) filter (where tangential_rate > 1e-12) as n_right, count(*) filter (where tangential_rate < -1e-12) as n_left from rate where abs(tangential_rate) > 1e-12 group by boundary_id"""))
+@query(sql("boundaries plates", _SAMPLES + """, k as (select boundary_id, max(abs(tangential_rate)) as x, avg(abs(tangential_rate)) as m, arg_max(arc, sample) - arg_min(arc, sample) as l, count(*) filter (where tangential_rate > 1e-12) as r, count(*) filter (where tangential_rate < -1e-12) as f from rate where abs(tangential_rate) > 1e-12 group by boundary_id)
+select boundary_id, round(coalesce(x, 0), 6) + 0.0 as max_slip, round(coalesce(m, 0), 6) + 0.0 as mean_slip, round(coalesce(l, 0), 6) + 0.0 as length, coalesce(r, 0) as n_right, coalesce(f, 0) as n_left from (select distinct boundary_id from rate) left join k using (boundary_id)"""))
 def a7_strike_slip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rates.strike_slip(rate_samples(spark, sf_dir)), "boundary_id", "n_right", "n_left")
 
 
+def _bent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each boundary with a third vertex a quarter turn north of its second one's meridian."""
+    line = F.array(space.latlon_to_unit(F.col("lat0"), F.col("lon0")), space.latlon_to_unit(F.col("lat1"), F.col("lon1")), space.latlon_to_unit(F.col("lat1") / 2 + 30, F.col("lon1")))
+    return table(spark, sf_dir, "boundaries").select("boundary_id", F.posexplode(line).alias("pos", "p"))
+
+
+_BENT = """with u as (select boundary_id, x.pos, cos(radians(la)) * cos(radians(lo)) as x, cos(radians(la)) * sin(radians(lo)) as y, sin(radians(la)) as z
+  from boundaries, lateral (values (0, lat0, lon0), (1, lat1, lon1), (2, lat1 / 2 + 30, lon1)) x(pos, la, lo)),
+g as (select *, lead(x) over w as x1, lead(y) over w as y1, lead(z) over w as z1 from u window w as (partition by boundary_id order by pos)),
+c as (select *, sqrt(power(x1 - x, 2) + power(y1 - y, 2) + power(z1 - z, 2)) as len from g where x1 is not null),
+t as (select *, sum(len) over (partition by boundary_id order by pos) as upto, sum(len) over (partition by boundary_id) as total from c),
+n as (select *, greatest(1, cast(round_even(total / 0.07, 0) as integer)) - 1 as k from t),
+s as (select boundary_id, pos, x, y, z, x1, y1, z1, len, upto - len as start, upto, unnest(range(greatest(1, k))) as sample, total, greatest(1, k) as k from n),
+spot as (select *, (sample + 1) * total / (k + 1) as d from s)
+"""
+
+
+@query(sql("boundaries", _BENT + """select boundary_id, sample::integer as sample, pos as leg, round(x + (x1 - x) * (d - start) / len, 6) + 0.0 as x, round(y + (y1 - y) * (d - start) / len, 6) + 0.0 as y, round(z + (z1 - z) * (d - start) / len, 6) + 0.0 as z
+from spot where d > start and d <= upto"""))
+def w5_chord_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples about 0.07 apart along the chords, none at a junction."""
+    found = rates.samples_by_mode(_bent_lines(spark, sf_dir), "chord", spacing=0.07, ends=False)
+    return _rounded(found.select("boundary_id", "sample", "leg", *(F.col("p")[c].alias(c) for c in "xyz")), "boundary_id", "sample", "leg")
+
+
 @query(sql("boundaries plates", _SAMPLES + """, b as (select boundary_id, plate_left, row_number() over (order by boundary_id) as k, ax, ay, az, bx, by_, bz from g),
 pt as (select point_id, cos(radians(lat))*cos(radians(lon)) as x, cos(radians(lat))*sin(radians(lon)) as y, sin(radians(lat)) as z from (select c_custkey as point_id, cast((c_custkey * 137) % 360 - 180 as double) + 0.25 as lon, cast((c_custkey * 61) % 170 - 85 as double) + 0.25 as lat from customer)),
 n as (select *, sqrt(power(ay*bz-az*by_,2)+power(az*bx-ax*bz,2)+power(ax*by_-ay*bx,2)) as m, ay*bz-az*by_ as qx, az*bx-ax*bz as qy, ax*by_-ay*bx as qz from g),
