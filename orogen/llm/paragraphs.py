@@ -116,13 +116,20 @@ def meetings(keys: DataFrame) -> DataFrame:
     return join_counted(keys.select("key", "doc_id", "place"), named, "key", keys.count()).select("key", "doc_id", "place", "keeper_doc", "keeper_place")
 
 
-def asked_ranges(met: DataFrame, words: int = KEY_WORDS) -> DataFrame:
-    """doc_id, keeper_doc, lo, hi: each document that met a keeper, and the keeper's words in question."""
-    pairs = met.where("doc_id <> keeper_doc").groupBy("doc_id", "keeper_doc").agg(F.min("keeper_place").alias("lo"), (F.max("keeper_place") + words).alias("hi"))
+def asked_ranges(met: DataFrame, words: int | None = None) -> DataFrame:
+    """doc_id, keeper_doc, lo, hi, own: each document that met a keeper, and the keeper's words in question.
+
+    own: the keys at which they met, the only ones to start from, so that a document tries each of its places once
+    however many keepers it has; null if whole paragraphs of so many words met, for any key around them.
+    """
+    own = F.collect_set("key") if words is None else F.lit(None).cast("array<long>")
+    pairs = met.where("doc_id <> keeper_doc").groupBy("doc_id", "keeper_doc").agg(
+        F.min("keeper_place").alias("lo"), (F.max("keeper_place") + (words or KEY_WORDS)).alias("hi"), own.alias("own")
+    )
     around = CONTEXT + (F.col("hi") - F.col("lo")) / 4
     lo = F.greatest(F.lit(0), F.floor((F.col("lo") - around) / STEP) * STEP)
     hi = F.ceil((F.col("hi") + around) / STEP) * STEP
-    return pairs.select("doc_id", "keeper_doc", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    return pairs.select("doc_id", "keeper_doc", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), "own")
 
 
 def whole_paragraph_keys(docs: DataFrame, holders: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -167,7 +174,7 @@ def verified(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, simila
     """doc_id, text_hash, spans: the passages of each document that its keepers have too, checked word by word.
 
     The keepers' words in question are sent to the other documents, once for all that ask for the same range.
-    There every key of the range is a place to start from; from it both texts are followed to both sides as long
+    There every key at which they met is a place to start from; from it both texts are followed to both sides as long
     as they are alike, and the passage counts if it has `least` words and its five-word shingles the similarity.
     """
     def portions(rows: DataFrame, by: str, *order: str) -> DataFrame:
@@ -187,7 +194,7 @@ def verified(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, simila
 
     words = map_batches(sources, ["doc_id", "text", "_ranges"], read, "keeper_doc long, lo int, hi int, words binary")
     met = portions(pairs, "doc_id", "keeper_doc", "lo", "hi").join(words, ["keeper_doc", "lo", "hi"])
-    got = met.groupBy(F.col("doc_id").alias("_doc"), "_portion").agg(F.array_sort(F.collect_list(F.struct("keeper_doc", "lo", "words"))).alias("_asked"))
+    got = met.groupBy(F.col("doc_id").alias("_doc"), "_portion").agg(F.array_sort(F.collect_list(F.struct("keeper_doc", "lo", "words", "own"))).alias("_asked"))
     texts = _asked(docs, pairs, "doc_id").select("doc_id", "text").join(got, F.col("doc_id") == F.col("_doc"))
 
     def align(batches: Iterator[list[list]]) -> Iterator[list]:
@@ -207,6 +214,9 @@ def passages(x: np.ndarray, asked: list[dict], least: int = LEAST_WORDS, similar
         y, lo, found = np.frombuffer(one["words"], np.uint32), one["lo"], []
         gy = key_hashes(y)
         keys, at = band_keys(y)
+        if one["own"] is not None:
+            met = np.isin(keys, np.array(one["own"], np.int64))
+            keys, at = keys[met], at[met]
         left, right = np.searchsorted(ranked, keys), np.searchsorted(ranked, keys, "right")
         places = sorted((int(i), int(j)) for a, b, j in zip(left, right, at) for i in order[a:b])
         tried: dict[int, int] = {}  # for each shift between the two the end of what was followed to no passage

@@ -56,8 +56,8 @@ def _onward(x: np.ndarray, y: np.ndarray, similarity: float, gain: float) -> lis
     i, j, g, below = 0, 0, 0.0, 0
     ends = [(0, 0, 0.0)]
     while below <= BEYOND:
-        ahead = (1 - similarity) * min(len(x) - i, len(y) - j)
-        most = min(GAP, 2 + max(0, int((gain + g + ahead) / (2 * similarity))))
+        # A gap may cost twice what has been gained: as much can be gained behind it.
+        most = min(GAP, 2 + max(0, int((gain + g) / similarity)))
         a, b, n = _resumed(x[i:], y[j:], most)
         if not n:
             break
