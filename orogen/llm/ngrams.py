@@ -30,7 +30,7 @@ END = b""  # a word of no letters
 CLASSES = 64
 WORDS = CLASSES - 1
 #: Bytes of texts that are counted and scored together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -78,7 +78,7 @@ class Tokens:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Some batches in one, so that a word that many texts have is looked up once."""
+    """Some batches in one, so that a word that several texts have is looked up once."""
     waiting: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
