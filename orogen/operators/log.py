@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .earlier import bucket_of, with_earlier, with_place
 
@@ -83,26 +86,88 @@ def is_sorted(rows: DataFrame, by: str, order: str, column: str) -> DataFrame:
     return seen.groupBy(by).agg(F.bool_and(F.coalesce(F.col(column) > F.col("_before"), F.lit(True))).alias("sorted"))
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _commits(path: str, stream: str) -> str:
+    return f"{path}/_commits/{quote(stream, safe='')}"
+
+
+def commits(spark: SparkSession, path: str, stream: str) -> list[tuple[int, int, str]]:
+    """number, head and batch of a stream's commits in their order: one small record for each append."""
+    at, fs = _hadoop_path(spark, _commits(path, stream))
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName().split("_") for s in fs.listStatus(at)]
+    return sorted((int(n), int(head), batch) for n, head, batch in (x for x in names if len(x) == 3 and x[0].isdigit()))
+
+
+def committed(spark: SparkSession, path: str, schema, streams: list[str]) -> DataFrame:
+    """The rows of committed appends of some streams; what a writer left that was refused or died is not among them."""
+    folders = [f"{path}/{batch}" for s in streams for _, _, batch in commits(spark, path, s)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def checked_append(new: DataFrame, path: str, expected_head: int | None, tick_policy: str = "Allow") -> None:
-    """Append one stream's batch: not empty, sequences strictly increasing after the expected head, ticks by policy."""
+    """Append one stream's batch: not empty, sequences strictly increasing after the expected head, ticks by policy.
+
+    The batch is written to a folder of its own; then a record of the stream's next commit is made, if no other has it.
+    So of two writers that expect one head the second fails, wherever both are in their work, and its rows are never
+    part of the log. Heads are read from the records, not from the rows. A writer that dies between taking a commit and
+    recording it leaves a lock without a record: appends to the stream fail until it is removed, none is lost.
+    """
     spark = new.sparkSession
-    row = new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("stream_key").alias("streams"), F.countDistinct("sequence").alias("distinct"), F.min("sequence").alias("first"), F.min("stream_key").alias("stream")).first()
+    row = new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("stream_key").alias("streams"), F.countDistinct("sequence").alias("distinct"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.min("stream_key").alias("stream")).first()
     if not row["n"]:
         raise ValueError("the batch is empty")
     if row["streams"] != 1 or row["distinct"] != row["n"]:
         raise ValueError("a batch has one stream and no sequence twice")
-    try:
-        old = spark.read.schema(new.schema).parquet(path).where(F.col("stream_key") == row["stream"])
-        head = old.agg(F.max("sequence")).first()[0]
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        head = None
+    before = commits(spark, path, row["stream"])
+    head = before[-1][1] if before else None
     if head != expected_head or (head is not None and row["first"] <= head):
         raise ValueError(f"the head is {head}, not {expected_head}, or the batch begins before it")
     if tick_policy == "Reject" and not tick_decreases(new).isEmpty():
         raise ValueError("a tick decreases")
-    new.write.mode("append").partitionBy("stream_key").parquet(path)
+    batch = uuid.uuid4().hex
+    new.write.parquet(f"{path}/{batch}")
+    _commit(spark, path, row["stream"], len(before), row["last"], batch)
+
+
+def _commit(spark: SparkSession, path: str, stream: str, number: int, head: int, batch: str) -> None:
+    """Take the stream's commit of this number. A lock of that name is created where none is: only one writer can."""
+    lock, fs = _hadoop_path(spark, f"{_commits(path, stream)}/locks/{number}")
+    try:
+        fs.create(lock, False).close()
+    except Exception as e:
+        if "AlreadyExists" not in str(e):
+            raise
+        folder, fs = _hadoop_path(spark, f"{path}/{batch}")
+        fs.delete(folder, True)
+        raise ValueError(f"another writer has appended to {stream}") from e
+    record, fs = _hadoop_path(spark, f"{_commits(path, stream)}/{number}_{head}_{batch}")
+    fs.create(record, False).close()
+
+
+def write_indexed(events: DataFrame, path: str, width: int = 100_000) -> None:
+    """Write a log by buckets of its sequence, and beside it an index: each bucket's number of rows, least and greatest tick."""
+    rows = events.withColumn("bucket", bucket_of("sequence", width))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/log")
+    written = events.sparkSession.read.schema(rows.schema).parquet(f"{path}/log")
+    written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("tick").alias("least"), F.max("tick").alias("greatest")).write.parquet(f"{path}/index")
+
+
+def scan_until_tick(spark: SparkSession, path: str, schema, tick: int) -> DataFrame:
+    """Events up to a tick of a log with an index. Buckets that begin after the tick are not opened, wherever they are.
+
+    A log whose ticks go back is read right: each bucket is judged by its own least tick, not by where it stands. The
+    index has a row for each bucket; the planner prunes the log's folders by it.
+    """
+    index = spark.read.parquet(f"{path}/index").where(F.col("least") <= tick).select("bucket")
+    own = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    log = spark.read.schema(StructType([*own.fields, StructField("bucket", LongType())])).parquet(f"{path}/log")
+    return log.join(F.broadcast(index), "bucket", "left_semi").where(F.col("tick") <= tick).drop("bucket")
 
 
 def assign_sequences(plans: DataFrame, head: int = -1) -> DataFrame:

@@ -62,10 +62,18 @@ def s3_append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             refused[stream] = True
         log.checked_append(rest, path, first.agg(F.max("sequence")).first()[0])
     told = F.element_at(F.create_map(*(F.lit(x) for kv in refused.items() for x in kv)), F.col("stream_key"))
-    kept = spark.read.schema(events.schema).parquet(path)
+    kept = log.committed(spark, path, events.schema, ["s0", "s1", "s2", "s3"])
     return kept.groupBy("stream_key").agg(F.max("sequence").alias("sequence"), F.count(F.lit(1)).alias("n")).withColumn("refused", told)
 
 
+@query(sql("topology", f"select {', '.join(FLAT)} from topology where tick <= 200"))
+def x5_scan_until_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events up to a tick; of a log in buckets of 500 sequences those that lie after it are not opened."""
+    events, path = topology_events(spark, sf_dir).select(FLAT), new_folder(spark, "indexed")
+    log.write_indexed(events, path, 500)
+    return log.scan_until_tick(spark, path, events.schema, 200)
+
+
 def _at_sequence(body: str, n: int) -> str:
     return sql("topology", _STATE.replace("tick <= {t}", "sequence <= {t}").format(t=n) + body)
 
