@@ -39,13 +39,19 @@ def eccentric_anomaly(mean: Column, e: Column, rounds: int = 50, off: float = 1e
 
 
 def ephemeris(bodies: DataFrame, times: list[float]) -> DataFrame:
-    """body_id, t, x, y, r of every body at every time (bodies: a_m, ecc, m0, parent_mass)."""
+    """body_id, t, x, y, r, vx, vy, true_anomaly of every body at every time (bodies: a_m, ecc, m0, parent_mass).
+
+    Positions and velocities lie in the orbit's plane, x towards the periapsis; the true anomaly is in -pi to pi.
+    """
     rows = bodies.withColumn("t", F.explode(F.array(*(F.lit(float(t)) for t in times)))).withColumn("n", mean_motion(F.col("a_m"), F.col("parent_mass")))
     mean = F.pmod(F.col("m0") + F.col("n") * F.col("t"), F.lit(2 * math.pi))
     rows = rows.withColumn("mean", mean).withColumn("anomaly", eccentric_anomaly(F.col("mean"), F.col("ecc")))
     x = F.col("a_m") * (F.cos("anomaly") - F.col("ecc"))
     y = F.col("a_m") * F.sqrt(1 - F.col("ecc") ** 2) * F.sin("anomaly")
-    return rows.withColumn("x", x).withColumn("y", y).withColumn("r", F.col("a_m") * (1 - F.col("ecc") * F.cos("anomaly")))
+    rows = rows.withColumn("x", x).withColumn("y", y).withColumn("r", F.col("a_m") * (1 - F.col("ecc") * F.cos("anomaly")))
+    turn = F.col("a_m") * F.col("a_m") * F.col("n") / F.col("r")  # the anomaly's rate times the semi-major axis
+    flat = F.sqrt(1 - F.col("ecc") ** 2)
+    return rows.withColumns({"vx": -turn * F.sin("anomaly"), "vy": turn * flat * F.cos("anomaly"), "true_anomaly": F.atan2(flat * F.sin("anomaly"), F.cos("anomaly") - F.col("ecc"))})
 
 
 def declination(day: Column, tilt_deg: Column, year: float = 365.25) -> Column:

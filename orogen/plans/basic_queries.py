@@ -317,11 +317,14 @@ def y34_exchange_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").alias("point_id"), "frame", *(F.round(F.col(f"v.{c}") * 1e6).cast("long").alias(f"v{c}_micro") for c in "xyz"))
 
 
-@query(sql("bodies", """with recursive b as (select body_id, t, ecc, a_m, (m0 + sqrt(6.6743e-11 * 2e30 / (a_m*a_m*a_m)) * t) as raw from bodies, (values (0.0), (86400.0), (864000.0)) v(t)),
+_KEPLER = """with recursive b as (select body_id, t, ecc, a_m, (m0 + sqrt(6.6743e-11 * 2e30 / (a_m*a_m*a_m)) * t) as raw from bodies, (values (0.0), (86400.0), (864000.0)) v(t)),
 m as (select body_id, t, ecc, a_m, raw - 2 * pi() * floor(raw / (2 * pi())) as mean from b),
 k as (select *, 0 as n, mean + ecc * sin(mean) / (1 - sin(mean + ecc) + sin(mean)) as e from m
   union all select body_id, t, ecc, a_m, mean, n + 1, e - (e - ecc * sin(e) - mean) / (1 - ecc * cos(e)) from k where n < 12)
-select body_id, t, round(a_m * (cos(e) - ecc) / 1e6, 3) + 0.0 as x, round(a_m * sqrt(1 - ecc * ecc) * sin(e) / 1e6, 3) + 0.0 as y, round(a_m * (1 - ecc * cos(e)) / 1e6, 3) + 0.0 as r from k where n = 12"""))
+"""
+
+
+@query(sql("bodies", _KEPLER + """select body_id, t, round(a_m * (cos(e) - ecc) / 1e6, 3) + 0.0 as x, round(a_m * sqrt(1 - ecc * ecc) * sin(e) / 1e6, 3) + 0.0 as y, round(a_m * (1 - ecc * cos(e)) / 1e6, 3) + 0.0 as r from k where n = 12"""))
 def y29_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions in the orbital plane; the SQL solves Kepler's equation from another first value."""
     from ..operators import stellar
@@ -331,6 +334,19 @@ def y29_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("body_id", "t", *((F.round(F.col(c) / 1e6, 3) + 0.0).alias(c) for c in ("x", "y", "r")))
 
 
+@query(sql("bodies", _KEPLER + """, v as (select *, sqrt(6.6743e-11 * 2e30 / (a_m * (1 - ecc * ecc))) as p, 2 * atan(sqrt((1 + ecc) / (1 - ecc)) * tan(e / 2)) as nu from k where n = 12)
+select body_id, t, round(-p * sin(nu), 3) + 0.0 as vx, round(p * (ecc + cos(nu)), 3) + 0.0 as vy, round(sin(nu), 6) + 0.0 as sin_anomaly, round(cos(nu), 6) + 0.0 as cos_anomaly from v"""))
+def y29_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocities and true anomalies; the SQL has them from the half-angle form and the orbit's parameter."""
+    from ..operators import stellar
+
+    b = table(spark, sf_dir, "bodies").withColumn("parent_mass", F.lit(2e30))
+    e = stellar.ephemeris(b, [0.0, 86400.0, 864000.0])
+    at = lambda c, x, d: (F.round(x, d) + 0.0).alias(c)
+    nu = F.col("true_anomaly")
+    return e.select("body_id", "t", at("vx", F.col("vx"), 3), at("vy", F.col("vy"), 3), at("sin_anomaly", F.sin(nu), 6), at("cos_anomaly", F.cos(nu), 6))
+
+
 @query(sql("bodies points", """with o as (select body_id, sqrt(6.6743e-11 * 2e30 / (a_m*a_m*a_m)) as n, sqrt(2 * 6.6743e-11 * mass_kg / 6e6) as v from bodies)
 select body_id, round(n * 1e9, 4) + 0.0 as mean_motion, round(v / 1000, 6) + 0.0 as escape from o"""))
 def f25_motions(spark: SparkSession, sf_dir: str) -> DataFrame:
