@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import space
 from ..tables import cut
+from . import cells
 from .earlier import with_earlier
 
 _IDENTITY = (0.0, 0.0, 0.0, 1.0)
@@ -91,10 +92,18 @@ def reconstruct(shapes: DataFrame, rotations: DataFrame, plate: str, line: str)
 
 
 def active_link(ticks: DataFrame, links: DataFrame) -> DataFrame:
-    """The link of each (frame, tick): its range contains the tick or is null; least hint (null last), then position."""
-    inside = F.col("from_tick").isNull() | F.col("tick").between(F.col("from_tick"), F.col("to_tick"))
+    """The link of each (frame, tick): its range contains the tick or is null; least hint (null last), then position.
+
+    Ranges are dealt to cells of ticks of their own size, ticks look into one cell of each size, so a tick meets the
+    links near it and not all of its frame. Links without a range meet every tick of the frame, as they hold for it.
+    """
+    own = ticks.select("frame", "tick").distinct()
+    ranged = links.where("from_tick is not null and to_tick >= from_tick")
+    dealt = cells.dealt(ranged, [F.col("from_tick").cast("double")], [F.col("to_tick").cast("double")], 2.0**cells.MOST_LEVELS)
+    near = cells.probes(own, [F.col("tick").cast("double")], 2.0**cells.MOST_LEVELS, dealt).join(dealt, ["frame", *cells.keys(1)]).where("tick between from_tick and to_tick").drop(*cells.keys(1))
+    met = near.unionByName(own.join(links.where("from_tick is null"), "frame"))
     best = F.min(F.struct(F.col("sequence_hint").isNull().alias("n"), "sequence_hint", "position", "base_frame", "q")).alias("l")
-    return ticks.join(links, "frame").where(inside).groupBy("frame", "tick").agg(best).select("frame", "tick", F.col("l.base_frame").alias("base_frame"), F.col("l.q").alias("q"))
+    return met.groupBy("frame", "tick").agg(best).select("frame", "tick", F.col("l.base_frame").alias("base_frame"), F.col("l.q").alias("q"))
 
 
 def frame_chains(ticks: DataFrame, links: DataFrame, roots: list[str]) -> DataFrame:
