@@ -36,7 +36,7 @@ CONTEXT, STEP = 64, 32
 PORTION = 64
 SLOTS = 1 << 20
 _WORD = re.compile(r"\w+")
-_ODD = np.random.default_rng(20).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NO_SPANS = "array<struct<start:int,end:int,keeper_doc:long,keeper_start:int,keeper_end:int,similarity:double,own:long,other:long>>"
 
 
@@ -54,17 +54,28 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxh32_intdigest, words), np.uint32, len(words))
 
 
-def key_hashes(h: np.ndarray, words: int = KEY_WORDS) -> np.ndarray:
-    """One hash for each run of so many words."""
-    n = len(h) - words + 1
+def key_hashes(h: np.ndarray) -> np.ndarray:
+    """One hash for each run of KEY_WORDS words."""
+    n = len(h) - KEY_WORDS + 1
     if n < 1:
         return np.zeros(0, np.int64)
     wide, joined = h.astype(np.uint64) + np.uint64(1), np.zeros(n, np.uint64)
-    for k in range(words):
+    for k in range(KEY_WORDS):
         joined += wide[k : k + n] * _ODD[k]
     return _mixed(_mixed(joined)).view(np.int64)
 
 
+def _longer(g: np.ndarray, words: int) -> np.ndarray:
+    """One hash for each run of so many words, KEY_WORDS at least, from the hashes of the shorter runs that make it up."""
+    n = len(g) + KEY_WORDS - words
+    if n < 1:
+        return np.zeros(0, np.int64)
+    joined = np.zeros(n, np.uint64)
+    for k, at in enumerate([*range(0, words - KEY_WORDS, KEY_WORDS), words - KEY_WORDS]):
+        joined += g.view(np.uint64)[at : at + n] * _ODD[k % len(_ODD)]
+    return _mixed(joined).view(np.int64)
+
+
 def band_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different MinHashes of a text's paragraphs (all runs of PARAGRAPH_WORDS words) and where each stands first.
 
@@ -145,7 +156,8 @@ def whole_paragraph_keys(docs: DataFrame, holders: DataFrame, least: int = LEAST
             keys, places, counts = [], [], []
             for text, held in zip(texts, wanted):
                 h = word_hashes(text)
-                g, near = key_hashes(h, least), np.flatnonzero(np.isin(key_hashes(h), np.array(held, np.int64)))
+                short = key_hashes(h)
+                g, near = _longer(short, least), np.flatnonzero(np.isin(short, np.array(held, np.int64)))
                 k, at = _least_of_windows(g, min(STARTS, max(1, len(g))))
                 after = np.searchsorted(near, at - least - STARTS)
                 close = np.append(near, np.iinfo(np.int64).max)[after] <= at + 2 * least + STARTS
@@ -208,17 +220,17 @@ def verified(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, simila
 def passages(x: np.ndarray, asked: list[dict], least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> list[dict]:
     """The passages that word sequence x shares with the words of its keepers."""
     g, out = key_hashes(x), []
-    order = np.argsort(g, kind="stable")
-    ranked = g[order]
     for one in asked:
         y, lo, found = np.frombuffer(one["words"], np.uint32), one["lo"], []
         gy = key_hashes(y)
-        keys, at = band_keys(y)
-        if one["own"] is not None:
-            met = np.isin(keys, np.array(one["own"], np.int64))
-            keys, at = keys[met], at[met]
-        left, right = np.searchsorted(ranked, keys), np.searchsorted(ranked, keys, "right")
-        places = sorted((int(i), int(j)) for a, b, j in zip(left, right, at) for i in order[a:b])
+        if one["own"] is None:
+            keys, at = band_keys(y)
+        else:
+            met = np.flatnonzero(np.isin(gy, np.array(one["own"], np.int64)))
+            keys, first = np.unique(gy[met], return_index=True)
+            at = met[first]
+        own = np.flatnonzero(np.isin(g, keys))
+        places = zip(own.tolist(), at[np.searchsorted(keys, g[own])].tolist())
         tried: dict[int, int] = {}  # for each shift between the two the end of what was followed to no passage
         for i, j in places:
             if i < tried.get(i - j, 0) or any(a <= i and i + KEY_WORDS <= b for a, b, *_ in found):
