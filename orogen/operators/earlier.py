@@ -17,7 +17,7 @@ def bucket_of(column: str, width: int = WIDTH) -> Column:
 def with_earlier(rows: DataFrame, by: list[str], order: list[str], bucket: Column, name: str, value: Column, kind: str = "last") -> DataFrame:
     """Add the last non-null value, or the greatest (`kind` max), of the rows before each one in its group; null if none.
 
-    The bucket has to rise with the order. Rows look back within their bucket; what the buckets before it end
+    The bucket has to rise with the order. Nulls in `by` are a group of their own. Rows look back within their bucket; what the buckets before it end
     with is carried on over a table of one row for each group and bucket.
     """
     keyed = rows.withColumns({"_bucket": bucket, "_value": value})
@@ -31,8 +31,11 @@ def with_earlier(rows: DataFrame, by: list[str], order: list[str], bucket: Colum
         end = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
         carried = F.last("_end", ignorenulls=True).over(across)
         found = F.coalesce("_own", "_carried")
-    ends = keyed.groupBy(*by, "_bucket").agg(end.alias("_end")).select(*by, "_bucket", carried.alias("_carried"))
-    return keyed.withColumn("_own", own).join(ends, [*by, "_bucket"]).withColumn(name, found).drop("_bucket", "_value", "_own", "_carried")
+    keys = [*by, "_bucket"]
+    ends = keyed.groupBy(*keys).agg(end.alias("_end")).select(*(F.col(c).alias(f"_key{k}") for k, c in enumerate(keys)), carried.alias("_carried"))
+    same = [F.col(c).eqNullSafe(F.col(f"_key{k}")) for k, c in enumerate(keys)]
+    met = keyed.withColumn("_own", own).join(ends, same).withColumn(name, found)
+    return met.drop("_bucket", "_value", "_own", "_carried", *(f"_key{k}" for k in range(len(keys))))
 
 
 def with_place(rows: DataFrame, by: list[str], order: list[str], bucket: list[Column], name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import space
 from . import spatial
+from .earlier import bucket_of, with_earlier
 
 
 def latitude(j: Column, n_lat: int) -> Column:
@@ -68,13 +69,13 @@ def strain_rate(grid: DataFrame, n_lat: int, n_lon: int, wraps: bool = True) ->
 def frames_around(ticks: DataFrame, frames: DataFrame) -> DataFrame:
     """tick, before, after: the frames at or before and at or after each queried tick (columns sequence_id, tick).
 
-    Queries and frames are sorted together within a sequence; two running values do for both sides.
+    Queries and frames look back together, once in each direction, by buckets of ticks: no task sorts a whole sequence.
     """
-    both = ticks.select("sequence_id", "tick", F.lit(None).cast("long").alias("frame")).unionByName(frames.select("sequence_id", "tick", F.col("tick").alias("frame")))
-    back = Window.partitionBy("sequence_id").orderBy("tick").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("sequence_id").orderBy("tick").rangeBetween(0, Window.unboundedFollowing)
-    rows = both.withColumn("before", F.max("frame").over(back)).withColumn("after", F.min("frame").over(ahead))
-    return rows.where("frame is null").select("sequence_id", "tick", "before", "after").distinct()
+    of = lambda rows, kind, frame: rows.select("sequence_id", "tick", (-F.col("tick")).alias("_back"), F.lit(kind).alias("_kind"), frame.cast("long").alias("frame"))
+    rows = of(frames, 0, F.col("tick")).unionByName(of(ticks, 1, F.lit(None)))
+    for at, name in (("tick", "before"), ("_back", "after")):
+        rows = with_earlier(rows, ["sequence_id"], [at, "_kind"], bucket_of(at, 1_000), name, F.col("frame"))
+    return rows.where("_kind = 1").select("sequence_id", "tick", "before", "after").distinct()
 
 
 def raster_at(cells: DataFrame, ticks: DataFrame, method: str = "linear") -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -364,24 +364,23 @@ def dangling(boundaries_: DataFrame, plates_: DataFrame, junctions_: DataFrame)
 def references_before(events: DataFrame) -> DataFrame:
     """For each plate reference of a BoundaryCreated event, the plate's state just before the event's sequence.
 
-    One window over plate lifecycle rows and reference rows together: an as-of join with strictly smaller sequence.
+    An as-of join with strictly smaller sequence: plate lifecycle rows and reference rows together look back by
+    buckets of the sequence, so a plate that most boundaries refer to is spread over tasks.
     """
     life = events.where(F.col("event_type").isin("PlateCreated", "PlateRetired")).select(
         "stream_key", F.col("plate_id").alias("ref"), "sequence", F.when(F.col("event_type") == "PlateCreated", "active").otherwise("retired").alias("state"), F.lit(None).cast("string").alias("owner"))
     refs = events.where("event_type = 'BoundaryCreated'").select(
         "stream_key", F.explode(F.array_distinct(F.array("plate_id_left", "plate_id_right"))).alias("ref"), "sequence", F.lit(None).cast("string").alias("state"), F.col("boundary_id").alias("owner"))
-    w = Window.partitionBy("stream_key", "ref").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    both = life.unionByName(refs).withColumn("before", F.coalesce(F.last("state", ignorenulls=True).over(w), F.lit("missing")))
-    return both.where("owner is not null").select("stream_key", "sequence", "owner", "ref", "before")
+    both = with_earlier(life.unionByName(refs), ["stream_key", "ref"], ["sequence"], bucket_of("sequence"), "before", F.col("state"))
+    return both.where("owner is not null").select("stream_key", "sequence", "owner", "ref", F.coalesce("before", F.lit("missing")).alias("before"))
 
 
 def lifecycle_faults(events: DataFrame) -> DataFrame:
     """Events on an entity that was not created before, or is retired, by their sequence (a create is always allowed)."""
     entity = F.coalesce("plate_id", "boundary_id", "junction_id")
-    w = Window.partitionBy("stream_key", "entity").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("event_type").endswith("Created"), "active").when(F.col("event_type").endswith("Retired"), "retired")
-    rows = events.withColumn("entity", entity).withColumn("_mark", mark)
-    rows = rows.withColumn("before", F.coalesce(F.last("_mark", ignorenulls=True).over(w), F.lit("missing")))
+    marked = events.select("stream_key", "sequence", entity.alias("entity"), "event_type", mark.alias("_mark"))
+    rows = with_earlier(marked, ["stream_key", "entity"], ["sequence"], bucket_of("sequence"), "before", F.col("_mark")).withColumn("before", F.coalesce("before", F.lit("missing")))
     return rows.where(~F.col("event_type").endswith("Created") & (F.col("before") != "active")).select("stream_key", "sequence", "entity", "event_type", "before")
 
 
@@ -389,13 +388,17 @@ def live_junction_faults(events: DataFrame) -> DataFrame:
     """Retirements of a boundary that an active junction refers to at that sequence (FR-016).
 
     Junction versions become ranges of sequences; retirements meet them by boundary id, the range is a residual.
+    What a version keeps of those before, and where the next begins, is looked for by buckets of the sequence.
     """
     made = F.col("event_type") == "JunctionCreated"
-    w = Window.partitionBy("stream_key", "junction_id").orderBy("sequence")
-    j = events.where(F.col("event_type").startswith("Junction"))
+    by, j = ["stream_key", "junction_id"], events.where(F.col("event_type").startswith("Junction"))
     ids = F.when(made | ((F.col("event_type") == "JunctionUpdated") & (F.size("boundary_ids") > 0)), F.col("boundary_ids"))
-    gone = F.last(F.when(F.col("event_type") == "JunctionRetired", True).when(made, False), ignorenulls=True).over(w)
-    versions = j.select("stream_key", "junction_id", F.col("sequence").alias("from_seq"), F.lead("sequence").over(w).alias("to_seq"), F.last(ids, ignorenulls=True).over(w).alias("ids"), gone.alias("gone"))
+    gone = F.when(F.col("event_type") == "JunctionRetired", True).when(made, False)
+    rows = j.select(*by, "sequence", (-F.col("sequence")).alias("_back"), ids.alias("_ids"), gone.alias("_gone"))
+    rows = with_earlier(rows, by, ["sequence"], bucket_of("sequence"), "ids", F.col("_ids"))
+    rows = with_earlier(rows, by, ["sequence"], bucket_of("sequence"), "gone", F.col("_gone"))
+    rows = with_earlier(rows, by, ["_back"], bucket_of("_back"), "to_seq", F.col("sequence"))
+    versions = rows.select(*by, F.col("sequence").alias("from_seq"), "to_seq", F.coalesce("_ids", "ids").alias("ids"), F.coalesce("_gone", "gone").alias("gone"))
     live = versions.where("not gone").select("stream_key", "junction_id", "from_seq", "to_seq", F.explode("ids").alias("boundary_id"))
     retired = events.where("event_type = 'BoundaryRetired'").select("stream_key", "boundary_id", "sequence")
     inside = (F.col("from_seq") < F.col("sequence")) & (F.col("to_seq").isNull() | (F.col("sequence") < F.col("to_seq")))

@@ -7,9 +7,10 @@ queries(plate_id, tick, ...); a rotation is a quaternion column q.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,39 +176,56 @@ def overlapping_links(links: DataFrame) -> DataFrame:
     return links.where("from_tick is not null").withColumn("next_from", F.lead("from_tick").over(w)).where("to_tick >= next_from")
 
 
+#: Samples of a block of seeds that step together.
+BLOCK = 1 << 18
+
+_PATHS = "seed_id long, plate_id long, tick long, x double, y double, z double, vx double, vy double, vz double, error double, known boolean"
+
+
 def motion_paths(seeds: DataFrame, omegas: DataFrame, step: int, direction: int = 1) -> DataFrame:
     """seed_id, plate_id, tick, x, y, z, vx, vy, vz, error, known of explicit Euler paths; the end point is not a sample.
 
-    seeds(seed_id, plate_id, x, y, z, start_tick, end_tick); omegas(plate_id, tick, omega). Each seed gets its
-    plate's velocities of its own range in one row (as many as it has steps), so seeds of a common plate are
-    spread over tasks. Where a plate has no velocity it stands still and the sample is not `known`; every path
-    runs to its end. Positions are renormalised; the error grows by 1e-4 a tick. v is the velocity at the sample.
+    seeds(seed_id, plate_id, x, y, z, start_tick, end_tick); omegas(plate_id, tick, omega). The seeds of a plate are
+    dealt to blocks of some BLOCK samples, so a plate of many seeds is spread over tasks. A block gets its plate's
+    velocities of its own ticks once, and all its seeds step together. Where a plate has no velocity, or is not
+    known, the seed stands still and the sample is not `known`; every path runs to its end. Repeated seeds have a
+    path each, seeds without a start or an end none. Positions are renormalised; the error grows by 1e-4 a tick.
+    v is the velocity at the sample.
     """
-    low, high = F.least("start_tick", "end_tick"), F.greatest("start_tick", "end_tick")
-    at = omegas.select("plate_id", "tick", F.struct("tick", F.col("omega.x").alias("x"), F.col("omega.y").alias("y"), F.col("omega.z").alias("z")).alias("_w"))
-    own = seeds.join(at, "plate_id", "left").withColumn("_w", F.when((F.col("tick") >= low) & (F.col("tick") <= high) & ((F.col("tick") - F.col("start_tick")) % step == 0), F.col("_w")))
-    rows = own.groupBy("seed_id", "plate_id", "x", "y", "z", "start_tick", "end_tick").agg(F.collect_list("_w").alias("w"))
-
-    def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["seed_id", "plate_id", "tick", "x", "y", "z", "vx", "vy", "vz", "error", "known"]
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                table = {d["tick"]: (d["x"], d["y"], d["z"]) for d in r.w}
-                x, y, z, t, error = r.x, r.y, r.z, r.start_tick, 0.0
-                while True:
-                    a, b, c = table.get(t, (0.0, 0.0, 0.0))
-                    v = (b * z - c * y, c * x - a * z, a * y - b * x)
-                    out.append((r.seed_id, r.plate_id, t, x, y, z, *v, error, t in table))
-                    dt = direction * step
-                    if (t + dt - r.end_tick) * direction >= 0:
-                        break
-                    x, y, z = x + v[0] * dt, y + v[1] * dt, z + v[2] * dt
-                    n = math.sqrt(x * x + y * y + z * z) or 1.0
-                    x, y, z, t, error = x / n, y / n, z / n, t + dt, error + 1e-4 * abs(dt)
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.mapInPandas(paths, "seed_id long, plate_id long, tick long, x double, y double, z double, vx double, vy double, vz double, error double, known boolean")
+    ahead = (F.col("end_tick") - F.col("start_tick")) * direction
+    columns = ["seed_id", "plate_id", "x", "y", "z", "start_tick", "end_tick"]
+    own = seeds.select(columns).where("start_tick is not null and end_tick is not null").withColumn("_n", F.greatest(F.lit(1), F.ceil(ahead / step)).cast("long"))
+    parts = own.groupBy(F.col("plate_id").alias("_plate")).agg(F.ceil(F.sum("_n") / BLOCK).cast("long").alias("_parts"))
+    part = F.pmod(F.xxhash64("seed_id", "x", "y", "z"), F.col("_parts"))
+    blocks = own.join(parts, F.col("plate_id").eqNullSafe(F.col("_plate"))).withColumn("_part", part).select(*columns, "_n", "_part")
+    last = F.col("start_tick") + direction * step * (F.col("_n") - 1)
+    ranges = blocks.groupBy("plate_id", "_part").agg(F.min(F.least("start_tick", last)).alias("_low"), F.max(F.greatest("start_tick", last)).alias("_high"))
+    table = omegas.join(ranges, "plate_id").where("tick between _low and _high").select(F.col("plate_id").alias("_plate"), F.col("_part").alias("_block"), "tick", "omega.x", "omega.y", "omega.z")
+
+    def paths(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_n", ascending=False, kind="stable")
+        known = known.sort_values(["tick", "x", "y", "z"]).drop_duplicates("tick")
+        ticks, turns = known["tick"].to_numpy("int64"), known[["x", "y", "z"]].to_numpy("float64")
+        n, t = block["_n"].to_numpy("int64"), block["start_tick"].to_numpy("int64")
+        p, error, rows = block[["x", "y", "z"]].to_numpy("float64"), 0.0, []
+        for k in range(n.max()):
+            m = int((n > k).sum())  # seeds whose paths go on come first
+            p, t = p[:m], t[:m]
+            at = np.minimum(np.searchsorted(ticks, t), max(len(ticks) - 1, 0))
+            has = ticks[at] == t if len(ticks) else np.zeros(m, bool)
+            w = np.zeros((m, 3))
+            w[has] = turns[at[has]]
+            v = np.cross(w, p)
+            rows.append((np.arange(m), t, p, v, np.full(m, error), has))
+            p = p + v * (direction * step)
+            length = np.sqrt(p[:, 0] ** 2 + p[:, 1] ** 2 + p[:, 2] ** 2)
+            p = p / np.where(length == 0, 1.0, length)[:, None]
+            t, error = t + direction * step, error + 1e-4 * abs(step)
+        i, t, p, v, error, has = (np.concatenate(c) for c in zip(*rows))
+        ids = {c: block[c].iloc[i].reset_index(drop=True) for c in ("seed_id", "plate_id")}
+        return pd.DataFrame(ids | {"tick": t} | dict(zip("xyz", p.T)) | dict(zip(("vx", "vy", "vz"), v.T)) | {"error": error, "known": has})
+
+    return blocks.groupBy("plate_id", "_part").cogroup(table.groupBy("_plate", "_block")).applyInPandas(paths, _PATHS)
 
 
 def accumulated_opening(samples: DataFrame, rate: Column) -> DataFrame:
