@@ -115,12 +115,12 @@ def nearest_boundary(points: DataFrame, boundaries: DataFrame, reach_deg: float
 def within_reach(points: DataFrame, boundaries: DataFrame, reach_deg: float) -> DataFrame:
     """nearest_boundary() of the points that have one within the reach.
 
-    Segments are dealt to the buckets of their boxes widened by the reach (by latitude in longitude, up to
+    Segments are dealt to the buckets of their arcs' boxes, which may reach nearer to a pole than both ends, widened by the reach (by latitude in longitude, up to
     all the way round near the poles); points have one bucket each. Longitudes are wrapped.
     """
     cols = max(1, int(360 / reach_deg))
     size = 360 / cols
-    top = F.least(F.greatest(F.abs("lat0"), F.abs("lat1")) + reach_deg, F.lit(89.0))
+    top = F.least(F.greatest(F.abs("_south"), F.abs("_north")) + reach_deg, F.lit(89.0))
     wide = F.least(reach_deg / F.cos(F.radians(top)), F.lit(180.0))
     low = F.floor((F.least("lon0", "lon1") - wide + 180) / size).cast("int")
     high = F.least(F.floor((F.greatest("lon0", "lon1") + wide + 180) / size).cast("int"), low + cols - 1)
@@ -128,9 +128,13 @@ def within_reach(points: DataFrame, boundaries: DataFrame, reach_deg: float) ->
     arcs = boundaries.withColumns({"_a": unit("lat0", "lon0"), "_b": unit("lat1", "lon1")})
     arcs = arcs.withColumn("_n", space.normalize(space.cross(F.col("_a"), F.col("_b"))))
     arcs = arcs.withColumns({"_after": space.cross(F.col("_n"), F.col("_a")), "_before": space.cross(F.col("_b"), F.col("_n"))})
+    # An arc reaches its circle's greatest latitude between its ends where both directions into it lead polewards.
+    peak, real = F.degrees(F.acos(F.least(F.abs(F.col("_n.z")), F.lit(1.0)))), space.dot(F.col("_n"), F.col("_n")) > 0
+    north, south = (F.col("_after.z") > 0) & (F.col("_before.z") > 0) & real, (F.col("_after.z") < 0) & (F.col("_before.z") < 0) & real
+    arcs = arcs.withColumns({"_south": F.least("lat0", "lat1", F.when(south, -peak)), "_north": F.greatest("lat0", "lat1", F.when(north, peak))})
     dealt = arcs.withColumn("_bx", F.explode(F.sequence(low, high))).withColumn("_bx", F.pmod("_bx", F.lit(cols)))
     y = lambda c: F.floor((F.least(F.greatest(c, F.lit(-90.0)), F.lit(90.0)) + 90) / size).cast("int")
-    dealt = dealt.withColumn("_by", F.explode(F.sequence(y(F.least("lat0", "lat1") - reach_deg), y(F.greatest("lat0", "lat1") + reach_deg))))
+    dealt = dealt.withColumn("_by", F.explode(F.sequence(y(F.col("_south") - reach_deg), y(F.col("_north") + reach_deg))))
     at = points.select("point_id", unit("lat", "lon").alias("_p"), F.pmod(F.floor((F.col("lon") + 180) / size).cast("int"), F.lit(cols)).alias("_bx"), y(F.col("lat")).alias("_by"))
     d = F.degrees(_distance(*(F.col(c) for c in ("_p", "_a", "_b", "_n", "_after", "_before"))))
     met = at.join(dealt, ["_bx", "_by"]).select("point_id", "boundary_id", d.alias("d")).where(F.col("d") <= reach_deg)
