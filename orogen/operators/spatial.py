@@ -97,19 +97,24 @@ def nearest_boundary(points: DataFrame, boundaries: DataFrame, reach_deg: float
     """point_id, boundary_id, degrees: the nearest boundary of each point (columns point_id, lon, lat; lon0, lat0, lon1, lat1).
 
     Points that have none within the reach are looked up again with twice the reach, up to the whole sphere. The
-    first reach, where none is given, follows the number of boundaries: a few should be within it on average.
-    Distances that are equal to 1e-9 degrees go to the least id. No boundaries give no rows.
+    first reach, where none is given, follows the number of different lines: a few should be within it on average.
+    Distances that are equal to 1e-9 degrees go to the least id. No boundaries give no rows. Points at one place are
+    looked up once, and boundaries with the same ends meet them once, by their least id.
     """
+    lines = cut(boundaries.groupBy("lon0", "lat0", "lon1", "lat1").agg(F.min("boundary_id").alias("boundary_id")))
     if reach_deg is None:
-        reach_deg = min(5.0, max(0.1, 2 * math.sqrt(41_253 / max(1, boundaries.count()))))  # square degrees of the sphere
-    found, left, reach = None, points.select("point_id", "lon", "lat"), reach_deg
+        reach_deg = min(5.0, max(0.1, 2 * math.sqrt(41_253 / max(1, lines.count()))))  # square degrees of the sphere
+    spots = cut(points.groupBy("lon", "lat").agg(F.min("point_id").alias("point_id")))
+    found, left, reach = None, spots, reach_deg
     while True:
-        some = cut(within_reach(left, boundaries, reach))
+        some = cut(within_reach(left, lines, reach))
         found = some if found is None else found.unionByName(some)
         left = cut(left.join(some.select("point_id"), "point_id", "left_anti"))
         if reach >= 180 or left.isEmpty():
-            return found
+            break
         reach = min(180.0, 2 * reach)
+    at = spots.join(found, "point_id").drop("point_id")
+    return points.select("point_id", "lon", "lat").join(at, ["lon", "lat"]).select("point_id", "boundary_id", "degrees")
 
 
 def within_reach(points: DataFrame, boundaries: DataFrame, reach_deg: float) -> DataFrame:
