@@ -36,17 +36,26 @@ def candidates(points: DataFrame, rings: DataFrame, also: tuple[str, ...] = ())
     return met.drop(*cells.keys(2), "_w", "_s", "_e", "_n").where(space.point_in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
 
 
+def plates_at(points: DataFrame, rings: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """lon, lat, plate_id (and `also`): the plates with a place in an outer ring and in no hole, once for each different place.
+
+    Points at one place are looked up once, and rings of one shape, plate and kind meet them once, however many there are.
+    """
+    spots = points.select("lon", "lat", *also).distinct()
+    met = candidates(spots, rings.select("plate_id", "is_hole", "ring", *also).distinct(), also)
+    inside = met.groupBy("lon", "lat", "ring_plate", *also).agg(F.count_if(~F.col("is_hole")).alias("o"), F.count_if("is_hole").alias("h"))
+    return inside.where("o > 0 and h = 0").select("lon", "lat", F.col("ring_plate").alias("plate_id"), *also)
+
+
 def containing(points: DataFrame, rings: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """point_id, plate_id of plates with the point in an outer ring and in no hole."""
-    met = candidates(points.select("point_id", "lon", "lat", *also), rings, also)
-    inside = met.groupBy("point_id", "ring_plate", *also).agg(F.count_if(~F.col("is_hole")).alias("o"), F.count_if("is_hole").alias("h"))
-    return inside.where("o > 0 and h = 0").select("point_id", F.col("ring_plate").alias("plate_id"), *also)
+    return points.select("point_id", "lon", "lat", *also).join(plates_at(points, rings, also), ["lon", "lat", *also]).select("point_id", "plate_id", *also)
 
 
 def assign_plate(points: DataFrame, rings: DataFrame) -> DataFrame:
     """Points without a plate get the first (by id) that contains them, else null; others keep theirs."""
-    found = containing(points.where("plate_id is null"), rings).groupBy("point_id").agg(F.min("plate_id").alias("_found"))
-    return points.join(found, "point_id", "left").withColumn("plate_id", F.coalesce("plate_id", "_found")).drop("_found")
+    found = plates_at(points.where("plate_id is null"), rings).groupBy("lon", "lat").agg(F.min("plate_id").alias("_found"))
+    return points.join(found, ["lon", "lat"], "left").withColumn("plate_id", F.coalesce("plate_id", "_found")).select(*points.columns)
 
 
 def plate_query(points: DataFrame, rings: DataFrame) -> DataFrame:

@@ -45,3 +45,9 @@ def test_copies_of_lines_are_measured_once(spark, monkeypatch):
     found = {r["point_id"]: (r["boundary_id"], round(r["degrees"], 6)) for r in spatial.nearest_boundary(points, lines).collect()}
     assert {k: found[k] for k in range(50)} == {k: (9, 1.0) for k in range(50)} and found[50][0] == 3 and 51 not in found
     assert seen[0] == (3, 2)
+
+
+def test_copies_are_assigned_once(spark, met):
+    found = {r["point_id"]: r["plate_id"] for r in spatial.assign_plate(_points(spark, 50), _rings(spark, 40)).collect()}
+    assert found == {**{k: 3 for k in range(50)}, 50: None, 51: 7, 52: None, 53: 3}
+    assert met == [8]
