@@ -68,11 +68,14 @@ def plate_query(points: DataFrame, rings: DataFrame) -> DataFrame:
 
 
 def assign_holes(outers: DataFrame, holes: DataFrame) -> DataFrame:
-    """Each hole's smallest outer that contains its centroid; null for orphans. Columns ring_id, ring."""
-    at = holes.select(F.col("ring_id").alias("point_id"), space.ring_mean(F.col("ring"), "x").alias("lon"), space.ring_mean(F.col("ring"), "y").alias("lat"))
-    met = candidates(at, outers.select(F.col("ring_id").alias("plate_id"), "ring"))
-    best = met.groupBy("point_id").agg(F.min(F.struct(F.abs(space.planar_ring_area(F.col("ring"))).alias("a"), "ring_plate")).alias("m"))
-    return at.join(best, "point_id", "left").select(F.col("point_id").alias("hole"), F.col("m.ring_plate").alias("outer"))
+    """Each hole's smallest outer that contains its centroid, the least id on ties; null for orphans. Columns ring_id, ring.
+
+    Holes with one centroid are looked up once, outers of one shape meet them once, by their least id.
+    """
+    at = holes.select("ring_id", space.ring_mean(F.col("ring"), "x").alias("lon"), space.ring_mean(F.col("ring"), "y").alias("lat"))
+    met = candidates(at.select("lon", "lat").distinct(), outers.groupBy("ring").agg(F.min("ring_id").alias("plate_id")))
+    best = met.groupBy("lon", "lat").agg(F.min(F.struct(F.abs(space.planar_ring_area(F.col("ring"))).alias("a"), "ring_plate")).alias("m"))
+    return at.join(best, ["lon", "lat"], "left").select(F.col("ring_id").alias("hole"), F.col("m.ring_plate").alias("outer"))
 
 
 def in_shell(p: Column, low: float, high: float) -> Column:

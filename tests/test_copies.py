@@ -51,3 +51,13 @@ def test_copies_are_assigned_once(spark, met):
     found = {r["point_id"]: r["plate_id"] for r in spatial.assign_plate(_points(spark, 50), _rings(spark, 40)).collect()}
     assert found == {**{k: 3 for k in range(50)}, 50: None, 51: 7, 52: None, 53: 3}
     assert met == [8]
+
+
+def test_copies_of_holes_meet_outers_of_one_shape_once(spark, met):
+    ring = "ring_id long, ring array<struct<x: double, y: double>>"
+    small = [(x / 2 + 1, y / 2 + 1) for x, y in SQUARE]
+    outers = spark.createDataFrame([(k, SQUARE) for k in range(9, 49)], ring)
+    holes = spark.createDataFrame([(k, small) for k in range(100, 150)] + [(7, [(x + 90, y) for x, y in small])], ring)
+    found = {r["hole"]: r["outer"] for r in spatial.assign_holes(outers, holes).collect()}
+    assert found == {**{k: 9 for k in range(100, 150)}, 7: None}
+    assert met == [1]
