@@ -60,9 +60,9 @@ def assign_plate(points: DataFrame, rings: DataFrame) -> DataFrame:
 
 def plate_query(points: DataFrame, rings: DataFrame) -> DataFrame:
     """plate, candidates and confidence: Boundary on a ring's vertex, Certain for one plate, Uncertain for more, Unassigned for none."""
-    inside = containing(points, rings).groupBy("point_id").agg(F.min("plate_id").alias("plate"), F.count(F.lit(1)).alias("n_candidates"))
+    inside = plates_at(points, rings).groupBy("lon", "lat").agg(F.min("plate_id").alias("plate"), F.count(F.lit(1)).alias("n_candidates"))
     vertex = rings.select(F.explode("ring").alias("v")).select(F.col("v.x").alias("lon"), F.col("v.y").alias("lat")).distinct().withColumn("on_ring", F.lit(True))
-    rows = points.select("point_id", "lon", "lat").join(inside, "point_id", "left").join(vertex, ["lon", "lat"], "left")
+    rows = points.select("point_id", "lon", "lat").join(inside, ["lon", "lat"], "left").join(vertex, ["lon", "lat"], "left")
     n = F.coalesce("n_candidates", F.lit(0))
     return rows.select("point_id", "plate", n.cast("long").alias("n_candidates"), F.when(F.col("on_ring"), "Boundary").when(n == 1, "Certain").when(n > 1, "Uncertain").otherwise("Unassigned").alias("confidence"))
 

@@ -61,3 +61,9 @@ def test_copies_of_holes_meet_outers_of_one_shape_once(spark, met):
     found = {r["hole"]: r["outer"] for r in spatial.assign_holes(outers, holes).collect()}
     assert found == {**{k: 9 for k in range(100, 150)}, 7: None}
     assert met == [1]
+
+
+def test_copies_are_queried_once(spark, met):
+    rows = {r["point_id"]: (r["plate"], r["n_candidates"], r["confidence"]) for r in spatial.plate_query(_points(spark, 50), _rings(spark, 40)).collect()}
+    assert rows == {**{k: (3, 2, "Uncertain") for k in (*range(50), 51)}, 50: (None, 0, "Unassigned"), 52: (None, 0, "Unassigned"), 53: (3, 2, "Boundary")}
+    assert met == [8]
