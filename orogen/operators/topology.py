@@ -6,6 +6,8 @@ ends(boundary_id, junction_id, place) with place 0 at a boundary's start and 1 a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,23 +110,34 @@ def darts(boundary_ends: DataFrame, angles: DataFrame) -> DataFrame:
 
 
 def walk_faces(darts_: DataFrame) -> DataFrame:
-    """dart, face (the least dart of its cycle), position (steps from it). Pointer doubling, log2 of the longest cycle rounds."""
-    jump = cut(darts_.select("dart", F.col("next").alias("to"), F.least("dart", "next").alias("least")))
+    """dart, face (the least dart of its cycle), position (steps from it), n (darts of the cycle).
+
+    Pointer doubling: each dart knows the least one of the `width` darts from it on, how many steps on that one is met
+    first and last and, once it is met twice, the cycle's length. A width of two lengths shows this to all darts of a
+    cycle, which then leave: short cycles after few rounds, the longest after log2 of twice its length. Darts that are on
+    no cycle have no row.
+    """
+    zero = F.lit(0).cast("long")
+    state = cut(darts_.select("dart", F.col("next").alias("to"), F.col("dart").alias("face"), zero.alias("first"), zero.alias("last"), F.lit(None).cast("long").alias("n")))
+    total, width, found = state.count(), 1, []
     while True:
-        other = jump.select(F.col("dart").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
-        doubled = cut(jump.join(other, "to").select("dart", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")))
-        if doubled.where("moved").isEmpty():
+        other = state.select(F.col("dart").alias("to"), *(F.col(c).alias(f"{c}2") for c in ("to", "face", "first", "last", "n")))
+        theirs, same = F.col("face2") < F.col("face"), F.col("face2") == F.col("face")
+        state = cut(state.join(other, "to").select(
+            "dart", F.col("to2").alias("to"), F.least("face", "face2").alias("face"),
+            F.when(theirs, F.col("first2") + width).otherwise(F.col("first")).alias("first"),
+            F.when(theirs | same, F.col("last2") + width).otherwise(F.col("last")).alias("last"),
+            F.when(theirs, F.col("n2")).when(same, F.least("n", "n2", F.col("first2") + width - F.col("last"))).otherwise(F.col("n")).alias("n"),
+        ))
+        width *= 2
+        ready = F.coalesce(F.col("n") * 2 <= width, F.lit(False))
+        n_ready, n_rows = state.agg(F.count_if(ready), F.count(F.lit(1))).first()
+        if n_ready or not found:
+            found.append(state.where(ready))
+        if n_ready == n_rows or width >= 2 * total:
             break
-        jump = doubled.drop("moved")
-    face = doubled.select("dart", F.col("least").alias("face"))
-    # The distance back to the least dart: follow `next` from each dart until the face's own dart is met.
-    step = darts_.select("dart", F.col("next").alias("to")).join(face, "dart").select("dart", "face", F.when(F.col("to") == F.col("face"), None).otherwise(F.col("to")).alias("to"))
-    state = cut(step.select("dart", "face", "to", F.lit(1).cast("long").alias("left")))
-    while not state.where("to is not null").isEmpty():
-        other = state.select(F.col("dart").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
-        state = cut(state.join(other, "to", "left").select("dart", "face", F.col("to2").alias("to"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left")))
-    size = state.groupBy("face").agg(F.count(F.lit(1)).alias("n"))
-    return state.join(size, "face").select("dart", "face", (F.col("n") - F.col("left")).alias("position"), "n")
+        state = state.where(~ready)
+    return reduce(DataFrame.unionByName, found).select("dart", "face", ((F.col("n") - F.col("first")) % F.col("n")).alias("position"), "n")
 
 
 def polygonize(darts_: DataFrame, positions: DataFrame, boundaries: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
