@@ -327,12 +327,9 @@ def canonical_order(rows: DataFrame, *ids: str) -> DataFrame:
     return rows.orderBy(*ids)
 
 
-def plate_ticks(plates: DataFrame, ticks: DataFrame, most: int = 10_000) -> DataFrame:
-    """plate_id, tick: every plate at every different tick; up to `most` ticks, which are a stated list, are sent to the plates."""
-    found = [r["tick"] for r in ticks.select("tick").distinct().orderBy("tick").limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} ticks: ask for ranges of them")
-    return plates.select("plate_id", F.explode(F.array(*(F.lit(t).cast("long") for t in found)) if found else F.array().cast("array<long>")).alias("tick"))
+def plate_ticks(plates: DataFrame, ticks: DataFrame) -> DataFrame:
+    """plate_id, tick: every plate at every different tick, however many there are; all pairs are the result."""
+    return plates.select("plate_id").crossJoin(ticks.select(F.col("tick").cast("long").alias("tick")).distinct())
 
 
 @dataclass(frozen=True)
