@@ -233,9 +233,10 @@ def w9_regional_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select c_nationkey, arg_max(c_custkey, c_acctbal) as richest, arg_min(c_custkey, c_acctbal) as poorest from customer group by c_nationkey")
 def w11_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-1 choices in one aggregation, without a sort of the groups."""
+    """Top-1 choices in one aggregation, without a sort of the groups; the least key on ties."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.groupBy("c_nationkey").agg(F.max_by("c_custkey", "c_acctbal").alias("richest"), F.min_by("c_custkey", "c_acctbal").alias("poorest"))
+    by = lambda sign: F.when(F.col("c_acctbal").isNotNull(), F.struct("c_acctbal", sign * F.col("c_custkey")))
+    return c.groupBy("c_nationkey").agg(F.max_by("c_custkey", by(-1)).alias("richest"), F.min_by("c_custkey", by(1)).alias("poorest"))
 
 
 @query(sql("boundaries", "select boundary_id, row_number() over (order by plate_left, plate_right, boundary_id) as place from boundaries order by place limit 200"))
