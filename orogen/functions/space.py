@@ -185,10 +185,18 @@ def great_circle_distance(a: Column, b: Column, radius=1.0) -> Column:
 
 
 def slerp(a: Column, b: Column, t: Column) -> Column:
-    w = great_circle_angle(a, b)
+    return weighted(a, (w := slerp_weights(great_circle_angle(a, b), t))[0], b, w[1])
+
+
+def slerp_weights(w: Column, t: Column) -> tuple[Column, Column]:
+    """What both points, w apart, weigh in the one at the part t of the arc between them."""
     s = F.sin(w)
-    part = lambda c: F.when(F.abs(s) < EPS, a[c] + (b[c] - a[c]) * t).otherwise((a[c] * F.sin((1 - t) * w) + b[c] * F.sin(t * w)) / s)
-    return vec(part("x"), part("y"), part("z"))
+    flat = F.abs(s) < EPS
+    return F.when(flat, 1 - t).otherwise(F.sin((1 - t) * w) / s), F.when(flat, t).otherwise(F.sin(t * w) / s)
+
+
+def weighted(a: Column, of_a: Column, b: Column, of_b: Column) -> Column:
+    return vec(*(of_a * a[c] + of_b * b[c] for c in "xyz"))
 
 
 def great_circle_arc(a: Column, b: Column, n: int) -> Column:

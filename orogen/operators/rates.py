@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,43 +17,76 @@ def arc_lengths(vertices: DataFrame) -> DataFrame:
     return vertices.withColumn("_step", step).withColumn("arc", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
+def as_lines(rows: DataFrame) -> DataFrame:
+    """Lines (boundary_id, line) as they are, vertices (boundary_id, pos, p) gathered into lines."""
+    if "line" in rows.columns:
+        return rows
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "p")))
+    return rows.groupBy("boundary_id").agg(F.transform(ordered, lambda v: v["p"]).alias("line"))
+
+
+def _legs(lines: DataFrame, length: Callable[[Column, Column], Column]) -> DataFrame:
+    """The lines' columns but `line`, and pos, p, q, _length, _from, _to, _total of each leg; made line by line, nothing is shuffled."""
+    before = lambda sums, i: F.coalesce(F.get(sums, i), F.lit(0.0))
+
+    def own(line: Column) -> Column:
+        pairs = F.transform(F.slice(line, 2, F.size(line) - 1), lambda q, k: F.struct(F.get(line, k).alias("p"), q.alias("q")))
+        return F.transform(pairs, lambda v: F.struct(v.alias("at"), length(v["p"], v["q"]).alias("length")))
+
+    def sums(legs: Column) -> Column:
+        """Running sums in log2 of the legs rounds: round j adds the sum that ends 2^j places before."""
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(legs))).cast("int"))
+        return F.aggregate(rounds, F.transform(legs, lambda v: v["length"]), lambda to, j: F.transform(to, lambda x, i: x + before(to, i - F.pow(F.lit(2.0), j).cast("int"))))
+
+    def parts(v: Column) -> Column:
+        return F.transform(v["legs"], lambda x, k: F.struct(
+            x["at"]["p"].alias("p"), x["at"]["q"].alias("q"), x["length"].alias("_length"), before(v["to"], k - 1).alias("_from"), F.get(v["to"], k).alias("_to"), F.element_at(v["to"], -1).alias("_total")))
+
+    # let: the line and what is made of it are worked out once, not anew at each use.
+    made = space.let(F.col("line"), lambda line: space.let(own(line), lambda o: space.let(F.struct(o.alias("legs"), sums(o).alias("to")), parts)))
+    keep = [c for c in lines.columns if c != "line"]
+    return lines.where(F.size("line") > 1).select(*keep, F.posexplode(made).alias("pos", "_leg")).select(*keep, "pos", "_leg.*")
+
+
 def sample_along(vertices: DataFrame, n: int) -> DataFrame:
-    """boundary_id, sample, p, arc: n equally spaced points from the first vertex to the last (at i * length / (n - 1))."""
-    w = Window.partitionBy("boundary_id").orderBy("pos")
-    arcs = arc_lengths(vertices).withColumn("total", F.max("arc").over(Window.partitionBy("boundary_id")))
-    legs = arcs.withColumn("q", F.lead("p").over(w)).withColumn("arc1", F.lead("arc").over(w)).where("q is not null")
+    """boundary_id, sample, p, arc, tangent: n equally spaced points from the first vertex to the last (at i * length / (n - 1)).
+
+    vertices(boundary_id, pos, p), or lines(boundary_id, line), which keep their other columns and are sampled where they
+    lie. A sample at a vertex is on the leg before it. Lines without length have one sample.
+    """
+    lines = as_lines(vertices)
+    legs = _legs(lines, space.great_circle_angle)
     # The samples that can fall on a leg, one more at each side; the condition below decides.
-    step = F.col("total") / (n - 1)
-    low = F.when(F.col("total") > 0, F.greatest(F.floor(F.col("arc") / step) - 1, F.lit(0))).otherwise(F.lit(0))
-    high = F.when(F.col("total") > 0, F.least(F.floor(F.col("arc1") / step) + 1, F.lit(n - 1))).otherwise(F.lit(n - 1))
-    i = F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("sample")
-    spread = legs.select("*", i).withColumn("s", F.col("sample") * F.col("total") / (n - 1))
-    first = F.col("arc") == 0
-    on = spread.where(((F.col("s") > F.col("arc")) | (first & (F.col("sample") == 0))) & ((F.col("s") <= F.col("arc1") + 1e-15)))
-    t = F.when(F.col("arc1") > F.col("arc"), (F.col("s") - F.col("arc")) / (F.col("arc1") - F.col("arc"))).otherwise(0.0)
-    best = F.min(F.struct("pos", space.slerp(F.col("p"), F.col("q"), t).alias("at"), "p", "q", F.col("s").alias("arc"))).alias("m")
-    return on.groupBy("boundary_id", "sample").agg(best).select("boundary_id", "sample", F.col("m.at").alias("p"), F.col("m.arc").alias("arc"), space.normalize(space.vec_sub(F.col("m.q"), F.col("m.p"))).alias("tangent"))
+    step, within = F.col("_total") / (n - 1), F.col("_total") > 0
+    low = F.when(within, F.greatest(F.floor(F.col("_from") / step) - 1, F.lit(0))).otherwise(F.lit(0))
+    high = F.when(within, F.least(F.floor(F.col("_to") / step) + 1, F.lit(n - 1))).otherwise(F.lit(0))
+    spread = legs.select("*", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("sample")).withColumn("arc", F.col("sample") * F.col("_total") / (n - 1))
+    begun = ((F.col("pos") == 0) & ((F.col("sample") == 0) | (F.col("arc") > 0))) | (F.col("arc") > F.col("_from") + 1e-15)
+    on = spread.where(begun & ((F.col("arc") <= F.col("_to") + 1e-15) | (F.col("_to") == F.col("_total"))))
+    t = F.when(F.col("_to") > F.col("_from"), (F.col("arc") - F.col("_from")) / (F.col("_to") - F.col("_from"))).otherwise(0.0)
+    more = [c for c in lines.columns if c not in ("boundary_id", "line")]
+    placed = on.withColumn("_t", t).withColumns(dict(zip(("_a", "_b"), space.slerp_weights(F.col("_length"), F.col("_t")))))
+    tangent = space.normalize(space.vec_sub(F.col("q"), F.col("p"))).alias("tangent")
+    return placed.select("boundary_id", *more, "sample", space.weighted(F.col("p"), F.col("_a"), F.col("q"), F.col("_b")).alias("p"), "arc", tangent)
 
 
 def samples_by_mode(vertices: DataFrame, mode: str = "arc", count: int | None = None, spacing: float | None = None, ends: bool = True) -> DataFrame:
-    """boundary_id, sample, p, leg (the vertex before it) of lines of two or more vertices (boundary_id, pos, p).
+    """boundary_id, sample, p, leg (the vertex before it) of lines of two or more vertices.
 
+    vertices(boundary_id, pos, p), or lines(boundary_id, line), which are sampled where they lie.
     mode: "arc" and "chord" space samples equally by great-circle or straight length, and put them on the arc or on the
     chord; "vertices" takes the vertices. count: samples of each line; without it, `spacing` gives them: as many
     intervals as fit best, one at least. With `ends` both ends are samples; without (a buffer around junctions) all lie
     between them, and lines of two vertices keep both where the vertices are taken. Lines without length have one
-    sample, their first vertex.
+    sample, their first vertex. A sample at a vertex is on the leg before it.
     """
-    w = Window.partitionBy("boundary_id").orderBy("pos")
+    lines = as_lines(vertices)
     if mode == "vertices":
-        last = vertices.withColumn("_last", F.max("pos").over(Window.partitionBy("boundary_id")))
-        taken = last if ends else last.where("_last <= 1 or (pos > 0 and pos < _last)")
+        spots = lines.select("boundary_id", (F.size("line") - 1).alias("_last"), F.posexplode("line").alias("pos", "p"))
+        taken = spots if ends else spots.where("_last <= 1 or (pos > 0 and pos < _last)")
         first = F.lit(0) if ends else F.when(F.col("_last") > 1, 1).otherwise(0)
         return taken.select("boundary_id", (F.col("pos") - first).cast("int").alias("sample"), "p", F.greatest(F.least("pos", F.col("_last") - 1), F.lit(0)).cast("int").alias("leg"))
-    legs = vertices.withColumn("q", F.lead("p").over(w)).where("q is not null")
-    length = space.great_circle_angle(F.col("p"), F.col("q")) if mode == "arc" else space.norm(space.vec_sub(F.col("q"), F.col("p")))
-    legs = legs.withColumn("_length", length).withColumn("_to", F.sum("_length").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    legs = legs.withColumn("_from", F.col("_to") - F.col("_length")).withColumn("_total", F.max("_to").over(Window.partitionBy("boundary_id")))
+    legs = _legs(lines.select("boundary_id", "line"), space.great_circle_angle if mode == "arc" else lambda p, q: space.norm(space.vec_sub(q, p)))
     intervals = F.greatest(F.lit(1), F.bround(F.col("_total") / F.lit(spacing)).cast("int")) if count is None else None
     n = F.lit(max(2 if ends else 1, count)) if count is not None else intervals + 1 if ends else F.greatest(F.lit(1), intervals - 1)
     legs = legs.withColumn("_n", F.when(F.col("_total") > 0, n).otherwise(1))
@@ -61,11 +96,11 @@ def samples_by_mode(vertices: DataFrame, mode: str = "arc", count: int | None =
     legs = legs if ends else legs.withColumn("_first", F.when(F.col("_total") > 0, F.col("_step")).otherwise(0.0))
     at = lambda c, more: F.least(F.greatest(F.floor((F.col(c) - F.col("_first")) / F.col("_step")) + more, F.lit(0)), F.col("_n") - 1).cast("int")
     tried = legs.select("*", F.explode(F.sequence(at("_from", -1), at("_to", 1))).alias("sample")).withColumn("_s", F.least(F.col("_first") + F.col("sample") * F.col("_step"), F.col("_total")))
-    on = tried.where((F.col("_s") <= F.col("_to") + 1e-15) & ((F.col("_s") > F.col("_from")) | (F.col("_from") == 0)))
+    begun = (F.col("pos") == 0) | (F.col("_s") > F.col("_from") + 1e-15)
+    on = tried.where(begun & ((F.col("_s") <= F.col("_to") + 1e-15) | (F.col("_to") == F.col("_total"))))
     t = F.when(F.col("_length") > 0, space.clamp((F.col("_s") - F.col("_from")) / F.col("_length"), 0.0, 1.0)).otherwise(0.0)
     place = space.slerp(F.col("p"), F.col("q"), t) if mode == "arc" else space.vec_add(F.col("p"), space.vec_scale(space.vec_sub(F.col("q"), F.col("p")), t))
-    best = on.groupBy("boundary_id", "sample").agg(F.min(F.struct("pos", place.alias("at"))).alias("_m"))
-    return best.select("boundary_id", "sample", F.col("_m.at").alias("p"), F.col("_m.pos").cast("int").alias("leg"))
+    return on.select("boundary_id", "sample", place.alias("p"), F.col("pos").cast("int").alias("leg"))
 
 
 def sample_by_spacing(vertices: DataFrame, spacing: float) -> DataFrame:
@@ -110,15 +145,20 @@ def speed_statistics(samples: DataFrame, *by: str) -> DataFrame:
     return s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_s").alias("mean_speed"), F.min("_s").alias("min_speed"), F.max("_s").alias("max_speed"), F.stddev_pop("_s").alias("deviation"))
 
 
-def boundary_velocities(samples: DataFrame, boundaries: DataFrame, omegas: DataFrame) -> DataFrame:
+def boundary_velocities(samples: DataFrame, boundaries: DataFrame | None, omegas: DataFrame) -> DataFrame:
     """v_right - v_left at the samples, with its parts along the tangent and the boundary's normal.
 
-    boundaries(boundary_id, plate_left, plate_right), omegas(plate_id, omega) of one tick.
+    boundaries(boundary_id, plate_left, plate_right), none if the samples have these columns; omegas(plate_id, omega) of
+    one tick. Omegas of decimals are subtracted as such, so equal motions leave no rounding behind.
     """
-    rows = boundary_omegas(samples.join(boundaries, "boundary_id"), omegas)
+    rows = boundary_omegas(samples if boundaries is None else samples.join(boundaries, "boundary_id"), omegas)
     rows = rows.withColumn("v", space.linear_velocity(space.vec_sub(F.col("omega_right"), F.col("omega_left")), F.col("p")))
     rows = rows.withColumn("normal", space.boundary_normal(F.col("p"), F.col("tangent"), F.col("plate_left"), F.col("plate_right")))
-    return rows.withColumn("tangential_rate", space.dot(F.col("v"), F.col("tangent"))).withColumn("normal_rate", space.dot(F.col("v"), F.col("normal"))).drop("omega_left", "omega_right")
+    # The rate along the normal is divided by its length last: a sum that is zero is not rounded away from it before.
+    across = space.cross(F.col("p"), F.col("tangent"))
+    long = space.norm(across)
+    along = F.when(long > 0, F.when(F.col("plate_left") > F.col("plate_right"), -1.0).otherwise(1.0) * space.dot(F.col("v"), across) / long).otherwise(0.0)
+    return rows.withColumn("tangential_rate", space.dot(F.col("v"), F.col("tangent"))).withColumn("normal_rate", along).drop("omega_left", "omega_right")
 
 
 def velocity_profile(samples: DataFrame) -> DataFrame:
@@ -129,6 +169,16 @@ def velocity_profile(samples: DataFrame) -> DataFrame:
     return s.select("boundary_id", "n", F.col("lo.normal_rate").alias("min_normal"), (-F.col("hi.m")).alias("max_normal"), F.col("lo.sample").alias("min_sample"), F.col("hi.sample").alias("max_sample"), "mean_normal", "mean_slip")
 
 
+#: Samples of a task that summarises whole boundaries.
+ROWS = 1 << 20
+
+
+def gathered(lines: DataFrame, n: int) -> DataFrame:
+    """Lines dealt to as many tasks as their n samples each need, by boundary_id: summaries of their samples move none of them."""
+    tasks = -(-lines.count() * n // ROWS)
+    return lines.repartition(max(1, tasks), "boundary_id")
+
+
 def rate_statistics(samples: DataFrame) -> DataFrame:
     speed = F.sqrt(F.col("normal_rate") ** 2 + F.col("tangential_rate") ** 2)
     return samples.groupBy("boundary_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("normal_rate", "tangential_rate") for f in (F.min, F.max, F.avg)), F.max(speed).alias("max_speed"), F.avg(speed).alias("mean_speed"))

@@ -109,16 +109,17 @@ rate as (select boundary_id, sample, x, y, z, sample / 4.0 * w as arc, vx*tx+vy*
 """
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "boundaries")
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.array(space.latlon_to_unit(F.col("lat0"), F.col("lon0")), space.latlon_to_unit(F.col("lat1"), F.col("lon1")))
-    return rates.sample_along(b.select("boundary_id", F.posexplode(line).alias("pos", "p")), 5)
+    return table(spark, sf_dir, "boundaries").select("boundary_id", "plate_left", "plate_right", line.alias("line"))
 
 
-def rate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("plate_id")
-    omegas = table(spark, sf_dir, "plates").select("plate_id", space.vec(0.01 * (p % 5 - 2), 0.01 * (p % 7 - 3), 0.01 * (p % 3 - 1)).alias("omega"))
-    return rates.boundary_velocities(samples(spark, sf_dir), table(spark, sf_dir, "boundaries").select("boundary_id", "plate_left", "plate_right"), omegas)
+def rate_samples(spark: SparkSession, sf_dir: str, summed: bool = True) -> DataFrame:
+    """Rates at five samples of each boundary; `summed`: those of one boundary lie in one task."""
+    part = lambda k, d: F.expr(f"0.01BD * (plate_id % {k} - {d})")
+    omegas = table(spark, sf_dir, "plates").select("plate_id", F.struct(part(5, 2).alias("x"), part(7, 3).alias("y"), part(3, 1).alias("z")).alias("omega"))
+    b = lines(spark, sf_dir)
+    return rates.boundary_velocities(rates.sample_along(rates.gathered(b, 5) if summed else b, 5), None, omegas)
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -127,12 +128,12 @@ def _rounded(df: DataFrame, *keys: str) -> DataFrame:
 
 @query(sql("boundaries plates", _SAMPLES + "select boundary_id, sample::integer as sample, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z, round(arc, 6) + 0.0 as arc from p"  .replace("from p", "from rate")))
 def w5_sample_along(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(samples(spark, sf_dir).select("boundary_id", "sample", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.z").alias("z"), "arc"), "boundary_id", "sample")
+    return _rounded(rates.sample_along(lines(spark, sf_dir), 5).select("boundary_id", "sample", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.z").alias("z"), "arc"), "boundary_id", "sample")
 
 
 @query(sql("boundaries plates", _SAMPLES + "select boundary_id, sample::integer as sample, round(tangential_rate, 6) + 0.0 as tangential_rate, round(normal_rate, 6) + 0.0 as normal_rate from rate"))
 def y9_boundary_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rate_samples(spark, sf_dir).select("boundary_id", "sample", "tangential_rate", "normal_rate"), "boundary_id", "sample")
+    return _rounded(rate_samples(spark, sf_dir, summed=False).select("boundary_id", "sample", "tangential_rate", "normal_rate"), "boundary_id", "sample")
 
 
 @query(sql("boundaries plates", _SAMPLES + """select boundary_id, count(*) as n, round(min(normal_rate), 6) + 0.0 as min_normal, round(max(normal_rate), 6) + 0.0 as max_normal, round(avg(normal_rate), 6) + 0.0 as mean_normal, round(avg(abs(tangential_rate)), 6) + 0.0 as mean_slip,
@@ -174,7 +175,7 @@ def a7_strike_slip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each boundary with a third vertex a quarter turn north of its second one's meridian."""
     line = F.array(space.latlon_to_unit(F.col("lat0"), F.col("lon0")), space.latlon_to_unit(F.col("lat1"), F.col("lon1")), space.latlon_to_unit(F.col("lat1") / 2 + 30, F.col("lon1")))
-    return table(spark, sf_dir, "boundaries").select("boundary_id", F.posexplode(line).alias("pos", "p"))
+    return table(spark, sf_dir, "boundaries").select("boundary_id", line.alias("line"))
 
 
 _BENT = """with u as (select boundary_id, x.pos, cos(radians(la)) * cos(radians(lo)) as x, cos(radians(la)) * sin(radians(lo)) as y, sin(radians(la)) as z

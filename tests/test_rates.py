@@ -4,7 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from orogen.functions import space
 from orogen.operators import rates
 
 XYZ = "struct<x:double,y:double,z:double>"
@@ -79,3 +81,46 @@ def test_summaries_of_boundaries_without_such_samples(spark):
     slip = {r["boundary_id"]: r for r in rates.strike_slip(s).collect()}
     assert tuple(slip[1])[1:] == pytest.approx((0.3, 0.2, 0.3, 1, 1)) and tuple(slip[2])[1:] == (0, 0, 0, 0, 0)
     assert rates.convergence(s.drop("normal_sigma")).where("max_sigma is not null").count() == 0
+
+
+def test_lines_are_sampled_where_they_lie(spark):
+    r = random.Random(9)
+    table = {1: [unit(r), unit(r)], 2: [unit(r) for _ in range(700)], 3: [(0.0, 1.0, 0.0)] * 3, 4: [(0.0, 0.0, 1.0)], 5: [(1.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]}
+    lines = spark.createDataFrame(list(table.items()), f"boundary_id long, line array<{XYZ}>")
+    vertices = lines.select("boundary_id", F.posexplode("line").alias("pos", "p"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for sample in (lambda t: rates.sample_along(t, 5), lambda t: rates.samples_by_mode(t, "chord", spacing=0.3, ends=False), lambda t: rates.samples_by_mode(t, "arc", 6)):
+        assert not any(step in plan(sample(lines)) for step in ("Exchange", "Window", "Aggregate", "Sort"))
+        assert sorted(map(str, sample(lines).collect())) == sorted(map(str, sample(vertices).collect()))
+    got = rates.sample_along(lines, 5).orderBy("boundary_id", "sample").collect()
+    assert [(s["boundary_id"], s["sample"]) for s in got] == [(k, i) for k in (1, 2, 3, 5) for i in range(1 if k == 3 else 5)]
+    for s in got:  # the long line's running lengths, and points at vertices and between
+        want = plain(table[s["boundary_id"]], "arc", 5, None, True)[s["sample"]]
+        assert math.dist(s["p"], want) < 1e-9
+
+
+def test_summaries_move_no_samples_and_tasks_follow_the_boundaries(spark, monkeypatch):
+    monkeypatch.setattr(rates, "ROWS", 100)
+    lines = spark.range(90).select(F.col("id").alias("boundary_id"), F.array(space.latlon_to_unit(F.lit(1.0), F.col("id")), space.latlon_to_unit(F.lit(2.0), F.col("id"))).alias("line"), (F.col("id") % 3).alias("plate_left"), ((F.col("id") + 1) % 3).alias("plate_right"))
+    omegas = spark.range(3).select(F.col("id").alias("plate_id"), space.vec(F.col("id") * 0.1, F.lit(0.2), F.lit(0.0)).alias("omega"))
+    found = rates.rate_statistics(rates.boundary_velocities(rates.sample_along(rates.gathered(lines, 5), 5), None, omegas))
+    assert rates.gathered(lines, 5).rdd.getNumPartitions() == 5  # 450 samples
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and found.count() == 90
+
+
+def test_spreading_where_a_rate_is_nearly_zero_equals_its_sql(spark, tmp_path):
+    """Boundary 193307 has an opening sample only by the sign of a rounding, which has to be the SQL's."""
+    import duckdb
+
+    import __spark_entry__
+
+    con = duckdb.connect()
+    for t in ("orders", "nation"):
+        more = "where o_orderkey = 43307" if t == "orders" else ""
+        shift = "* replace (o_orderkey + 150000 as o_orderkey, o_custkey + 15000 as o_custkey)" if t == "orders" else "*"
+        con.execute(f"copy (select {shift} from '/root/testdata/sf0.1/{t}.parquet' {more}) to '{tmp_path}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+    want = con.execute(f"select boundary_id, obliquity, half_rate from ({__spark_entry__.oracle_sql()['a5_spreading']})").fetchall()
+    got = __spark_entry__.queries()["a5_spreading"](spark, str(tmp_path)).select("boundary_id", "obliquity", "half_rate").collect()
+    assert [tuple(x) for x in got] == want and want[0][0] == 193307
