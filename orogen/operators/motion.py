@@ -11,7 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,21 +52,50 @@ def _part(s: Column, tick: Column) -> Column:
     return space.stage_rotation(s["azimuth"], s["elevation"], s["angle"], f)
 
 
+#: Segments of a stretch of a plate's ticks whose chain is followed in one task.
+CHAIN = 4096
+
+
 def base_rotations(segments: DataFrame) -> DataFrame:
     """segment_id, base: each segment's absolute rotation at its tick_a, following the segment that rules there.
 
-    Each segment points at its ruler; pointers and products are doubled until all chains have ended: about
-    log2 of the longest chain rounds, each one join on segment ids.
+    Each segment points at its ruler, which starts before it. Stretches of some CHAIN segments of a plate are followed
+    inside first, after which all of a stretch point out of it, at few segments. Among these pointers and products are
+    doubled until all chains have ended, and one join brings the result to all.
     """
     starts = segments.where("tick_b > tick_a").select("segment_id", "plate_id", F.when(F.col("tick_a") > 0, F.col("tick_a")).otherwise(-1).alias("tick"))
+    spans = starts.groupBy("plate_id").agg(((F.max("tick") - F.min("tick") + 1) / F.count(F.lit(1))).alias("each"))
+    width = max(1, int(CHAIN * (spans.agg(F.min("each")).first()[0] or 1)))
     ruled = segment_at(starts, segments)
     q = F.when(F.col("s").isNull(), space.quat(*_IDENTITY)).otherwise(_part(F.col("s"), F.col("tick")))
-    links = cut(ruled.select("segment_id", F.col("s.segment_id").alias("to"), q.alias("q")))
-    while not links.where("to is not null").isEmpty():
-        other = links.select(F.col("segment_id").alias("to"), F.col("to").alias("to2"), F.col("q").alias("q2"))
-        product = F.when(F.col("q2").isNull(), F.col("q")).otherwise(space.quat_normalize(space.quat_multiply(F.col("q2"), F.col("q"))))
-        links = cut(links.join(other, "to", "left").select("segment_id", F.col("to2").alias("to"), product.alias("q")))
-    return links.select("segment_id", F.col("q").alias("base"))
+    own = ruled.select("plate_id", F.floor(F.col("tick") / width).cast("long").alias("_stretch"), "segment_id", F.col("s.segment_id").alias("to"), q.alias("q"))
+    kind = segments.schema["segment_id"].dataType.simpleString()
+    flat = own.select("plate_id", "_stretch", "segment_id", "to", "q.*").groupBy("plate_id", "_stretch").applyInArrow(_out_of_stretch, f"segment_id {kind}, to {kind}, x double, y double, z double, w double")
+    links = cut(flat.select("segment_id", "to", F.struct(*"xyzw").alias("q")))
+    product = F.when(F.col("q2").isNull(), F.col("q")).otherwise(space.quat_normalize(space.quat_multiply(F.col("q2"), F.col("q"))))
+    gates = cut(links.join(links.select(F.col("to").alias("segment_id")).distinct(), "segment_id", "left_semi"))
+    while not gates.where("to is not null").isEmpty():
+        other = gates.select(F.col("segment_id").alias("to"), F.col("to").alias("to2"), F.col("q").alias("q2"))
+        gates = cut(gates.join(other, "to", "left").select("segment_id", F.col("to2").alias("to"), product.alias("q")))
+    ends = gates.select(F.col("segment_id").alias("to"), F.col("q").alias("q2"))
+    return links.join(ends, "to", "left").select("segment_id", product.alias("base"))
+
+
+def _out_of_stretch(rows: pa.Table) -> pa.Table:
+    """Pointers and products of a stretch, doubled until all pointers leave it."""
+    ids, to = rows["segment_id"].combine_chunks(), rows["to"].combine_chunks()
+    at = np.array(pc.fill_null(pc.index_in(to, value_set=ids), -1))
+    q, end = np.stack([rows[c].to_numpy() for c in "xyzw"], axis=1), np.arange(len(at))
+    for _ in range(len(at).bit_length()):
+        i = np.flatnonzero(at >= 0)
+        if not len(i):
+            break
+        (ax, ay, az, aw), (bx, by, bz, bw) = q[at[i]].T, q[i].T
+        m = np.stack([aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz], axis=1)
+        n = np.sqrt((m * m).sum(axis=1))[:, None]
+        made, last, after = np.where(n > 0, m / np.where(n > 0, n, 1.0), _IDENTITY), end[at[i]], at[at[i]]
+        q[i], end[i], at[i] = made, last, after
+    return pa.table({"segment_id": ids, "to": to.take(pa.array(end)), **{c: pa.array(np.ascontiguousarray(q[:, k])) for k, c in enumerate("xyzw")}})
 
 
 def rotations_at(ticks: DataFrame, segments: DataFrame) -> DataFrame:
@@ -182,33 +212,37 @@ BLOCK = 1 << 18
 _PATHS = "seed_id long, plate_id long, tick long, x double, y double, z double, vx double, vy double, vz double, error double, known boolean"
 
 
-def motion_paths(seeds: DataFrame, omegas: DataFrame, step: int, direction: int = 1) -> DataFrame:
+def motion_paths(seeds: DataFrame, omegas: DataFrame, step: int, direction: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """seed_id, plate_id, tick, x, y, z, vx, vy, vz, error, known of explicit Euler paths; the end point is not a sample.
 
-    seeds(seed_id, plate_id, x, y, z, start_tick, end_tick); omegas(plate_id, tick, omega). The seeds of a plate are
-    dealt to blocks of some BLOCK samples, so a plate of many seeds is spread over tasks. A block gets its plate's
-    velocities of its own ticks once, and all its seeds step together. Where a plate has no velocity, or is not
-    known, the seed stands still and the sample is not `known`; every path runs to its end. Repeated seeds have a
-    path each, seeds without a start or an end none. Positions are renormalised; the error grows by 1e-4 a tick.
-    v is the velocity at the sample.
+    seeds(seed_id, plate_id, x, y, z, start_tick, end_tick, and the columns `keep`, which their samples have too);
+    omegas(plate_id, tick, omega). The seeds of a plate are dealt to blocks of some BLOCK samples, so a plate of many
+    seeds is spread over tasks; this is the only time that they move. A block gets its plate's velocities once, and all
+    its seeds step together. Where a plate has no velocity, or is not known, the seed stands still and the sample is not
+    `known`; every path runs to its end. Repeated seeds have a path each, seeds without a start or an end none.
+    Positions are renormalised; the error grows by 1e-4 a tick. v is the velocity at the sample.
     """
     ahead = (F.col("end_tick") - F.col("start_tick")) * direction
     columns = ["seed_id", "plate_id", "x", "y", "z", "start_tick", "end_tick"]
-    own = seeds.select(columns).where("start_tick is not null and end_tick is not null").withColumn("_n", F.greatest(F.lit(1), F.ceil(ahead / step)).cast("long"))
-    parts = own.groupBy(F.col("plate_id").alias("_plate")).agg(F.ceil(F.sum("_n") / BLOCK).cast("long").alias("_parts"))
-    part = F.pmod(F.xxhash64("seed_id", "x", "y", "z"), F.col("_parts"))
-    blocks = own.join(parts, F.col("plate_id").eqNullSafe(F.col("_plate"))).withColumn("_part", part).select(*columns, "_n", "_part")
+    own = seeds.select(*columns, *(F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep))).where("start_tick is not null and end_tick is not null").withColumn("_n", F.greatest(F.lit(1), F.ceil(ahead / step)).cast("long"))
     last = F.col("start_tick") + direction * step * (F.col("_n") - 1)
-    ranges = blocks.groupBy("plate_id", "_part").agg(F.min(F.least("start_tick", last)).alias("_low"), F.max(F.greatest("start_tick", last)).alias("_high"))
-    table = omegas.join(ranges, "plate_id").where("tick between _low and _high").select(F.col("plate_id").alias("_plate"), F.col("_part").alias("_block"), "tick", "omega.x", "omega.y", "omega.z")
-
-    def paths(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_n", ascending=False, kind="stable")
-        known = known.sort_values(["tick", "x", "y", "z"]).drop_duplicates("tick")
-        ticks, turns = known["tick"].to_numpy("int64"), known[["x", "y", "z"]].to_numpy("float64")
-        n, t = block["_n"].to_numpy("int64"), block["start_tick"].to_numpy("int64")
-        p, error, rows = block[["x", "y", "z"]].to_numpy("float64"), 0.0, []
-        for k in range(n.max()):
+    # One row a plate, in a file: its size is known, so it is sent to the seeds and not they to it.
+    plates = cut(own.groupBy(F.col("plate_id").alias("_plate")).agg(
+        F.ceil(F.sum("_n") / BLOCK).cast("long").alias("_parts"), F.min(F.least("start_tick", last)).alias("_low"), F.max(F.greatest("start_tick", last)).alias("_high")))
+    blocks = own.join(plates.select("_plate", "_parts"), F.col("plate_id").eqNullSafe(F.col("_plate"))).withColumn("_part", F.pmod(F.xxhash64("seed_id", "x", "y", "z"), F.col("_parts"))).drop("_plate", "_parts")
+    near = omegas.join(plates, F.col("plate_id") == F.col("_plate")).where("tick between _low and _high")
+    table = near.select("_plate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_block"), "tick", "omega.x", "omega.y", "omega.z")
+    names = [f"_keep{k}" for k in range(len(keep))]
+
+    def paths(block: pa.Table, known: pa.Table) -> pa.Table:
+        block = block.sort_by([("_n", "descending")])
+        known = known.sort_by([(c, "ascending") for c in ("tick", "x", "y", "z")])
+        ticks, turns = known["tick"].to_numpy(), np.stack([known[c].to_numpy() for c in "xyz"], axis=1)
+        ticks, first = np.unique(ticks, return_index=True)
+        turns = turns[first]
+        n, t = block["_n"].to_numpy(), block["start_tick"].to_numpy()
+        p, error, rows = np.stack([block[c].to_numpy() for c in "xyz"], axis=1), 0.0, []
+        for k in range(n.max(initial=0)):
             m = int((n > k).sum())  # seeds whose paths go on come first
             p, t = p[:m], t[:m]
             at = np.minimum(np.searchsorted(ticks, t), max(len(ticks) - 1, 0))
@@ -221,11 +255,18 @@ def motion_paths(seeds: DataFrame, omegas: DataFrame, step: int, direction: int
             length = np.sqrt(p[:, 0] ** 2 + p[:, 1] ** 2 + p[:, 2] ** 2)
             p = p / np.where(length == 0, 1.0, length)[:, None]
             t, error = t + direction * step, error + 1e-4 * abs(step)
+        if not rows:
+            rows = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros((0, 3)), np.zeros((0, 3)), np.zeros(0), np.zeros(0, bool))]
         i, t, p, v, error, has = (np.concatenate(c) for c in zip(*rows))
-        ids = {c: block[c].iloc[i].reset_index(drop=True) for c in ("seed_id", "plate_id")}
-        return pd.DataFrame(ids | {"tick": t} | dict(zip("xyz", p.T)) | dict(zip(("vx", "vy", "vz"), v.T)) | {"error": error, "known": has})
+        ids = block.select(["seed_id", "plate_id", *names]).take(pa.array(i))
+        made = {"tick": t, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "vx": v[:, 0], "vy": v[:, 1], "vz": v[:, 2], "error": error, "known": has}
+        out = {c: ids[c].combine_chunks() for c in ("seed_id", "plate_id")} | {c: pa.array(np.ascontiguousarray(x)) for c, x in made.items()} | {c: ids[c].combine_chunks() for c in names}
+        return pa.table(out)
 
-    return blocks.groupBy("plate_id", "_part").cogroup(table.groupBy("_plate", "_block")).applyInPandas(paths, _PATHS)
+    kept = [f"{c} {blocks.schema[c].dataType.simpleString()}" for c in names]
+    blocks = blocks.withColumns({c: F.col(c).cast("long") for c in ("seed_id", "plate_id", "start_tick")} | {c: F.col(c).cast("double") for c in "xyz"})
+    found = blocks.groupBy("plate_id", "_part").cogroup(table.groupBy("_plate", "_block")).applyInArrow(paths, ", ".join([_PATHS, *kept]))
+    return found.withColumnsRenamed(dict(zip(names, keep)))
 
 
 def accumulated_opening(samples: DataFrame, rate: Column) -> DataFrame:
@@ -238,22 +279,28 @@ def accumulated_opening(samples: DataFrame, rate: Column) -> DataFrame:
 UNIFORM_RATE = 5.0
 
 
-def flowlines(seeds: DataFrame, omegas: DataFrame, step: int, model: str = "Uniform", direction: int = 1) -> DataFrame:
-    """Paths of seeds that lie on a boundary, with the spreading rate of the model and the opening so far."""
+def flowlines(seeds: DataFrame, omegas: DataFrame, step: int, model: str = "Uniform", direction: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Paths of seeds that lie on a boundary, with the spreading rate of the model and the opening so far.
+
+    The model's rate does not change along a path, so the opening is the rate times the ticks since its start;
+    accumulated_opening() adds up rates that do.
+    """
     rate = F.lit(UNIFORM_RATE if model == "Uniform" else 0.0)
-    return accumulated_opening(motion_paths(seeds, omegas, step, direction).withColumn("rate", rate), F.col("rate"))
+    paths = motion_paths(seeds.withColumn("_start", F.col("start_tick").cast("long")), omegas, step, direction, ("_start", *keep))
+    return paths.withColumn("rate", rate).withColumn("opening", F.col("rate") * F.abs(F.col("tick") - F.col("_start"))).drop("_start")
 
 
-def flowline_bundle(samples: DataFrame, boundaries: DataFrame, omegas: DataFrame, start: int, end: int, step: int, model: str = "Uniform") -> DataFrame:
+def flowline_bundle(samples: DataFrame, boundaries: DataFrame | None, omegas: DataFrame, start: int, end: int, step: int, model: str = "Uniform") -> DataFrame:
     """Flowlines of both sides of boundaries: boundary_id, sample, side and the columns of flowlines() but seed_id.
 
-    samples(boundary_id, sample, p), such as those of sample_by_spacing(); boundaries(boundary_id, plate_left, plate_right).
+    samples(boundary_id, sample, p), such as those of sample_by_spacing(); boundaries(boundary_id, plate_left, plate_right),
+    none if the samples have these columns.
     """
     sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("plate_left").alias("plate_id")), F.struct(F.lit("right").alias("side"), F.col("plate_right").alias("plate_id")))).alias("s")
-    rows = samples.select("boundary_id", "sample", "p").join(boundaries.select("boundary_id", "plate_left", "plate_right"), "boundary_id").select("boundary_id", "sample", "p", sides).select("boundary_id", "sample", "p", "s.*")
-    named = cut(rows.withColumn("seed_id", F.monotonically_increasing_id()))
-    seeds = named.select("seed_id", "plate_id", "p.*").withColumns({"start_tick": F.lit(start).cast("long"), "end_tick": F.lit(end).cast("long")})
-    return flowlines(seeds, omegas, step, model, 1 if end >= start else -1).join(named.select("seed_id", "boundary_id", "sample", "side"), "seed_id").drop("seed_id")
+    rows = samples if boundaries is None else samples.select("boundary_id", "sample", "p").join(boundaries.select("boundary_id", "plate_left", "plate_right"), "boundary_id")
+    seeds = rows.select("boundary_id", "sample", "p", sides).select(F.xxhash64("boundary_id", "sample").alias("seed_id"), "boundary_id", "sample", "p.*", "s.*")
+    seeds = seeds.withColumns({"start_tick": F.lit(start).cast("long"), "end_tick": F.lit(end).cast("long")})
+    return flowlines(seeds, omegas, step, model, 1 if end >= start else -1, ("boundary_id", "sample", "side")).drop("seed_id")
 
 
 def kept_samples(samples: DataFrame, keep: Column, **metadata: Column) -> DataFrame:

@@ -106,19 +106,20 @@ def samples_by_mode(vertices: DataFrame, mode: str = "arc", count: int | None =
 def sample_by_spacing(vertices: DataFrame, spacing: float) -> DataFrame:
     """boundary_id, sample, p: the first vertex, then a point every `spacing` along the chords; all vertices if it is 0.
 
-    A point that falls on a vertex up to 1e-9 counts, so a line's end can be its last sample.
+    vertices(boundary_id, pos, p), or lines(boundary_id, line), which keep their other columns and are sampled where they
+    lie. A point that falls on a vertex up to 1e-9 counts, so a line's end can be its last sample.
     """
-    w = Window.partitionBy("boundary_id").orderBy("pos")
+    lines = as_lines(vertices)
+    keep = [c for c in lines.columns if c != "line"]
     if spacing <= 0:
-        return vertices.select("boundary_id", F.col("pos").cast("long").alias("sample"), "p")
-    legs = vertices.withColumn("q", F.lead("p").over(w)).withColumn("_length", space.norm(space.vec_sub(F.col("q"), F.col("p"))))
-    legs = legs.withColumn("_end", F.sum("_length").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_from", F.coalesce(F.col("_end") - F.col("_length"), F.lit(0.0)))
-    before = F.floor((F.col("_from") + 1e-9) / spacing)
-    until = F.floor((F.col("_end") + 1e-9) / spacing)
-    inner = legs.where("q is not null and _length > 0").where(until > before).select("boundary_id", "p", "q", "_from", "_length", F.explode(F.sequence(before + 1, until)).alias("sample"))
-    t = (F.col("sample") * spacing - F.col("_from")) / F.col("_length")
-    on = inner.select("boundary_id", "sample", space.vec_add(F.col("p"), space.vec_scale(space.vec_sub(F.col("q"), F.col("p")), t)).alias("p"))
-    return on.unionByName(vertices.where("pos = 0").select("boundary_id", F.lit(0).cast("long").alias("sample"), "p"))
+        return lines.select(*keep, F.posexplode("line").alias("sample", "p")).withColumn("sample", F.col("sample").cast("long"))
+    legs = _legs(lines, lambda p, q: space.norm(space.vec_sub(q, p)))
+    after = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.floor((F.col("_from") + 1e-9) / spacing) + 1)
+    until = F.when((F.col("pos") == 0) | (F.col("_length") > 0), F.floor((F.col("_to") + 1e-9) / spacing)).otherwise(-1)
+    on = legs.withColumns({"_after": after, "_until": until}).where("_until >= _after").select("*", F.explode(F.sequence("_after", "_until")).alias("sample"))
+    t = F.when((F.col("sample") > 0) & (F.col("_length") > 0), (F.col("sample") * spacing - F.col("_from")) / F.col("_length")).otherwise(0.0)
+    spots = on.withColumn("_t", t).select(*keep, "sample", space.vec_add(F.col("p"), space.vec_scale(space.vec_sub(F.col("q"), F.col("p")), F.col("_t"))).alias("p"))
+    return spots.unionByName(lines.where(F.size("line") == 1).select(*keep, F.lit(0).cast("long").alias("sample"), F.get("line", F.lit(0)).alias("p")))
 
 
 def boundary_omegas(boundaries: DataFrame, omegas: DataFrame) -> DataFrame:

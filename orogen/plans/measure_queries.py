@@ -139,7 +139,7 @@ def a16_ring_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("boundaries", _ENDS + ", k as (select *, unnest(range(0, cast(floor((ch + 1e-9) / 0.03) as bigint) + 1)) as sample from g) select boundary_id, sample, " + _R(*((f"a{c} + (b{d} - a{c}) * sample * 0.03 / ch", c) for c, d in (("x", "x"), ("y", "y_"), ("z", "z")))) + " from k"))
 def w6_sample_by_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = ends(spark, sf_dir).select("boundary_id", F.posexplode(F.array("p", "q")).alias("pos", "p"))
+    line = ends(spark, sf_dir).select("boundary_id", F.array("p", "q").alias("line"))
     return rates.sample_by_spacing(line, 0.03).select("boundary_id", "sample", *_xyz("p"))
 
 

@@ -155,10 +155,9 @@ _LINE_SEEDS = """select boundary_id * 1000 + sample * 2 + k as seed_id, boundary
 @query(sql("segments boundaries", _paths(_LINE_SEEDS, 10) + f"select s.boundary_id, s.sample, s.side, p.tick, {_ROUND.replace('(', '(p.')}, p.tick * 5.0 as opening from path p join seed s using (seed_id)"))
 def y8_flowline_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flowlines of both sides of every boundary, from points every 0.05 along it."""
-    b = table(spark, sf_dir, "boundaries")
     line = F.array(space.latlon_to_unit(F.col("lat0"), F.col("lon0")), space.latlon_to_unit(F.col("lat1"), F.col("lon1")))
-    samples = rates.sample_by_spacing(b.select("boundary_id", F.posexplode(line).alias("pos", "p")), 0.05)
-    found = motion.flowline_bundle(samples, b, path_omegas(spark, sf_dir, 10), 0, 10, 2)
+    samples = rates.sample_by_spacing(table(spark, sf_dir, "boundaries").select("boundary_id", "plate_left", "plate_right", line.alias("line")), 0.05)
+    found = motion.flowline_bundle(samples, None, path_omegas(spark, sf_dir, 10), 0, 10, 2)
     return found.select("boundary_id", "sample", "side", "tick", *(_r4(c) for c in ("x", "y", "z", "error", "opening")))
 
 

@@ -99,3 +99,35 @@ def test_a_hash_chain_equals_one_made_row_by_row(spark):
         assert r["previous_hash"] == last
         last = hashlib.sha256(f"1\n{r['tick']}\n{last}\n{payload[r['stream_key'], r['sequence']]}".encode()).hexdigest()
         assert r["hash"] == last
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 4096])
+def test_bases_follow_chains_across_stretches(spark, monkeypatch, stretch):
+    """Segments that follow each other, with gaps and one inside another, of two plates: a base is the product of what ruled before."""
+    monkeypatch.setattr(motion, "CHAIN", stretch)
+    rows = [(f"s{p}-{k}", p, 10 * k, 10 * k + (8 if k % 3 else 10), 7_000_000 * k, 1_300_000 * k, 200_000 + 1000 * k) for p, n in ((1, 40), (2, 3)) for k in range(n)]
+    rows.append(("inner", 1, 53, 56, 11_000_000, 5_000_000, 900_000))
+
+    def mul(a, b):
+        (ax, ay, az, aw), (bx, by, bz, bw) = a, b
+        return (aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz)
+
+    def ruler(plate, tick):
+        own = [r for r in rows if r[1] == plate]
+        inside = [r for r in own if r[2] < tick <= r[3]]
+        ended = [r for r in own if r[3] <= tick]
+        return min(inside, key=lambda r: (-r[2], r[3], r[0])) if inside else min(ended, key=lambda r: (-r[3], -r[2], r[0])) if ended else None
+
+    def base(r):
+        tick = r[2] if r[2] > 0 else -1
+        s = ruler(r[1], tick)
+        if s is None:
+            return (0.0, 0.0, 0.0, 1.0)
+        az, el, half = math.radians(s[4] / 1e6), math.radians(s[5] / 1e6), math.radians(s[6] / 1e6) * min(1, (tick - s[2]) / (s[3] - s[2])) / 2
+        return mul(base(s), (math.cos(el) * math.cos(az) * math.sin(half), math.cos(el) * math.sin(az) * math.sin(half), math.sin(el) * math.sin(half), math.cos(half)))
+
+    table = spark.createDataFrame(rows, "segment_id string, plate_id long, tick_a long, tick_b long, azimuth int, elevation int, angle int")
+    got = {r["segment_id"]: tuple(r["base"]) for r in motion.base_rotations(table).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for r in rows:
+        assert got[r[0]] == pytest.approx(base(r), abs=1e-9), r[0]
