@@ -7,7 +7,6 @@ unit vectors. Several maps at once, such as those of several tolerances or ticks
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,26 +44,46 @@ def snap_ends(ends: DataFrame, epsilon: Column, also: tuple[str, ...] = ()) -> D
     """boundary_id, place, junction_id, position (and `also`): ends within the tolerance of each other, or of ends between, are one junction.
 
     epsilon: a number or a column of the ends, one for each map. Equal positions are one spot before any two are
-    compared. Spots are hashed to cells with the tolerance as their side; each meets those of its own cell and of the
-    13 that follow it, and linked spots are joined by components. A junction has the id and the position of its least end.
+    compared. Spots meet in the cells that they reach, and linked spots are joined by components, all maps in one pass.
+    A junction has the id and the position of its least end.
     """
     own = ends.select("boundary_id", "place", "position", epsilon.alias("_eps"), *also).withColumn("_end", F.col("boundary_id") * 2 + F.col("place"))
     xyz = [F.col("position")[c] + 0.0 for c in "xyz"]  # -0.0 and 0.0 are one place
     own = own.withColumns({f"_{c}": x for c, x in zip("xyz", xyz)})
     by = ["_x", "_y", "_z", *also]
-    spots = cut(own.groupBy(*by).agg(F.min("_end").alias("spot"), F.first("_eps").alias("_eps"))).withColumn("map", F.struct(*also) if also else F.lit(0))
-    celled = spots.where("_eps > 0").withColumns({f"_i{c}": F.floor(F.col(f"_{c}") / F.col("_eps")).cast("long") for c in "xyz"})
-    forward = [d for d in product((-1, 0, 1), repeat=3) if d >= (0, 0, 0)]
-    moved = F.explode(F.array(*(F.struct(*((F.col(f"_i{c}") + x).alias(f"_i{c}") for c, x in zip("xyz", d))) for d in forward)))
-    near = celled.select("map", F.col("spot").alias("a"), *(F.col(f"_{c}").alias(f"_a{c}") for c in "xyz"), F.col("_eps").alias("_e"), moved.alias("_to")).select("*", "_to.*").drop("_to")
-    off = reduce(lambda x, y: x + y, ((F.col(f"_a{c}") - F.col(f"_{c}")) ** 2 for c in "xyz"))
-    links = near.join(celled, ["map", "_ix", "_iy", "_iz"]).where((F.col("a") != F.col("spot")) & (off <= F.col("_e") ** 2)).select(*also, "a", F.col("spot").alias("b"))
-    # One pass for all maps: nodes carry their map.
-    node = lambda c: F.struct(*also, F.col(c).alias("spot")) if also else F.struct(F.col(c).alias("spot"))
-    found = components(links.select(node("a").alias("a"), node("b").alias("b"))).select("node.*", F.col("label.spot").alias("_label"))
-    joined = spots.drop("map", "_eps").join(found, [*also, "spot"], "left").withColumn("junction_id", F.coalesce("_label", "spot"))
+    spots = cut(own.groupBy(*by).agg(F.min("_end").alias("spot"), F.first("_eps").alias("_eps")))
+    found = components(_links(spots, also), by=also).select(*also, F.col("node").alias("spot"), F.col("label").alias("_label"))
+    joined = spots.drop("_eps").join(found, [*also, "spot"], "left").withColumn("junction_id", F.coalesce("_label", "spot"))
     place = joined.where("spot = junction_id").select(*also, "junction_id", F.struct(*(F.col(f"_{c}").alias(c) for c in "xyz")).alias("_at"))
-    return own.join(joined.select(*by, "junction_id"), by).join(place, [*also, "junction_id"]).select("boundary_id", "place", "junction_id", F.col("_at").alias("position"), *also)
+    placed = joined.join(place, [*also, "junction_id"]).select(*by, "junction_id", "_at")
+    return own.join(placed, by).select("boundary_id", "place", "junction_id", F.col("_at").alias("position"), *also)
+
+
+#: The side of a spot's cells, in tolerances.
+SIDE = 4
+
+
+def reached(spots: DataFrame) -> DataFrame:
+    """The spots (_x, _y, _z, _eps) once for each cell that their box from themselves to one tolerance further along each axis reaches.
+
+    Of two spots within the tolerance both reach the cell of their greater coordinates. Cells are SIDE tolerances wide,
+    so a spot is in (1 + 1 / SIDE)^3 cells on average, and in 8 at most. Boxes are a little larger, against rounding.
+    """
+    side, reach = F.col("_eps") * SIDE, F.col("_eps") * 1.001 + 1e-15
+    cell = lambda x: F.floor(x / side).cast("long")
+    rows = spots.where("_eps > 0")
+    for c in "xyz":
+        rows = rows.withColumn(f"_i{c}", F.explode(F.sequence(cell(F.col(f"_{c}")), cell(F.col(f"_{c}") + reach))))
+    return rows
+
+
+def _links(spots: DataFrame, also: tuple[str, ...]) -> DataFrame:
+    """a, b (and `also`): spots of one map within its tolerance, a > b."""
+    celled = reached(spots)
+    keys = [*also, "_ix", "_iy", "_iz"]
+    near = celled.select(*keys, F.col("spot").alias("a"), *(F.col(f"_{c}").alias(f"_a{c}") for c in "xyz"))
+    off = reduce(lambda x, y: x + y, ((F.col(f"_a{c}") - F.col(f"_{c}")) ** 2 for c in "xyz"))
+    return near.join(celled, keys).where((F.col("a") > F.col("spot")) & (off <= F.col("_eps") ** 2)).select(*also, "a", F.col("spot").alias("b"))
 
 
 def faults(snapped: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:

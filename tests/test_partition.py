@@ -39,6 +39,10 @@ def test_components_have_their_least_node(spark):
     got = {r["node"]: r["label"] for r in components(table).collect()}
     assert got == joined([(a, b) for a, b in links if a != b])
     assert components(table.where("false")).count() == 0
+    # Graphs with the same nodes are told apart by a column.
+    two = table.withColumn("g", F.lit("x")).unionByName(spark.createDataFrame([(5, 7, "y"), (7, 300, "y")], "a long, b long, g string"))
+    found = components(two, by=("g",)).collect()
+    assert {r["node"]: r["label"] for r in found if r["g"] == "x"} == got and {r["node"]: r["label"] for r in found if r["g"] == "y"} == {5: 5, 7: 5, 300: 5}
 
 
 @pytest.mark.parametrize(("segments", "factor"), [(51, 1e-4), (50, 5e-4), (21, 5e-4), (20, 1e-3), (11, 1e-3), (10, 5e-3), (6, 5e-3), (5, 1e-2), (3, 1e-2), (2, 2e-2), (1, 2e-2)])
@@ -74,6 +78,30 @@ def test_snapped_ends_equal_all_pairs(spark):
     assert partition.snap_ends(table.where("false"), F.lit(eps)).count() == 0
 
 
+def test_spots_are_dealt_to_few_cells_and_maps_keep_apart(spark, monkeypatch):
+    r = random.Random(8)
+    spots = [(k, *(r.uniform(-1, 1) for _ in range(3))) for k in range(2000)]
+    met = []
+    monkeypatch.setattr(partition, "components", lambda links, *a, **k: met.append(links) or components(links, *a, **k))
+    ends = [(k, 0, tuple(p)) for k, *p in spots]
+    # Ends close to each other on both sides of cells of any side, and a chain of which only neighbours are near.
+    ends += [(3000 + k, 0, (0.5 + k * 1e-6 / 3, -0.5 - k * 1e-6 / 3, (k % 2) * 1e-7)) for k in range(60)] + [(4000 + k, 0, (-1e-9 * k, 0.0, 0.3)) for k in range(-4, 5)]
+    table = spark.createDataFrame(ends, f"boundary_id long, place int, position {XYZ}")
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(e).alias("eps")) for k, e in enumerate((1e-9, 3e-7, 1e-6)))))
+    both = table.select("*", levels.alias("l")).select("boundary_id", "place", "position", "l.*")
+    got = {(x["level"], x["boundary_id"]): x["junction_id"] for x in partition.snap_ends(both, F.col("eps"), ("level",)).collect()}
+    want = {}
+    for k, e in enumerate((1e-9, 3e-7, 1e-6)):
+        near = joined([(2 * a[0], 2 * b[0]) for n, a in enumerate(ends) for b in ends[n:] if (a[2][0] - b[2][0]) ** 2 + (a[2][1] - b[2][1]) ** 2 + (a[2][2] - b[2][2]) ** 2 <= e * e])
+        want |= {(k, b): near[2 * b] for b, *_ in ends}
+    assert got == want
+    # A link is told once, in the cell sides that spots reach: not from all cells around them.
+    told = met[0].groupBy("level", "a", "b").count()
+    assert told.where("a <= b").isEmpty() and told.where("count > 8").isEmpty()
+    dealt = partition.reached(spark.createDataFrame(spots, "spot long, _x double, _y double, _z double").withColumn("_eps", F.lit(1e-3))).count()
+    assert len(spots) <= dealt <= 2.5 * len(spots)
+
+
 RINGS = {
     "quarter": ([(0, 0), (0, 90), (90, 0)], [(40, 40)], [(-40, 40), (10, -20), (-30, -130)]),
     "polar": ([(60, k) for k in range(0, 360, 45)], [(90, 0), (75, 17), (-0.0 + 62, 22)], [(50, 10), (0, 180), (-90, 0), (-75, 197)]),
