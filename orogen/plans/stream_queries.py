@@ -17,23 +17,35 @@ from .log_queries import _STATE
 
 BATCHES = 3
 
+#: Rows of one file of a batch.
+FILE_ROWS = 2**18
 
-def arriving(spark: SparkSession, sf_dir: str, times: int = 1, end: str | None = None) -> DataFrame:
-    """The events as a stream of BATCHES files in order of event_id (all of them `times` over), one file a batch.
 
-    With `end` a file of one row of that time, and no other value, comes last.
+def arriving(spark: SparkSession, sf_dir: str, times: int = 1, end: str | None = None, order: str = "event_id") -> DataFrame:
+    """The events as a stream of BATCHES parts in order of event_id, or of ts (all of them `times` over), one part a batch.
+
+    A part is written as files of about FILE_ROWS rows, all parts as equally many, so that tasks stay as small as they
+    are when the table grows. With `end` a file of one row of that time, and no other value, comes last.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    last = events.agg(F.max("event_id")).first()[0] or 0
-    part = F.least(F.floor(F.col("event_id") * BATCHES / (last + 1)), F.lit(BATCHES - 1)).cast("int")
+    at = F.col("event_id") if order == "event_id" else F.unix_micros(F.col(order).cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    first, width = first or 0, -(-((last or 0) + 1 - (first or 0)) // BATCHES)
+    part = F.coalesce(F.floor((at - first) / width).cast("int"), F.lit(0))  # nulls come first
+    sizes = dict(events.groupBy(part).count().collect())  # a row for each part
+    files = max([-(-n // FILE_ROWS) for n in sizes.values()], default=1)
     path = new_folder(spark, "arriving")
+    written = 0
     for again in range(times):
         for k in range(BATCHES):  # files are taken in order of their age
-            events.where(part == k).coalesce(1).write.mode("append").parquet(path)
+            events.where(part == k).repartition(files, "event_id").write.mode("append").parquet(path)
+            written += files
+            for missing in range(written - len(spark.read.schema(events.schema).parquet(path).inputFiles())):  # a task without rows wrote none
+                events.limit(0).coalesce(1).write.mode("append").parquet(path)
     if end:
         last_row = spark.range(1).select(*((F.lit(end) if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in events.dtypes))
         last_row.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _table(spark: SparkSession, sf_dir: str, fold: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:

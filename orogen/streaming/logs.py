@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import log
+from ..tables import cut
 
 _STATE = "stream_key string, plate_id string, sequence long, is_retired boolean, retirement_reason string"
 
@@ -93,11 +94,12 @@ def maintained(events: DataFrame, path: str, checkpoint: str, report: bool = Fal
 
     State n is made from state n - 1 and batch n, whatever order sequences come in; a repeated batch makes the
     same. With `report` each batch's violations of the event rules are written to `path`/report: what the rules
-    need of earlier events is in the state.
+    need of earlier events is in the state. A batch is written first: its rows are read many times, and from files
+    each reader takes its own columns only.
     """
 
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+    def fold(rows: DataFrame, number: int) -> None:
+        spark, batch = rows.sparkSession, cut(rows)
         both = batch if number == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/state={number - 1}"))
         if report:
             mine = batch.select("stream_key", "sequence").distinct()
