@@ -133,10 +133,10 @@ def x6_appended_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x7_deduplicated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that arrive twice count once; the watermark's delay is longer than the log, so none is late."""
     events = arriving(spark, sf_dir, times=2).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    path = new_folder(spark, "unique")
-    once = logs.deduplicated(events, "ts", "400 days")
-    once.writeStream.option("checkpointLocation", new_folder(spark, "checkpoint")).trigger(availableNow=True).format("parquet").option("path", path).start().awaitTermination()
-    return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    ts = F.col("ts").cast("timestamp")
+    days = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.date_diff(F.max(ts), F.min(ts))).first()[0] or 0
+    once = logs.appended(logs.deduplicated(events, "ts", f"{days + 2} days"), new_folder(spark, "unique"), new_folder(spark, "checkpoint"))
+    return once.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
 @query(sql("topology", "select stream_key, (tick // 50 - k) * 50 as window_start, count(*) as n from topology, (values (0), (1)) v(k) where tick >= 50 group by all"))

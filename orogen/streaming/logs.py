@@ -109,19 +109,25 @@ def maintained(events: DataFrame, path: str, checkpoint: str, report: bool = Fal
     each_batch(events, checkpoint, fold)
 
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A count of keys would cost a look-up before each write; a batch's changes are saved, not the whole state.
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextmanager
 def _state_on_disk(spark: SparkSession) -> Iterator[None]:
     """Queries that start inside keep their state in RocksDB, so that it is not bound by an executor's heap."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, _ROCKS)
+    before = {key: spark.conf.get(key, None) for key in _ON_DISK}
+    for key, value in _ON_DISK.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def maintained_table(events: DataFrame, fold: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:

@@ -27,3 +27,7 @@ def test_a_batch_is_a_part_in_files_of_few_rows(spark, folder, monkeypatch, tmp_
     at = 0 if order == "event_id" else 1
     assert all(max(r[at] for r in a) < min(r[at] for r in b) for a, b in zip(batches, batches[1:]))
     assert all(len({r[2] for r in b}) > 3 for b in batches)
+
+
+def test_no_first_row_of_a_long_log_is_late(spark, folder):
+    assert sorted(map(tuple, stream_queries.x7_deduplicated_events(spark, folder).collect())) == [("click", 1000, 0, 2997), ("signup", 1000, 2, 2999), ("view", 1000, 1, 2998)]
