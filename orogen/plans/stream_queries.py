@@ -103,8 +103,11 @@ def x3_stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE["x8_sessions"])
 def x8_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions on event time. A last row long after all others lets the watermark close every session; its own stays open."""
-    events = arriving(spark, sf_dir, end="9999-01-01").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    """Sessions on event time, of events that arrive in parts in order of it, so none is late.
+
+    A last row long after all others lets the watermark close every session; its own stays open.
+    """
+    events = arriving(spark, sf_dir, end="9999-01-01", order="ts").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     # A gap of just an hour does not part two events, the window's end does: one microsecond more.
     found = logs.sessions(events, "user_id", "ts", "3600 seconds 1 microsecond", "2 hours")
     told = logs.appended(found, new_folder(spark, "sessions"), new_folder(spark, "checkpoint"))

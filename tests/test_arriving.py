@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orogen.plans import stream_queries
+from orogen.plans.log_queries import x8_sessions
 
 
 @pytest.fixture()
@@ -29,5 +30,9 @@ def test_a_batch_is_a_part_in_files_of_few_rows(spark, folder, monkeypatch, tmp_
     assert all(len({r[2] for r in b}) > 3 for b in batches)
 
 
+def test_sessions_lose_no_row_whatever_the_order_of_ids(spark, folder):
+    assert sorted(map(tuple, stream_queries.x8_stream_sessions(spark, folder).collect())) == sorted(map(tuple, x8_sessions(spark, folder).collect()))
+
+
 def test_no_first_row_of_a_long_log_is_late(spark, folder):
     assert sorted(map(tuple, stream_queries.x7_deduplicated_events(spark, folder).collect())) == [("click", 1000, 0, 2997), ("signup", 1000, 2, 2999), ("view", 1000, 1, 2998)]
