@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .base import in_small_batches, join_counted, keep, map_batches
 from .components import components
-from .spans import run, aligned_from
+from .spans import aligned_from, hopeful, run, shingle_hashes, shingles
 
 SIMILARITY = 0.8
 #: Words of a passage at least. Shorter pieces that documents share (phrases, licence lines, quotations) are left alone.
@@ -36,6 +36,9 @@ CONTEXT, STEP = 64, 32
 PORTION = 64
 SLOTS = 1 << 20
 _WORD = re.compile(r"\w+")
+#: Signs that belong to no word: those beyond ASCII, and the bytes below.
+_NO_WORDS = re.compile(r"[^\w\x00-\x7F]+")
+_SPACED = bytes(k if k > 127 or _WORD.match(chr(k)) else 32 for k in range(256))
 _ODD = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NO_SPANS = "array<struct<start:int,end:int,keeper_doc:long,keeper_start:int,keeper_end:int,similarity:double,own:long,other:long>>"
 
@@ -50,7 +53,10 @@ def word_hashes(text: str | None) -> np.ndarray:
     """32 bits for each word of the lower-cased text."""
     from xxhash import xxh32_intdigest
 
-    words = _WORD.findall(text.lower()) if text else []
+    low = text.lower() if text else ""
+    if not low.isascii():
+        low = _NO_WORDS.sub(" ", low)
+    words = low.encode().translate(_SPACED).split()  # those that _WORD finds
     return np.fromiter(map(xxh32_intdigest, words), np.uint32, len(words))
 
 
@@ -217,28 +223,44 @@ def verified(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, simila
     return map_batches(rows, ["doc_id", "text_hash", "text", "_asked"], align, f"doc_id long, text_hash long, spans {_NO_SPANS}").where("size(spans) > 0")
 
 
+def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are among the known ones, which are in order."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def passages(x: np.ndarray, asked: list[dict], least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> list[dict]:
-    """The passages that word sequence x shares with the words of its keepers."""
-    g, out = key_hashes(x), []
+    """The passages that word sequence x shares with the words of its keepers.
+
+    Nothing is followed from places of which the shingles that both have show that it comes to no passage.
+    """
+    g, own_shingles, known, out = key_hashes(x), shingles(x), shingle_hashes(x), []
     for one in asked:
         y, lo, found = np.frombuffer(one["words"], np.uint32), one["lo"], []
-        gy = key_hashes(y)
+        hope_y = hopeful(_is_in(shingles(y), known), least, similarity)
+        if not hope_y.any():
+            continue
+        gy, hope_x = key_hashes(y), hopeful(_is_in(own_shingles, shingle_hashes(y)), least, similarity)
         if one["own"] is None:
             keys, at = band_keys(y)
         else:
             met = np.flatnonzero(np.isin(gy, np.array(one["own"], np.int64)))
             keys, first = np.unique(gy[met], return_index=True)
             at = met[first]
-        own = np.flatnonzero(np.isin(g, keys))
+        keys, at = keys[hope_y[at]], at[hope_y[at]]
+        own = np.flatnonzero(_is_in(g, keys) & hope_x[: len(g)])
         places = zip(own.tolist(), at[np.searchsorted(keys, g[own])].tolist())
         tried: dict[int, int] = {}  # for each shift between the two the end of what was followed to no passage
+        covered = bytearray(len(x))  # places of which the words lie in a passage
         for i, j in places:
-            if i < tried.get(i - j, 0) or any(a <= i and i + KEY_WORDS <= b for a, b, *_ in found):
+            if covered[i] or i < tried.get(i - j, 0):
                 continue
             a, b, c, d, like = aligned_from(x, y, i, j, KEY_WORDS, similarity, least)
             tried[i - j] = i + KEY_WORDS + run(x[i + KEY_WORDS :], y[j + KEY_WORDS :])
             if b - a >= least and like >= similarity:
                 found.append((a, b, c + lo, d + lo, like, int(g[a : b - KEY_WORDS + 1].min()), int(gy[c : max(c + 1, d - KEY_WORDS + 1)].min())))
+                covered[a : b - KEY_WORDS + 1] = b"\1" * (b - KEY_WORDS + 1 - a)
         names = ("start", "end", "keeper_start", "keeper_end", "similarity", "own", "other")
         out += [dict(zip(names, f)) | {"keeper_doc": one["keeper_doc"]} for f in found]
     return out

@@ -14,8 +14,9 @@ def run(x: np.ndarray, y: np.ndarray) -> int:
     n, at, step = min(len(x), len(y)), 0, 64
     while at < n:
         differ = x[at : min(n, at + step)] != y[at : min(n, at + step)]
-        if differ.any():
-            return at + int(differ.argmax())
+        first = int(differ.argmax())
+        if differ[first]:
+            return at + first
         at, step = at + len(differ), 4 * step
     return n
 
@@ -25,6 +26,8 @@ def _resumed(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, int, int]:
 
     Of all places at which AGREE words agree again the nearest counts; the run there must be as long as the gap.
     """
+    if len(x) > AGREE and len(y) > AGREE and x[1] == y[1] and x[2] == y[2] and x[3] == y[3]:
+        return 1, 1, run(x[1:], y[1:])  # one word differs: nothing is nearer
     reach = 4
     while True:
         reach = min(4 * reach, most)
@@ -67,15 +70,44 @@ def _onward(x: np.ndarray, y: np.ndarray, similarity: float, gain: float) -> lis
     return ends
 
 
-def shingle_hashes(x: np.ndarray, words: int = 5) -> np.ndarray:
-    """The different 64-bit hashes of the runs of so many words."""
+def hopeful(same: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """For each five-word shingle of a text, whether aligned_from() could make a passage of the run of shared ones it lies in.
+
+    same: whether the other text has the shingle, anywhere. A passage without gaps has least - 4 such shingles in a row.
+    Each gap of one with gaps costs as many shingles as its words (one at least) and eight, times similarity / (1 - similarity),
+    and leaves no more unshared than its words and four. All gaps cost no more than the passage's shingles.
+    """
+    hope, price = np.zeros(len(same), bool), similarity / max(1e-9, 1 - similarity)
+    if np.count_nonzero(same) < max(1, min(least - 4, 9 * price - 1e-6)):
+        return hope
+    around = np.zeros(len(same) + 2, bool)
+    around[1:-1] = same
+    ends = np.flatnonzero(around[1:] != around[:-1])
+    starts, ends = ends[::2], ends[1::2]
+    n, cost = (ends - starts).astype(float), np.zeros(len(starts))
+    cost[1:] = np.maximum(9, starts[1:] - ends[:-1] + 4) * price
+    to_right, to_left = np.cumsum(n - cost), np.cumsum(np.concatenate([[0], n[:-1]]) - cost)
+    right = np.concatenate([np.maximum.accumulate(to_right[::-1])[::-1][1:], [-np.inf]]) - to_right
+    left = to_left - np.concatenate([[np.inf], np.minimum.accumulate(to_left)[:-1]])
+    hope[same] = np.repeat((n >= least - 4) | (n + np.maximum(np.maximum(left, right), left + right) >= -1e-6), ends - starts)
+    return hope
+
+
+def shingles(x: np.ndarray, words: int = 5) -> np.ndarray:
+    """64-bit hashes of the runs of so many words."""
     n = max(0, len(x) - words + 1)
     joined, wide = np.zeros(n, np.uint64), x.astype(np.uint64)
     for k in range(words):
-        joined = (joined ^ (joined >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + wide[k : k + n] * np.uint64(0x9E3779B97F4A7C15)
-    joined ^= joined >> np.uint64(32)
+        joined *= np.uint64(0x9E3779B97F4A7C15)
+        joined += wide[k : k + n]
+    return joined
+
+
+def shingle_hashes(x: np.ndarray, words: int = 5) -> np.ndarray:
+    """The different 64-bit hashes of the runs of so many words."""
+    joined = shingles(x, words)
     joined.sort()
-    return joined[np.r_[True, joined[1:] != joined[:-1]]] if n else joined
+    return joined[np.concatenate([[True], joined[1:] != joined[:-1]])] if len(joined) else joined
 
 
 def likeness(x: np.ndarray, y: np.ndarray, words: int = 5) -> float:

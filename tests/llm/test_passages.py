@@ -2,7 +2,7 @@
 
 import random
 
-from orogen.llm import paragraphs
+from orogen.llm import paragraphs, spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -134,3 +134,52 @@ def test_odd_rows(spark):
     kept = sorted((str(r["doc_id"]), r["text"], r["n_chars"]) for r in left.where("doc_id is null or doc_id <> 10").collect() if r["text"] is not None)
     assert kept == sorted([("None", passage, 1), ("1", "", 0), ("2", passage, 1), ("2", passage, 1), (str(2**53 + 1), "İ ſ ß  end", 10), (str(2**53 + 2), rows[6][1], 7), ("9", rows[8][1], 7)])
     assert paragraphs.without_repeats(docs.where("false")).count() == 0 and paragraphs.repeated_passages(docs.where("false")).count() == 0
+
+
+def test_words_are_those_of_the_pattern_in_all_of_unicode():
+    """Every sign between letters, alone and beside others: the same hashes as of the words that _WORD finds."""
+    from xxhash import xxh32_intdigest
+
+    signs = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    texts = ["a" + "b".join(signs[k : k + 4096]) + "ſ" for k in range(0, len(signs), 4096)] + ["".join(signs), "", " ", "_a-B\x00\x1fc\x85d", None]
+    for text in texts:
+        want = [xxh32_intdigest(w) for w in paragraphs._WORD.findall((text or "").lower())]
+        assert paragraphs.word_hashes(text).tolist() == want
+
+
+def test_places_that_come_to_no_passage_are_not_followed(monkeypatch):
+    """Texts with words changed, left out and put in, and with repeated words: what is followed finds all that all places find, and is less."""
+    r, tried = random.Random(8), []
+    follow = spans.aligned_from
+
+    def counted(x, y, *rest):
+        tried.append(1)
+        return follow(x, y, *rest)
+
+    monkeypatch.setattr(paragraphs, "aligned_from", counted)
+    asked = []
+    for k in range(300):
+        one = words(r.choice([60, 150, 400]), 500 + k)
+        for _ in range(k % 3):
+            at = r.randrange(len(one))
+            one[at:at] = [r.choice(["spam", one[at]])] * r.randrange(60)
+        two, every = [], r.choice([12, 25, 40, 80])
+        for w in one:
+            what = r.randrange(4 * every)
+            two += [] if what == 0 else [w, f"put{r.random()}"] if what == 1 else [f"other{r.random()}"] if what < 4 else [w]
+        if k % 4 == 0:
+            two = words(r.randrange(50), 900 + k) + two[len(two) // 2 :] + two[: len(two) // 2]
+        x, y = paragraphs.word_hashes(" ".join(one)), paragraphs.word_hashes(" ".join(two))
+        shared = set(paragraphs.key_hashes(x).tolist()) & set(paragraphs.key_hashes(y).tolist())
+        asked += [(x, [{"keeper_doc": 1, "lo": 0, "words": y.tobytes(), "own": own}]) for own in (sorted(shared), None)]
+    counts = []
+    for least, similarity in ((40, 0.8), (40, 0.9), (25, 0.7), (40, 1.0), (60, 0.5)):
+        tried.clear()
+        got = [paragraphs.passages(x, a, least, similarity) for x, a in asked]
+        some = len(tried)
+        with monkeypatch.context() as m:
+            m.setattr(paragraphs, "hopeful", lambda same, *_: same | True)
+            assert [paragraphs.passages(x, a, least, similarity) for x, a in asked] == got
+        counts.append((some, len(tried) - some))
+        assert sum(map(len, got)) > 100
+    assert counts[0][0] < 0.6 * counts[0][1]
