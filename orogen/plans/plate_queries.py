@@ -115,7 +115,7 @@ def _grid_map(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     north = at.where("k + 40 < n").select((F.col("k") * 2 + 1).alias("boundary_id"), F.col("k").alias("start"), (F.col("k") + 40).alias("end"), (F.pi() / 2).alias("a0"), (-F.pi() / 2).alias("a1"), F.when(F.col("i") > 0, F.col("k") - 1).otherwise(-1).alias("plate_left"), own.alias("plate_right"))
     b = east.unionByName(north)
     angles = b.select("boundary_id", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.col("a0").alias("angle")), F.struct(F.lit(1).alias("place"), F.col("a1").alias("angle")))).alias("x")).select("boundary_id", "x.*")
-    return {"boundaries": b, "darts": topology.darts(b.select("boundary_id", "start", "end"), angles), "positions": at.select(F.col("k").alias("junction_id"), "position"), "cells": at.where(cell).select(F.col("k").alias("plate_id"), F.lit(True).alias("active"))}
+    return {"boundaries": b, "darts": topology.darts(b.select("boundary_id", "start", "end"), angles), "positions": at.select(F.col("k").alias("junction_id"), "position"), "cells": at.where(cell).select(F.col("k").alias("plate_id"), F.lit(True).alias("active")), "cell_rows": at.where(cell).select("k", "rows")}
 
 
 _GRID = """with a as (select c_custkey as k, c_custkey % 40 as i, c_custkey // 40 as j, count(*) over () as n, greatest(count(*) over () // 40, 1) as r from customer),
@@ -258,24 +258,29 @@ def a9_partition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _island_map(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The grid with an island in every fifth cell, in every tenth another one on it, and two rings around the north pole."""
+    """The grid with an island in every fifth cell, in every tenth another one on it, and two rings around the north pole.
+
+    Sides are great circles, and a cell's south side can bulge further north than a low cell is high. So the islands' corners lie
+    between the cell's corners in their plane: what lies inside there does so on the sphere, however many rows there are.
+    """
     m = _grid_map(spark, sf_dir)
     grid = m["boundaries"].select("boundary_id", "start", "end", "a0", "a1", *(F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in ("plate_left", "plate_right")))
     # The corners of a ring eastward along its south, and for each side the directions at its start and end.
     turn = [(0.0, math.pi), (math.pi / 2, -math.pi / 2), (math.pi, 0.0), (-math.pi / 2, math.pi / 2)]
-    last = m["positions"].agg(F.max("junction_id").alias("_n"))
-    cell = m["cells"].join(F.broadcast(last)).select(F.col("plate_id").alias("k"), F.greatest(F.expr("(_n + 1) div 40"), F.lit(1)).alias("rows"))  # one row
+    cell = m["cell_rows"]
+    lat = lambda f: F.radians(-60 + (F.expr("k div 40") + f) * 120.0 / F.col("rows"))
+    lon = lambda f: F.radians((F.col("k") % 40 + f) * 2.0)
+    mixed = lambda of, at, f: of(at(0)) * (1.0 - f) + of(at(1)) * f
+    flat = lambda n, e: space.vec(mixed(F.cos, lat, n) * mixed(F.cos, lon, e), mixed(F.cos, lat, n) * mixed(F.sin, lon, e), mixed(F.sin, lat, n))
     islands = [(5, 0, 0.25, 1_000_000 + F.col("k") % 3, F.col("k")), (10, 4, 0.4, F.col("k"), 1_000_000 + F.col("k") % 3)]
     lines, spots = [], []
     for every, first, inset, left, right in islands:
         own = cell.where(F.col("k") % every == 0)
-        lat = lambda f: -60 + (F.expr("k div 40") + f) * 120.0 / F.col("rows")
-        lon = lambda f: (F.col("k") % 40 + f) * 2.0
         corners = [(inset, inset), (inset, 1 - inset), (1 - inset, 1 - inset), (1 - inset, inset)]
         for s in range(4):
             at = F.col("k") * 8 + 1_000_000_000 + first
             lines.append(own.select((at + s).alias("boundary_id"), (at + s).alias("start"), (at + (s + 1) % 4).alias("end"), F.lit(turn[s][0]).alias("a0"), F.lit(turn[s][1]).alias("a1"), left.cast("long").alias("plate_left"), right.cast("long").alias("plate_right")))
-            spots.append(own.select((at + s).alias("junction_id"), space.latlon_to_unit(lat(corners[s][0]), lon(corners[s][1])).alias("position")))
+            spots.append(own.select((at + s).alias("junction_id"), space.let(flat(*corners[s]), space.normalize).alias("position")))
     polar = spark.range(8).select(F.col("id"), F.expr("id div 4").alias("ring"), (F.col("id") % 4).alias("s"))
     at = 2_000_000_000 + F.col("ring") * 4
     lines.append(polar.select((at + F.col("s")).alias("boundary_id"), (at + F.col("s")).alias("start"), (at + (F.col("s") + 1) % 4).alias("end"), F.lit(0.0).alias("a0"), F.pi().alias("a1"), (2_000_000 + F.col("ring")).alias("plate_left"), F.when(F.col("ring") == 1, F.lit(2_000_000).cast("long")).alias("plate_right")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orogen.functions import space
 from orogen.operators import cells, partition, topology
 from orogen.operators.components import components
+from orogen.plans import plate_queries
 
 XYZ = "struct<x:double,y:double,z:double>"
 
@@ -177,3 +178,17 @@ def test_the_outside_face_is_chosen_before_faulty_faces_go(spark):
     positions = spark.createDataFrame([(k, unit(*v)) for k, v in at.items()], f"junction_id long, position {XYZ}")
     got = topology.polygonize(topology.darts(b.select("boundary_id", "start", "end"), angles), positions, fixed)
     assert {r["plate_id"] for r in got.collect()} == {7, 8}
+
+
+def test_islands_lie_inside_cells_that_are_lower_than_their_sides_bulge(spark, tmp_path, monkeypatch):
+    """With 900,000 customers, 60 times those of sf0.1, a cell is 0.005 degrees high, and its sides bulge by up to 0.004."""
+    spark.range(900_000).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(plate_queries, "cut", lambda df: df)  # only positions are asked for
+    m = plate_queries._island_map(spark, str(tmp_path))
+    cells_ = [40 * j + 10 for j in range(250, 22_500, 1500)]
+    corners = {k: ([k, k + 1, k + 41, k + 40], *([1_000_000_000 + 8 * k + first + s for s in range(4)] for first in (0, 4))) for k in cells_}
+    wanted = [v for rings in corners.values() for ring in rings for v in ring]
+    at = {r["junction_id"]: r["position"] for r in m["positions"].where(F.col("junction_id").isin(wanted)).collect()}
+    pairs = [(k, n, at[v], [at[w] for w in around]) for k, rings in corners.items() for n, (around, ring) in enumerate(zip(rings, rings[1:])) for v in ring]
+    found = spark.createDataFrame(pairs, f"k long, island int, p {XYZ}, ring array<{XYZ}>").where(~partition.in_spherical_ring(F.col("p"), F.col("ring"))).select("k", "island").distinct()
+    assert found.collect() == []
