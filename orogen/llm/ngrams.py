@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import repeat
 
 import numpy as np
@@ -11,8 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .base import crc32_of_id, in_small_batches, keep, map_batches
+from .base import crc32_of_id, in_small_batches, keep
 
 ORDER, PSEUDO = 2, 0.1
 #: Hash functions of a level, all within one 64-bit word, and bits for each entry: a level that is not there is found
@@ -22,9 +24,13 @@ HASHES, BITS = 4, 10
 GROWTH = 1.25
 #: Words whose exact counts go to all workers, and their longest; the counts of the others are joined.
 COMMON, COMMON_BYTES = 1 << 18, 64
-#: Bytes of a filter that is broadcast; a larger one is probed by a shuffle of the n-grams, with the same result.
-FILTER_BYTES = 128 << 20
+#: A filter is broadcast that has so many bytes at most, by the number of tokens; else n-grams go to its slices, with the same result.
+FILTER_BYTES = 32 << 20
 LEAST_SLICES, SLICE_ROWS = 1 << 10, 1 << 18
+#: Slices that one task builds together, a power of two: their n-grams come from each block of texts in one list.
+TOGETHER_SLICES = 16
+#: Bytes of texts in a block on average, and the least number of blocks.
+BLOCK_BYTES, LEAST_BLOCKS = 6 << 20, 32
 END = b""  # a word of no letters
 #: The low bits of an n-gram's key name the class of its context, those of a word's key the class that words have.
 CLASSES = 64
@@ -258,6 +264,12 @@ class Slices:
         return out
 
 
+def _seen(keys: np.ndarray, n: np.ndarray) -> list[int]:
+    """For each class of contexts its n-grams: different, all, single, double."""
+    kind = (keys & np.uint64(CLASSES - 1)).astype(np.int64)
+    return np.stack([np.bincount(kind, x, CLASSES) for x in (np.ones(len(n)), n, n == 1, n == 2)]).astype(np.int64).ravel().tolist()
+
+
 def build_filter(grams: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     """slice, bits, seen: the filter's slices, and for each class of contexts its n-grams (different, all, single, double).
 
@@ -270,9 +282,7 @@ def build_filter(grams: DataFrame, words: DataFrame, model: Model) -> DataFrame:
 
     def build(t: pa.Table) -> pa.Table:
         keys, n = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
-        kind = (keys & np.uint64(CLASSES - 1)).astype(np.int64)
-        seen = np.stack([np.bincount(kind, x, CLASSES) for x in (np.ones(len(n)), n, n == 1, n == 2)]).astype(np.int64)
-        return pa.table({"slice": t.column("slice")[:1].cast(pa.int32()), "bits": [filter_slice(keys, n).tobytes()], "seen": [seen.ravel().tolist()]})
+        return pa.table({"slice": t.column("slice")[:1].cast(pa.int32()), "bits": [filter_slice(keys, n).tobytes()], "seen": [_seen(keys, n)]})
 
     return summed.groupBy("slice").applyInArrow(build, "slice int, bits binary, seen array<long>")
 
@@ -294,8 +304,14 @@ def _back_off(seen: np.ndarray) -> np.ndarray:
 # --- scores
 
 
-def _by_broadcast(rows: DataFrame, slices: DataFrame, size: int, model: Model) -> DataFrame:
-    """Columns of _SCORED; the filter comes to the driver piece by piece, `size` bytes in all."""
+def _by_broadcast(rows: DataFrame, train: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """Columns of _SCORED; the filter comes to the driver piece by piece."""
+    slices = keep(build_filter(gram_counts(train, model), words, model))
+    seen = slices.select(F.posexplode("seen").alias("at", "x")).groupBy("at").agg(F.sum("x")).collect()
+    table = np.zeros(4 * CLASSES)
+    table[[r[0] for r in seen]] = [r[1] for r in seen]
+    model.back_off = _back_off(table.reshape(4, CLASSES))
+    size = slices.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     sc = rows.sparkSession.sparkContext
     parts = ((r["slice"], r["bits"]) for r in slices.select("slice", "bits").toLocalIterator())
     shared, filled = sc.broadcast(model), sc.broadcast(Slices(parts, model.slices, size))
@@ -303,7 +319,7 @@ def _by_broadcast(rows: DataFrame, slices: DataFrame, size: int, model: Model) -
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, slices = shared.value, filled.value
         for batch in _grouped(batches):
-            yield _scored(batch.column(0), batch.column(1), model, lambda keys: slices.levels(keys, model.slice_of(keys)))
+            yield _scored(batch.column(0), Passage(batch.column(1), model), model, lambda keys: slices.levels(keys, model.slice_of(keys)))
 
     return in_small_batches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, _SCORED)
 
@@ -311,9 +327,8 @@ def _by_broadcast(rows: DataFrame, slices: DataFrame, size: int, model: Model) -
 _SCORED = "doc_id long, n_tokens long, score double, common_known long, common_score double, rest array<struct<word:binary,n:long>>"
 
 
-def _scored(ids: pa.Array, texts: pa.Array, model: Model, levels: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+def _scored(ids: pa.Array, p: Passage, model: Model, levels: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
     """Columns of _SCORED; the words whose exact counts are not at hand, with how often the text has each, are left for a join."""
-    p = Passage(texts, model)
     known = p.exact >= 0
     value = np.where(known, np.log10(model.unigram(np.maximum(p.exact, 0))), 0.0)
     asked, words = np.flatnonzero(~known[p.at]), max(1, len(p.words))
@@ -325,45 +340,153 @@ def _scored(ids: pa.Array, texts: pa.Array, model: Model, levels: Callable[[np.n
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "score", "common_known", "common_score", "rest"])
 
 
-def _by_shuffle(rows: DataFrame, slices: DataFrame, model: Model) -> DataFrame:
-    """The same for a filter of any size: each different n-gram goes to its slice once, and its level back to the rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    numbered = keep(in_small_batches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")))
+# --- a filter of any size
 
-    def asked(batches: Iterator[list[list]]) -> Iterator[list]:
-        for numbers, texts in batches:
-            passages = (Passage(pa.array([t], pa.string()), shared.value) for t in texts)
-            parts = [np.unique(np.concatenate([p.word_keys, *p.keys])) for p in passages]
-            keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield [keys.view(np.int64), np.repeat(np.array(numbers, np.int64), [len(x) for x in parts]), shared.value.slice_of(keys)]
 
-    keys = keep(map_batches(numbered, ["row", "text"], asked, "key long, row long, slice int"))
+def _turned(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The keys with their slice's number in front, so that what is sorted lies slice by slice."""
+    k = np.uint64(slices.bit_length() - 1)
+    number = (keys >> np.uint64(6)) & np.uint64(slices - 1)
+    return number << (np.uint64(64) - k) | (keys >> (np.uint64(6) + k)) << np.uint64(6) | keys & np.uint64(CLASSES - 1)
 
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = left.column("key").to_numpy().view(np.uint64)
-        bits = b"".join(right.column("bits").to_pylist())
-        found = Slices([(0, bits)], 1, len(bits)).levels(own, np.zeros(len(own), np.int64))
-        return pa.table({"key": left.column("key"), "level": pa.array(found, pa.int32())})
 
-    # Keys of a slice without bits have no level, so slices that are missing on one side need no care.
-    levels = keys.select("slice", "key").distinct().groupBy("slice").cogroup(slices.select("slice", "bits").groupBy("slice")).applyInArrow(probe, "key long, level int")
-    per_row = keys.join(levels.where("level > 0"), "key").groupBy("row").agg(F.collect_list(F.struct("key", "level")).alias("levels"))
+def _turned_back(turned: np.ndarray, slices: int) -> np.ndarray:
+    k = np.uint64(slices.bit_length() - 1)
+    number, rest = turned >> (np.uint64(64) - k), turned & ((np.uint64(1) << (np.uint64(64) - k)) - np.uint64(1))
+    return (rest >> np.uint64(6)) << (np.uint64(6) + k) | number << np.uint64(6) | turned & np.uint64(CLASSES - 1)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+#: Bytes of a step between keys that are as good as random; higher ones are compressed.
+PLAIN = 5
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _planes(x: np.ndarray, plain: int) -> list[bytes]:
+    """Numbers byte by byte: all lowest bytes, then all next ones, up to the last that is not zero anywhere; from `plain` on compressed."""
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    rows = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width])
+    return [r.tobytes() if k < plain else _ZSTD.compress(r, asbytes=True) for k, r in enumerate(rows)]
+
+
+def _from_planes(planes: list[bytes], n: int, plain: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    for k, b in enumerate(planes):
+        out[:, k] = np.frombuffer(b if k < plain else _ZSTD.decompress(b, n), np.uint8)
+    return out.ravel().view("<u8")
+
+
+def _levels_of_lists(lists: pa.Table) -> np.ndarray:
+    """The levels of all keys of a block, in the keys' order."""
+    at = sorted(zip(*(lists.column(c).to_pylist() for c in ("part", "n", "levels"))))
+    return np.frombuffer(b"".join(_ZSTD.decompress(b, n, asbytes=True) for _, n, b in at), np.uint8).astype(np.int64)
+
+
+def _keys_of_block(p: Passage, model: Model) -> np.ndarray:
+    """All different keys of some texts, turned and sorted: whoever has the texts has them in the same order."""
+    return np.unique(_turned(np.concatenate([p.word_keys, *p.keys]), model.slices))
+
+
+_LISTS = "part int, block int, n int, keys array<binary>, counts array<binary>"
+_LEVELS = "block int, part int, n int, levels binary, seen array<long>"
+
+
+def _lists(texts: pa.Array, learn: np.ndarray, model: Model, block: int) -> pa.Table:
+    """The different keys of a block's texts, one list for each part of the filter, and how often learned texts have each."""
+    p = Passage(texts, model)
+    keys = _keys_of_block(p, model)
+    learned = np.repeat(learn, p.lengths)
+    counts = np.zeros(len(keys), np.int64)
+    for own in [p.word_keys[p.at], *p.keys]:
+        unique, n = np.unique(own[learned], return_counts=True)
+        counts[np.searchsorted(keys, _turned(unique, model.slices))] += n
+    shift = 64 - (model.slices // TOGETHER_SLICES).bit_length() + 1
+    part = (keys >> np.uint64(shift)).astype(np.int64)
+    begins = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = [*begins[1:].tolist(), len(keys)]
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[begins] = keys[begins] & np.uint64((1 << shift) - 1)
+    spans = list(zip(begins.tolist(), ends))
+    planes = pa.list_(pa.binary())
+    return pa.table({
+        "part": pa.array(part[begins], pa.int32()), "block": pa.array([block] * len(spans), pa.int32()), "n": pa.array([e - b for b, e in spans], pa.int32()),
+        "keys": pa.array([_planes(steps[b:e], PLAIN) for b, e in spans], planes), "counts": pa.array([_planes(counts[b:e], 0) for b, e in spans], planes),
+    })
+
+
+def _levels_of_part(lists: pa.Table, model: Model) -> pa.Table:
+    """Some slices of the filter are built, and probed for the keys of each list; what is seen of them goes with the first list."""
+    shift, part = 64 - (model.slices // TOGETHER_SLICES).bit_length() + 1, lists.column("part")[0].as_py()
+    sizes = lists.column("n").to_pylist()
+    front = np.uint64(part << shift if part else 0)
+    own = [np.cumsum(_from_planes(x, n, PLAIN), dtype=np.uint64) | front for x, n in zip(lists.column("keys").to_pylist(), sizes)]
+    counts = [_from_planes(x, n, 0) for x, n in zip(lists.column("counts").to_pylist(), sizes)]
+    turned, where = np.unique(np.concatenate(own), return_inverse=True)
+    n = np.bincount(where, np.concatenate(counts), len(turned)).astype(np.int64)
+    keys, levels = _turned_back(turned, model.slices), np.zeros(len(turned), np.int64)
+    number = model.slice_of(keys)
+    begins = np.flatnonzero(np.diff(number, prepend=-1)).tolist()
+    for b, e in zip(begins, [*begins[1:], len(keys)]):
+        learned = n[b:e] > 0
+        bits = filter_slice(keys[b:e][learned], n[b:e][learned]).tobytes()
+        levels[b:e] = Slices([(0, bits)], 1, len(bits)).levels(keys[b:e], np.zeros(e - b, np.int64))
+    seen = _seen(keys[n > 0], n[n > 0])
+    found = np.split(levels.astype(np.uint8)[where], np.cumsum(sizes)[:-1])
+    return pa.table({
+        "block": lists.column("block"), "part": lists.column("part"), "n": lists.column("n"), "levels": pa.array([_ZSTD.compress(x, asbytes=True) for x in found], pa.binary()),
+        "seen": pa.array([seen, *[None] * (len(sizes) - 1)], pa.list_(pa.int64())),
+    })
+
+
+def _by_shuffle(docs: DataFrame, learn: Column, model: Model) -> DataFrame:
+    """Columns of _SCORED with a filter of any size, which no task has whole.
+
+    Texts are dealt to blocks by what is in them. A block sends its different keys to the parts of the filter in lists, each
+    once, and gets their levels back as one byte each, in the lists' order; no key is stored with a row, and none comes back.
+    The texts' shuffle and that of the levels are read twice in one plan, so both readers take all columns: else Spark would
+    write each of them twice.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(LEAST_BLOCKS, size // BLOCK_BYTES)
+    parts = model.slices // TOGETHER_SLICES
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"), block.alias("block")).repartition(blocks, "block")
+
+    def lists(t: pa.Table) -> pa.Table:
+        return _lists(t.column("text").combine_chunks(), t.column("learn").to_numpy(), shared.value, t.column("block")[0].as_py())
+
+    sent = rows.groupBy("block").applyInArrow(lists, _LISTS).repartition(parts, "part")
+    levels = sent.groupBy("part").applyInArrow(lambda t: _levels_of_part(t, shared.value), _LEVELS).repartition(blocks, "block")
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4 * CLASSES, np.int64)
         for batch in batches:
-            for k, own in enumerate(batch.column("levels").to_pylist()):
-                known = sorted((np.int64(x["key"]).view(np.uint64).item(), x["level"]) for x in own or ())
-                at, level = np.array([x for x, _ in known], np.uint64), np.array([v for _, v in known], np.int64)
+            for x in batch.column("seen").drop_null().to_pylist():
+                total += np.array(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["at", "x"])
 
-                def levels(keys: np.ndarray, at: np.ndarray = at, level: np.ndarray = level) -> np.ndarray:
-                    if not len(at):
-                        return np.zeros(len(keys), np.int64)
-                    place = np.minimum(np.searchsorted(at, keys), len(at) - 1)
-                    return np.where(at[place] == keys, level[place], 0)
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("all").to_pylist():
+                table = np.array([y["x"] for y in x], np.int64).reshape(4, CLASSES)
+                yield pa.RecordBatch.from_arrays([pa.array([_back_off(table).tobytes()], pa.binary())], ["back"])
+
+    summed = levels.mapInArrow(seen, "at int, x long").groupBy("at").agg(F.sum("x").alias("x"))
+    back = summed.agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("all")).mapInArrow(weights, "back binary")
 
-                yield _scored(batch.column("doc_id")[k : k + 1], batch.column("text")[k : k + 1], shared.value, levels)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return to_arrow_schema(StructType.fromDDL(_SCORED)).empty_table()
+        model = replace(shared.value, back_off=np.frombuffer(left.column("back")[0].as_py()))
+        held = _levels_of_lists(right)
+        p = Passage(left.column("text").combine_chunks(), model)
+        keys = _keys_of_block(p, model)
+        if len(keys) != len(held):
+            raise RuntimeError("a block of texts has other n-grams than when the filter was built")
+        return pa.Table.from_batches([_scored(left.column("doc_id").combine_chunks(), p, model, lambda own: held[np.searchsorted(keys, _turned(own, model.slices))])])
 
-    return numbered.join(per_row, "row", "left").select("doc_id", "text", "levels").mapInArrow(each, _SCORED)
+    return rows.join(F.broadcast(back)).groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(score, _SCORED)  # one row
 
 
 def language_model_scores(docs: DataFrame, learn: Column, order: int = ORDER, common: int = COMMON, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -382,13 +505,8 @@ def language_model_scores(docs: DataFrame, learn: Column, order: int = ORDER, co
     model = Model(order, n, v, _common(words, common))
     while model.slices * SLICE_ROWS < n * order:
         model.slices *= 2
-    slices = keep(build_filter(gram_counts(train, model), words, model))
-    seen = slices.select(F.posexplode("seen").alias("at", "x")).groupBy("at").agg(F.sum("x")).collect()
-    table = np.zeros(4 * CLASSES)
-    table[[r[0] for r in seen]] = [r[1] for r in seen]
-    model.back_off = _back_off(table.reshape(4, CLASSES))
-    size = slices.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
-    found = _by_broadcast(docs, slices, size, model) if size <= filter_bytes else _by_shuffle(docs, slices, model)
+    # An n-gram that occurs c times stands at c levels at most.
+    found = _by_broadcast(docs, train, words, model) if n * order * BITS // 8 <= filter_bytes else _by_shuffle(docs, learn, model)
     scored = keep(found.withColumn("row", F.monotonically_increasing_id()))
     asked = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     count = F.coalesce("n", F.lit(0))

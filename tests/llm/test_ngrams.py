@@ -117,3 +117,32 @@ def test_empty_tables_and_nothing_learned(spark):
     assert ngrams.scores(none).count() == 0
     only = ngrams.language_model_scores(spark.createDataFrame([(1, "a b")], SCHEMA), F.lit(False)).first()
     assert (only["n_tokens"], only["n_known"], only["train_tokens"], only["base_score"], only["score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_a_large_filter_is_probed_without_writing_the_n_grams_of_each_text(spark):
+    """Each block of texts sends its different keys once and gets a byte for each; keys by row took over ten times the texts."""
+    r = np.random.default_rng(5)
+    at = np.minimum(r.zipf(1.2, 500_000), 40_000)
+    texts = [" ".join(f"w{x:05d}" for x in at[k : k + 500]) for k in range(0, len(at), 500)]
+    table = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4)
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def written():
+        bus.waitUntilEmpty()
+        return store.executorList(True).head().totalShuffleWrite()
+
+    before = written()
+    found = ngrams.language_model_scores(table, F.col("doc_id") % 10 > 0, filter_bytes=0).collect()
+    assert len(found) == len(texts) and written() - before < 5 * sum(map(len, texts))
+
+
+def test_keys_come_back_from_lists_in_their_order():
+    r = np.random.default_rng(6)
+    for slices in (1 << 10, 1 << 14):
+        keys = np.unique(r.integers(0, 2**64, 20_000, np.uint64))
+        turned = np.sort(ngrams._turned(keys, slices))
+        assert (np.sort(ngrams._turned_back(turned, slices)) == keys).all() and (np.diff((turned >> np.uint64(65 - slices.bit_length())).astype(int)) >= 0).all()
+        assert (ngrams.Model(2, 1, 1, {}, slices).slice_of(ngrams._turned_back(turned, slices)) == (turned >> np.uint64(65 - slices.bit_length())).astype(int)).all()
+    for x in (keys, np.array([0, 0], np.uint64), np.array([300, 1], np.uint64)):
+        for plain in (0, ngrams.PLAIN):
+            assert (ngrams._from_planes(ngrams._planes(x, plain), len(x), plain) == x).all()
